@@ -59,3 +59,10 @@ def semi_by_id(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFram
 def crc_of_id(column: str = "doc_id"):
     """Unsigned crc32 of the id written as text."""
     return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+def tokenizer_file(name: str) -> str:
+    """Path of an installed public tokenizer file; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
