@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgrid.llm import decontamination, licenses, quality_classifier, quality_rules, sentence_pieces, simhash, token_store, toxicity
+from riskgrid.llm import decontamination, html_extraction, licenses, quality_classifier, quality_rules, sentence_pieces, sharding, simhash, token_store, toxicity
 from riskgrid.llm.common import read, tokenizer_file
 
 
@@ -34,10 +34,19 @@ def op5_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_pieces.encoded(read(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"), with_ids=False)
 
 
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extraction.extract(read(spark, sf_dir, "pages"))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.sharded(read(spark, sf_dir, "documents").select("doc_id", "text"), n_shards=8)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int"), F.col("slot").cast("long"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
@@ -51,7 +60,9 @@ QUERIES = {
         op4_toxicity,
         op5_sentence_pieces,
         op6_quality_rules,
+        op7_html_extraction,
         op8_decontamination,
+        op9_sharding,
         op10_licenses,
     )
 }
