@@ -1,0 +1 @@
+"""Time-dependent risk cubes and route planning over them, on Spark DataFrames."""
