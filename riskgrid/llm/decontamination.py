@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -179,18 +180,22 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, block_words: int = BLOC
     """The rows without any overlap, columns as they are; decided row by row, so nothing is shuffled."""
     spark = docs.sparkSession
     for block in blocks(items, block_words):
-        shared = spark.sparkContext.broadcast(Seeds(block))
+        docs = docs.where(_clean(spark.sparkContext.broadcast(Seeds(block)))("text"))
+    return docs
 
-        @F.pandas_udf("boolean")
-        def clean(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            seeds = shared.value
-            for column in batches:
-                texts = column.tolist()
-                keep = np.ones(len(texts), bool)
-                for a, b in groups_of(texts):
-                    for found in overlaps(seeds, texts[a:b]):
-                        keep[a + found[0]] = False
-                yield pd.Series(keep)
 
-        docs = docs.where(clean("text"))
-    return docs
+def _clean(shared: Broadcast):
+    """A boolean function of a text column: no overlap with an item of the block."""
+
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        seeds = shared.value
+        for column in batches:
+            texts = column.tolist()
+            keep = np.ones(len(texts), bool)
+            for a, b in groups_of(texts):
+                for found in overlaps(seeds, texts[a:b]):
+                    keep[a + found[0]] = False
+            yield pd.Series(keep)
+
+    return clean

@@ -115,5 +115,11 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
 
 
 def keep_good(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows that all rules keep, columns as they are."""
-    return judged(docs, fit(docs, trusted), threshold).where("__rg_q.kept").drop("__rg_q")
+    """The rows that all rules keep, columns as they are.
+
+    The verdict passes through a generator, which filters are not pushed
+    below: pushed into the scan, the condition would repeat every step of
+    ``judged`` inside the next one.
+    """
+    out = judged(docs, fit(docs, trusted), threshold)
+    return out.withColumn("__rg_k", F.explode(F.array(F.col("__rg_q")["kept"]))).where("__rg_k").select(*docs.columns)
