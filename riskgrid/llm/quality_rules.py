@@ -100,7 +100,9 @@ def judged(docs: DataFrame, ratios: list[int], threshold: float = THRESHOLD) ->
     q = F.col("__rg_q")
     failed = (q["n_words"] < 50) | (100 * q["n_repeat_words"] > 50 * q["n_words"])
     low = q["ratio_micro"] < F.lit(round(threshold * MICRO)) * q["n_grams"]
-    return step.withColumn("__rg_q", q.withField("base_failed", failed).withField("kept", ~failed & ~low))
+    # a caller's filter is not pushed below a generator; pushed to the scan, it
+    # would repeat every step above inside the next one
+    return step.withColumn("__rg_q", F.explode(F.array(q.withField("base_failed", failed).withField("kept", ~failed & ~low))))
 
 
 def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -115,11 +117,5 @@ def quality_rules(docs: DataFrame, trusted: DataFrame, threshold: float = THRESH
 
 
 def keep_good(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows that all rules keep, columns as they are.
-
-    The verdict passes through a generator, which filters are not pushed
-    below: pushed into the scan, the condition would repeat every step of
-    ``judged`` inside the next one.
-    """
-    out = judged(docs, fit(docs, trusted), threshold)
-    return out.withColumn("__rg_k", F.explode(F.array(F.col("__rg_q")["kept"]))).where("__rg_k").select(*docs.columns)
+    """The rows that all rules keep, columns as they are."""
+    return judged(docs, fit(docs, trusted), threshold).where("__rg_q.kept").drop("__rg_q")
