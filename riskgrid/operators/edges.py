@@ -63,12 +63,16 @@ def edge_series(cube: DataFrame, edges: DataFrame, n: int = POINTS) -> DataFrame
 
 def _point_at(series: Column, t: Column, times: Column, n_frames: int, max_gap_us: int) -> Column:
     """status, risk, hard, confidence, factor of a point's series at a time."""
-    k = F.size(F.filter(times, lambda v: v <= t))
+    return F.transform(F.array(F.size(F.filter(times, lambda v: v <= t))), lambda k: _between(series, t, times, k, n_frames, max_gap_us))[0]
+
+
+def _between(series: Column, t: Column, times: Column, k: Column, n_frames: int, max_gap_us: int) -> Column:
+    """The values at a time that follows ``k`` frames."""
     low_t = F.element_at(times, F.greatest(k, F.lit(1)))
     high_t = F.element_at(times, F.least(k + 1, F.lit(n_frames)))
     low, high = F.element_at(series, F.greatest(k, F.lit(1))), F.element_at(series, F.least(k + 1, F.lit(n_frames)))
     exact = low_t == t
-    share = (t - low_t) / (high_t - low_t)
+    share = F.try_divide((t - low_t).cast("double"), (high_t - low_t).cast("double"))
     covered = (k >= 1) & (exact | ((k < n_frames) & (high_t - low_t <= max_gap_us)))
     unknown = low["risk"].isNull() | (~exact & high["risk"].isNull())
     return F.struct(
@@ -96,7 +100,8 @@ def cross(departures: DataFrame, times: list[int], vessel: Vessel, weights: dict
         def at(p, hours=hours):
             return _point_at(p["series"], plus_hours(F.col("depart_us"), hours * (p["i"] / (n - 1))), axis, len(times), max_gap_us)
 
-        out = out.withColumn(f"__rg_s{turn}", F.transform("points", at))
+        # a generator keeps the samples from being computed again wherever they are used
+        out = out.withColumn(f"__rg_s{turn}", F.explode(F.array(F.transform("points", at))))
         s = F.col(f"__rg_s{turn}")
         failed = F.get(F.filter(s, lambda p: p["status"] != "ok"), F.lit(0))["status"]
         factor = F.array_min(F.transform(s, lambda p: p["factor"]))

@@ -132,7 +132,7 @@ def plan_one(field: Field, q, weights: Weights, max_expansions: int = MAX_EXPANS
     """Label-setting search of one request; its steps, or one row with the status."""
 
     def failed(status: str) -> list[tuple]:
-        return [(q.search, 0, q.r0, q.c0, q.depart_us, *([None] * 10), status)]
+        return [(q.search, 0, q.r0, q.c0, q.depart_us, *([None] * 11), status)]
 
     start = field.at(field.point_series(q.r0, q.c0, 0, 0, 0), q.depart_us)
     if start[0] != "ok":

@@ -48,7 +48,7 @@ yy AS (SELECT ty.*, u.a AS ya, u.w AS yw FROM ty, LATERAL (VALUES (yq // 4, 4 -
 xx AS (SELECT yy.*, u.a AS xa, u.w AS xw FROM yy, LATERAL (VALUES (xq // 4, 4 - xq % 4), (xq // 4 + 1, xq % 4)) AS u(a, w) WHERE u.w > 0),
 v AS (SELECT id, round(sum(tw * yw * xw * round(risk * 100)::BIGINT)::DOUBLE / 12800, 9) AS risk, bool_or(hard) AS hard, min(confidence) AS confidence, min(factor) AS factor
     FROM xx JOIN cube ON frame = ta AND "row" = ya AND col = xa GROUP BY id)
-SELECT st.id AS point_id, status, risk, hard, round(confidence, 6) AS confidence, round(factor, 6) AS factor, least(5, greatest(1, floor(risk * 5) + 1))::INT AS level FROM st LEFT JOIN v USING (id)""")
+SELECT st.id AS point_id, status, risk, hard, round(confidence, 6) AS confidence, round(factor, 6) AS factor, CASE WHEN risk IS NOT NULL THEN least(5, greatest(1, floor(risk * 5) + 1))::INT END AS level FROM st LEFT JOIN v USING (id)""")
 def sample_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sample(event_points(spark, sf_dir), table_cube(spark, sf_dir))
     # a NULL risk has no level in SQL; the operator gives none either
