@@ -10,8 +10,8 @@ import xxhash
 from riskgrid.llm import decontamination, licenses, quality_classifier, quality_rules, queries, sentence_pieces, sharding, simhash, token_store, toxicity
 from riskgrid.llm.common import read, tokenizer_file
 
-WORDS = [f"word{i}" for i in range(400)]
-LONG = " ".join(WORDS[i * 7 % 400] for i in range(3000))
+WORDS = [f"word{i}" for i in range(4000)]
+LONG = " ".join(WORDS[i * 7 % 4000] for i in range(3000))
 ODD = [(0, None), (1, ""), (2, " \t\n"), (3, "one two"), (4, LONG), (5, LONG), (6, LONG + " tail"), (7, "a b c " * 40), (8, "Ünïcode ▁ 日本語 \x00 x"), (8, "Ünïcode ▁ 日本語 \x00 x")]
 
 
