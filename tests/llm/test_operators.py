@@ -71,7 +71,7 @@ def test_keep_one_of_each_component(docs, none):
 
 
 def test_quality_base_figures(spark, docs, none):
-    trusted = spark.createDataFrame([(4,)], "doc_id bigint")
+    trusted = spark.createDataFrame([(4,), (5,), (6,)], "doc_id bigint")
     for r in quality_rules.quality_rules(docs, trusted).collect():
         text = dict(ODD)[r.doc_id] or ""
         words = [w.decode() for w in text.encode().split()]
