@@ -24,6 +24,7 @@ one class only, give the same constant score for every row (the share of label
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 
@@ -129,26 +130,33 @@ def log_count_ratio(rows: list[np.ndarray], y: np.ndarray, size: int, alpha: flo
     return np.log((p / p.sum()) / (q / q.sum()))
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, size: int, c: float, epochs: int, seed: int = 0) -> np.ndarray:
-    """Weights of the linear hinge-loss model; the box of each class is scaled so that both weigh alike."""
+def dual_coordinate_descent(rows: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, c: float, epochs: int, seed: int = 0) -> np.ndarray:
+    """Weights of the linear hinge-loss model on rows with value ratio[x] / |ratio[x]| at their features x.
+
+    The weights are held times ``ratio``, as they are used, so that a row needs
+    no values of its own besides its length. The box of each class is scaled so
+    that both weigh alike.
+    """
     sign = np.where(y > 0, 1.0, -1.0)
     share = max(1, y.sum()) / len(y), max(1, len(y) - y.sum()) / len(y)
     box = np.where(y > 0, c / (2 * share[0]), c / (2 * share[1]))
-    norm = np.array([float(v @ v) for v in values]) + 1e-12
-    dual, w = np.zeros(len(y)), np.zeros(size)
+    square = ratio * ratio
+    total = np.array([float(square[x].sum()) for x in rows])
+    length, norm = np.sqrt(total + 1e-12), total / (total + 1e-12) + 1e-12
+    dual, scaled = np.zeros(len(y)), np.zeros(len(ratio))
     order = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
         for i in order.permutation(len(y)):
-            gradient = sign[i] * float(w[rows[i]] @ values[i]) - 1.0
+            gradient = sign[i] * float(scaled[rows[i]].sum()) / length[i] - 1.0
             new = min(max(dual[i] - gradient / norm[i], 0.0), box[i])
             if new != dual[i]:
-                w[rows[i]] += (new - dual[i]) * sign[i] * values[i]
+                scaled[rows[i]] += (new - dual[i]) * sign[i] / length[i] * square[rows[i]]
                 moved = max(moved, abs(new - dual[i]))
                 dual[i] = new
         if moved < 1e-3 * c:
             break
-    return w
+    return scaled
 
 
 def logistic_curve(margin: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float]:
@@ -181,9 +189,8 @@ def fit(features: Features, rows: list[np.ndarray], y: np.ndarray, c: float = 1.
         return Model(features, none, none, 1.0, float(np.log(share / (1 - share))))
     kept, known = [r for r, k in zip(rows, keep, strict=True) if k], y[keep]
     ratio = log_count_ratio(kept, known, features.size)
-    values = [(ratio[x] / np.sqrt(float(ratio[x] @ ratio[x]) + 1e-12)).astype(np.float32) for x in kept]
-    w = dual_coordinate_descent(kept, values, known, features.size, c, epochs)
-    raw = Model(features, (w * ratio).astype(np.float32), (ratio * ratio).astype(np.float32), 1.0, 0.0)
+    scaled = dual_coordinate_descent(kept, ratio, known, c, epochs)
+    raw = Model(features, scaled.astype(np.float32), (ratio * ratio).astype(np.float32), 1.0, 0.0)
     held = [(r, v) for r, v, k in zip(rows, y, keep, strict=True) if not k]
     if len({v for _, v in held}) < 2:
         held = list(zip(rows, y, strict=True))
@@ -191,6 +198,15 @@ def fit(features: Features, rows: list[np.ndarray], y: np.ndarray, c: float = 1.
     return replace(raw, slope=slope, offset=offset)
 
 
+def packed(x: np.ndarray) -> bytes:
+    """A sorted feature set as compressed gaps, about a byte for each feature."""
+    return zlib.compress(np.diff(x, prepend=0).astype("<i4").tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(data), "<i4"), dtype=np.int32)
+
+
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, features: Features, limit: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Feature sets and labels of at most ``limit`` labelled rows, in an order fixed by the ids."""
     ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y")).dropDuplicates(["doc_id"])
@@ -203,13 +219,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, features: Feat
     def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros(features.size, bool)
         for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "x": [features.of(t, seen).astype("<i4").tobytes() for t in pdf["text"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "x": [packed(features.of(t, seen)) for t in pdf["text"]]})
 
     found = semi_by_id(docs.select("doc_id", "text"), ids).mapInPandas(take, "doc_id bigint, x binary").collect()
     found.sort(key=lambda r: (r.doc_id, bytes(r.x)))
     order = np.random.default_rng(0).permutation(len(found))
-    rows = [np.frombuffer(found[i].x, "<i4") for i in order]
-    return rows, np.array([y[found[i].doc_id] for i in order], dtype=int)
+    return [unpacked(found[i].x) for i in order], np.array([y[found[i].doc_id] for i in order], dtype=int)
 
 
 def score_column(spark: SparkSession, model: Model, text: str = "text") -> Column:
