@@ -1,19 +1,22 @@
 """Quality rules: hashed n-gram log-likelihood ratio between trusted text and the raw corpus.
 
 Words and word pairs of every text are hashed to ``BUCKETS`` buckets. Two
-multinomials over the buckets are counted: one over all rows, one over the
-trusted rows. A text's score is the mean, over its n-grams, of the log of the
+multinomials over the buckets are counted: one over all texts, one over the
+trusted ones. Equal texts count once in both, however many copies there are,
+and a text is trusted if any copy is, so copies cannot move the ratio. A
+text's score is the mean, over its n-grams, of the log of the
 ratio of the two (add-one smoothed); a text is rejected if that mean is below
 ``THRESHOLD``, or if a base rule fails. Log ratios are whole micro-units, so a
 score is a sum of integers and does not depend on order or partitioning.
 
-DataFrame functions only. Counting shuffles one row for each bucket and task;
-scoring needs no shuffle: the ratios are one literal array of ``BUCKETS``
-integers in the plan. Texts move nowhere.
+DataFrame functions only. Counting shuffles the 64-bit hash of every text, then
+one row for each bucket and task; scoring needs no shuffle: the ratios are one
+literal array of ``BUCKETS`` integers in the plan. Texts move nowhere unless
+trusted ids or hashes of copied texts are too many to broadcast.
 
 Defined cases: a null text counts as empty; a text without words has no
-n-grams, score 0 and fails the base rule; repeated rows count and are scored
-each time; with no trusted row (or an empty table) all ratios are 0, so the
+n-grams, score 0 and fails the base rule; repeated rows count once and are
+scored each time; texts whose 64-bit hashes agree count as copies; with no trusted row (or an empty table) all ratios are 0, so the
 method rejects nothing. Columns besides doc_id and text are never read.
 """
 
@@ -24,12 +27,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskgrid.llm.common import BROADCAST_IDS
+from riskgrid.llm.common import BROADCAST_IDS, frozen
 
 BUCKETS = 10_000
 #: Mean log ratio for each n-gram below which a text goes.
 THRESHOLD = -0.05
 MICRO = 1_000_000
+UNIT = 1 << 31
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 
@@ -51,17 +55,25 @@ def _grams(words: str) -> str:
 def fit(docs: DataFrame, trusted: DataFrame) -> list[int]:
     """Log ratios of all buckets in micro-units; ``trusted`` has the doc_id of trusted rows.
 
-    The ids are broadcast if a count finds them few enough, else both sides
-    are joined by a shuffle.
+    Ids, and hashes of texts with copies, are broadcast if a count finds them
+    few enough, else both sides are joined by a shuffle. Each of a text's n
+    copies counts 1 / n, in units of 1 / ``UNIT``: rounding the sum gives back
+    the whole number as long as a bucket has fewer than ``UNIT`` n-grams in
+    copies.
     """
     ids = trusted.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().withColumn("__rg_t", F.lit(1))
     small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     flagged = docs.select("doc_id", "text").join(F.broadcast(ids) if small else ids, "doc_id", "left")
-    grams = flagged.select(F.coalesce("__rg_t", F.lit(0)).alias("t"), words_of(F.col("text")).alias("w")).select("t", F.explode(F.expr(_grams("w"))).alias("g"))
-    counts = grams.groupBy("g").agg(F.count("*").alias("raw"), F.sum("t").alias("target")).collect()
+    flagged = flagged.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.coalesce("__rg_t", F.lit(0)).alias("t"), "text")
+    copied = frozen(flagged.groupBy("h").agg(F.count("*").alias("n"), F.max("t").alias("any_t")).where("n > 1"), "quality-copies")
+    few = copied.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    once = flagged.join(F.broadcast(copied) if few else copied, "h", "left")
+    share = F.when(F.col("n").isNull(), F.lit(UNIT)).otherwise(F.round(UNIT / F.col("n"))).cast("long")
+    grams = once.select(share.alias("s"), F.coalesce("any_t", "t").alias("t"), words_of(F.col("text")).alias("w")).select("s", "t", F.explode(F.expr(_grams("w"))).alias("g"))
+    counts = grams.groupBy("g").agg(F.sum("s").alias("raw"), F.sum(F.col("s") * F.col("t")).alias("target")).collect()
     raw, target = [0] * BUCKETS, [0] * BUCKETS
     for r in counts:
-        raw[r.g], target[r.g] = r.raw, r.target
+        raw[r.g], target[r.g] = (r.raw + UNIT // 2) // UNIT, (r.target + UNIT // 2) // UNIT
     if not sum(target):
         return [0] * BUCKETS
     of_raw, of_target = sum(raw) + BUCKETS, sum(target) + BUCKETS

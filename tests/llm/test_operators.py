@@ -87,6 +87,21 @@ def test_quality_base_figures(spark, docs, none):
     assert quality_rules.quality_rules(none, trusted).count() == 0
 
 
+@pytest.mark.parametrize("labelled", [0, 300])
+def test_copies_do_not_move_the_quality_ratio(labelled, spark):
+    """A third of all rows are copies of one clean text, none or all of them trusted."""
+    texts = [" ".join(WORDS[(i * 37 + k * (i % 11 + 3)) % 1499] for k in range(200)) for i in range(300)]
+    hot = " ".join(WORDS[1500 + k * 7 % 300] for k in range(200)) + " " + " ".join(texts[0].split()[:150])
+    rows = [*enumerate(texts), *((1000 + i, hot) for i in range(300))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    ids = [*range(0, 300, 2), *range(1000, 1000 + labelled)]
+    trusted = spark.createDataFrame([(i,) for i in ids], "doc_id bigint")
+    single = spark.createDataFrame(rows[:301], docs.schema)
+    assert quality_rules.fit(docs, trusted) == quality_rules.fit(single, trusted)
+    kept, alone = ({min(r.doc_id, 1000) for r in quality_rules.keep_good(d, trusted).collect()} for d in (docs, single))
+    assert len(kept) > 75 and kept == alone and (not labelled or 1000 in kept)
+
+
 def test_sentence_pieces_are_the_library(spark, docs, none, sf_dir):
     import sentencepiece
 
