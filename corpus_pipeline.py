@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgrid.llm import decontamination, quality_rules, sentence_pieces, simhash, toxicity
+from riskgrid.llm import decontamination, near_copies, quality_rules, sentence_pieces, simhash, toxicity
 from riskgrid.llm.common import frozen, read, tokenizer_file
 
 
@@ -25,8 +25,8 @@ def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.keep_one(docs)
+    """One document of each group of near-duplicates: five-word shingles, Jaccard similarity 0.8 or more."""
+    return simhash.one_of_each(docs, near_copies.near_copies(docs))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

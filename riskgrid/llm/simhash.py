@@ -220,13 +220,18 @@ def near_duplicates(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGL
 
 
 def keep_one(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE) -> DataFrame:
-    """One row of each component, that with the smallest id; columns as they are.
+    """One row of each component, that with the smallest id; columns as they are."""
+    return one_of_each(docs, near_duplicates(docs, budget, shingle))
+
+
+def one_of_each(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The row of ``docs`` with the smallest id of each component; ``named`` has doc_id and component_id of every row.
 
     Ids of dropped rows are broadcast if a count finds them few enough, else
     joined by a shuffle. Rows that repeat an id are thinned to one; rows with
     a null id stay.
     """
-    found = frozen(near_duplicates(docs, budget, shingle).where("doc_id is not null"), "simhash-found")
+    found = frozen(named.where("doc_id is not null"), "simhash-found")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     small = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     kept = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)

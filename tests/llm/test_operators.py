@@ -70,6 +70,20 @@ def test_keep_one_of_each_component(docs, none):
     assert simhash.keep_one(none).count() == 0
 
 
+def test_pipeline_leaves_no_near_copies(spark):
+    """Texts with a few replaced words are far apart in SimHash bits, but similar in five-word shingles."""
+    import corpus_pipeline
+
+    base = [[WORDS[(i * 331 + k * (7 + 2 * i)) % 3989] for k in range(200)] for i in range(20)]
+    near = [[f"new{i}" if k in (40, 90, 150) else w for k, w in enumerate(b)] for i, b in enumerate(base)]
+    far = [[f"far{i}" if k % 10 == 0 else w for k, w in enumerate(b)] for i, b in enumerate(base)]
+    rows = [(i + 100 * n, " ".join(w)) for n, part in enumerate((base, near, far)) for i, w in enumerate(part)]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id bigint, text string"), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [*range(20), *range(200, 220)]
+    odd = spark.createDataFrame(ODD, "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, odd, "").collect()) == [0, 3, 4, 7, 8]
+
+
 def test_quality_base_figures(spark, docs, none):
     trusted = spark.createDataFrame([(4,), (5,), (6,)], "doc_id bigint")
     for r in quality_rules.quality_rules(docs, trusted).collect():
