@@ -4,9 +4,12 @@ Every window of ``SPAN`` words of a benchmark item is hashed under a few fixed
 masks, each of which looks at ``WEIGHT`` of the positions and ignores the
 others; so a window with replaced words still meets its copy under a mask that
 skips them. The windows of all documents are hashed alike and joined with the
-item windows. A hit fixes which item word stands at which document word; from
-there the overlap is extended word by word on both sides, and it counts if it
-is long enough and alike enough (``MIN_WORDS``, ``MIN_SHARE``).
+item windows. Items of ``SPAN`` to ``SHORT`` words have few such windows, so
+runs of four words (three in items of 15) are seeds too: whatever fifth of the
+words is replaced, such a run is left. A hit fixes which item word stands at
+which document word; the overlap is the longest span around it that is alike
+enough (``MIN_SHARE``), cut back to equal words at both ends, and it counts if
+it is long enough (``MIN_WORDS``). An item that stands there whole counts whole.
 
 The items are a stated query set: their seeds travel to the executors in
 blocks of at most ``BLOCK_WORDS`` words (about 90 MB with four masks), one
@@ -39,8 +42,8 @@ SPAN = 12
 MIN_WORDS = 13
 #: Share of equal words in an overlap.
 MIN_SHARE = 0.8
-#: Extension stops once it has fallen so far below its best sum (equal +1, unequal -2).
-DROP = 8
+#: Items of up to so many words have runs of words as further seeds.
+SHORT = 30
 BLOCK_WORDS = 1_000_000
 
 SCHEMA = "doc_id bigint, item_id bigint, doc_start int, doc_end int, item_start int, n_equal int, share double"
@@ -67,13 +70,16 @@ class Seeds:
         lengths = np.diff(self.first)
         self.masks = [*MASKS, *("1" * int(n) for n in sorted(set(lengths.tolist())) if 0 < n < SPAN)]
         self.tables = []
+        every = [(mask, lengths >= SPAN if len(mask) == SPAN else lengths == len(mask)) for mask in self.masks]
+        short = (lengths >= SPAN) & (lengths <= SHORT)
+        every += [("1111", short), ("111", short & (lengths == 15))]
         item = np.repeat(np.arange(len(lengths)), lengths)
-        for mask in self.masks:
+        for mask, meant in every:
             n = len(mask)
             h = window_hashes(self.words, mask)
             at = np.arange(len(h))
             own = item[at] == item[at + n - 1] if len(h) else np.zeros(0, bool)
-            own &= (lengths[item[at]] == n) if n < SPAN else (lengths[item[at]] >= SPAN)
+            own &= meant[item[at]]
             h, at = h[own], at[own]
             order = np.argsort(h, kind="stable")
             h, at = h[order], at[order]
@@ -95,15 +101,30 @@ class Seeds:
                 yield doc, at[k]
 
 
-def _reach(equal: np.ndarray) -> int:
-    """How many of the next words to take: up to the best sum, before it falls by more than DROP."""
-    if not len(equal):
-        return 0
-    total = np.cumsum(np.where(equal, 1, -2))
-    best = np.maximum.accumulate(np.maximum(total, 0))
-    low = np.flatnonzero(best - total > DROP)
-    total = total[: low[0]] if len(low) else total
-    return int(total.argmax()) + 1 if len(total) and total.max() > 0 else 0
+def _longest(equal: np.ndarray, at: int) -> tuple[int, int]:
+    """The longest span with position ``at`` (an equal word) of which a share of ``MIN_SHARE`` is equal; ends are exclusive."""
+    total = np.r_[0, np.cumsum(np.where(equal, 1, -4))]  # equal to 0.8 or more: the sum is not negative
+    after = np.maximum.accumulate(total[: at : -1])  # best sum at an end so far right or farther
+    ends = len(equal) - np.searchsorted(after, total[: at + 1], "left")
+    s = int(np.where(ends > at, ends - np.arange(at + 1), 0).argmax())  # no end: ends == at
+    return s, int(ends[s])
+
+
+def _alike(seeds: Seeds, words: np.ndarray, first: np.ndarray, text: np.ndarray, doc: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Whether a hit's text and item can have an overlap: for short items by the number of equal words on its diagonal."""
+    item = seeds.item[q]
+    start, end = seeds.first[item], seeds.first[item + 1]
+    out = end - start > SHORT
+    out |= end - start < SPAN
+    k = np.arange(SHORT)
+    todo = np.flatnonzero(~out)
+    for part in np.array_split(todo, len(todo) // (1 << 16) + 1):
+        a = start[part, None] + k
+        b = a + (doc[part] - q[part])[:, None]
+        inside = (a < end[part, None]) & (b >= first[text[part], None]) & (b < first[text[part] + 1, None])
+        same = inside & (words[np.clip(b, 0, len(words) - 1)] == seeds.words[np.minimum(a, len(seeds.words) - 1)])
+        out[part] = same.sum(axis=1) >= MIN_SHARE * np.minimum(MIN_WORDS, end[part] - start[part])
+    return out
 
 
 def overlaps(seeds: Seeds, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, int, int]]:
@@ -114,6 +135,8 @@ def overlaps(seeds: Seeds, texts: list[str | None]) -> Iterator[tuple[int, int,
         return
     doc, q = np.concatenate(pairs, axis=1)
     text = np.searchsorted(first, doc, "right") - 1
+    alike = _alike(seeds, words, first, text, doc, q)
+    doc, q, text = doc[alike], q[alike], text[alike]
     item = seeds.item[q]
     order = np.lexsort((doc, doc - q, item, text))
     done = None
@@ -127,13 +150,19 @@ def overlaps(seeds: Seeds, texts: list[str | None]) -> Iterator[tuple[int, int,
         if at + 1 > hi or at < lo:
             continue
         equal = words[lo:hi] == seeds.words[lo - shift : hi - shift]
-        left = _reach(equal[: at - lo][::-1])
-        right = _reach(equal[at - lo :])
-        s, e = at - left, at + right
-        done = (t, k, shift, max(e, at + 1))
-        n_equal = int(equal[s - lo : e - lo].sum())
-        needed = min(MIN_WORDS, int(seeds.first[k + 1] - seeds.first[k]))
-        if e - s >= needed and n_equal >= MIN_SHARE * (e - s):
+        if not equal[at - lo]:  # equal hashes of unequal windows
+            continue
+        whole, n_item = hi - lo, int(seeds.first[k + 1] - seeds.first[k])
+        s, e = _longest(equal, at - lo)
+        if whole == n_item and equal.sum() >= MIN_SHARE * n_item:
+            s, e = 0, whole
+        inner = np.flatnonzero(equal[s:e])
+        if inner[-1] + 1 - inner[0] >= min(MIN_WORDS, n_item) or e - s < n_item:
+            s, e = s + int(inner[0]), s + int(inner[-1]) + 1
+        n_equal = int(equal[s:e].sum())
+        s, e = s + lo, e + lo
+        if e - s >= min(MIN_WORDS, n_item):
+            done = (t, k, shift, e)
             yield t, k, s - int(first[t]), e - int(first[t]), s - shift - int(seeds.first[k]), n_equal
 
 

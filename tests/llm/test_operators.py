@@ -1,6 +1,7 @@
 """The operators against brute force and the public libraries, on small tables with odd rows."""
 
 import hashlib
+import itertools
 import zlib
 from collections import Counter
 
@@ -172,6 +173,18 @@ def test_planted_passage_is_found(spark, docs, none):
     assert decontamination.contaminated(none, items).count() == 0
 
 
+@pytest.mark.parametrize("n", range(13, 21))
+def test_short_items_with_replaced_words_are_found(n):
+    """Every way to replace one to three words that leaves four fifths of the item."""
+    item = [f"item{i}" for i in range(n)]
+    seeds = decontamination.Seeds([(1, " ".join(item))])
+    for k in (1, 2, 3):
+        if n - k >= 0.8 * n:
+            texts = [" ".join(["before", *("new" if i in gone else w for i, w in enumerate(item)), "after"]) for gone in itertools.combinations(range(n), k)]
+            assert {o[0] for o in decontamination.overlaps(seeds, texts)} == set(range(len(texts)))
+    assert not list(decontamination.overlaps(seeds, [" ".join(item[:9]), " ".join(item[:5] + ["x"] * 4 + item[9:]) if n < 20 else "x"]))
+
+
 def test_license_phrases(spark, docs, none):
     rows = [(1, "Under CC BY or the GNU General Public License. All rights reserved."), (2, None), (3, "general public")]
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
