@@ -11,6 +11,8 @@ from riskgrid.plans.registry import T0, query
 from riskgrid.sources.cube import analytic_cube, table, table_cube
 
 HOUR = 3_600_000_000
+#: Horizon of the layered sets; the last voyage starts an hour and a half after the first frame.
+SET_HOURS = 96
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,9 +70,9 @@ def route_steps_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def layer_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Anchors of the found routes at cut-offs of one and two hours."""
+    """Anchors of the found routes at the cut-offs of the layers."""
     steps, _ = _found(spark, sf_dir)
-    return layers.anchors(steps, spark.createDataFrame([("near", 1), ("far", 2)], "layer string, hours_limit int"))
+    return layers.anchors(steps, spark.createDataFrame([x for x in layers.LAYERS if x[1]], "layer string, hours_limit int"))
 
 
 @query()
@@ -81,9 +83,9 @@ def layer_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def four_layer_set(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All layers of one voyage over the analytic cube, under short cut-offs that its length allows."""
-    wanted = spark.createDataFrame([("set-1", 2, 2, 18, 28, T0, HOUR)], "search string, r0 int, c0 int, r1 int, c1 int, depart_us bigint, bucket_us bigint")
-    out = layers.layered_set(analytic_cube(spark), wanted, 24.0, (("long_range", 9), ("medium_range", 6), ("short_range", 3)))
+    """All layers of every voyage of ``requests`` over an analytic cube whose hourly frames span the horizon."""
+    wanted = requests(spark, sf_dir).where("objective = 'recommended'").withColumn("search", F.substring_index("search", "/", 1)).drop("objective", "horizon_us")
+    out = layers.layered_set(analytic_cube(spark, frames=SET_HOURS + 3), wanted, float(SET_HOURS))
     return out.select("set_id", "layer", "objective", "step", "row", "col", "eta_us", F.round("cost", 6).alias("cost"))
 
 
