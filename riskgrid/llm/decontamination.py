@@ -17,7 +17,8 @@ pass over the documents for each block, so neither side is shuffled and no
 task or driver holds more than a block. Each document is matched whole.
 
 Defined cases: a null or empty text has no window and no overlap; a null or
-empty item matches nothing; an item shorter than a window matches where all
+empty item matches nothing; an item with a null id is matched as any other and
+reported with a null item_id; an item shorter than a window matches where all
 its words stand in a row; repeated rows are matched each time; an empty
 benchmark leaves every document clean. Columns besides doc_id and text
 (documents), item_id and text (items) are never read, and may clash.
@@ -64,7 +65,7 @@ def window_hashes(words: np.ndarray, mask: str) -> np.ndarray:
 class Seeds:
     """The seed index of a block of items."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    def __init__(self, items: list[tuple[int | None, str | None]]):
         self.ids = [i for i, _ in items]
         self.words, self.first = batch_hashes([t for _, t in items])
         lengths = np.diff(self.first)
@@ -166,10 +167,10 @@ def overlaps(seeds: Seeds, texts: list[str | None]) -> Iterator[tuple[int, int,
             yield t, k, s - int(first[t]), e - int(first[t]), s - shift - int(seeds.first[k]), n_equal
 
 
-def blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int, str | None]]]:
+def blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int | None, str | None]]]:
     """The items in blocks, streamed to the driver one partition at a time."""
     now, size = [], 0
-    for r in items.select("item_id", "text").where(F.col("item_id").isNotNull()).toLocalIterator():
+    for r in items.select("item_id", "text").toLocalIterator():
         n = len((r.text or "").split())
         if now and size + n > block_words:
             yield now
@@ -198,7 +199,8 @@ def contaminated(docs: DataFrame, items: DataFrame, block_words: int = BLOCK_WOR
                 for a, b in groups_of(texts):
                     for t, k, s, e, i, n in overlaps(seeds, texts[a:b]):
                         rows.append((ids[a + t], seeds.ids[k], s, e, i, n, n / (e - s)))
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "doc_start", "doc_end", "item_start", "n_equal", "share"])
+                out = pd.DataFrame(rows, columns=["doc_id", "item_id", "doc_start", "doc_end", "item_start", "n_equal", "share"])
+                yield out.assign(item_id=pd.array([r[1] for r in rows], dtype="Int64"))
 
         found = docs.select("doc_id", "text").mapInPandas(match, SCHEMA)
         out = found if out is None else out.unionByName(found)

@@ -185,6 +185,14 @@ def test_short_items_with_replaced_words_are_found(n):
     assert not list(decontamination.overlaps(seeds, [" ".join(item[:9]), " ".join(item[:5] + ["x"] * 4 + item[9:]) if n < 20 else "x"]))
 
 
+def test_items_without_an_id_are_matched(spark):
+    passages = [" ".join(f"p{k}w{i}" for i in range(30)) for k in range(2)]
+    items = spark.createDataFrame([(None, passages[0]), (2**60 + 1, passages[1])], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "a " + passages[0]), (2, passages[1] + " b"), (3, LONG)], "doc_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, items).collect()} == {(1, None), (2, 2**60 + 1)}
+    assert [r.doc_id for r in decontamination.drop_contaminated(docs, items).collect()] == [3]
+
+
 def test_license_phrases(spark, docs, none):
     rows = [(1, "Under CC BY or the GNU General Public License. All rights reserved."), (2, None), (3, "general public")]
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
