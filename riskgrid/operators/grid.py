@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskgrid.functions.geo import bearing_degrees, haversine_km
+from riskgrid.operators.shared import folder, written
 
 #: Neighbour offsets (fixed order).
 OFFSETS8 = ((-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1))
@@ -72,25 +71,15 @@ def component(open_cells: DataFrame, starts: DataFrame, connectivity: int = 8) -
     drops what was seen, and is written to the shared folder.
     """
     spark = open_cells.sparkSession
-    base = _folder(spark, "component")
+    base = folder(spark, "component")
     moves = F.array(*(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in (OFFSETS8 if connectivity == 8 else OFFSETS4)))
     cells = open_cells.select("row", "col").distinct()
     seen = starts.select("search", "row", "col").join(cells, ["row", "col"]).select("search", "row", "col").distinct()
-    frontier, wave = _written(seen, f"{base}/0"), 0
+    frontier, wave = written(seen, f"{base}/0"), 0
     seen = frontier
     while not frontier.isEmpty():
         wave += 1
         step = frontier.select("search", "row", "col", F.explode(moves).alias("m")).select("search", (F.col("row") + F.col("m.dr")).alias("row"), (F.col("col") + F.col("m.dc")).alias("col")).distinct()
-        frontier = _written(step.join(cells, ["row", "col"]).select("search", "row", "col").join(seen, ["search", "row", "col"], "left_anti"), f"{base}/{wave}")
+        frontier = written(step.join(cells, ["row", "col"]).select("search", "row", "col").join(seen, ["search", "row", "col"], "left_anti"), f"{base}/{wave}")
         seen = spark.read.schema(frontier.schema).parquet(*(f"{base}/{k}" for k in range(wave + 1)))
     return seen
-
-
-def _folder(spark, name: str) -> str:
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file:///tmp/riskgrid-shared"
-    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def _written(df: DataFrame, path: str) -> DataFrame:
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)

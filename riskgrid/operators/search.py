@@ -34,8 +34,9 @@ from pyspark.sql import functions as F
 
 from riskgrid.functions.motion import FULL_TURN_HOURS, KNOT_KMH, MICROS_PER_HOUR, OBJECTIVES, Vessel, Weights
 from riskgrid.operators.edges import MAX_GAP_US, MIN_CONFIDENCE, POINTS, cross, edge_series
-from riskgrid.operators.grid import _folder, _written, edges, nodes
+from riskgrid.operators.grid import edges, nodes
 from riskgrid.operators.sample import axis_of
+from riskgrid.operators.shared import folder, written
 
 #: Cells times frames that may travel to every executor (about 100 MB).
 CUBE_CELLS = 3_000_000
@@ -217,13 +218,13 @@ def waves(cube: DataFrame, requests: DataFrame, vessel: Vessel | None = None, ob
     """(goals, labels): the goal's label of each search with its status, and all labels with their parents."""
     spark = cube.sparkSession
     vessel, objectives = vessel or Vessel(), objectives or OBJECTIVES
-    base = _folder(spark, "waves")
+    base = folder(spark, "waves")
     times = axis_of(cube, "frame", "valid_us")
-    links = _written(edge_series(cube, edges(nodes(cube), connectivity), n), f"{base}/edges")
+    links = written(edge_series(cube, edges(nodes(cube), connectivity), n), f"{base}/edges")
     least_km = links.agg(F.min("km")).first()[0] or 0.0
     names = ("time", "risk", "distance", "turn", "uncertainty", "deviation")
     table = spark.createDataFrame([(k, *(getattr(w, x) for x in names), (w.time / vessel.calm_kmh + w.distance / vessel.maximum_kmh) * least_km) for k, w in objectives.items()], "objective string, " + ", ".join(f"w_{x} double" for x in names) + ", step double")
-    wanted = _written(requests.join(F.broadcast(table), "objective"), f"{base}/requests")
+    wanted = written(requests.join(F.broadcast(table), "objective"), f"{base}/requests")
     start_ok = cube.where(F.col("valid_us").isNotNull()).select("frame", "row", "col", "valid_us", "hard")
     k = F.size(F.filter(F.array(*(F.lit(t).cast("long") for t in times)), lambda v: v <= F.col("depart_us"))) - 1
     exact = F.array_contains(F.array(*(F.lit(t).cast("long") for t in times)), F.col("depart_us"))
@@ -232,20 +233,20 @@ def waves(cube: DataFrame, requests: DataFrame, vessel: Vessel | None = None, ob
     state = ["search", "row", "col", "bucket", "dr", "dc"]
     first = wanted.select("search", F.col("r0").alias("row"), F.col("c0").alias("col"), F.lit(0).cast("long").alias("bucket"), F.lit(9).alias("dr"), F.lit(9).alias("dc"), F.lit(0.0).alias("cost"), F.col("depart_us").alias("arrive_us"), F.lit(None).cast("double").alias("heading"), F.lit(None).cast("struct<row:int,col:int,bucket:bigint,dr:int,dc:int>").alias("parent"), F.lit(0.0).alias("km"), F.lit(0.0).alias("hours"), F.lit(True).alias("open"))
     alive = blocked.where("not blocked and outside = 0").select("search")
-    labels = _written(first.join(alive, "search", "left_semi"), f"{base}/0")
+    labels = written(first.join(alive, "search", "left_semi"), f"{base}/0")
     rejected = None
     for wave in range(1, max_waves):
         goal = wanted.select("search", F.col("r1").alias("row"), F.col("c1").alias("col"))
         at_goal = labels.join(goal, ["search", "row", "col"], "left_semi").groupBy("search").agg(F.min("cost").alias("goal_cost"))
         least = labels.where("open").groupBy("search").agg(F.min("cost").alias("m")).join(at_goal, "search", "left").where("goal_cost is null or goal_cost > m")
         batch = labels.where("open").join(least, "search").join(wanted.drop("r0", "c0", "r1", "c1"), "search").where("cost <= m or cost < m + step")
-        batch = _written(batch, f"{base}/batch-{wave}")
+        batch = written(batch, f"{base}/batch-{wave}")
         if batch.isEmpty():
             break
         leaving = batch.select("search", F.col("row").alias("r"), F.col("col").alias("c"), F.col("bucket").alias("b0"), F.col("dr").alias("dr0"), F.col("dc").alias("dc0"), F.col("cost").alias("cost0"), F.col("arrive_us").alias("depart_us"), F.col("heading").alias("heading_before"), F.col("depart_us").alias("begin_us"), "horizon_us", "bucket_us", *(f"w_{x}" for x in names))
         crossed = cross(leaving.join(links, ["r", "c"]), times, vessel, {x: F.col(f"w_{x}") for x in names}, min_confidence, None, max_gap_us, n)
         late = F.col("reject").isNull() & (F.col("arrive_us") - F.col("begin_us") > F.coalesce("horizon_us", F.lit(2**62)))
-        crossed = _written(crossed.withColumn("reject", F.when(late, "coverage").otherwise(F.col("reject"))).drop("points"), f"{base}/crossed-{wave}")
+        crossed = written(crossed.withColumn("reject", F.when(late, "coverage").otherwise(F.col("reject"))).drop("points"), f"{base}/crossed-{wave}")
         count = crossed.where("reject is not null").select("search", "reject").distinct()
         rejected = count if rejected is None else rejected.unionByName(count)
         new = crossed.where("reject is null").select("search", F.col("r2").alias("row"), F.col("c2").alias("col"), F.floor((F.col("arrive_us") - F.col("begin_us")) / F.col("bucket_us")).alias("bucket"), "dr", "dc", (F.col("cost0") + F.col("total_hours")).alias("cost"), "arrive_us", "heading", F.struct(F.col("r").alias("row"), F.col("c").alias("col"), F.col("b0").alias("bucket"), F.col("dr0").alias("dr"), F.col("dc0").alias("dc")).alias("parent"), "km", "hours", F.lit(True).alias("open"))
@@ -254,24 +255,24 @@ def waves(cube: DataFrame, requests: DataFrame, vessel: Vessel | None = None, ob
         # a settled label stays; among open ones the least cost, arrival and parent wins
         order = F.struct("open", "cost", "arrive_us", "parent")
         merged = done.select(*labels.columns).unionByName(new).groupBy(*state).agg(F.min_by(F.struct(*rest), order).alias("v"))
-        labels = _written(merged.select(*state, "v.*").select(*labels.columns), f"{base}/{wave}")
+        labels = written(merged.select(*state, "v.*").select(*labels.columns), f"{base}/{wave}")
     goal = wanted.select("search", F.col("r1").alias("row"), F.col("c1").alias("col"))
     best = labels.join(goal, ["search", "row", "col"], "left_semi").groupBy("search").agg(F.min_by(F.struct("cost", "arrive_us", "row", "col", "bucket", "dr", "dc"), F.struct("cost", "arrive_us")).alias("g"))
     seen = rejected.groupBy("search").agg(F.bool_or(F.col("reject") == "error").alias("bad"), F.bool_or(F.col("reject") == "coverage").alias("outside_window")) if rejected is not None else spark.createDataFrame([], "search string, bad boolean, outside_window boolean")
     status = F.when(F.col("outside") > 0, "error").when(F.col("blocked"), "start blocked").when(F.coalesce("bad", F.lit(False)), "error").when(F.col("g").isNotNull(), "ok").when(F.coalesce("outside_window", F.lit(False)), "no coverage").otherwise("no route")
     goals = wanted.select("search").join(blocked, "search", "left").join(best, "search", "left").join(seen, "search", "left").select("search", status.alias("status"), F.when(status == "ok", F.col("g")).alias("goal"))
-    return _written(goals, f"{base}/goals"), labels
+    return written(goals, f"{base}/goals"), labels
 
 
 def wave_steps(goals: DataFrame, labels: DataFrame) -> DataFrame:
     """Steps of the found routes, walked back from the goals by joins on the parent's state."""
-    base = _folder(goals.sparkSession, "wave-steps")
+    base = folder(goals.sparkSession, "wave-steps")
     keys = ["search", "row", "col", "bucket", "dr", "dc"]
-    at = _written(goals.where("status = 'ok'").select("search", F.col("goal.row"), F.col("goal.col"), F.col("goal.bucket"), F.col("goal.dr"), F.col("goal.dc")).withColumn("back", F.lit(0)), f"{base}/0")
+    at = written(goals.where("status = 'ok'").select("search", F.col("goal.row"), F.col("goal.col"), F.col("goal.bucket"), F.col("goal.dr"), F.col("goal.dc")).withColumn("back", F.lit(0)), f"{base}/0")
     k = 0
     while True:
         here = at.join(labels.select(*keys, "cost", "arrive_us", "parent", "km", "hours"), keys)
-        here = _written(here, f"{base}/step-{k}")
+        here = written(here, f"{base}/step-{k}")
         nxt = here.where("parent is not null").select("search", "parent.row", "parent.col", "parent.bucket", "parent.dr", "parent.dc", (F.col("back") + 1).alias("back"))
         if nxt.isEmpty():
             break

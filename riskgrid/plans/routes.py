@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskgrid.functions.motion import OBJECTIVES
 from riskgrid.operators import grid, layers, routes, search
+from riskgrid.operators.shared import folder, written
 from riskgrid.plans.registry import T0, query
 from riskgrid.sources.cube import analytic_cube, table, table_cube
 
@@ -42,7 +43,7 @@ def route_3obj(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     cube = table_cube(spark, sf_dir)
-    steps = grid._written(search.kernels(cube, requests(spark, sf_dir)).where("status = 'ok'"), grid._folder(spark, "routes") + "/steps")
+    steps = written(search.kernels(cube, requests(spark, sf_dir)).where("status = 'ok'"), folder(spark, "routes") + "/steps")
     return steps, cube
 
 

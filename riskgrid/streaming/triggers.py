@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from riskgrid.operators.grid import _folder
+from riskgrid.operators.shared import folder
 from riskgrid.operators.replan import DECISIONS, OBSERVATION, Baseline, Policy, state_dict, step
 
 STATE = "at_us bigint, valid_us bigint, data_revision bigint, risk_revision string, avg_risk double, max_risk double, event string, latched boolean, generation bigint"
@@ -45,7 +45,7 @@ def stream_triggers(observations: DataFrame, policy: Policy | None = None, files
     batch once, and the checkpoint lets a lost driver go on.
     """
     spark = observations.sparkSession
-    base = _folder(spark, "stream")
+    base = folder(spark, "stream")
     wanted = observations.select(*OBSERVATION)
     if files == 1:
         wanted.write.parquet(f"{base}/in")
