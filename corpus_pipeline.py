@@ -19,13 +19,13 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs, read(spark, sf_dir, "labels").where(F.col("quality") == 1))
 
 
-def clean_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below the threshold."""
     return toxicity.drop_toxic(docs, read(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, Jaccard similarity 0.8 or more."""
+    """One document of each group of near-duplicates: SimHash tries find them, five-word shingles of Jaccard similarity 0.8 or more settle it."""
     return simhash.one_of_each(docs, near_copies.near_copies(docs))
 
 
@@ -41,7 +41,7 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality rules", quality),
-    ("toxicity", clean_language),
+    ("toxicity", not_toxic),
     ("near duplicates", near_dedup),
     ("decontamination", decontaminate),
     ("sentence pieces", tokenize),

@@ -3,21 +3,22 @@
 Both classifiers of this subpackage are made here. A text becomes the set of
 its hashed n-grams (indicators, not counts). For every feature the log of the
 ratio of its smoothed share among positive and negative training rows gives
-``r``; a row is ``r`` on its features, divided by its length in the Euclidean
-norm. A linear model with hinge loss is fitted to these rows by dual
+``r`` (drawn towards 0 by some standard errors, if asked); a row is ``r`` on its
+features, divided by its length in the Euclidean norm. A linear model with hinge loss is fitted to these rows by dual
 coordinate descent, one dual variable at a time, each kept in [0, C]. The
 margin becomes a score in 0..1 by a logistic curve fitted on training rows
 that the model did not see.
 
 The fit takes at most ``limit`` labelled rows (those with the smallest hash of
 their id, so the choice does not depend on partitioning), and collects their
-feature sets, a few kB each, to the driver. Scoring covers every row, in one
-pass without a shuffle; it carries the weights (8 bytes for each hashed
-feature, 8 MB at 20 bits) to the executors.
+feature sets, packed to about a byte for each feature, to the driver. Scoring
+covers every row, in one pass without a shuffle; it carries the weights (8
+bytes for each hashed feature, 8 MB at 20 bits) to the executors.
 
 Defined cases: a null text counts as empty; an empty text has only the bias
 feature and gets a score as any other; rows without a label, or with a null
-id, never train; repeated ids train once per row; no labelled rows at all, or
+id, never train; of several labels of one id the greatest counts; repeated ids
+train once per row; no labelled rows at all, or
 one class only, give the same constant score for every row (the share of label
 1, or 0.5 when there is no label).
 """
@@ -33,19 +34,25 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgrid.llm.common import semi_by_id
+from riskgrid.llm.common import Columns, by_rows, semi_by_id
 
 #: 64-bit odd multiplier (2**64 / golden ratio) for multiplicative hashing.
 GOLDEN = 0x9E3779B97F4A7C15
 
 
+#: Odd base of the rolling hash of code points.
+BASE = 0x5851F42D4C957F2D
+
+
 @dataclass(frozen=True)
 class Features:
     """What indicators are taken from a text.
 
-    orders: lengths of the byte n-grams. bits: log2 of the number of hashed
-    features. lower: fold A-Z first. runs: add word n-grams that repeat one
-    word (two to ``runs`` times in a row); 0 leaves them out.
+    orders: lengths of the n-grams of characters (code points; a space stands
+    before and after the text). bits: log2 of the number of hashed features.
+    lower: fold the case of all letters first. runs: add one more kind of
+    n-gram, a word two to ``runs`` times in a row (whatever the word): an
+    indicator for each length that occurs; 0 leaves them out.
     """
 
     orders: tuple[int, ...]
@@ -62,22 +69,25 @@ class Features:
 
         seen: an all-false array of ``size``; left all false.
         """
-        raw = (text or "").encode("utf-8", "replace")
+        text = text or ""
         if self.lower:
-            raw = raw.lower()
-        code = np.frombuffer(b" " + raw + b" ", np.uint8).astype(np.uint64)
+            text = text.lower()
+        code = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         shift = np.uint64(64 - self.bits)
         used = [np.array([self.size - 1])]
         for n in self.orders:
-            if len(code) < n or not raw:
+            if len(code) < n or not text:
                 continue
             gram = code[: len(code) - n + 1].copy()
             for k in range(1, n):
-                gram = (gram << np.uint64(8)) | code[k : len(code) - n + 1 + k]
+                gram *= np.uint64(BASE)
+                gram += code[k : len(code) - n + 1 + k]
             used.append((((gram + np.uint64(n * GOLDEN % 2**64)) * np.uint64(GOLDEN)) >> shift).astype(np.int64))
         if self.runs:
-            longest = longest_run(raw.split())
+            longest = longest_run(text.split())
             used.append((1 << self.bits) + np.arange(min(longest, self.runs + 1) - 1))
+        if sum(map(len, used)) < 2048:  # sorting is cheaper than a pass over all flags
+            return np.unique(np.concatenate(used))
         for x in used:
             seen[x] = True
         out = np.flatnonzero(seen)
@@ -85,7 +95,7 @@ class Features:
         return out
 
 
-def longest_run(words: list[bytes]) -> int:
+def longest_run(words: list[str]) -> int:
     """Most times that one word stands in a row (1 if none repeats, or no word)."""
     best = now = 1
     before = None
@@ -123,11 +133,19 @@ class Model:
         return 1.0 / (1.0 + np.exp(-np.clip(self.slope * margin + self.offset, -60, 60)))
 
 
-def log_count_ratio(rows: list[np.ndarray], y: np.ndarray, size: int, alpha: float = 1.0) -> np.ndarray:
+def log_count_ratio(rows: Iterable[np.ndarray], y: np.ndarray, size: int, errors: float = 0.0, alpha: float = 1.0) -> np.ndarray:
+    """Log of the ratio of a feature's smoothed share of rows of label 1 and of label 0.
+
+    Every ratio is drawn towards 0 by ``errors`` times its standard error
+    sqrt(1 / p + 1 / q), and to 0 at most: a ratio that chance explains
+    counts for nothing.
+    """
     p, q = np.full(size, alpha), np.full(size, alpha)
     for x, positive in zip(rows, y, strict=True):
         (p if positive else q)[x] += 1
-    return np.log((p / p.sum()) / (q / q.sum()))
+    n1 = float(np.sum(y))
+    ratio = np.log(p / (n1 + 2 * alpha)) - np.log(q / (len(y) - n1 + 2 * alpha))
+    return np.sign(ratio) * np.maximum(0.0, np.abs(ratio) - errors * np.sqrt(1 / p + 1 / q))
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], ratio: np.ndarray, y: np.ndarray, c: float, epochs: int, seed: int = 0) -> np.ndarray:
@@ -178,8 +196,12 @@ def logistic_curve(margin: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple
     return float(a), float(b)
 
 
-def fit(features: Features, rows: list[np.ndarray], y: np.ndarray, c: float = 1.0, epochs: int = 30) -> Model:
-    """Every fifth row calibrates the curve, the others fit the weights."""
+def fit(features: Features, rows: list[bytes], y: np.ndarray, errors: float = 0.0, c: float = 1.0, epochs: int = 30) -> Model:
+    """Every fifth row calibrates the curve, the others fit the weights.
+
+    Rows come packed and are unpacked one at a time; what is kept of a row are
+    its features whose ratio is not 0.
+    """
     y = np.asarray(y, dtype=np.int64)
     keep = np.arange(len(y)) % 5 != 4
     if len(y) == 0 or y.min() == y.max() or len(set(y[keep])) < 2:
@@ -187,14 +209,13 @@ def fit(features: Features, rows: list[np.ndarray], y: np.ndarray, c: float = 1.
         share = min(max(share, 1e-6), 1 - 1e-6)
         none = np.zeros(features.size, np.float32)
         return Model(features, none, none, 1.0, float(np.log(share / (1 - share))))
-    kept, known = [r for r, k in zip(rows, keep, strict=True) if k], y[keep]
-    ratio = log_count_ratio(kept, known, features.size)
-    scaled = dual_coordinate_descent(kept, ratio, known, c, epochs)
+    ratio = log_count_ratio((unpacked(r) for r, k in zip(rows, keep, strict=True) if k), y[keep], features.size, errors)
+    told = ratio != 0
+    own = [x[told[x]] for x in map(unpacked, rows)]
+    scaled = dual_coordinate_descent([x for x, k in zip(own, keep, strict=True) if k], ratio, y[keep], c, epochs)
     raw = Model(features, scaled.astype(np.float32), (ratio * ratio).astype(np.float32), 1.0, 0.0)
-    held = [(r, v) for r, v, k in zip(rows, y, keep, strict=True) if not k]
-    if len({v for _, v in held}) < 2:
-        held = list(zip(rows, y, strict=True))
-    slope, offset = logistic_curve(np.array([raw.margin(r) for r, _ in held]), np.array([v for _, v in held]))
+    held = ~keep if len(set(y[~keep])) == 2 else np.ones(len(y), bool)
+    slope, offset = logistic_curve(np.array([raw.margin(x) for x, h in zip(own, held, strict=True) if h]), y[held])
     return replace(raw, slope=slope, offset=offset)
 
 
@@ -207,24 +228,28 @@ def unpacked(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zlib.decompress(data), "<i4"), dtype=np.int32)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, features: Features, limit: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Feature sets and labels of at most ``limit`` labelled rows, in an order fixed by the ids."""
-    ids = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("y")).dropDuplicates(["doc_id"])
+def training_rows(docs: DataFrame, labels: DataFrame, label: str, features: Features, limit: int) -> tuple[list[bytes], np.ndarray]:
+    """Packed feature sets and labels of at most ``limit`` labelled rows, in an order fixed by the ids and features."""
+    told = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull())
+    ids = told.groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias("y"))
     picked = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).collect()
     if not picked:
         return [], np.zeros(0, int)
     y = {r.doc_id: r.y for r in picked}
     ids = docs.sparkSession.createDataFrame([(k,) for k in y], "doc_id bigint")
 
-    def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         seen = np.zeros(features.size, bool)
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "x": [packed(features.of(t, seen)) for t in pdf["text"]]})
 
-    found = semi_by_id(docs.select("doc_id", "text"), ids).mapInPandas(take, "doc_id bigint, x binary").collect()
+        def take(rows: Columns) -> Iterator[dict]:
+            yield {"doc_id": rows["doc_id"], "x": [packed(features.of(t, seen)) for t in rows["text"]]}
+
+        return take
+
+    found = by_rows(semi_by_id(docs.select("doc_id", "text"), ids), make, "doc_id bigint, x binary").collect()
     found.sort(key=lambda r: (r.doc_id, bytes(r.x)))
     order = np.random.default_rng(0).permutation(len(found))
-    return [unpacked(found[i].x) for i in order], np.array([y[found[i].doc_id] for i in order], dtype=int)
+    return [bytes(found[i].x) for i in order], np.array([y[found[i].doc_id] for i in order], dtype=int)
 
 
 def score_column(spark: SparkSession, model: Model, text: str = "text") -> Column:

@@ -1,120 +1,212 @@
-"""Near copies by MinHash bands and an exact Jaccard check.
+"""Near copies of whole texts: SimHash tries find them, their shingles settle it.
 
 A text is the set of its shingles of ``SHINGLE`` words (ASCII case folded).
-Equal sets collapse first. The others meet in buckets of equal bands of
-``ROWS`` minima each; pairs of a bucket are checked on the texts themselves
-and linked if the Jaccard similarity of their sets is at least ``SIMILARITY``.
-A pair at 0.8 shares one of 20 bands of five with probability 0.9996.
-
-Links are sought in two rounds: every member of a bucket with its smallest,
-then, where the two are not in one component yet, all pairs of buckets of up to
-``WHOLE`` members. In a larger bucket only neighbours in an order of its own
-are paired, so a group of copies costs in proportion to its size; a member of
-such a group that is similar to few of it may stay apart. Components are joined over all links.
+Equal sets collapse first. Of every other set a fingerprint of ``TRIES`` words
+of 64 bits is taken, a bit being set where more than half of the set's hashes
+have it. Two sets of Jaccard similarity 0.8 differ in 15 % of the bits, so one
+budget over a whole word would have to be so wide that no trie prunes: each
+word has a trie of its own, joined with itself under a budget that is narrow
+for the first ``NARROW`` bits (``BUDGETS``). A pair at 0.8 passes one of them
+with probability 0.26, one of all with 0.99; unlike pairs do with 2e-8.
+
+A pair found is a link if its sets' similarity is ``SIMILARITY`` or more,
+counted on 32-bit hashes of the shingles. Links are sought in three rounds, so
+that a group of near copies costs in proportion to its size: in ``FIRST`` of
+the tries every found component is checked against its smallest member; then
+in all tries, of any two parts that are still apart and meet, one pair at a
+time; at last all pairs that are found and still apart. Only this one leaves
+nothing out; the others spare it the inside of groups.
 
 Defined cases: a null or empty text, or one of white space only, has the empty
-set; fewer words than a shingle make one shingle; a null id never names a
-component, and a component of null ids only has a null id.
+set, and these are copies of each other; fewer words than a shingle make one
+shingle; repeated rows are copies; very long texts are taken whole; a null id
+never names a component, and a component of null ids only has a null id; an
+empty table gives no rows; extra columns are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import Any, Tuple  # noqa: UP035
+
 import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskgrid.llm.common import frozen, semi_by_id
+from riskgrid.llm.common import Columns, by_rows, frozen, semi_by_id
 from riskgrid.llm.components import components
+from riskgrid.llm.simhash import Forest, dealt, node_pairs, sides
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 20, 5
-#: Members of a bucket of which all pairs are checked, and neighbours beyond that.
-WHOLE, NEAR = 32, 2
+TRIES, FIRST = 16, 3
+NARROW = 24
+#: Differing bits by depth: 2 in the first 24, then one more every four bits.
+BUDGETS = tuple(2 if d <= NARROW else 2 + (d - NARROW) // 4 for d in range(65))
+#: Words that share a task, and the depth at which tries are cut at most.
+LEAVES, BITS = 1 << 18, 10
+#: Differing bits of all words beyond which no similar pair lies: its mean and five standard errors.
+FAR = 213
 
-_DRAWN = np.random.default_rng(20).integers(0, 2**64, (2, BANDS * ROWS), np.uint64)
-_XOR, _ODD = _DRAWN[0], _DRAWN[1] | np.uint64(1)
+_ODD = np.random.default_rng(20).integers(0, 2**63, TRIES, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of the shingles of a whole text."""
+    """Sorted distinct 64-bit hashes of the shingles of a whole text."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
     grams = map(b" ".join, zip(*(words[k:] for k in range(min(size, len(words)))), strict=False))
-    return np.unique(np.frombuffer(b"".join(map(xxhash.xxh64_digest, grams)), np.uint64))
-
-
-def bands(own: np.ndarray) -> list[int]:
-    """A hash of each band of minima."""
-    least = np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for a in range(0, len(own), 1 << 12):
-        least = np.minimum(least, ((own[a : a + (1 << 12), None] ^ _XOR) * _ODD).min(axis=0))
-    return [xxhash.xxh64_intdigest(row.tobytes(), k) - 2**63 for k, row in enumerate(least.reshape(BANDS, ROWS))]
-
-
-def key_of(own: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(own.tobytes()) - 2**63
-
-
-def similar(x: str | None, y: str | None) -> bool:
-    s, t = shingles(x), shingles(y)
-    both = len(np.intersect1d(s, t, assume_unique=True))
-    return both >= SIMILARITY * (len(s) + len(t) - both)
-
-
-def _keyed(text: str) -> Column:
-    @F.pandas_udf("bigint")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([key_of(shingles(t)) for t in texts], dtype="int64")
-
-    return of(F.col(text))
-
-
-def _printed(text: str) -> Column:
-    @F.pandas_udf("key bigint, bands array<bigint>")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingles(t) for t in texts]
-        return pd.DataFrame({"key": [key_of(s) for s in sets], "bands": [bands(s) for s in sets]})
-
-    return of(F.col(text))
+    return np.unique(np.frombuffer(b"".join(map(xxhash.xxh64_digest, grams)), ">u8").astype(np.uint64))
+
+
+def fingerprint(own: np.ndarray) -> np.ndarray:
+    """TRIES words of 64 bits of a set of hashes."""
+    ones = np.zeros(64 * TRIES, np.int64)
+    for a in range(0, len(own), 1 << 11):
+        mixed = own[a : a + (1 << 11), None] * _ODD
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+        ones += np.unpackbits(mixed.view(np.uint8), axis=1).sum(axis=0, dtype=np.int32)
+    return np.packbits(2 * ones > len(own)).view(">u8").astype(np.uint64)
+
+
+def _prints(docs: DataFrame) -> DataFrame:
+    """doc_id, key (hash of the set), words of the fingerprint, and the set in 32-bit hashes."""
+
+    def make():
+        def work(rows: Columns) -> Iterator[dict]:
+            sets = [shingles(t) for t in rows["text"]]
+            yield {
+                "doc_id": rows["doc_id"],
+                "key": [xxhash.xxh64_intdigest(s.tobytes()) - 2**63 for s in sets],
+                "words": [fingerprint(s).view(np.int64) for s in sets],
+                "hashes": [np.unique(s.astype(np.uint32)).view(np.int32) for s in sets],
+            }
+
+        return work
+
+    return by_rows(docs.select("doc_id", "text"), make, "doc_id bigint, key bigint, words array<bigint>, hashes array<int>")
+
+
+def _same(pdf: pd.DataFrame) -> Forest:
+    """Rows of one root as linked already."""
+    forest = Forest(len(pdf))
+    root = pdf["root"].to_numpy()
+    order = np.argsort(root, kind="stable")
+    equal = root[order][1:] == root[order][:-1]
+    forest.link(order[:-1][equal], order[1:][equal])
+    return forest
+
+
+def _pairs(tries: DataFrame, kind: str) -> DataFrame:
+    """Pairs (u, v) of keys that meet in ``tries`` (trie, fp, key, root) and are not of one root.
+
+    kind: ``stars`` links every key with the smallest position of all that
+    meet, directly or not; ``parts`` gives one pair of any two roots that
+    meet in a chunk and takes them for one from there; ``all`` gives every pair.
+    """
+    spark = tries.sparkSession
+    rows, tasks = dealt(tries, BUDGETS, LEAVES, BITS, 1)
+    if not tasks:
+        return spark.createDataFrame([], "u bigint, v bigint")
+    shared = spark.sparkContext.broadcast(tasks)
+
+    def found(key: Tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        depth, error = shared.value[key[0]]
+        pdf, cut = sides(batches)
+        words, keys = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["key"].to_numpy(np.int64)
+        forest = _same(pdf)
+
+        def joined(bounds: tuple[np.ndarray, ...]) -> np.ndarray:
+            a, b, p, q = bounds
+            run, label = forest.run, forest.label
+            return (run[a] == run[b - 1]) & (run[p] == run[q - 1]) & (label[a] == label[p])
+
+        def meeting() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """Equal words of a side first, each with the first of them, then the tries' leaves."""
+            same = np.r_[True, words[1:] != words[:-1]]
+            same[cut if cut < len(words) else 0] = True
+            begin, run = np.flatnonzero(same), np.cumsum(same) - 1
+            rest = np.flatnonzero(~same)
+            if kind != "all":
+                yield begin[run[rest]], rest
+                yield from node_pairs(words, cut, depth, error, BUDGETS, joined)
+                return
+            size = np.diff(np.r_[begin, len(words)])
+            for k in np.flatnonzero(size > 1):
+                own = np.arange(begin[k], begin[k] + size[k])
+                for i in own[:-1]:
+                    yield np.full(own[-1] - i, i), np.arange(i + 1, own[-1] + 1)
+            for i, j in node_pairs(words, cut, depth, error, BUDGETS, joined):
+                one = (size[run[i]] == 1) & (size[run[j]] == 1)
+                yield i[one], j[one]
+                for x, y in zip(i[~one], j[~one], strict=True):
+                    for z in range(x, x + size[run[x]]):
+                        yield np.full(size[run[y]], z), np.arange(y, y + size[run[y]])
+
+        for i, j in meeting():
+            label = forest.label
+            apart = label[i] != label[j]
+            i, j = i[apart], j[apart]
+            if kind == "parts" and len(i):
+                a, b = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
+                _, once = np.unique(a * len(words) + b, return_index=True)
+                i, j = i[once], j[once]
+            if kind != "all":
+                forest.link(i, j)
+            if kind != "stars" and len(i):
+                yield pd.DataFrame({"u": np.minimum(keys[i], keys[j]), "v": np.maximum(keys[i], keys[j])})
+        if kind == "stars":
+            moved = np.flatnonzero(forest.label != np.arange(len(words)))
+            yield pd.DataFrame({"u": keys[moved], "v": keys[forest.label[moved]]})
+
+    return rows.select("fp", "key", "root", "side", "task").groupBy("task").applyInPandas(found, "u bigint, v bigint").where("u <> v")
 
 
 def _similar(a: str, b: str) -> Column:
-    @F.pandas_udf("boolean")
-    def of(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([similar(p, q) for p, q in zip(x, y, strict=True)], dtype=bool)
+    both = F.size(F.array_intersect(a, b))
+    return both >= SIMILARITY * (F.size(a) + F.size(b) - both)
+
 
-    return of(F.col(a), F.col(b))
+def _checked(pairs: DataFrame, prints: DataFrame, name: str) -> DataFrame:
+    """The pairs whose sets are similar enough: far fingerprints go first, on small rows; then the sets meet."""
+    pairs = frozen(pairs.distinct(), f"{name}-met")
 
+    def with_both(pairs: DataFrame, column: str) -> DataFrame:
+        """The pairs with a column of both keys; only rows of keys that stand in a pair move."""
+        found = pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key")))
+        own = semi_by_id(prints.select("key", column), found, "key").groupBy("key").agg(F.first(column).alias(column))
+        for side in ("u", "v"):
+            pairs = pairs.join(own.select(F.col("key").alias(side), F.col(column).alias(f"of_{side}")), side)
+        return pairs
 
-def _checked(pairs: DataFrame, texts: DataFrame, name: str) -> DataFrame:
-    a, b = texts.select(F.col("key").alias("u"), F.col("text").alias("a")), texts.select(F.col("key").alias("v"), F.col("text").alias("b"))
-    return frozen(pairs.join(a, "u").join(b, "v").where(_similar("a", "b")).select("u", "v"), name)
+    apart = F.aggregate(F.zip_with("of_u", "of_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, n: a + n)
+    pairs = frozen(with_both(pairs, "words").where(apart <= FAR).select("u", "v"), f"{name}-near")
+    return frozen(with_both(pairs, "hashes").where(_similar("of_u", "of_v")).select("u", "v"), name)
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
     """doc_id and component_id (smallest id reachable) of every row."""
-    prints = frozen(docs.select("doc_id", _printed("text").alias("p")).select("doc_id", "p.*"), "near-prints")
-    distinct = frozen(prints.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "near-distinct")
-    buckets = distinct.select("key", F.explode("bands").alias("bucket")).groupBy("bucket").agg(F.collect_set("key").alias("ks")).where("size(ks) > 1")
-    buckets = frozen(buckets, "near-buckets")
-    found = buckets.select(F.explode("ks").alias("key")).distinct()
-    rows = docs.select("doc_id", "text").withColumn("key", _keyed("text"))
-    texts = frozen(semi_by_id(rows, found, "key").groupBy("key").agg(F.first("text").alias("text")), "near-texts")
-    first = buckets.select(F.array_min("ks").alias("u"), F.explode("ks").alias("v")).where("u <> v").distinct()
-    links = _checked(first, texts, "near-links")
-    roots = frozen(components(links, "near-components"), "near-roots")
-    ordered = F.expr("transform(array_sort(transform(ks, k -> struct(xxhash64(k, bucket) as o, k as k))), x -> x.k)")
-    reach = f"least(size(ks) - 1, if(size(ks) <= {WHOLE}, {WHOLE}, {NEAR}))"
-    pairs = buckets.select(ordered.alias("ks")).select(F.explode(F.expr(f"flatten(transform(sequence(1, {reach}), d -> transform(sequence(0, size(ks) - 1 - d), i -> struct(least(ks[i], ks[i + d]) as u, greatest(ks[i], ks[i + d]) as v))))")).alias("p")).select("p.*").distinct()
-    for side in ("u", "v"):
-        pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias(f"root_{side}")), side, "left")
-    open_ = pairs.where("coalesce(root_u, u) <> coalesce(root_v, v)").select("u", "v").join(first, ["u", "v"], "left_anti")
-    links = links.unionByName(_checked(open_, texts, "near-more-links"))
-    roots = components(links, "near-all-components")
-    rooted = distinct.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("key", "component_id")
+    prints = frozen(_prints(docs), "near-prints")
+    distinct = frozen(prints.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("words").alias("words")), "near-distinct")
+
+    def tries(roots: DataFrame | None, first: int = TRIES) -> DataFrame:
+        rows = distinct.withColumn("root", F.col("key"))
+        if roots is not None:
+            rows = distinct.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        return rows.select("key", "root", F.posexplode(F.slice("words", 1, first)).alias("trie", "fp")).select("trie", "fp", "key", "root")
+
+    # components of what meets in the first tries, each member with the smallest
+    met = components(_pairs(tries(None, FIRST), "stars"), "near-met")
+    links = _checked(met.select(F.col("node").alias("u"), F.col("root").alias("v")), prints, "near-stars")
+    for kind in ("parts", "all"):
+        roots = components(links, f"near-{kind}-roots")
+        links = links.unionByName(_checked(_pairs(tries(roots), kind), prints, f"near-{kind}"))
+    roots = components(links, "near-components")
+    named = distinct.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
+    named = named.join(named.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("key", "component_id")
     return prints.select("doc_id", "key").join(named, "key").select("doc_id", "component_id")

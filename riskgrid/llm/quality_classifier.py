@@ -1,4 +1,4 @@
-"""Quality classifier: naive Bayes support vectors on byte n-grams and word runs."""
+"""Quality classifier: naive Bayes support vectors on character n-grams and repeated-word n-grams."""
 
 from __future__ import annotations
 

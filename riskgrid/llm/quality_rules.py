@@ -27,7 +27,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskgrid.llm.common import BROADCAST_IDS, frozen
+from riskgrid.llm.common import frozen, perhaps_broadcast
 
 BUCKETS = 10_000
 #: Mean log ratio for each n-gram below which a text goes.
@@ -62,12 +62,10 @@ def fit(docs: DataFrame, trusted: DataFrame) -> list[int]:
     copies.
     """
     ids = trusted.select("doc_id").where(F.col("doc_id").isNotNull()).distinct().withColumn("__rg_t", F.lit(1))
-    small = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    flagged = docs.select("doc_id", "text").join(F.broadcast(ids) if small else ids, "doc_id", "left")
+    flagged = docs.select("doc_id", "text").join(perhaps_broadcast(ids), "doc_id", "left")
     flagged = flagged.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.coalesce("__rg_t", F.lit(0)).alias("t"), "text")
     copied = frozen(flagged.groupBy("h").agg(F.count("*").alias("n"), F.max("t").alias("any_t")).where("n > 1"), "quality-copies")
-    few = copied.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    once = flagged.join(F.broadcast(copied) if few else copied, "h", "left")
+    once = flagged.join(perhaps_broadcast(copied, 48), "h", "left")
     share = F.when(F.col("n").isNull(), F.lit(UNIT)).otherwise(F.round(UNIT / F.col("n"))).cast("long")
     grams = once.select(share.alias("s"), F.coalesce("any_t", "t").alias("t"), words_of(F.col("text")).alias("w")).select("s", "t", F.explode(F.expr(_grams("w"))).alias("g"))
     counts = grams.groupBy("g").agg(F.sum("s").alias("raw"), F.sum(F.col("s") * F.col("t")).alias("target")).collect()

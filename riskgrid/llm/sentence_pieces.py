@@ -17,8 +17,8 @@ Characters that no piece has become their UTF-8 bytes. Decoding is the
 library's.
 
 Defined cases: a null text counts as empty; an empty text has only the end id
-and decodes to an empty text; repeated rows are encoded each time; extra
-columns are not read.
+and decodes to an empty text; repeated rows are encoded each time; ids of any
+size stay exact, and a null id stays null; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -28,11 +28,12 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Entries of a worker's table of words, and the longest word in it.
-KNOWN, LONGEST = 600_000, 48
+from riskgrid.llm.common import Columns, by_rows
+
+#: Entries of a worker's table of words, and the longest word in it: about 30 MB.
+KNOWN, LONGEST = 150_000, 48
 MARK = "▁"
 _NONE = np.int64(1) << 40
 
@@ -189,19 +190,21 @@ def encoded(docs: DataFrame, model: str, with_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and (with_ids) ids and decoded text of every row; an end id closes each text."""
     fields = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + (", ids array<int>, decoded string" if with_ids else "")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         own = pieces(model)
         end = own.library.eos_id()
-        for pdf in batches:
-            texts = [t or "" for t in pdf["text"]]
-            for a in range(0, len(texts), 256):
-                rows = []
-                for ids in own.encode(texts[a : a + 256]):
-                    ids = [*ids.tolist(), end]
-                    text = own.decode(ids)
-                    rows.append((len(ids), hashlib.sha256(" ".join(map(own.text.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest(), ids, text))
-                out = pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"])
-                out.insert(0, "doc_id", pdf["doc_id"].iloc[a : a + 256].astype("Int64").values)
-                yield out if with_ids else out.drop(columns=["ids", "decoded"])
-
-    return docs.select("doc_id", "text").mapInPandas(run, fields)
+
+        def work(rows: Columns) -> Iterator[dict]:
+            ids = [[*x.tolist(), end] for x in own.encode([t or "" for t in rows["text"]])]
+            texts = [own.decode(x) for x in ids]
+            out = {
+                "doc_id": rows["doc_id"],
+                "n_tokens": [len(x) for x in ids],
+                "ids_sha256": [hashlib.sha256(" ".join(map(own.text.__getitem__, x)).encode()).hexdigest() for x in ids],
+                "decoded_sha256": [hashlib.sha256(t.encode()).hexdigest() for t in texts],
+            }
+            yield out | ({"ids": ids, "decoded": texts} if with_ids else {})
+
+        return work
+
+    return by_rows(docs.select("doc_id", "text"), make, fields)

@@ -12,9 +12,9 @@ all in one component already is not followed, so a group of copies costs no
 more than its size, and at most one link for each leaf leaves the task. The
 links are joined to components over all tasks by star operations.
 
-A subtree holds at most about ``LEAVES`` fingerprints unless more share the
-first ``TOP_BITS`` bits; with ever more fingerprints it grows so that the top
-stays small.
+A subtree holds at most about ``LEAVES`` fingerprints; where more share the
+first ``TOP_BITS`` bits they are cut into parts that are joined with each
+other. With ever more fingerprints a subtree grows so that the top stays small.
 
 Defined cases: a null or empty text, or one of white space only, has
 fingerprint zero and is linked as any other; fewer words than a shingle make
@@ -24,7 +24,9 @@ component, and a component of null ids only has a null id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+
+from typing import Any, Tuple  # noqa: UP035
 
 import numpy as np
 import pandas as pd
@@ -32,16 +34,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskgrid.llm.common import BROADCAST_IDS, frozen
+from riskgrid.llm.common import frozen, perhaps_broadcast
 from riskgrid.llm.components import components
 
 SHINGLE = 3
 BUDGET = 3
 LEAVES = 1 << 16
 #: Depth at which subtrees become tasks at least, and at most.
-MIN_BITS, TOP_BITS = 4, 16
+MIN_BITS, TOP_BITS = 2, 16
 #: Node pairs that are followed at a time.
 CHUNK = 1 << 18
+#: Most differing bits of a pair of nodes, by their depth 0 to 64.
+Budgets = tuple[int, ...]
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -68,45 +72,88 @@ def fingerprint_column(text: str = "text", shingle: int = SHINGLE) -> Column:
     return of(F.col(text))
 
 
-def top_pairs(counts: dict[int, int], budget: int, leaves: int) -> list[tuple[int, int, int, int, int]]:
-    """(prefix a, depth a, prefix b, depth b, error) of the subtrees to join; ``counts`` by the first TOP_BITS bits."""
+def top_pairs(counts: dict[int, int], budgets: Budgets, leaves: int, bits: int = TOP_BITS, least_bits: int = MIN_BITS) -> list[tuple[int, int, int, int, int]]:
+    """(prefix a, depth a, prefix b, depth b, error) of the subtrees to join; ``counts`` by the first ``bits`` bits."""
     levels = [counts]
-    for _ in range(TOP_BITS):
+    for _ in range(bits):
         up: dict[int, int] = {}
         for k, n in levels[-1].items():
             up[k >> 1] = up.get(k >> 1, 0) + n
         levels.append(up)
     levels.reverse()  # levels[d]: node counts at depth d
 
-    def split(p: int, d: int) -> list[tuple[int, int, int]]:
-        """The node, or its children if it is too large; with the bit of the step (-1: none)."""
-        if d < TOP_BITS and (d < MIN_BITS or levels[d][p] > leaves):
-            return [(q, d + 1, q & 1) for q in (2 * p, 2 * p + 1) if q in levels[d + 1]]
-        return [(p, d, -1)]
+    def split(p: int, d: int) -> list[tuple[int, int]]:
+        """The node, or its children if it is too large."""
+        if d < bits and (d < least_bits or levels[d][p] > leaves):
+            return [(q, d + 1) for q in (2 * p, 2 * p + 1) if q in levels[d + 1]]
+        return [(p, d)]
 
     out, stack = [], [(0, 0, 0, 0, 0)] if counts else []
     while stack:
         p, dp, q, dq, error = stack.pop()
-        if dp < dq:
-            a, b = split(p, dp), [(q, dq, -1)]
-        elif dq < dp:
-            a, b = [(p, dp, -1)], split(q, dq)
-        else:
-            a, b = split(p, dp), split(q, dq)
-        if a == [(p, dp, -1)] and b == [(q, dq, -1)]:
+        a = split(p, dp) if dp <= dq else [(p, dp)]
+        b = split(q, dq) if dq <= dp else [(q, dq)]
+        if a == [(p, dp)] and b == [(q, dq)]:
             out.append((p, dp, q, dq, error))
             continue
-        for i, (x, dx, _) in enumerate(a):
-            for j, (y, dy, _) in enumerate(b):
-                if p == q and dp == dq and j < i:
-                    continue
+        for i, (x, dx) in enumerate(a):
+            for y, dy in b[i:] if p == q and dp == dq else b:
                 d = min(dx, dy)
                 e = (x >> (dx - d) ^ y >> (dy - d)).bit_count()
-                if e <= budget:
+                if e <= budgets[d]:
                     stack.append((x, dx, y, dy, e))
     return out
 
 
+def dealt(rows: DataFrame, budgets: Budgets, leaves: int = LEAVES, bits: int = TOP_BITS, least_bits: int = MIN_BITS) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """``rows`` (trie, fp, and more) dealt to the tasks of pairs of subtrees of each trie, with ``task`` and ``side`` (0 or 1); and the depth and error of each task.
+
+    Subtrees have about ``leaves`` rows at most. One that has more within the
+    first ``bits`` bits is cut into parts by a hash, and the parts are joined
+    with each other, so no task grows with a group of like fingerprints. The
+    subtrees are a few thousand whatever the input: ``leaves`` grows with it
+    beyond that.
+    """
+    spark = rows.sparkSession
+    prefix = F.shiftrightunsigned("fp", 64 - bits)
+    counts: dict[int, dict[int, int]] = {}
+    for r in rows.groupBy("trie", prefix.alias("p")).agg(F.count("*").alias("n")).collect():
+        counts.setdefault(r.trie, {})[r.p] = r.n
+    leaves = max(leaves, sum(sum(c.values()) for c in counts.values()) // 4096)
+    tasks: list[tuple[int, int]] = []
+    where = []
+    for trie, own in counts.items():
+        of: dict[tuple[int, int], list[list[int]]] = {}  # by subtree and part: task and side in one number
+
+        def parts(p: int, d: int, own=own, of=of) -> list[list[int]]:
+            if (p, d) not in of:
+                of[p, d] = [[] for _ in range(-(-own[p] // (2 * leaves)) if d == bits else 1)]
+            return of[p, d]
+
+        for p, dp, q, dq, error in top_pairs(own, budgets, leaves, bits, least_bits):
+            left, right, alone = parts(p, dp), parts(q, dq), (p, dp) == (q, dq)
+            for i in range(len(left)):
+                for j in range(i if alone else 0, len(right)):
+                    left[i].append(2 * len(tasks))
+                    if not alone or i != j:
+                        right[j].append(2 * len(tasks) + 1)
+                    # sides of unequal depth agree only in the shorter prefix
+                    tasks.append((min(dp, dq), error))
+        where += [(trie, p << (bits - d) | x, ks) for (p, d), ks in of.items() for x in range(1 << (bits - d)) if p << (bits - d) | x in own]
+    table = spark.createDataFrame(where, "trie int, prefix bigint, codes array<array<int>>")
+    part = F.pmod(F.xxhash64(*rows.columns), F.size("codes")).cast("int")
+    met = rows.withColumn("prefix", prefix.cast("bigint")).join(F.broadcast(table), ["trie", "prefix"])
+    code = met.select(*rows.columns, F.explode(F.element_at("codes", part + 1)).alias("code"))
+    return code.select(*rows.columns, F.shiftright("code", 1).alias("task"), (F.col("code") % 2).cast("tinyint").alias("side")), tasks
+
+
+def sides(batches: Iterator[pd.DataFrame]) -> tuple[pd.DataFrame, int]:
+    """A task's rows with the left side first, each side in the order of its words; and the size of the left side."""
+    pdf = pd.concat(list(batches), ignore_index=True)
+    right = pdf["side"].to_numpy()
+    return pdf.iloc[np.lexsort((pdf["fp"].to_numpy(np.int64).view(np.uint64), right))], int((right == 0).sum())
+
+
 class Forest:
     """Components over positions 0..n-1, labelled by their smallest position."""
 
@@ -131,34 +178,42 @@ class Forest:
         self.run = np.cumsum(np.r_[0, label[1:] != label[:-1]])
 
 
-def join_tries(words: np.ndarray, cut: int, depth: int, error: int, budget: int = BUDGET) -> Forest:
-    """Join the sorted distinct ``words[:cut]`` with the sorted distinct ``words[cut:]``, or with themselves if there are none.
+def node_pairs(words: np.ndarray, cut: int, depth: int, error: int, budgets: Budgets, joined: Callable[[tuple[np.ndarray, ...]], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (i, j) of leaves that meet, in chunks, of the sorted ``words[:cut]`` with the sorted ``words[cut:]``, or of one trie with itself if there are none.
 
     All words of a side agree in the first ``depth`` bits, in which the sides
-    differ ``error`` times.
+    differ ``error`` times; a pair of nodes at depth d is dropped once its
+    error is over ``budgets[d]``, and when ``joined`` says so of its four
+    bounds. A leaf is one word, or a run of equal ones of which the first stands.
     """
     n = len(words)
-    forest = Forest(n)
-    ones: dict[int, np.ndarray] = {}
     first = [0, cut, cut, n, error] if cut < n else [0, n, 0, n, 0]
+    same = np.r_[True, words[1:] != words[:-1]] if n else np.zeros(0, bool)
+    if 0 < cut < n:
+        same[cut] = True
+    begin = np.flatnonzero(same)
+    run = np.cumsum(same) - 1  # index of a word's run
+    # a smaller budget at a greater depth, or the same one, makes a depth's own needless
+    binding = [d for d in range(64, 0, -1) if d == 64 or budgets[d] < budgets[d + 1]]
+    ones: dict[int, np.ndarray] = {}
     stack = [(depth, np.array([first], np.int64))]
     while stack:
         d, pairs = stack.pop()
         if len(pairs) > CHUNK:
             stack.append((d, pairs[CHUNK:]))
             pairs = pairs[:CHUNK]
+        pairs = pairs[~joined(tuple(pairs.T[:4]))]
         a, b, p, q, e = pairs.T
-        run, label = forest.run, forest.label
-        open_ = ~((run[a] == run[b - 1]) & (run[p] == run[q - 1]) & (label[a] == label[p]))
-        a, b, p, q, e = (x[open_] for x in (a, b, p, q, e))
-        leaf = (b - a == 1) & (q - p == 1)
+        leaf = (run[a] == run[b - 1]) & (run[p] == run[q - 1])
         if leaf.any():
-            i, j = a[leaf], p[leaf]
-            near = np.bitwise_count(words[i] ^ words[j]) <= budget
-            if near.any():
-                forest.link(i[near], j[near])
+            i, j = begin[run[a[leaf]]], begin[run[p[leaf]]]
+            for depth in binding:
+                near = np.bitwise_count((words[i] ^ words[j]) >> np.uint64(64 - depth)) <= budgets[depth]
+                i, j = i[near], j[near]
+            if len(i):
+                yield i, j
             a, b, p, q, e = (x[~leaf] for x in (a, b, p, q, e))
-        if not len(a) or d == 64:
+        if not len(a):
             continue
         if d not in ones:
             ones[d] = np.r_[0, np.cumsum((words >> np.uint64(63 - d)) & np.uint64(1), dtype=np.int64)]
@@ -166,47 +221,46 @@ def join_tries(words: np.ndarray, cut: int, depth: int, error: int, budget: int
         own = a == p
         parts = [(a, s, p, t, e), (s, b, t, q, e), (a, s, t, q, e + 1), (s, b, p, t, e + 1)]
         new = np.concatenate([np.stack(x, axis=1)[~own] if k == 3 else np.stack(x, axis=1) for k, x in enumerate(parts)])
-        new = new[(new[:, 0] < new[:, 1]) & (new[:, 2] < new[:, 3]) & (new[:, 4] <= budget)]
+        new = new[(new[:, 0] < new[:, 1]) & (new[:, 2] < new[:, 3]) & (new[:, 4] <= budgets[d + 1])]
         if len(new):
             stack.append((d + 1, new))
+
+
+def join_tries(words: np.ndarray, cut: int, depth: int, error: int, budgets: Budgets | int = BUDGET) -> Forest:
+    """Components over all pairs within the budget (see ``node_pairs``); a pair of nodes in one component already is not followed."""
+    budgets = (budgets,) * 65 if isinstance(budgets, int) else budgets
+    forest = Forest(len(words))
+    equal = np.flatnonzero(words[1:] == words[:-1])
+    if len(equal):
+        forest.link(equal, equal + 1)
+
+    def joined(bounds: tuple[np.ndarray, ...]) -> np.ndarray:
+        a, b, p, q = bounds
+        run, label = forest.run, forest.label
+        return (run[a] == run[b - 1]) & (run[p] == run[q - 1]) & (label[a] == label[p])
+
+    for i, j in node_pairs(words, cut, depth, error, budgets, joined):
+        forest.link(i, j)
     return forest
 
 
 def links(distinct: DataFrame, budget: int = BUDGET, leaves: int = LEAVES) -> DataFrame:
     """Links (u, v) that connect the distinct fingerprints ``fp`` as all pairs within ``budget`` bits would."""
     spark = distinct.sparkSession
-    prefix = F.shiftrightunsigned("fp", 64 - TOP_BITS)
-    counts = {r.p: r.n for r in distinct.groupBy(prefix.alias("p")).agg(F.count("*").alias("n")).collect()}
-    leaves = max(leaves, sum(counts.values()) // 4096)
-    pairs = top_pairs(counts, budget, leaves)
-    if not pairs:
+    budgets = (budget,) * 65
+    rows, tasks = dealt(distinct.select(F.lit(0).alias("trie"), "fp"), budgets, leaves)
+    if not tasks:
         return spark.createDataFrame([], "u bigint, v bigint")
-    # the tasks of each subtree; subtrees are few, so the table is small whatever the input
-    tasks: dict[tuple[int, int], list[int]] = {}
-    for k, (p, dp, q, dq, _) in enumerate(pairs):
-        for node in {(p, dp), (q, dq)}:
-            tasks.setdefault(node, []).append(k)
-    rows = [(p << (TOP_BITS - d) | x, p, d, ks) for (p, d), ks in tasks.items() for x in range(1 << (TOP_BITS - d)) if p << (TOP_BITS - d) | x in counts]
-    where = spark.createDataFrame(rows, "prefix bigint, node bigint, depth int, tasks array<int>")
-    dealt = distinct.select("fp", prefix.cast("bigint").alias("prefix")).join(F.broadcast(where), "prefix").select("fp", "node", "depth", F.explode("tasks").alias("task"))
-    shared = spark.sparkContext.broadcast(pairs)
-
-    def join(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        p, dp, q, dq, error = shared.value[key[0]]
-        fp = pdf["fp"].to_numpy(np.int64).view(np.uint64)
-        left = ((pdf["node"] == p) & (pdf["depth"] == dp)).to_numpy()
-        words = np.sort(fp[left])
-        cut = len(words)
-        if (p, dp) != (q, dq):
-            words = np.concatenate([words, np.sort(fp[~left])])
-        # sides of unequal depth agree only in the shorter prefix
-        d = min(dp, dq)
-        label = join_tries(words, cut, d, error if (p, dp) != (q, dq) else 0, budget).label
-        moved = np.flatnonzero(label != np.arange(len(words)))
-        signed = words.view(np.int64)
-        return pd.DataFrame({"u": signed[moved], "v": signed[label[moved]]})
-
-    return dealt.groupBy("task").applyInPandas(join, "u bigint, v bigint")
+    shared = spark.sparkContext.broadcast(tasks)
+
+    def join(key: Tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        pdf, cut = sides(batches)
+        signed = pdf["fp"].to_numpy(np.int64)
+        label = join_tries(signed.view(np.uint64), cut, *shared.value[key[0]], budgets).label
+        moved = np.flatnonzero(label != np.arange(len(signed)))
+        yield pd.DataFrame({"u": signed[moved], "v": signed[label[moved]]})
+
+    return rows.select("fp", "side", "task").groupBy("task").applyInPandas(join, "u bigint, v bigint")
 
 
 def near_duplicates(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE) -> DataFrame:
@@ -228,17 +282,17 @@ def one_of_each(docs: DataFrame, named: DataFrame) -> DataFrame:
     """The row of ``docs`` with the smallest id of each component; ``named`` has doc_id and component_id of every row.
 
     Ids of dropped rows are broadcast if a count finds them few enough, else
-    joined by a shuffle. Rows that repeat an id are thinned to one; rows with
-    a null id stay.
+    joined by a shuffle. Of rows that repeat an id one stays, the least by its
+    JSON text; rows with a null id stay.
     """
     found = frozen(named.where("doc_id is not null"), "simhash-found")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    small = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = perhaps_broadcast(found.where("doc_id <> component_id").select("doc_id").distinct())
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
     repeated = found.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if repeated.isEmpty():
         return kept
-    few = repeated.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    repeated = F.broadcast(repeated) if few else repeated
-    once = kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"])
+    repeated = perhaps_broadcast(repeated)
+    # of rows that repeat an id the least stays, in the order of all columns
+    every = F.struct(*docs.columns)
+    once = kept.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(every, F.to_json(every)).alias("__rg_row")).select("__rg_row.*")
     return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)

@@ -20,7 +20,7 @@ One block (``encode_block``) has this layout, all numbers little-endian:
 
 A store is a Parquet table of such blocks (shard, block, n_docs, n_ids,
 payload) in ascending order of the document ids: the rows are dealt out by
-ranges of the id, sorted, encoded and written in one stage. So a lost executor
+ranges of the id (and of a hash of the text, so that a repeated id can be parted), sorted, encoded and written in one stage. So a lost executor
 repeats its ranges only, any store that Spark writes will do, and blocks are
 read back in any order. Blocks hold about ``BLOCK_IDS`` ids; a longer document
 is a block of its own.
@@ -30,8 +30,13 @@ characters across white space, so each piece of text between white space is
 encoded once and kept in a table of the worker; a piece that may hold a
 special token, and any tokenizer without that property, goes the plain way.
 
+Documents are read back through the rank directories alone (``Block.span``),
+so a reader of one document touches nothing else of its block.
+
 Defined cases: a null text counts as empty and has only the end id; repeated
-ids keep all their rows, ordered by text; null ids come first; an empty table
+ids keep all their rows, ordered by the text's hash, then the text, and may
+lie in several shards; null ids come first; ids of any size stay exact but
+the smallest 64-bit one, which reads back as null; an empty table
 gives an empty store; extra columns are not read.
 """
 
@@ -44,19 +49,21 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from riskgrid.llm.common import fresh_path
+from riskgrid.llm.common import AT_ONCE, Columns, by_rows, fresh_path, perhaps_broadcast
 
 MAGIC = b"DAC1"
 BLOCK_IDS = 1 << 18
 RANK_BITS = 512
 NULL_ID = -(2**63)
-#: Entries that a worker's table of encoded pieces may have.
-KNOWN = 800_000
+#: Entries that a worker's table of encoded pieces may have: about 60 MB.
+KNOWN = 300_000
 
 _NO_END = np.zeros(0, np.uint32)
 
@@ -107,35 +114,47 @@ class Block:
             at += 4 * len(marks)
             self.levels.append((chunks, bitmap, marks))
 
+    def _rank(self, level: int, i: int) -> int:
+        """Marks of a level before its i-th entry: a directory entry and a popcount of at most 512 bits."""
+        _, bitmap, marks = self.levels[level]
+        at = i // RANK_BITS
+        rank = int(marks[at]) + int(np.bitwise_count(bitmap[at * RANK_BITS // 8 : i >> 3]).sum(dtype=np.int64))
+        return rank + (int(bitmap[i >> 3]) & ((1 << (i & 7)) - 1)).bit_count() if i & 7 else rank
+
     def id_at(self, i: int) -> int:
         """The i-th id of the block."""
         if not 0 <= i < self.n_ids:
             raise IndexError(i)
         value = 0
-        for k, (chunks, bitmap, marks) in enumerate(self.levels):
+        for k, (chunks, bitmap, _) in enumerate(self.levels):
             value |= int(chunks[i]) << (8 * k)
             if not bitmap[i >> 3] >> (i & 7) & 1:
                 break
-            first = i // RANK_BITS * (RANK_BITS // 8)
-            rank = int(marks[i // RANK_BITS]) + int(np.bitwise_count(bitmap[first : i >> 3]).sum(dtype=np.int64))
-            i = rank + (int(bitmap[i >> 3]) & ((1 << (i & 7)) - 1)).bit_count()
+            i = self._rank(k, i)
         return value
 
-    def ids(self) -> np.ndarray:
-        """All ids of the block."""
-        out = np.zeros(self.n_ids, np.uint32)
-        where = None
+    def span(self, first: int, end: int) -> np.ndarray:
+        """Ids ``first`` to ``end`` (exclusive).
+
+        The further chunks of neighbouring ids are neighbours on the next
+        level, from the rank of the first to the rank of the end: two
+        look-ups a level, and nothing outside the span is read.
+        """
+        if not 0 <= first <= end <= self.n_ids:
+            raise IndexError((first, end))
+        out = np.zeros(end - first, np.uint32)
+        where = np.arange(end - first)
         for k, (chunks, bitmap, _) in enumerate(self.levels):
-            if where is None:
-                out[:] = chunks
-                where = np.flatnonzero(np.unpackbits(bitmap, count=len(chunks), bitorder="little"))
-            else:
-                out[where] |= chunks.astype(np.uint32) << np.uint32(8 * k)
-                where = where[np.unpackbits(bitmap, count=len(chunks), bitorder="little").astype(bool)]
+            if not len(where):
+                break
+            out[where] |= chunks[first:end].astype(np.uint32) << np.uint32(8 * k)
+            more = np.unpackbits(bitmap[first >> 3 : -(-end // 8)], bitorder="little")[first & 7 :][: end - first].astype(bool)
+            where = where[more]
+            first, end = self._rank(k, first), self._rank(k, end)
         return out
 
     def document(self, k: int) -> np.ndarray:
-        return self.ids()[self.starts[k] : self.starts[k + 1]]
+        return self.span(int(self.starts[k]), int(self.starts[k + 1]))
 
 
 # --- encoding ------------------------------------------------------------
@@ -229,28 +248,29 @@ BLOCKS = "shard int, block int, n_docs bigint, n_ids bigint, payload binary"
 
 
 def blocks(docs: DataFrame, tokenizer: str, end_id: int | None, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """The encoded blocks, dealt out by ranges of doc_id."""
+    """The encoded blocks, dealt out by ranges of (doc_id, hash of the text)."""
+    schema = to_arrow_schema(StructType.fromDDL(BLOCKS))
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
         own = encoder(tokenizer)
         end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
         doc_ids, raws, size, before, block = [], [], 0, 0, 0
 
-        def cut() -> pd.DataFrame:
+        def cut() -> pa.RecordBatch:
             nonlocal doc_ids, raws, size, before, block
             ids = np.frombuffer(b"".join(raws), "<u4")
             payload = encode_block(doc_ids, [len(r) // 4 for r in raws], ids, before)
-            out = pd.DataFrame({"shard": [shard], "block": [block], "n_docs": [len(doc_ids)], "n_ids": [len(ids)], "payload": [payload]})
+            out = pa.RecordBatch.from_pydict({"shard": [shard], "block": [block], "n_docs": [len(doc_ids)], "n_ids": [len(ids)], "payload": [payload]}, schema=schema)
             before, block = before + len(ids), block + 1
             doc_ids, raws, size = [], [], 0
             return out
 
-        for pdf in batches:
-            names = [NULL_ID if v is None else int(v) for v in pdf["doc_id"].astype("Int64").astype(object).where(pdf["doc_id"].notna(), None)]
-            texts = [t or "" for t in pdf["text"]]
-            for a in range(0, len(texts), 512):
-                for k, raw in zip(names[a : a + 512], own.texts(texts[a : a + 512]), strict=True):
+        for batch in batches:
+            for a in range(0, batch.num_rows, AT_ONCE):
+                part = batch.slice(a, AT_ONCE)
+                names = [NULL_ID if v is None else v for v in part.column("doc_id").to_pylist()]
+                for k, raw in zip(names, own.texts(part.column("text").to_pylist()), strict=True):
                     raw += end
                     if doc_ids and size + len(raw) // 4 > block_ids:
                         yield cut()
@@ -260,8 +280,10 @@ def blocks(docs: DataFrame, tokenizer: str, end_id: int | None, block_ids: int =
         if doc_ids:
             yield cut()
 
-    dealt = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(F.col("doc_id").asc_nulls_first())
-    return dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text").mapInPandas(encode, BLOCKS)
+    text = F.coalesce("text", F.lit(""))
+    order = F.col("doc_id").asc_nulls_first(), F.col("h").asc()
+    dealt = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h")).repartitionByRange(*order)
+    return dealt.sortWithinPartitions(*order, "text").select("doc_id", "text").mapInArrow(encode, BLOCKS)
 
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int | None = None, block_ids: int = BLOCK_IDS) -> None:
@@ -280,27 +302,58 @@ def shard_starts(spark: SparkSession, path: str) -> dict[int, int]:
 
 
 def read_store(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and (with_ids) the ids of every document of a store."""
+    """doc_id, start, n_tokens, ids_crc32 and (with_ids) the ids of every document of a store, each looked up by its place."""
     starts = shard_starts(spark, path)
     fields = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint" + (", ids array<int>" if with_ids else "")
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for shard, payload in zip(pdf["shard"], pdf["payload"], strict=True):
+    def make():
+        def decode(rows: Columns) -> Iterator[dict]:
+            for shard, payload in zip(rows["shard"], rows["payload"], strict=True):
                 b = Block(payload)
-                raw = b.ids().astype("<u4")
-                cuts = b.starts.tolist()
-                out = pd.DataFrame({
-                    "doc_id": pd.array([None if k == NULL_ID else k for k in b.doc_ids.tolist()], "Int64"),
-                    "start": starts[shard] + b.before + b.starts[:-1],
-                    "n_tokens": np.diff(b.starts),
-                    "ids_crc32": [zlib.crc32(raw[s:e]) for s, e in zip(cuts, cuts[1:], strict=False)],
-                })
-                if with_ids:
-                    out["ids"] = [raw[s:e].astype(np.int32) for s, e in zip(cuts, cuts[1:], strict=False)]
-                yield out
-
-    return spark.read.parquet(path).select("shard", "payload").mapInPandas(decode, fields)
+                for a in range(0, b.n_docs, AT_ONCE):
+                    own = range(a, min(a + AT_ONCE, b.n_docs))
+                    found = [b.document(k) for k in own]
+                    out = {
+                        "doc_id": [None if b.doc_ids[k] == NULL_ID else int(b.doc_ids[k]) for k in own],
+                        "start": [starts[shard] + b.before + int(b.starts[k]) for k in own],
+                        "n_tokens": [len(x) for x in found],
+                        "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in found],
+                    }
+                    yield out | ({"ids": [x.astype(np.int32) for x in found]} if with_ids else {})
+
+        return decode
+
+    return by_rows(spark.read.parquet(path).select("shard", "payload"), make, fields, at_once=1)
+
+
+def token_at(spark: SparkSession, path: str, places: DataFrame) -> DataFrame:
+    """(place, id) for places (``place``: ids before it in the whole store) that lie in the store.
+
+    Places and blocks meet in an equi-join on stretches of ``BLOCK_IDS``
+    places, of which a block touches two or a few; the id is then read by
+    ``Block.id_at``, and no block is decoded. A place that is asked repeatedly
+    is answered once.
+    """
+    starts = shard_starts(spark, path)
+    table = spark.createDataFrame(list(starts.items()), "shard int, first bigint")
+    sizes = spark.read.parquet(path).where("n_ids > 0").select("shard", "block", "n_ids").join(perhaps_broadcast(table), "shard")
+    order = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    bounds = sizes.select("shard", "block", "n_ids", (F.col("first") + F.coalesce(F.sum("n_ids").over(order), F.lit(0))).alias("low"))
+    stretch = bounds.select("*", F.explode(F.expr(f"sequence(low div {BLOCK_IDS}, (low + n_ids - 1) div {BLOCK_IDS})")).alias("stretch"))
+    asked = places.select("place").distinct().withColumn("stretch", F.expr(f"place div {BLOCK_IDS}"))
+    wanted = asked.join(stretch, "stretch").where((F.col("place") >= F.col("low")) & (F.col("place") < F.col("low") + F.col("n_ids")))
+    grouped = wanted.groupBy("shard", "block").agg(F.collect_list("place").alias("places"), F.first("low").alias("low"))
+    met = spark.read.parquet(path).select("shard", "block", "payload").join(grouped, ["shard", "block"])
+
+    def make():
+        def look(rows: Columns) -> Iterator[dict]:
+            for payload, at, low in zip(rows["payload"], rows["places"], rows["low"], strict=True):
+                b = Block(payload)
+                yield {"place": at, "id": [b.id_at(p - low) for p in at]}
+
+        return look
+
+    return by_rows(met.select("payload", "places", "low"), make, "place bigint, id bigint", at_once=1)
 
 
 def stored(docs: DataFrame, tokenizer: str, end_id: int | None, path: str | None = None) -> DataFrame:
