@@ -7,6 +7,8 @@ look-ups and arithmetic in one row, without a join or Python.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,11 +20,12 @@ MIN_CONFIDENCE = 0.10
 MAX_GAP_US = 180 * 60_000_000
 
 
-def edge_series(cube: DataFrame, edges: DataFrame, n: int = POINTS) -> DataFrame:
-    """Each edge with an array over its points of arrays over the frames.
+def edge_series(cube: DataFrame, edges: DataFrame, n_frames: int, n: int = POINTS) -> DataFrame:
+    """Each edge with an array over its points of arrays over all ``n_frames`` frames.
 
     Edges join neighbouring grid lines, so a point's weights follow from its
-    fraction alone. One equi-join on the cell and two aggregations by edge.
+    fraction alone. One equi-join on frame and cell and two aggregations by
+    edge. A cell that a frame lacks has unknown risk there.
     """
     last = n - 1
     weights = []
@@ -46,11 +49,12 @@ def edge_series(cube: DataFrame, edges: DataFrame, n: int = POINTS) -> DataFrame
         (F.col("c") + F.col("dc") * F.col("p.b")).alias("col"),
         (F.when(F.col("dr") == 0, 1.0).otherwise(F.col("p.wa")) * F.when(F.col("dc") == 0, 1.0).otherwise(F.col("p.wb"))).alias("w"),
     )
-    met = dealt.join(cube.select("frame", "row", "col", "risk", "hard", "confidence", "factor"), ["row", "col"])
+    dealt = dealt.withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(n_frames - 1))))
+    met = dealt.join(cube.select("frame", "row", "col", "risk", "hard", "confidence", "factor"), ["frame", "row", "col"], "left")
     point = met.groupBy("r", "c", "dr", "dc", "i", "frame").agg(
         F.sum(F.col("w") * F.col("risk")).alias("risk"),
         F.count_if(F.col("risk").isNull()).alias("unknown"),
-        F.bool_or("hard").alias("hard"),
+        F.coalesce(F.bool_or("hard"), F.lit(False)).alias("hard"),
         F.min("confidence").alias("confidence"),
         F.min(F.coalesce("factor", F.lit(1.0))).alias("factor"),
     )
@@ -81,25 +85,28 @@ def _between(series: Column, t: Column, times: Column, k: Column, n_frames: int,
         F.when(exact, low["hard"]).otherwise(low["hard"] | high["hard"]).alias("hard"),
         F.when(exact, low["confidence"]).otherwise(F.least(low["confidence"], high["confidence"])).alias("confidence"),
         F.when(exact, low["factor"]).otherwise(F.least(low["factor"], high["factor"])).alias("factor"),
+        low["frame"].alias("low"),
+        F.when(exact, low["frame"]).otherwise(high["frame"]).alias("high"),
     )
 
 
+def _sampled(hours: Column, axis: Column, n_frames: int, max_gap_us: int, n: int) -> Callable[[Column], Column]:
+    """A function of a point of ``points``: its values when the vessel passes it. One parameter only: ``transform`` fills a second one with the index."""
+    return lambda p: _point_at(p["series"], plus_hours(F.col("depart_us"), hours * (p["i"] / (n - 1))), axis, n_frames, max_gap_us)
+
+
 def cross(departures: DataFrame, times: list[int], vessel: Vessel, weights: dict[str, Column], min_confidence: float = MIN_CONFIDENCE, max_risk: Column | None = None, max_gap_us: int = MAX_GAP_US, n: int = POINTS) -> DataFrame:
     """Cross edges (columns of edge_series) at ``depart_us`` with ``heading_before``.
 
     Adds reject (NULL, or error, coverage, hard, risk, speed: the first that
-    applies), hours, knots, risk, max_risk, confidence, arrive_us and the cost
-    components. Travel time and samples are refined twice, each time with the
+    applies), hours, knots, risk, max_risk, confidence, arrive_us, the first
+    and last frame it used and the cost components. Travel time and samples are refined twice, each time with the
     travel time before.
     """
     axis = F.array(*(F.lit(t).cast("long") for t in times))
     out = departures.withColumn("__rg_h0", F.col("km") / vessel.calm_kmh).withColumn("__rg_x0", F.lit(None).cast("string"))
     for turn in (1, 2):
-        hours = F.col(f"__rg_h{turn - 1}")
-
-        def at(p, hours=hours):
-            return _point_at(p["series"], plus_hours(F.col("depart_us"), hours * (p["i"] / (n - 1))), axis, len(times), max_gap_us)
-
+        at = _sampled(F.col(f"__rg_h{turn - 1}"), axis, len(times), max_gap_us, n)
         # a generator keeps the samples from being computed again wherever they are used
         out = out.withColumn(f"__rg_s{turn}", F.explode(F.array(F.transform("points", at))))
         s = F.col(f"__rg_s{turn}")
@@ -121,6 +128,8 @@ def cross(departures: DataFrame, times: list[int], vessel: Vessel, weights: dict
             "risk": (inner - 0.5 * ends[0] - 0.5 * ends[1]) / (n - 1),
             "max_risk": F.array_max(F.transform(s, lambda p: p["risk"])),
             "confidence": F.array_min(F.transform(s, lambda p: p["confidence"])),
+            "frame_low": F.array_min(F.transform(s, lambda p: p["low"])),
+            "frame_high": F.array_max(F.transform(s, lambda p: p["high"])),
             "turn": heading_change(F.col("heading_before"), F.col("heading")),
         }
     )

@@ -75,14 +75,14 @@ def layered_set(cube: DataFrame, requests: DataFrame, horizon_h: float, cutoffs:
     A request (search, r0, c0, r1, c1, depart_us, bucket_us) whose
     recommended voyage has no anchor for some layer yields no rows at all.
     """
-    from riskgrid.operators.search import kernels
+    from riskgrid.operators.search import routes
 
     spark = cube.sparkSession
     base = folder(spark, "layers")
     each = F.array(*(F.lit(o) for o in OBJECTIVES))
     full = requests.select("*", F.explode(each).alias("objective"), F.lit(LAYERS[0][0]).alias("layer"), F.lit(round(horizon_h * MICROS_PER_HOUR)).cast("long").alias("horizon_us"), F.col("search").alias("set_id"))
     full = full.withColumn("search", F.concat_ws("/", "set_id", "layer", "objective"))
-    top = written(kernels(cube, full, **options).withColumn("set_id", F.substring_index("search", "/", 1)), f"{base}/full")
+    top = written(routes(cube, full, **options).withColumn("set_id", F.substring_index("search", "/", 1)), f"{base}/full")
     ok = top.groupBy("set_id").agg(F.bool_and(F.col("status") == "ok").alias("ok")).where("ok").select("set_id")
     best = top.where(F.col("search").endswith("/recommended")).join(ok, "set_id")
     cuts = spark.createDataFrame(list(cutoffs), "layer string, hours_limit int")
@@ -93,7 +93,7 @@ def layered_set(cube: DataFrame, requests: DataFrame, horizon_h: float, cutoffs:
     limit = F.least(F.lit(float(horizon_h)), F.col("hours_limit").cast("double"), F.col("h"))
     lower = lower.select("set_id", "layer", F.explode(each).alias("objective"), "r0", "c0", F.col("row").alias("r1"), F.col("col").alias("c1"), "depart_us", "bucket_us", F.ceil(limit * MICROS_PER_HOUR).alias("horizon_us"))
     lower = lower.withColumn("search", F.concat_ws("/", "set_id", "layer", "objective"))
-    down = written(kernels(cube, lower, **options).withColumn("set_id", F.substring_index("search", "/", 1)), f"{base}/lower")
+    down = written(routes(cube, lower, **options).withColumn("set_id", F.substring_index("search", "/", 1)), f"{base}/lower")
     good = down.groupBy("set_id").agg(F.bool_and(F.col("status") == "ok").alias("ok"), F.count_distinct("search").alias("n")).where(F.col("ok") & (F.col("n") == len(OBJECTIVES) * len(cutoffs))).select("set_id")
     parts = F.split("search", "/")
     return top.unionByName(down).join(good, "set_id").select("set_id", parts[1].alias("layer"), parts[2].alias("objective"), *(c for c in top.columns if c not in ("set_id", "search")))

@@ -11,7 +11,8 @@ edge; those are final. All searches share every wave, whose few joins are on
 
 ``kernels`` is the strategy for many searches over a cube that a size check
 lets travel to the executors: one search is one small task of a label-setting
-search on arrays. Both give the same costs and arrivals.
+search on arrays. Both give the same costs and arrivals; ``routes`` chooses by
+the number of cells.
 
 Ties between routes of equal cost are settled by arrival, then by the parent's
 state; only cost, distance and hours are promised.
@@ -25,17 +26,21 @@ a navigable place, or a start outside the window).
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+import math
+from array import array
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskgrid.functions.geo import EARTH_KM
 from riskgrid.functions.motion import FULL_TURN_HOURS, KNOT_KMH, MICROS_PER_HOUR, OBJECTIVES, Vessel, Weights
 from riskgrid.operators.edges import MAX_GAP_US, MIN_CONFIDENCE, POINTS, cross, edge_series
 from riskgrid.operators.grid import edges, nodes
-from riskgrid.operators.sample import axis_of
+from riskgrid.operators.sample import axis_of, sample
 from riskgrid.operators.shared import folder, written
 
 #: Cells times frames that may travel to every executor (about 100 MB).
@@ -65,53 +70,71 @@ class Field:
         self.out: dict[tuple[int, int], list] = {}
         for e in links.sort_values(["r", "c", "dr", "dc"]).itertuples(index=False):
             self.out.setdefault((e.r, e.c), []).append((e.r2, e.c2, (e.dr, e.dc), e.km, e.heading))
-        self.least_km = float(links["km"].min()) if len(links) else 0.0
-        self.series: dict[tuple, list] = {}
-
-    def point_series(self, r: int, c: int, dr: int, dc: int, i: int) -> tuple[list, list, list, list]:
-        """Values over all frames of the i-th point of an edge."""
-        key = (r, c, dr, dc, i)
-        if key not in self.series:
-            f = i / (self.n - 1)
-            ys = [(r, 1.0)] if dr == 0 else [(a, w) for a, w in ((r, 1 - f), (r + dr, f)) if w > 0]
-            xs = [(c, 1.0)] if dc == 0 else [(a, w) for a, w in ((c, 1 - f), (c + dc, f)) if w > 0]
-            risk = np.zeros(len(self.times))
-            hard = np.zeros(len(self.times), bool)
-            conf, fac = np.full(len(self.times), np.inf), np.full(len(self.times), np.inf)
-            for y, wy in ys:
-                for x, wx in xs:
-                    risk = risk + wy * wx * self.risk[:, y, x]
-                    hard |= self.hard[:, y, x]
-                    conf, fac = np.minimum(conf, self.conf[:, y, x]), np.minimum(fac, self.factor[:, y, x])
+        self.place = {(e.r, e.c): (e.lat, e.lon) for e in links.itertuples(index=False)}
+        self.axis = self.times.tolist()
+        self.series: dict[tuple[int, int], tuple] = {}
+
+    def point_series(self, y: int, x: int) -> tuple[array, array, array, array]:
+        """Values over all frames of a point, its place counted in (n - 1)-ths of a cell: edges share their points."""
+        found = self.series.get((y, x))
+        if found is None:
+            parts = self.n - 1
+            ys = [(k, w) for k, w in ((y // parts, 1 - y % parts / parts), (y // parts + 1, y % parts / parts)) if w > 0]
+            xs = [(k, w) for k, w in ((x // parts, 1 - x % parts / parts), (x // parts + 1, x % parts / parts)) if w > 0]
+            risk, hard = np.zeros(len(self.axis)), np.zeros(len(self.axis), bool)
+            conf, fac = np.full(len(self.axis), np.inf), np.full(len(self.axis), np.inf)
+            for r, wr in ys:
+                for c, wc in xs:
+                    risk = risk + wr * wc * self.risk[:, r, c]
+                    hard |= self.hard[:, r, c]
+                    conf, fac = np.minimum(conf, self.conf[:, r, c]), np.minimum(fac, self.factor[:, r, c])
             risk = np.where(np.isnan(risk) & hard, 1.0, np.round(risk, 9))
-            self.series[key] = (risk.tolist(), hard.tolist(), conf.tolist(), fac.tolist())
-        return self.series[key]
+            found = self.series[y, x] = (array("d", risk), array("b", hard.astype(np.int8)), array("d", conf), array("d", fac))
+        return found
 
     def at(self, series, t: int):
         """(status, risk, hard, confidence, factor, low frame, high frame) at a time."""
-        times = self.times
-        k = int(np.searchsorted(times, t, "right")) - 1
+        times = self.axis
+        k = bisect_right(times, t) - 1
         if k < 0 or t > times[-1]:
             return ("coverage",)
         risk, hard, conf, fac = series
         if times[k] == t:
             value = ("ok", risk[k], hard[k], conf[k], fac[k], k, k)
         else:
-            gap = int(times[k + 1] - times[k])
+            gap = times[k + 1] - times[k]
             if gap > self.max_gap:
                 return ("coverage",)
-            share = (t - int(times[k])) / gap
+            share = (t - times[k]) / gap
             value = ("ok", risk[k] + share * (risk[k + 1] - risk[k]), hard[k] or hard[k + 1], min(conf[k], conf[k + 1]), min(fac[k], fac[k + 1]), k, k + 1)
         return ("error",) if value[1] != value[1] else value
 
+    def bound(self, goal: tuple[int, int], weights: Weights) -> Callable[[tuple[int, int]], float]:
+        """Least cost from a node to the goal: the great circle at full speed. It never falls by more than a crossing costs."""
+        known: dict[tuple[int, int], float] = {}
+        lat2, lon2 = self.place.get(goal, (math.nan, math.nan))
+        each = (weights.time + weights.distance) / self.vessel.maximum_kmh
+
+        def least(node: tuple[int, int]) -> float:
+            if node not in known:
+                lat1, lon1 = self.place[node]
+                a, b = math.radians(lat1), math.radians(lat2)
+                half = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
+                # a part in 1e9 less, so that rounding can't lift it over the true cost
+                known[node] = each * 2 * EARTH_KM * math.asin(min(1.0, math.sqrt(half))) * (1 - 1e-9)
+            return known[node]
+
+        return least
+
     def crossing(self, r: int, c: int, move: tuple[int, int], km: float, depart: int):
         """Reject reason, or the figures of a crossing."""
-        v = self.vessel
+        v, parts = self.vessel, self.n - 1
         hours = km / v.calm_kmh
+        points = [self.point_series(r * parts + move[0] * i, c * parts + move[1] * i) for i in range(self.n)]
         for _ in range(2):
             seen = []
-            for i in range(self.n):
-                s = self.at(self.point_series(r, c, *move, i), depart + int(np.rint(hours * (i / (self.n - 1)) * MICROS_PER_HOUR)))
+            for i, series in enumerate(points):
+                s = self.at(series, depart + round(hours * (i / parts) * MICROS_PER_HOUR))
                 if s[0] != "ok":
                     return s[0]
                 seen.append(s)
@@ -129,13 +152,22 @@ class Field:
         return hours, knots, risk, max(s[1] for s in seen), min(s[3] for s in seen), min(s[5] for s in seen), max(s[6] for s in seen)
 
 
-def plan_one(field: Field, q, weights: Weights, max_expansions: int = MAX_EXPANSIONS) -> list[tuple]:
-    """Label-setting search of one request; its steps, or one row with the status."""
+def plan_one(field: Field, q, weights: Weights, max_expansions: int = MAX_EXPANSIONS, cancelled: Callable[[], bool] = lambda: False, counters: dict[str, int] | None = None) -> list[tuple]:
+    """Label-setting search of one request, nearest to the goal by the lower bound first; its steps, or one row with the status.
+
+    counters: filled with the effort (expanded, generated, stale, pushed) and
+    the crossings refused by each reason. cancelled: looked at before every
+    expansion.
+    """
+    counters = {} if counters is None else counters
+
+    def count(what: str) -> None:
+        counters[what] = counters.get(what, 0) + 1
 
     def failed(status: str) -> list[tuple]:
         return [(q.search, 0, q.r0, q.c0, q.depart_us, *([None] * 11), status)]
 
-    start = field.at(field.point_series(q.r0, q.c0, 0, 0, 0), q.depart_us)
+    start = field.at(field.point_series(q.r0 * (field.n - 1), q.c0 * (field.n - 1)), q.depart_us)
     if start[0] != "ok":
         return failed("error")
     if start[2]:
@@ -146,15 +178,22 @@ def plan_one(field: Field, q, weights: Weights, max_expansions: int = MAX_EXPANS
     begin = (q.r0, q.c0, 0, None)
     labels = {begin: (0.0, q.depart_us)}
     came: dict = {}
-    heap = [(0.0, q.depart_us, (q.r0, q.c0, 0, (9, 9)), begin)]
+    least = field.bound((q.r1, q.c1), weights)
+    if (q.r0, q.c0) not in field.place or (q.r1, q.c1) not in field.place:
+        return failed("no route")
+    heap = [(least((q.r0, q.c0)), 0.0, q.depart_us, (q.r0, q.c0, 0, (9, 9)), begin)]
     closed: set = set()
     outside = False
     maximum = field.vessel.maximum_kmh
     while heap:
-        cost, arrival, _, state = heapq.heappop(heap)
+        if cancelled():
+            return failed("cancelled")
+        _, cost, arrival, _, state = heapq.heappop(heap)
         if state in closed or labels[state] != (cost, arrival):
+            count("stale")
             continue
         closed.add(state)
+        count("expanded")
         r, c, _, before = state
         if (r, c) == (q.r1, q.c1):
             path = []
@@ -167,15 +206,18 @@ def plan_one(field: Field, q, weights: Weights, max_expansions: int = MAX_EXPANS
         heading_before = next((h for r2, c2, m, _, h in field.out[r - before[0], c - before[1]] if m == before), None) if before else None
         for r2, c2, move, km, heading in field.out.get((r, c), ()):
             got = field.crossing(r, c, move, km, arrival)
+            count("generated")
             if isinstance(got, str):
+                count(got)
                 if got == "error":
                     return failed("error")
                 outside |= got == "coverage"
                 continue
             hours, knots, risk, most, confidence, low, high = got
-            reach = arrival + int(np.rint(hours * MICROS_PER_HOUR))
+            reach = arrival + round(hours * MICROS_PER_HOUR)
             if q.horizon_us is not None and reach - q.depart_us > q.horizon_us:
                 outside = True
+                count("coverage")
                 continue
             turn = 0.0
             if heading_before is not None:
@@ -188,17 +230,16 @@ def plan_one(field: Field, q, weights: Weights, max_expansions: int = MAX_EXPANS
                 continue
             labels[nxt] = (total, reach)
             came[nxt] = (state, (r2, c2, reach, km, hours, knots, heading, risk, most, confidence, total, hours * risk, low, high))
-            heapq.heappush(heap, (total, reach, (r, c, 0, before or (9, 9)), nxt))
+            heapq.heappush(heap, (total + least((r2, c2)), total, reach, (r, c, 0, before or (9, 9)), nxt))
+            count("pushed")
     return failed("no coverage" if outside else "no route")
 
 
 def kernels(cube: DataFrame, requests: DataFrame, vessel: Vessel | None = None, objectives: dict[str, Weights] | None = None, min_confidence: float = MIN_CONFIDENCE, max_gap_us: int = MAX_GAP_US, connectivity: int = 8, n: int = POINTS) -> DataFrame:
-    """Route steps of all requests, searches spread over the executors; the cube's size is checked first."""
+    """Route steps of all requests, searches spread over the executors; for cubes that ``routes`` has found small enough."""
     spark = cube.sparkSession
-    if cube.count() > CUBE_CELLS:
-        raise ValueError("this cube is too large to travel; use waves")
     cells = cube.select("frame", "row", "col", "valid_us", "risk", "hard", "confidence", "factor").toPandas()
-    links = edges(nodes(cube), connectivity).select("r", "c", "dr", "dc", "r2", "c2", "km", "heading").toPandas()
+    links = edges(nodes(cube), connectivity).select("r", "c", "dr", "dc", "r2", "c2", "km", "heading", "lat", "lon").toPandas()
     shared = spark.sparkContext.broadcast((cells, links, vessel or Vessel(), objectives or OBJECTIVES, min_confidence, max_gap_us, n))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -214,70 +255,109 @@ def kernels(cube: DataFrame, requests: DataFrame, vessel: Vessel | None = None,
     return wanted.repartition(F.col("search")).mapInPandas(run, RESULT)
 
 
-def waves(cube: DataFrame, requests: DataFrame, vessel: Vessel | None = None, objectives: dict[str, Weights] | None = None, min_confidence: float = MIN_CONFIDENCE, max_gap_us: int = MAX_GAP_US, connectivity: int = 8, n: int = POINTS, max_waves: int = 100_000) -> tuple[DataFrame, DataFrame]:
-    """(goals, labels): the goal's label of each search with its status, and all labels with their parents."""
+def _starts(cube: DataFrame, wanted: DataFrame, times: list[int], max_gap_us: int) -> DataFrame:
+    """The sample at each search's start: status, risk, hard, confidence, and the frames used."""
+    at = wanted.join(nodes(cube).select(F.col("row").alias("r0"), F.col("col").alias("c0"), "lat", "lon"), ["r0", "c0"])
+    seen = sample(at.select(F.col("search").alias("point_id"), "lat", "lon", F.col("depart_us").alias("t_us")), cube, max_gap_us)
+    status = F.when(F.col("status") != "ok", "error").when(F.col("hard"), "start blocked").otherwise("ok")
+    met = wanted.select("search", "depart_us").join(seen.withColumnRenamed("point_id", "search"), "search", "left")
+    low = F.size(F.filter(F.array(*(F.lit(t).cast("long") for t in times)), lambda v: v <= F.col("depart_us"))) - 1
+    exact = F.array_contains(F.array(*(F.lit(t).cast("long") for t in times)), F.col("depart_us"))
+    return met.select("search", F.coalesce(status, F.lit("error")).alias("start_status"), F.col("risk").alias("start_risk"), F.col("confidence").alias("start_confidence"), low.alias("start_low"), F.when(exact, low).otherwise(low + 1).alias("start_high"))
+
+
+#: Figures of the crossing that led to a label.
+CROSSED = ("km", "hours", "knots", "heading", "risk", "max_risk", "confidence", "risk_hours", "frame_low", "frame_high")
+STATE = ["search", "row", "col", "bucket", "dr", "dc"]
+
+
+def waves(cube: DataFrame, requests: DataFrame, vessel: Vessel | None = None, objectives: dict[str, Weights] | None = None, min_confidence: float = MIN_CONFIDENCE, max_gap_us: int = MAX_GAP_US, connectivity: int = 8, n: int = POINTS) -> tuple[DataFrame, DataFrame]:
+    """(goals, labels): the goal's label of each search with its status, and all labels with their parents.
+
+    A wave costs two joins on (search, state) over the labels; its own new
+    labels and one row of reject reasons for each search are all it adds.
+    """
     spark = cube.sparkSession
     vessel, objectives = vessel or Vessel(), objectives or OBJECTIVES
     base = folder(spark, "waves")
     times = axis_of(cube, "frame", "valid_us")
-    links = written(edge_series(cube, edges(nodes(cube), connectivity), n), f"{base}/edges")
+    links = written(edge_series(cube, edges(nodes(cube), connectivity), len(times), n), f"{base}/edges")
     least_km = links.agg(F.min("km")).first()[0] or 0.0
     names = ("time", "risk", "distance", "turn", "uncertainty", "deviation")
-    table = spark.createDataFrame([(k, *(getattr(w, x) for x in names), (w.time / vessel.calm_kmh + w.distance / vessel.maximum_kmh) * least_km) for k, w in objectives.items()], "objective string, " + ", ".join(f"w_{x} double" for x in names) + ", step double")
+    table = spark.createDataFrame([(k, *(getattr(w, x) for x in names), (w.time / vessel.calm_kmh + w.distance / vessel.maximum_kmh) * least_km) for k, w in objectives.items()], "objective string, " + ", ".join(f"w_{x} double" for x in names) + ", wave_step double")
+    # a few policies: bounded by the code, not by data
     wanted = written(requests.join(F.broadcast(table), "objective"), f"{base}/requests")
-    start_ok = cube.where(F.col("valid_us").isNotNull()).select("frame", "row", "col", "valid_us", "hard")
-    k = F.size(F.filter(F.array(*(F.lit(t).cast("long") for t in times)), lambda v: v <= F.col("depart_us"))) - 1
-    exact = F.array_contains(F.array(*(F.lit(t).cast("long") for t in times)), F.col("depart_us"))
-    probe = wanted.select("search", "r0", "c0", F.explode(F.when(exact, F.array(k)).otherwise(F.array(k, k + 1))).alias("frame"))
-    blocked = probe.join(start_ok.withColumnsRenamed({"row": "r0", "col": "c0"}), ["frame", "r0", "c0"], "left").groupBy("search").agg(F.bool_or("hard").alias("blocked"), F.count_if(F.col("hard").isNull()).alias("outside"))
-    state = ["search", "row", "col", "bucket", "dr", "dc"]
-    first = wanted.select("search", F.col("r0").alias("row"), F.col("c0").alias("col"), F.lit(0).cast("long").alias("bucket"), F.lit(9).alias("dr"), F.lit(9).alias("dc"), F.lit(0.0).alias("cost"), F.col("depart_us").alias("arrive_us"), F.lit(None).cast("double").alias("heading"), F.lit(None).cast("struct<row:int,col:int,bucket:bigint,dr:int,dc:int>").alias("parent"), F.lit(0.0).alias("km"), F.lit(0.0).alias("hours"), F.lit(True).alias("open"))
-    alive = blocked.where("not blocked and outside = 0").select("search")
-    labels = written(first.join(alive, "search", "left_semi"), f"{base}/0")
-    rejected = None
-    for wave in range(1, max_waves):
-        goal = wanted.select("search", F.col("r1").alias("row"), F.col("c1").alias("col"))
+    starts = written(_starts(cube, wanted, times, max_gap_us), f"{base}/starts")
+    begin = wanted.join(starts.where("start_status = 'ok'"), "search")
+    none = F.lit(None).cast("double")
+    first = begin.select(
+        "search",
+        F.col("r0").alias("row"),
+        F.col("c0").alias("col"),
+        F.lit(0).cast("long").alias("bucket"),
+        F.lit(9).alias("dr"),
+        F.lit(9).alias("dc"),
+        F.lit(0.0).alias("cost"),
+        F.col("depart_us").alias("arrive_us"),
+        F.lit(None).cast("struct<row:int,col:int,bucket:bigint,dr:int,dc:int>").alias("parent"),
+        F.struct(F.lit(0.0).alias("km"), F.lit(0.0).alias("hours"), none.alias("knots"), none.alias("heading"), F.col("start_risk").alias("risk"), F.col("start_risk").alias("max_risk"), F.col("start_confidence").alias("confidence"), F.lit(0.0).alias("risk_hours"), F.col("start_low").alias("frame_low"), F.col("start_high").alias("frame_high")).alias("crossed"),
+        F.lit(True).alias("open"),
+    )
+    labels = written(first, f"{base}/0")
+    goal = wanted.select("search", F.col("r1").alias("row"), F.col("c1").alias("col"))
+    seen = written(spark.createDataFrame([], "search string, reject string"), f"{base}/reject-0")
+    wave = 0
+    while True:
+        wave += 1
         at_goal = labels.join(goal, ["search", "row", "col"], "left_semi").groupBy("search").agg(F.min("cost").alias("goal_cost"))
         least = labels.where("open").groupBy("search").agg(F.min("cost").alias("m")).join(at_goal, "search", "left").where("goal_cost is null or goal_cost > m")
-        batch = labels.where("open").join(least, "search").join(wanted.drop("r0", "c0", "r1", "c1"), "search").where("cost <= m or cost < m + step")
+        batch = labels.where("open").join(least, "search").join(wanted.drop("r0", "c0", "r1", "c1"), "search").where("cost <= m or cost < m + wave_step")
         batch = written(batch, f"{base}/batch-{wave}")
         if batch.isEmpty():
             break
-        leaving = batch.select("search", F.col("row").alias("r"), F.col("col").alias("c"), F.col("bucket").alias("b0"), F.col("dr").alias("dr0"), F.col("dc").alias("dc0"), F.col("cost").alias("cost0"), F.col("arrive_us").alias("depart_us"), F.col("heading").alias("heading_before"), F.col("depart_us").alias("begin_us"), "horizon_us", "bucket_us", *(f"w_{x}" for x in names))
+        leaving = batch.select("search", F.col("row").alias("r"), F.col("col").alias("c"), F.col("bucket").alias("b0"), F.col("dr").alias("dr0"), F.col("dc").alias("dc0"), F.col("cost").alias("cost0"), F.col("arrive_us").alias("depart_us"), F.col("crossed.heading").alias("heading_before"), F.col("depart_us").alias("begin_us"), "horizon_us", "bucket_us", *(f"w_{x}" for x in names))
         crossed = cross(leaving.join(links, ["r", "c"]), times, vessel, {x: F.col(f"w_{x}") for x in names}, min_confidence, None, max_gap_us, n)
         late = F.col("reject").isNull() & (F.col("arrive_us") - F.col("begin_us") > F.coalesce("horizon_us", F.lit(2**62)))
         crossed = written(crossed.withColumn("reject", F.when(late, "coverage").otherwise(F.col("reject"))).drop("points"), f"{base}/crossed-{wave}")
-        count = crossed.where("reject is not null").select("search", "reject").distinct()
-        rejected = count if rejected is None else rejected.unionByName(count)
-        new = crossed.where("reject is null").select("search", F.col("r2").alias("row"), F.col("c2").alias("col"), F.floor((F.col("arrive_us") - F.col("begin_us")) / F.col("bucket_us")).alias("bucket"), "dr", "dc", (F.col("cost0") + F.col("total_hours")).alias("cost"), "arrive_us", "heading", F.struct(F.col("r").alias("row"), F.col("c").alias("col"), F.col("b0").alias("bucket"), F.col("dr0").alias("dr"), F.col("dc0").alias("dc")).alias("parent"), "km", "hours", F.lit(True).alias("open"))
-        done = labels.join(batch.select(*state, F.lit(False).alias("__rg_o")), state, "left").withColumn("open", F.coalesce("__rg_o", "open")).drop("__rg_o")
-        rest = [c for c in labels.columns if c not in state]
+        seen = written(crossed.where("reject is not null").select("search", "reject").unionByName(seen).distinct(), f"{base}/reject-{wave}")
+        parent = F.struct(F.col("r").alias("row"), F.col("c").alias("col"), F.col("b0").alias("bucket"), F.col("dr0").alias("dr"), F.col("dc0").alias("dc"))
+        new = crossed.where("reject is null").select("search", F.col("r2").alias("row"), F.col("c2").alias("col"), F.floor((F.col("arrive_us") - F.col("begin_us")) / F.col("bucket_us")).alias("bucket"), "dr", "dc", (F.col("cost0") + F.col("total_hours")).alias("cost"), "arrive_us", parent.alias("parent"), F.struct(*CROSSED).alias("crossed"), F.lit(True).alias("open"))
+        done = labels.join(batch.select(*STATE, F.lit(False).alias("__rg_o")), STATE, "left").withColumn("open", F.coalesce("__rg_o", "open")).drop("__rg_o")
+        rest = [c for c in labels.columns if c not in STATE]
         # a settled label stays; among open ones the least cost, arrival and parent wins
         order = F.struct("open", "cost", "arrive_us", "parent")
-        merged = done.select(*labels.columns).unionByName(new).groupBy(*state).agg(F.min_by(F.struct(*rest), order).alias("v"))
-        labels = written(merged.select(*state, "v.*").select(*labels.columns), f"{base}/{wave}")
-    goal = wanted.select("search", F.col("r1").alias("row"), F.col("c1").alias("col"))
-    best = labels.join(goal, ["search", "row", "col"], "left_semi").groupBy("search").agg(F.min_by(F.struct("cost", "arrive_us", "row", "col", "bucket", "dr", "dc"), F.struct("cost", "arrive_us")).alias("g"))
-    seen = rejected.groupBy("search").agg(F.bool_or(F.col("reject") == "error").alias("bad"), F.bool_or(F.col("reject") == "coverage").alias("outside_window")) if rejected is not None else spark.createDataFrame([], "search string, bad boolean, outside_window boolean")
-    status = F.when(F.col("outside") > 0, "error").when(F.col("blocked"), "start blocked").when(F.coalesce("bad", F.lit(False)), "error").when(F.col("g").isNotNull(), "ok").when(F.coalesce("outside_window", F.lit(False)), "no coverage").otherwise("no route")
-    goals = wanted.select("search").join(blocked, "search", "left").join(best, "search", "left").join(seen, "search", "left").select("search", status.alias("status"), F.when(status == "ok", F.col("g")).alias("goal"))
-    return written(goals, f"{base}/goals"), labels
+        merged = done.select(*labels.columns).unionByName(new).groupBy(*STATE).agg(F.min_by(F.struct(*rest), order).alias("v"))
+        labels = written(merged.select(*STATE, "v.*").select(*labels.columns), f"{base}/{wave}")
+    best = labels.join(goal, ["search", "row", "col"], "left_semi").groupBy("search").agg(F.min_by(F.struct(*STATE[1:]), F.struct("cost", "arrive_us", *STATE[1:])).alias("g"))
+    why = seen.groupBy("search").agg(F.bool_or(F.col("reject") == "error").alias("bad"), F.bool_or(F.col("reject") == "coverage").alias("outside"))
+    status = F.when(F.col("start_status") != "ok", F.col("start_status")).when(F.coalesce("bad", F.lit(False)), "error").when(F.col("g").isNotNull(), "ok").when(F.coalesce("outside", F.lit(False)), "no coverage").otherwise("no route")
+    goals = wanted.select("search", "r0", "c0", "depart_us").join(starts, "search").join(best, "search", "left").join(why, "search", "left")
+    return written(goals.select("search", "r0", "c0", "depart_us", status.alias("status"), F.when(status == "ok", F.col("g")).alias("goal")), f"{base}/goals"), labels
 
 
 def wave_steps(goals: DataFrame, labels: DataFrame) -> DataFrame:
-    """Steps of the found routes, walked back from the goals by joins on the parent's state."""
-    base = folder(goals.sparkSession, "wave-steps")
-    keys = ["search", "row", "col", "bucket", "dr", "dc"]
-    at = written(goals.where("status = 'ok'").select("search", F.col("goal.row"), F.col("goal.col"), F.col("goal.bucket"), F.col("goal.dr"), F.col("goal.dc")).withColumn("back", F.lit(0)), f"{base}/0")
+    """Steps of all searches in the form of ``RESULT``: found routes walked back from the goals by joins on the parent's state, one row with the status for the others."""
+    spark = goals.sparkSession
+    base = folder(spark, "wave-steps")
+    at = written(goals.where("status = 'ok'").select("search", *(F.col(f"goal.{c}") for c in STATE[1:])).withColumn("back", F.lit(0)), f"{base}/at-0")
     k = 0
     while True:
-        here = at.join(labels.select(*keys, "cost", "arrive_us", "parent", "km", "hours"), keys)
-        here = written(here, f"{base}/step-{k}")
-        nxt = here.where("parent is not null").select("search", "parent.row", "parent.col", "parent.bucket", "parent.dr", "parent.dc", (F.col("back") + 1).alias("back"))
+        here = written(at.join(labels.drop("open"), STATE), f"{base}/step-{k}")
+        nxt = here.where("parent is not null").select("search", *(F.col(f"parent.{c}") for c in STATE[1:]), (F.col("back") + 1).alias("back"))
         if nxt.isEmpty():
             break
         k += 1
         at = nxt
-    steps = goals.sparkSession.read.schema(here.schema).parquet(*(f"{base}/step-{i}" for i in range(k + 1)))
+    steps = spark.read.schema(here.schema).parquet(*(f"{base}/step-{i}" for i in range(k + 1)))
     last = steps.groupBy("search").agg(F.max("back").alias("n"))
-    return steps.join(last, "search").select("search", (F.col("n") - F.col("back")).alias("step"), "row", "col", F.col("arrive_us").alias("eta_us"), "km", "hours", "cost")
+    names = [x.split()[0] for x in RESULT.split(", ")]
+    found = steps.join(last, "search").select("search", (F.col("n") - F.col("back")).alias("step"), "row", "col", F.col("arrive_us").alias("eta_us"), "crossed.*", "cost", F.lit("ok").alias("status")).select(*names)
+    failed = goals.where("status <> 'ok'").select("search", F.lit(0).alias("step"), F.col("r0").alias("row"), F.col("c0").alias("col"), F.col("depart_us").alias("eta_us"), *(F.lit(None).cast(found.schema[c].dataType).alias(c) for c in names[5:-1]), "status")
+    return found.unionByName(failed)
+
+
+def routes(cube: DataFrame, requests: DataFrame, **options) -> DataFrame:
+    """Route steps of all requests (``RESULT``): by ``kernels`` where a count lets the cube travel, by ``waves`` beyond that."""
+    if cube.limit(CUBE_CELLS + 1).count() <= CUBE_CELLS:
+        return kernels(cube, requests, **options)
+    return wave_steps(*waves(cube, requests, **options))

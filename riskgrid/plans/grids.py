@@ -12,8 +12,8 @@ from riskgrid.operators import grid
 from riskgrid.operators.edges import cross, edge_series, reject_counts as rejects
 from riskgrid.operators.sample import axis_of
 from riskgrid.plans.cubes import event_points
-from riskgrid.plans.registry import CUBE, T0, query
-from riskgrid.sources.cube import table, table_cube
+from riskgrid.plans.registry import CUBE, EDGES, T0, query
+from riskgrid.sources.cube import FRAMES, table, table_cube
 
 
 def sql_km(a: str, x: str, b: str, y: str) -> str:
@@ -159,20 +159,58 @@ def edge_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *shown, F.round(least_cost(d, _W, _VMAX), 6).alias("lower_bound"))
 
 
-def _crossed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cube = table_cube(spark, sf_dir)
-    series = edge_series(cube, grid.edges(grid.nodes(cube)))
-    leaving = series.crossJoin(spark.range(6).select((F.lit(T0) + F.col("id") * F.lit(3_600_000_000)).alias("depart_us"))).withColumn("heading_before", F.lit(None).cast("double"))
-    return cross(leaving, axis_of(cube, "frame", "valid_us"), Vessel(), {k: F.lit(v) for k, v in vars(_W).items()})
+HOUR = 3_600_000_000
+#: Frames of the table cube, and departures of the crossings: a half hour before every frame but the first, and every frame.
+LAST = T0 + (FRAMES - 1) * HOUR
+DEPARTURES = tuple(T0 + k * HOUR // 2 for k in range(2 * FRAMES - 1))
+
+
+def _pass_sql(k: int) -> str:
+    """One refinement of the crossing times: samples of the three points, then the edge's reason, speed and hours."""
+    return f"""t{k} AS (SELECT d.r, d.c, d.dr, d.dc, d.km, d.depart_us, d.x, i, d.depart_us + round_even(h * (i / 2.0::DOUBLE) * {HOUR}, 0)::BIGINT AS t FROM d{k} d, (VALUES (0), (1), (2)) AS p(i)),
+v{k} AS (SELECT t.*, CASE WHEN t < {T0} OR t > {LAST} THEN 'coverage' WHEN a.risk IS NULL OR ((t - {T0}) % {HOUR} <> 0 AND b.risk IS NULL) THEN 'error' ELSE 'ok' END AS status,
+    CASE WHEN (t - {T0}) % {HOUR} = 0 THEN a.risk ELSE a.risk + ((t - {T0}) % {HOUR})::DOUBLE / {HOUR} * (b.risk - a.risk) END AS risk,
+    CASE WHEN (t - {T0}) % {HOUR} = 0 THEN a.hard ELSE a.hard OR b.hard END AS hard,
+    CASE WHEN (t - {T0}) % {HOUR} = 0 THEN a.confidence ELSE least(a.confidence, b.confidence) END AS confidence,
+    CASE WHEN (t - {T0}) % {HOUR} = 0 THEN a.factor ELSE least(a.factor, b.factor) END AS factor
+    FROM t{k} t LEFT JOIN ser a ON a.r = t.r AND a.c = t.c AND a.dr = t.dr AND a.dc = t.dc AND a.i = t.i AND a.frame = (t.t - {T0}) // {HOUR}
+    LEFT JOIN ser b ON b.r = t.r AND b.c = t.c AND b.dr = t.dr AND b.dc = t.dc AND b.i = t.i AND b.frame = (t.t - {T0}) // {HOUR} + 1),
+g{k} AS (SELECT r, c, dr, dc, km, depart_us, any_value(x) AS x0, arg_min(status, i) FILTER (status <> 'ok') AS failed, bool_or(hard) AS hard, min(confidence) AS confidence, min(factor) AS factor,
+    max(risk) AS max_risk, (sum(CASE WHEN i = 1 THEN risk ELSE risk / 2 END)) / 2 AS risk, count(*) FILTER (status = 'ok') AS n_ok FROM v{k} GROUP BY 1, 2, 3, 4, 5, 6),
+d{k + 1} AS (SELECT r, c, dr, dc, km, depart_us, risk, max_risk, confidence, least(15.7::DOUBLE, 10 * factor) AS knots, km / (least(15.7::DOUBLE, 10 * factor) * 1.852::DOUBLE) AS h,
+    coalesce(x0, failed, CASE WHEN hard THEN 'hard' WHEN confidence < 0.1::DOUBLE THEN 'risk' WHEN factor <= 0 OR factor > 1 OR factor < 0.2::DOUBLE OR 10 * factor < 3 THEN 'speed' END) AS x FROM g{k})"""
+
+
+#: Values of the three points of every edge in every frame.
+SERIES = f"""parts AS (SELECT e.*, i, a, b, CASE WHEN dr = 0 THEN 1.0::DOUBLE WHEN a = 1 THEN i / 2.0::DOUBLE ELSE 1 - i / 2.0::DOUBLE END * CASE WHEN dc = 0 THEN 1.0::DOUBLE WHEN b = 1 THEN i / 2.0::DOUBLE ELSE 1 - i / 2.0::DOUBLE END AS w
+    FROM e, (VALUES (0), (1), (2)) AS p(i), (VALUES (0), (1)) AS q(a), (VALUES (0), (1)) AS u(b) WHERE (dr <> 0 OR a = 0) AND (dc <> 0 OR b = 0)),
+ser AS (SELECT r, c, dr, dc, i, f AS frame, CASE WHEN count(*) = count(risk) THEN round(sum(w * risk), 9) WHEN bool_or(hard) THEN 1.0::DOUBLE END AS risk, coalesce(bool_or(hard), false) AS hard, min(confidence) AS confidence, min(coalesce(factor, 1.0::DOUBLE)) AS factor
+    FROM (SELECT * FROM parts, range({FRAMES}) AS fr(f) WHERE w > 0) p LEFT JOIN cube ON frame = f AND "row" = r + dr * a AND col = c + dc * b GROUP BY 1, 2, 3, 4, 5, 6)"""
+
+_CROSSED_SQL = f"""WITH {CUBE}, {EDGES}, {SERIES},
+d1 AS (SELECT r, c, dr, dc, km, unnest({list(DEPARTURES)}) AS depart_us, km / {Vessel().calm_kmh}::DOUBLE AS h, NULL::VARCHAR AS x FROM e),
+{_pass_sql(1)}, {_pass_sql(2)},
+out AS (SELECT *, {_W.time}::DOUBLE * h + {_W.risk}::DOUBLE * (h * risk) + {_W.distance}::DOUBLE * (km / {_VMAX}::DOUBLE) + {_W.uncertainty}::DOUBLE * (h * (1 - confidence)) AS total FROM d3)"""
+
+
+def crossed(spark: SparkSession, sf_dir: str, cube: DataFrame | None = None) -> DataFrame:
+    """Every edge of the table cube crossed at every whole and half hour."""
+    cube = cube if cube is not None else table_cube(spark, sf_dir)
+    times = axis_of(cube, "frame", "valid_us")
+    series = edge_series(cube, grid.edges(grid.nodes(cube)), len(times))
+    leaving = series.withColumn("depart_us", F.explode(F.array(*(F.lit(t).cast("long") for t in DEPARTURES)))).withColumn("heading_before", F.lit(None).cast("double"))
+    return cross(leaving, times, Vessel(), {k: F.lit(v) for k, v in vars(_W).items()})
+
+
+_SHOWN = {"hours": "h", "knots": "knots", "risk": "risk", "max_risk": "max_risk", "confidence": "confidence", "total_hours": "total"}
 
 
-@query()
+@query(f"{_CROSSED_SQL} SELECT r, c, dr, dc, depart_us, x AS reject, {', '.join(f'CASE WHEN x IS NULL THEN round({v}, 6) END AS {k}' for k, v in _SHOWN.items())} FROM out")
 def edge_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every edge crossed at every whole hour; checked against the search's own arithmetic by test."""
-    shown = ("hours", "knots", "risk", "max_risk", "confidence", "total_hours")
-    return _crossed(spark, sf_dir).select("r", "c", "dr", "dc", "depart_us", "reject", *(F.when(F.col("reject").isNull(), F.round(x, 6)).alias(x) for x in shown))
+    """Every edge crossed at every whole and half hour; a test holds it against the search's own arithmetic too."""
+    return crossed(spark, sf_dir).select("r", "c", "dr", "dc", "depart_us", "reject", *(F.when(F.col("reject").isNull(), F.round(x, 6)).alias(x) for x in _SHOWN))
 
 
-@query()
+@query(f"{_CROSSED_SQL} SELECT depart_us, coalesce(x, 'none') AS reject, count(*) AS n FROM out GROUP BY 1, 2")
 def reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rejects(_crossed(spark, sf_dir), ["depart_us"])
+    return rejects(crossed(spark, sf_dir), ["depart_us"])

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgrid.functions.motion import OBJECTIVES
+from riskgrid.functions.motion import OBJECTIVES, Vessel, Weights
 from riskgrid.operators import grid, layers, routes, search
 from riskgrid.operators.shared import folder, written
-from riskgrid.plans.registry import T0, query
+from riskgrid.plans.grids import SERIES
+from riskgrid.plans.registry import CUBE, EDGES, T0, query
 from riskgrid.sources.cube import analytic_cube, table, table_cube
 
 HOUR = 3_600_000_000
@@ -33,17 +34,50 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return each.withColumn("search", F.concat_ws("/", "id", "objective")).drop("id")
 
 
+#: Policy of the searches over a cube that stands still: no turns, so a recursive query over nodes can find them.
+STILL = Weights(0.85, 1.3, 0.08, 0.0, 0.45)
+#: Frames three hours apart, enough for any voyage of this grid; a search that finds none goes round until they end.
+STILL_FRAMES = 9
+
+
+@query(f"""WITH RECURSIVE {CUBE}, {EDGES}, {SERIES},
+still AS (SELECT r, c, dr, dc, bool_or(hard) AS hard, min(confidence) AS confidence, min(factor) AS factor, sum(CASE WHEN i = 1 THEN risk ELSE risk / 2 END) / 2 AS risk FROM ser WHERE frame = 0 GROUP BY 1, 2, 3, 4),
+open AS (SELECT r, c, r2, c2, km / (least(15.7::DOUBLE, 10 * factor) * 1.852::DOUBLE) AS h, risk, confidence, km FROM still JOIN e USING (r, c, dr, dc) WHERE NOT hard AND confidence >= 0.1::DOUBLE AND factor >= 0.3::DOUBLE),
+cost AS (SELECT r, c, r2, c2, {STILL.time}::DOUBLE * h + {STILL.risk}::DOUBLE * (h * risk) + {STILL.distance}::DOUBLE * (km / {Vessel().maximum_kmh}::DOUBLE) + {STILL.uncertainty}::DOUBLE * (h * (1 - confidence)) AS cost FROM open),
+q AS (SELECT n_nationkey AS id, (n_nationkey * 5 % 12)::INT AS r0, (n_nationkey % 10)::INT AS c0, (n_nationkey * 7 % 12)::INT AS r1, (n_nationkey * 3 % 10)::INT AS c1 FROM nation),
+s AS (SELECT q.*, hard FROM q JOIN cube ON frame = 0 AND "row" = r0 AND col = c0),
+w AS (SELECT 0 AS step, id, r0 AS r, c0 AS c, 0.0::DOUBLE AS cost FROM s WHERE NOT hard
+    UNION ALL SELECT step + 1, id, r, c, min(cost) FROM (SELECT step, id, r, c, cost FROM w UNION ALL SELECT step, id, r2, c2, w.cost + x.cost FROM w JOIN cost x USING (r, c)) WHERE step < 60 GROUP BY 1, 2, 3, 4)
+SELECT 'search-' || s.id AS search, CASE WHEN s.hard THEN 'start blocked' WHEN w.cost IS NOT NULL THEN 'ok' WHEN EXISTS (SELECT 1 FROM cost x WHERE x.r = r0 AND x.c = c0) THEN 'no coverage' ELSE 'no route' END AS status, round(w.cost, 6) AS cost FROM s LEFT JOIN (SELECT * FROM w WHERE step = 60) w ON w.id = s.id AND w.r = r1 AND w.c = c1""".replace("s AS (SELECT (l_linenumber", "sums AS (SELECT (l_linenumber").replace("FROM s),", "FROM sums),").replace("AS factor FROM s)", "AS factor FROM sums)"))
+def route_static(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A voyage for every nation over the first frame of the table cube, standing still: status and cost."""
+    cube = table_cube(spark, sf_dir).where("frame = 0").drop("frame", "valid_us").withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(STILL_FRAMES - 1))))
+    cube = cube.withColumn("valid_us", F.lit(T0) + F.col("frame") * F.lit(3 * HOUR))
+    k = F.col("n_nationkey")
+    wanted = table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("search-"), k.cast("string")).alias("search"),
+        F.lit("still").alias("objective"),
+        *(F.pmod(k * m, F.lit(n)).cast("int").alias(c) for c, m, n in (("r0", 5, 12), ("c0", 1, 10), ("r1", 7, 12), ("c1", 3, 10))),
+        F.lit(T0).cast("long").alias("depart_us"),
+        F.lit(None).cast("long").alias("horizon_us"),
+        F.lit(HOUR).cast("long").alias("bucket_us"),
+    )
+    steps = search.routes(cube, wanted, objectives={"still": STILL})
+    out = steps.groupBy("search").agg(F.first("status").alias("status"), F.max("cost").alias("cost"))
+    return out.select("search", "status", F.round("cost", 6).alias("cost"))
+
+
 @query()
 def route_3obj(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status, cost, distance and hours of every search."""
-    steps = search.kernels(table_cube(spark, sf_dir), requests(spark, sf_dir))
+    steps = search.routes(table_cube(spark, sf_dir), requests(spark, sf_dir))
     out = steps.groupBy("search").agg(F.first("status").alias("status"), F.max("cost").alias("cost"), F.sum("km").alias("km"), F.sum("hours").alias("hours"))
     return out.select("search", "status", *(F.round(c, 6).alias(c) for c in ("cost", "km", "hours")))
 
 
 def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     cube = table_cube(spark, sf_dir)
-    steps = written(search.kernels(cube, requests(spark, sf_dir)).where("status = 'ok'"), folder(spark, "routes") + "/steps")
+    steps = written(search.routes(cube, requests(spark, sf_dir)).where("status = 'ok'"), folder(spark, "routes") + "/steps")
     return steps, cube
 
 
