@@ -17,8 +17,10 @@ from riskgrid.operators.shared import shared_dir
 #: Bytes that an explicit broadcast may carry, and what a 64-bit id takes in one (a row of a hashed relation).
 BROADCAST_BYTES = 32 << 20
 ID_BYTES = 32
-#: Rows that a Python function sees at a time, and rows of a Parquet row group in bytes: both bound a task's memory.
+#: Rows that a Python function sees at a time, rows of an Arrow batch, and bytes of a Parquet row group: they bound a task's memory.
 AT_ONCE = 256
+BATCH_ROWS = 1024
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 ROW_GROUP = 16 << 20
 
 
@@ -64,6 +66,12 @@ def semi_by_id(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFram
 Columns = dict[str, list]
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Hand texts to Python ``BATCH_ROWS`` rows at a time: Spark's own default of 10,000 can be a gigabyte of long texts. A session that sets its own number keeps it."""
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def by_rows(df: DataFrame, make: Callable[[], Callable[[Columns], Iterator[dict[str, Any]]]], fields: str, at_once: int = AT_ONCE) -> DataFrame:
     """Rows made by a Python function of few rows at a time, in one pass without a shuffle.
 
@@ -71,6 +79,7 @@ def by_rows(df: DataFrame, make: Callable[[], Callable[[Columns], Iterator[dict[
     values and yields columns of the result. Values travel as Arrow columns:
     64-bit ids stay exact beside nulls.
     """
+    short_batches(df.sparkSession)
     schema = to_arrow_schema(StructType.fromDDL(fields))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,15 +1,15 @@
 """Benchmark decontamination by spaced seeds.
 
 Every window of ``SPAN`` words of a benchmark item is hashed under a few fixed
-masks, each of which looks at ``WEIGHT`` of the positions and ignores the
-others; so a window with replaced words still meets its copy under a mask that
+masks, each of which looks at eight of the positions and ignores the others; so a window with replaced words still meets its copy under a mask that
 skips them. The windows of all documents are hashed alike and joined with the
 item windows. Items of ``SPAN`` to ``SHORT`` words have few such windows, so
 runs of four words (three in items of 15) are seeds too: whatever fifth of the
 words is replaced, such a run is left. A hit fixes which item word stands at
-which document word; the overlap is the longest span around it that is alike
-enough (``MIN_SHARE``), cut back to equal words at both ends, and it counts if
-it is long enough (``MIN_WORDS``). An item that stands there whole counts whole.
+which document word, a diagonal; its overlap is the longest span on it that is
+alike enough (``MIN_SHARE``), cut back to equal words at both ends, and it
+counts if it is long enough (``MIN_WORDS``). An item that stands there whole
+counts whole. Of all overlaps of a text and an item the best is given.
 
 The items are a stated query set: their seeds travel to the executors in
 blocks of at most ``BLOCK_WORDS`` words (about 90 MB with four masks), one
@@ -19,8 +19,10 @@ task or driver holds more than a block. Each document is matched whole.
 Defined cases: a null or empty text has no window and no overlap; a null or
 empty item matches nothing; an item with a null id is matched as any other and
 reported with a null item_id; an item shorter than a window matches where all
-its words stand in a row; repeated rows are matched each time; an empty
-benchmark leaves every document clean. Columns besides doc_id and text
+its words stand in a row; words that repeat in an item or a text are matched
+as any others; very long texts are matched whole; repeated rows are matched
+each time; ids of any size stay exact; an empty benchmark leaves every
+document clean. Columns besides doc_id and text
 (documents), item_id and text (items) are never read, and may clash.
 """
 
@@ -34,6 +36,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from riskgrid.llm.common import Columns, by_rows, short_batches
 from riskgrid.llm.tokens import batch_hashes, groups_of
 
 #: 1: the position counts; 0: any word may stand there.
@@ -46,6 +49,8 @@ MIN_SHARE = 0.8
 #: Items of up to so many words have runs of words as further seeds.
 SHORT = 30
 BLOCK_WORDS = 1_000_000
+#: Hits that are made at a time.
+HITS = 1 << 20
 
 SCHEMA = "doc_id bigint, item_id bigint, doc_start int, doc_end int, item_start int, n_equal int, share double"
 
@@ -89,82 +94,79 @@ class Seeds:
             self.tables.append((mask, h, at, filled))
         self.item = item
 
-    def hits(self, words: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Word positions of documents and of items at which windows agree."""
+    def diagonals(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(shift, item word) of the distinct diagonals on which windows agree: shift is the document's word less the item's, item word the first word of the item.
+
+        Repeated words make as many hits as windows times windows, but no more
+        diagonals than windows; so hits are made ``HITS`` at a time and only
+        their diagonals are kept.
+        """
+        out = np.zeros(0, np.int64)
+        width = len(self.words) + 1
         for mask, h, at, filled in self.tables:
             own = window_hashes(words, mask)
             found = np.flatnonzero(filled[own >> np.uint64(44)])
-            lo, hi = np.searchsorted(h, own[found], "left"), np.searchsorted(h, own[found], "right")
-            n = hi - lo
-            if n.any():
-                doc = np.repeat(found, n)
-                k = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
-                yield doc, at[k]
-
-
-def _longest(equal: np.ndarray, at: int) -> tuple[int, int]:
-    """The longest span with position ``at`` (an equal word) of which a share of ``MIN_SHARE`` is equal; ends are exclusive."""
+            lo, n = np.searchsorted(h, own[found], "left"), np.searchsorted(h, own[found], "right")
+            n -= lo
+            found, lo, n = found[n > 0], lo[n > 0], n[n > 0]
+            begin = 0
+            total = np.cumsum(n)
+            while begin < len(found):
+                end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + HITS, "right")))
+                m = n[begin:end]
+                doc = np.repeat(found[begin:end], m)
+                q = at[np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m) + np.repeat(lo[begin:end], m)]
+                out = np.union1d(out, (doc - q + len(self.words)) * width + self.first[self.item[q]])
+                begin = end
+        return out // width - len(self.words), out % width
+
+
+def longest(equal: np.ndarray) -> tuple[int, int]:
+    """The longest span (end exclusive, the leftmost of equally long ones) of which a share of ``MIN_SHARE`` is equal."""
     total = np.r_[0, np.cumsum(np.where(equal, 1, -4))]  # equal to 0.8 or more: the sum is not negative
-    after = np.maximum.accumulate(total[: at : -1])  # best sum at an end so far right or farther
-    ends = len(equal) - np.searchsorted(after, total[: at + 1], "left")
-    s = int(np.where(ends > at, ends - np.arange(at + 1), 0).argmax())  # no end: ends == at
+    after = np.maximum.accumulate(total[::-1])  # best sum at an end so far right or farther
+    ends = len(equal) - np.searchsorted(after, total, "left")
+    s = int((ends - np.arange(len(total))).argmax())
     return s, int(ends[s])
 
 
-def _alike(seeds: Seeds, words: np.ndarray, first: np.ndarray, text: np.ndarray, doc: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Whether a hit's text and item can have an overlap: for short items by the number of equal words on its diagonal."""
-    item = seeds.item[q]
-    start, end = seeds.first[item], seeds.first[item + 1]
-    out = end - start > SHORT
-    out |= end - start < SPAN
-    k = np.arange(SHORT)
-    todo = np.flatnonzero(~out)
-    for part in np.array_split(todo, len(todo) // (1 << 16) + 1):
-        a = start[part, None] + k
-        b = a + (doc[part] - q[part])[:, None]
-        inside = (a < end[part, None]) & (b >= first[text[part], None]) & (b < first[text[part] + 1, None])
-        same = inside & (words[np.clip(b, 0, len(words) - 1)] == seeds.words[np.minimum(a, len(seeds.words) - 1)])
-        out[part] = same.sum(axis=1) >= MIN_SHARE * np.minimum(MIN_WORDS, end[part] - start[part])
-    return out
-
-
 def overlaps(seeds: Seeds, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, int, int]]:
-    """(text, item, first word, word after the last, first item word, equal words) of every overlap."""
+    """(text, item, first word, word after the last, first item word, equal words) of the best overlap of every text and item that have one.
+
+    The best has most equal words, then fewest others, then starts first.
+    """
     words, first = batch_hashes(texts)
-    pairs = [np.stack([d, q]) for d, q in seeds.hits(words)]
-    if not pairs:
+    shift, begin = seeds.diagonals(words)
+    if not len(shift):
         return
-    doc, q = np.concatenate(pairs, axis=1)
-    text = np.searchsorted(first, doc, "right") - 1
-    alike = _alike(seeds, words, first, text, doc, q)
-    doc, q, text = doc[alike], q[alike], text[alike]
-    item = seeds.item[q]
-    order = np.lexsort((doc, doc - q, item, text))
-    done = None
-    for i in order:
-        t, k, shift = int(text[i]), int(item[i]), int(doc[i]) - int(q[i])
-        at = int(doc[i])
-        if done and done[:3] == (t, k, shift) and at < done[3]:
-            continue
-        lo = max(int(first[t]), int(seeds.first[k]) + shift)
-        hi = min(int(first[t + 1]), int(seeds.first[k + 1]) + shift)
-        if at + 1 > hi or at < lo:
-            continue
-        equal = words[lo:hi] == seeds.words[lo - shift : hi - shift]
-        if not equal[at - lo]:  # equal hashes of unequal windows
-            continue
-        whole, n_item = hi - lo, int(seeds.first[k + 1] - seeds.first[k])
-        s, e = _longest(equal, at - lo)
-        if whole == n_item and equal.sum() >= MIN_SHARE * n_item:
-            s, e = 0, whole
-        inner = np.flatnonzero(equal[s:e])
-        if inner[-1] + 1 - inner[0] >= min(MIN_WORDS, n_item) or e - s < n_item:
-            s, e = s + int(inner[0]), s + int(inner[-1]) + 1
-        n_equal = int(equal[s:e].sum())
-        s, e = s + lo, e + lo
-        if e - s >= min(MIN_WORDS, n_item):
-            done = (t, k, shift, e)
-            yield t, k, s - int(first[t]), e - int(first[t]), s - shift - int(seeds.first[k]), n_equal
+    best: dict[tuple[int, int], tuple] = {}
+    item = np.searchsorted(seeds.first, begin, "right") - 1
+    # a diagonal runs through every text that the item reaches on it
+    low, high = shift + begin, shift + seeds.first[item + 1]
+    from_, to = np.searchsorted(first, np.maximum(low, 0), "right") - 1, np.searchsorted(first, np.minimum(high, len(words)), "left")
+    for k, move, t0, t1 in zip(item.tolist(), shift.tolist(), from_.tolist(), to.tolist(), strict=True):
+        start, end = int(seeds.first[k]), int(seeds.first[k + 1])
+        n_item = end - start
+        for t in range(t0, t1):
+            lo, hi = max(int(first[t]), start + move), min(int(first[t + 1]), end + move)
+            if hi <= lo:
+                continue
+            equal = words[lo:hi] == seeds.words[lo - move : hi - move]
+            n_equal = int(equal.sum())
+            if n_equal < MIN_SHARE * min(MIN_WORDS, n_item) or n_equal <= best.get((t, k), (0,))[0] - 1:
+                continue
+            s, e = (0, hi - lo) if hi - lo == n_item and n_equal >= MIN_SHARE * n_item else longest(equal)
+            inner = np.flatnonzero(equal[s:e])
+            if not len(inner):
+                continue
+            if inner[-1] + 1 - inner[0] >= min(MIN_WORDS, n_item) or e - s < n_item:
+                s, e = s + int(inner[0]), s + int(inner[-1]) + 1
+            if e - s < min(MIN_WORDS, n_item):
+                continue
+            found = (int(equal[s:e].sum()), s - e, -(s + lo), e + lo, s + lo - move - start)
+            best[t, k] = max(found, best.get((t, k), found))
+    for (t, k), (n_equal, _, s, e, at) in sorted(best.items()):
+        yield t, k, -s - int(first[t]), e - int(first[t]), at, n_equal
 
 
 def blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[int | None, str | None]]]:
@@ -182,34 +184,31 @@ def blocks(items: DataFrame, block_words: int = BLOCK_WORDS) -> Iterator[list[tu
 
 
 def contaminated(docs: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row for each overlap of a document with an item; positions count words from 0, ends are exclusive.
-
-    The same overlap of the same rows is given once for each document row.
-    """
+    """One row for each document row and item that overlap, with their best overlap; positions count words from 0, ends are exclusive."""
     spark = docs.sparkSession
     out = None
     for block in blocks(items, block_words):
         shared = spark.sparkContext.broadcast(Seeds(block))
 
-        def match(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def make(shared=shared):
             seeds = shared.value
-            for pdf in batches:
-                ids, texts = pdf["doc_id"].tolist(), pdf["text"].tolist()
-                rows = []
-                for a, b in groups_of(texts):
-                    for t, k, s, e, i, n in overlaps(seeds, texts[a:b]):
-                        rows.append((ids[a + t], seeds.ids[k], s, e, i, n, n / (e - s)))
-                out = pd.DataFrame(rows, columns=["doc_id", "item_id", "doc_start", "doc_end", "item_start", "n_equal", "share"])
-                yield out.assign(item_id=pd.array([r[1] for r in rows], dtype="Int64"))
-
-        found = docs.select("doc_id", "text").mapInPandas(match, SCHEMA)
-        out = found if out is None else out.unionByName(found)
+
+            def match(rows: Columns) -> Iterator[dict]:
+                ids, texts = rows["doc_id"], rows["text"]
+                found = [(ids[a + t], seeds.ids[k], s, e, i, n, n / (e - s)) for a, b in groups_of(texts) for t, k, s, e, i, n in overlaps(seeds, texts[a:b])]
+                yield dict(zip((x.split()[0] for x in SCHEMA.split(", ")), zip(*found, strict=True), strict=True)) if found else {x.split()[0]: [] for x in SCHEMA.split(", ")}
+
+            return match
+
+        part = by_rows(docs.select("doc_id", "text"), make, SCHEMA)
+        out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], SCHEMA) if out is None else out
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The rows without any overlap, columns as they are; decided row by row, so nothing is shuffled."""
     spark = docs.sparkSession
+    short_batches(spark)
     for block in blocks(items, block_words):
         docs = docs.where(_clean(spark.sparkContext.broadcast(Seeds(block)))("text"))
     return docs

@@ -34,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgrid.llm.common import Columns, by_rows, semi_by_id
+from riskgrid.llm.common import Columns, by_rows, semi_by_id, short_batches
 
 #: 64-bit odd multiplier (2**64 / golden ratio) for multiplicative hashing.
 GOLDEN = 0x9E3779B97F4A7C15
@@ -254,6 +254,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, features: Feat
 
 def score_column(spark: SparkSession, model: Model, text: str = "text") -> Column:
     """The score of a text column, as a column; the model travels as one broadcast."""
+    short_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")

@@ -46,7 +46,7 @@ NARROW = 24
 #: Differing bits by depth: 2 in the first 24, then one more every four bits.
 BUDGETS = tuple(2 if d <= NARROW else 2 + (d - NARROW) // 4 for d in range(65))
 #: Words that share a task, and the depth at which tries are cut at most.
-LEAVES, BITS = 1 << 18, 10
+LEAVES, BITS = 1 << 17, 10
 #: Differing bits of all words beyond which no similar pair lies: its mean and five standard errors.
 FAR = 213
 

@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskgrid.llm.common import frozen, perhaps_broadcast
+from riskgrid.llm.common import frozen, perhaps_broadcast, short_batches
 from riskgrid.llm.components import components
 
 SHINGLE = 3
@@ -43,7 +43,7 @@ LEAVES = 1 << 16
 #: Depth at which subtrees become tasks at least, and at most.
 MIN_BITS, TOP_BITS = 2, 16
 #: Node pairs that are followed at a time.
-CHUNK = 1 << 18
+CHUNK = 1 << 14
 #: Most differing bits of a pair of nodes, by their depth 0 to 64.
 Budgets = tuple[int, ...]
 
@@ -265,6 +265,7 @@ def links(distinct: DataFrame, budget: int = BUDGET, leaves: int = LEAVES) -> Da
 
 def near_duplicates(docs: DataFrame, budget: int = BUDGET, shingle: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id (smallest id reachable) of every row."""
+    short_batches(docs.sparkSession)
     prints = frozen(docs.select("doc_id", fingerprint_column("text", shingle).alias("fp")), "simhash-prints")
     distinct = frozen(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-distinct")
     roots = components(frozen(links(distinct, budget), "simhash-links"), "simhash-components")

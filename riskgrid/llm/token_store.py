@@ -56,7 +56,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from riskgrid.llm.common import AT_ONCE, Columns, by_rows, fresh_path, perhaps_broadcast
+from riskgrid.llm.common import AT_ONCE, Columns, by_rows, fresh_path, perhaps_broadcast, short_batches
 
 MAGIC = b"DAC1"
 BLOCK_IDS = 1 << 18
@@ -249,6 +249,7 @@ BLOCKS = "shard int, block int, n_docs bigint, n_ids bigint, payload binary"
 
 def blocks(docs: DataFrame, tokenizer: str, end_id: int | None, block_ids: int = BLOCK_IDS) -> DataFrame:
     """The encoded blocks, dealt out by ranges of (doc_id, hash of the text)."""
+    short_batches(docs.sparkSession)
     schema = to_arrow_schema(StructType.fromDDL(BLOCKS))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
