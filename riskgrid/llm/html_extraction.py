@@ -23,24 +23,15 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from riskgrid.llm.html_blocks import Block, blocks
+from riskgrid.llm.common import Columns, by_rows
+from riskgrid.llm.html_blocks import ROOT, Block, Element, blocks
 from riskgrid.llm.html_training import labelled_pages
 
 PAGES, STEPS, RATE, DECAY = 900, 150, 0.15, 1e-3
 
 
-def above_features(above: tuple[tuple[str, str], ...]) -> list[str]:
-    out = [f"in={t}" for t in {t for t, _ in above}]
-    out += [f"named={w}" for w in {w for _, ws in above for w in ws.split()}]
-    inner = [t for t, _ in above if t not in ("a", "b", "i", "em", "strong", "span", "u", "small", "font", "code")]
-    out.append(f"leaf={inner[-1] if inner else ''}")
-    out.append(f"path={'/'.join(inner[-2:])}")
-    return out
-
-
 def text_features(b: Block) -> list[str]:
     n = len(b.text)
     words = b.text.split(" ", 40)
@@ -61,17 +52,21 @@ class Chain:
 
     def __init__(self, weight: dict[str, float], step: np.ndarray, bias: float):
         self.weight, self.step, self.bias = weight, step.tolist(), bias
-        self.memo: dict[tuple, float] = {}
 
     def unary(self, page: list[Block]) -> list[float]:
+        """Score of label 1 for each block; an element's part is its parent's and that of its own features."""
         get, out = self.weight.get, []
+        known: dict[Element, float] = {ROOT: self.bias}
         for k, b in enumerate(page):
-            above = self.memo.get(b.above)
-            if above is None:
-                above = sum(get(f, 0.0) for f in above_features(b.above))
-                if len(self.memo) < 50_000:
-                    self.memo[b.above] = above
-            out.append(self.bias + above + sum(get(f, 0.0) for f in text_features(b)) + sum(get(f, 0.0) for f in place_features(k, len(page))))
+            at, chain = b.above, []
+            while at not in known:
+                chain.append(at)
+                at = at.parent
+            score = known[at]
+            for at in reversed(chain):
+                score += sum(get(f, 0.0) for f in at.fresh)
+                known[at] = score
+            out.append(score + sum(get(f, 0.0) for f in b.above.place()) + sum(get(f, 0.0) for f in text_features(b)) + sum(get(f, 0.0) for f in place_features(k, len(page))))
         return out
 
     def labels(self, page: list[Block]) -> list[int]:
@@ -93,6 +88,30 @@ class Chain:
         return out[::-1]
 
 
+def marginals(unary: np.ndarray, step: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Probability of label 1 of every block, expected number of each step, and log partition sum of each chain, by forward and backward sums over all chains at once."""
+    n, longest, log = len(sizes), int(sizes.max()), np.logaddexp
+    begin = np.cumsum(sizes) - sizes
+    cell = np.arange(longest)[None, :] < sizes[:, None]
+    u = np.where(cell, unary[np.where(cell, begin[:, None] + np.arange(longest)[None, :], 0)], 0.0)
+    fwd = np.zeros((longest, n, 2))
+    fwd[0, :, 1] = u[:, 0]
+    for t in range(1, longest):
+        nxt = log(fwd[t - 1][:, :1] + step[0], fwd[t - 1][:, 1:] + step[1])
+        nxt[:, 1] += u[:, t]
+        fwd[t] = np.where(cell[:, t : t + 1], nxt, fwd[t - 1])
+    total = log(fwd[-1][:, 0], fwd[-1][:, 1])
+    bwd = np.zeros((longest, n, 2))
+    expected = np.zeros((2, 2))
+    for t in range(longest - 2, -1, -1):
+        ahead = bwd[t + 1] + np.stack([np.zeros(n), u[:, t + 1]], axis=1)
+        pair = step[None] + ahead[:, None, :]
+        bwd[t] = np.where(cell[:, t + 1 : t + 2], log(pair[:, :, 0], pair[:, :, 1]), 0.0)
+        joint = np.exp(fwd[t][:, :, None] + pair - total[:, None, None])
+        expected += joint[cell[:, t + 1]].sum(axis=0)
+    return np.exp(fwd[:, :, 1] + bwd[:, :, 1] - total[None]).T[cell], expected, total
+
+
 def fit(pages: list[list[tuple[Block, int]]], steps: int = STEPS) -> Chain:
     """Maximise the penalised likelihood of labelled pages."""
     index: dict[str, int] = {}
@@ -101,7 +120,7 @@ def fit(pages: list[list[tuple[Block, int]]], steps: int = STEPS) -> Chain:
     listed = []
     for page in pages:
         for k, (b, _) in enumerate(page):
-            fs = list(dict.fromkeys(above_features(b.above) + text_features(b) + place_features(k, len(page))))
+            fs = list(dict.fromkeys(b.above.features() + text_features(b) + place_features(k, len(page))))
             listed.append(fs)
             for f in fs:
                 count[f] = count.get(f, 0) + 1
@@ -113,40 +132,18 @@ def fit(pages: list[list[tuple[Block, int]]], steps: int = STEPS) -> Chain:
     rows, cols = np.array(rows), np.array(cols)
     y = np.array([v for page in pages for _, v in page])
     sizes = np.array([len(p) for p in pages])
-    longest, n = int(sizes.max()), len(pages)
-    at = np.cumsum(sizes) - sizes
-    cell = np.arange(longest)[None, :] < sizes[:, None]
-    slot = np.where(cell, at[:, None] + np.arange(longest)[None, :], 0)
     gold_steps = np.zeros((2, 2))
     for page in pages:
         for (_, a), (_, b) in zip(page, page[1:], strict=False):
             gold_steps[a, b] += 1
     theta = np.zeros(len(index) + 5)  # weights, bias, steps
     m, v = np.zeros_like(theta), np.zeros_like(theta)
-    log = np.logaddexp
     for turn in range(1, steps + 1):
         w, bias, step = theta[: len(index)], theta[len(index)], theta[len(index) + 1 :].reshape(2, 2)
-        unary = np.bincount(rows, w[cols], len(y)) + bias
-        u = np.where(cell, unary[slot], 0.0)
-        fwd = np.zeros((longest, n, 2))
-        fwd[0, :, 1] = u[:, 0]
-        for t in range(1, longest):
-            nxt = log(fwd[t - 1][:, :1] + step[0], fwd[t - 1][:, 1:] + step[1])
-            nxt[:, 1] += u[:, t]
-            fwd[t] = np.where(cell[:, t : t + 1], nxt, fwd[t - 1])
-        total = log(fwd[-1][:, 0], fwd[-1][:, 1])
-        bwd = np.zeros((longest, n, 2))
-        expected = np.zeros((2, 2))
-        for t in range(longest - 2, -1, -1):
-            ahead = bwd[t + 1] + np.stack([np.zeros(n), u[:, t + 1]], axis=1)
-            pair = step[None] + ahead[:, None, :]
-            bwd[t] = np.where(cell[:, t + 1 : t + 2], log(pair[:, :, 0], pair[:, :, 1]), 0.0)
-            joint = np.exp(fwd[t][:, :, None] + pair - total[:, None, None])
-            expected += joint[cell[:, t + 1]].sum(axis=0)
-        p1 = np.exp(fwd[:, :, 1] + bwd[:, :, 1] - total[None]).T[cell]
+        p1, expected, _ = marginals(np.bincount(rows, w[cols], len(y)) + bias, step, sizes)
         rest = y - p1
         gradient = np.concatenate([np.bincount(cols, rest[rows], len(index)), [rest.sum()], (gold_steps - expected).ravel()]) / len(y)
-        gradient -= DECAY * theta / len(y) * n
+        gradient -= DECAY * theta / len(y) * len(pages)
         m = 0.9 * m + 0.1 * gradient
         v = 0.99 * v + 0.01 * gradient**2
         theta += RATE * (m / (1 - 0.9**turn)) / (np.sqrt(v / (1 - 0.99**turn)) + 1e-8)
@@ -168,10 +165,13 @@ def extract(pages: DataFrame, chain: Chain | None = None) -> DataFrame:
     """page_id, url, text and n_chars (code points) of every row."""
     shared = pages.sparkSession.sparkContext.broadcast(chain or trained())
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         chain = shared.value
-        for pdf in batches:
-            texts = [main_text(h, chain) for h in pdf["html"]]
-            yield pd.DataFrame({"page_id": pdf["page_id"].astype("Int64"), "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
-    return pages.select("page_id", "url", "html").mapInPandas(run, "page_id bigint, url string, text string, n_chars bigint")
+        def work(rows: Columns) -> Iterator[dict]:
+            texts = [main_text(h, chain) for h in rows["html"]]
+            yield {"page_id": rows["page_id"], "url": rows["url"], "text": texts, "n_chars": [len(t) for t in texts]}
+
+        return work
+
+    return by_rows(pages.select("page_id", "url", "html"), make, "page_id bigint, url string, text string, n_chars bigint", at_once=64)

@@ -10,13 +10,16 @@ When every cut is within the tolerance, or its interval cannot be parted, each
 row's interval is known from its key alone, rows are exchanged once by
 interval, and a row's slot is its rank in the interval plus the exact count of
 rows before it in its shard. Intervals are many more than shards and bounded
-in rows, so no task holds a shard or all copies of a text.
+in rows, so no task holds a shard or all copies of a text; only rows that
+agree in text and id (and, if the id is null, in all columns) can't be parted.
 
 Rounds read a written table of keys (24 bytes a row), not the texts.
 
-Defined cases: a null text counts as empty (size 1); repeated rows share a key
-and stand next to each other in any order; null ids come first; an empty table
-gives no rows; extra columns stay.
+Defined cases: a null text counts as empty (size 1); very long texts count as
+they are; repeated rows share a key and stand next to each other, in the order
+of a hash of the whole row; among the copies of a text a null id stands where
+that hash puts it; an empty table gives no rows; extra columns stay, and those
+called size, text_crc32, shard or slot are renamed to input_<name>.
 """
 
 from __future__ import annotations
@@ -127,10 +130,23 @@ def plan(keys: DataFrame, n_shards: int, tolerance: float = TOLERANCE, intervals
         starts = sorted({*starts, *new})
 
 
+def with_free_names(docs: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """``docs`` with every column of one of ``names`` called input_<name> instead (with more underscores if that is taken too)."""
+    for name in names:
+        if name in docs.columns:
+            new = f"input_{name}"
+            while new in docs.columns:
+                new += "_"
+            docs = docs.withColumnRenamed(name, new)
+    return docs
+
+
 def sharded(docs: DataFrame, n_shards: int = 8, tolerance: float = TOLERANCE) -> DataFrame:
-    """All rows and columns, and size, text_crc32, shard and slot (gapless from 0 in each shard, ordered by text hash and id)."""
+    """All rows and columns, and size, text_crc32, shard and slot (gapless from 0 in each shard, ordered by text hash, id and a hash of the row)."""
+    docs = with_free_names(docs, ("size", "text_crc32", "shard", "slot"))
     text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumns({"__rg_h": F.xxhash64(text), "__rg_d": F.coalesce("doc_id", F.lit(LOWEST)), "size": (F.octet_length(text) + 1).cast("long"), "text_crc32": F.crc32(text.cast("binary"))})
+    whole = F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind))
+    keyed = docs.withColumns({"__rg_h": F.xxhash64(text), "__rg_r": whole, "__rg_d": F.coalesce("doc_id", whole), "size": (F.octet_length(text) + 1).cast("long"), "text_crc32": F.crc32(text.cast("binary"))})
     keys = frozen(keyed.select(F.col("__rg_h").alias("h"), F.col("__rg_d").alias("d"), "size"), "shard-keys")
     found, shard = plan(keys, n_shards, tolerance)
     before, rows = 0, []
@@ -147,10 +163,10 @@ def sharded(docs: DataFrame, n_shards: int = 8, tolerance: float = TOLERANCE) ->
         return pd.Series(place(h.to_numpy(np.int64), d.to_numpy(np.int64), shared.value))
 
     offsets = spark.createDataFrame(rows, "__rg_i long, shard int, __rg_before long")
-    order = Window.partitionBy("__rg_i").orderBy("__rg_h", "__rg_d")
+    order = Window.partitionBy("__rg_i").orderBy("__rg_h", "__rg_d", "text", "__rg_r")
     ranked = keyed.withColumn("__rg_i", interval("__rg_h", "__rg_d")).withColumn("__rg_n", F.row_number().over(order))
     # one row for each interval: bounded by the number of probes
-    return ranked.join(F.broadcast(offsets), "__rg_i").withColumn("slot", F.col("__rg_before") + F.col("__rg_n") - 1).drop("__rg_h", "__rg_d", "__rg_i", "__rg_n", "__rg_before")
+    return ranked.join(F.broadcast(offsets), "__rg_i").withColumn("slot", F.col("__rg_before") + F.col("__rg_n") - 1).drop("__rg_h", "__rg_d", "__rg_r", "__rg_i", "__rg_n", "__rg_before")
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = 8) -> None:
