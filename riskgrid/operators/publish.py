@@ -1,102 +1,90 @@
-"""Fenced publication: commands in order, and what stands after them.
-
-A request activates its token, may be cancelled, and publishes; it may publish
-only while its exact token is active and not cancelled. Commands come as an
-ordered log per run; the fence is a fold over the log (one small state), like
-a key's replanning state.
+"""Fenced publication: what every command of a log does, from window expressions alone.
+
+Commands (activate, cancel, publish) come as a log for each run, each with the
+token of its request. What stands at a command follows from what came before:
+
+* Activations of one run in a row form a stretch. One counts if its
+  (generation, revision) is not below the greatest of its stretch so far; so
+  the active token is that of the last one that counts.
+* A cancellation counts if it has the active token, and holds until another
+  token becomes active. The cancelled token can't be activated again.
+* A publication stands if it has the active token and that is not cancelled.
+* The current plan is that of the last publication that stands, the previous
+  one the last different plan before it; both go when a token of another
+  context (run, scenario, generation, digests) becomes active.
+
+Every log is one sorted stretch of rows: its order allows nothing else, and
+Spark's windows spill. Logs are dealt over all tasks by their key.
+
+Defined cases: a null in a token is a value like any other; commands of equal
+seq are taken in the order of kind and token; an empty log gives no rows; extra
+columns stay out of ``replay`` and in ``fence``.
 """
 
 from __future__ import annotations
 
-import json
-import os
-import tempfile
-from collections.abc import Iterator
-from dataclasses import dataclass, field
-from pathlib import Path
-from typing import Any
+import uuid
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Fields of a token (fixed set).
+#: Fields of a token (fixed set); the first six are its context.
 TOKEN = ("run_id", "scenario_id", "generation", "config_digest", "model_digest", "planner_digest", "request_id", "revision")
 CONTEXT = TOKEN[:6]
 
 
-@dataclass
-class Store:
-    """The latest plan of one log, guarded by the active token."""
-
-    active: tuple | None = None
-    cancelled: bool = False
-    current: str | None = None
-    previous: str | None = None
-    candidates: tuple = field(default=())
-
-    def apply(self, kind: str, token: tuple, plan: str | None = None, candidates: tuple = ()) -> str:
-        return {"activate": self._activate, "cancel": self._cancel, "publish": self._publish}[kind](token, plan, candidates)
-
-    def _activate(self, token: tuple, *_: Any) -> str:
-        old = self.active
-        if token == old:
-            return "rejected: cancelled" if self.cancelled else "ok"
-        if old is not None and token[0] == old[0]:
-            if token[2] < old[2]:
-                return "rejected: older generation"
-            if token[2] == old[2] and token[7] < old[7]:
-                return "rejected: older revision"
-        if old is not None and token[:6] != old[:6]:
-            self.current = self.previous = None
-            self.candidates = ()
-        self.active, self.cancelled = token, False
-        return "ok"
-
-    def _cancel(self, token: tuple, *_: Any) -> str:
-        if token != self.active:
-            return "not active"
-        self.cancelled = True
-        return "ok"
-
-    def _publish(self, token: tuple, plan: str | None, candidates: tuple) -> str:
-        if self.active is None:
-            return "rejected: nothing active"
-        if token != self.active:
-            return "rejected: stale"
-        if self.cancelled:
-            return "rejected: cancelled"
-        if self.current is not None and self.current != plan:
-            self.previous = self.current
-        self.current, self.candidates = plan, candidates
-        return "ok"
-
-    def latest(self, run_id: str, scenario_id: str, generation: int) -> str | None:
-        return self.current if self.active and self.active[:3] == (run_id, scenario_id, generation) else None
-
-
-OUTCOMES = "log string, seq bigint, outcome string, current string, previous string"
-
-
 def replay(commands: DataFrame) -> DataFrame:
-    """Outcome of every command (log, seq, kind, token columns, plan_id), and the plans that stand after it."""
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        log, store = None, Store()
-        for pdf in batches:
-            rows = []
-            for c in pdf.itertuples(index=False):
-                if c.log != log:
-                    log, store = c.log, Store()
-                said = store.apply(c.kind, tuple(getattr(c, k) for k in TOKEN), c.plan_id)
-                rows.append((c.log, c.seq, said, store.current, store.previous))
-            yield pd.DataFrame(rows, columns=["log", "seq", "outcome", "current", "previous"])
-
-    return commands.select("log", "seq", "kind", *TOKEN, "plan_id").repartition("log").sortWithinPartitions("log", "seq").mapInPandas(fold, OUTCOMES)
+    """(log, seq, kind, outcome, current, previous) of every command (log, seq, kind, token columns, plan_id): what it did, and the plans that stand after it."""
+    token, context = F.struct(*TOKEN), F.struct(*CONTEXT)
+    rows = commands.select("log", "seq", "kind", *TOKEN, "plan_id").withColumns({"__rg_t": token, "__rg_x": context, "__rg_a": F.col("kind") == "activate"})
+    order = ("seq", "kind", "__rg_t")
+
+    def before(*keys: str):
+        return Window.partitionBy("log", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+
+    def upto(*keys: str):
+        return Window.partitionBy("log", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+
+    def last(value: str, when: Column, window) -> Column:
+        """The latest value at which a condition holds; in a struct, so that nulls count."""
+        return F.last(F.when(when, F.struct(value)), ignorenulls=True).over(window)[value]
+
+    # stretches of activations of one run, and which of them reach the greatest so far
+    run = F.struct("run_id")
+    rows = rows.withColumn("__rg_b", F.last(F.when(F.col("__rg_a"), run), ignorenulls=True).over(before()))
+    rows = rows.withColumn("__rg_s", F.count_if(F.col("__rg_a") & ~F.col("__rg_b").eqNullSafe(run)).over(upto()))
+    level = F.struct("generation", "revision")
+    rows = rows.withColumn("__rg_m", F.max(F.when(F.col("__rg_a"), level)).over(before("__rg_s")))
+    reached = F.col("__rg_a") & (F.col("__rg_m").isNull() | (level >= F.col("__rg_m")))
+    rows = rows.withColumn("__rg_r", reached)
+    # the active token before each command, and the epochs of tokens and contexts
+    rows = rows.withColumns({"__rg_o": last("__rg_t", F.col("__rg_r"), before()), "__rg_ox": last("__rg_x", F.col("__rg_r"), before()), "__rg_n": F.count_if("__rg_r").over(before())})
+    rows = rows.withColumn("__rg_own", (F.col("__rg_n") > 0) & F.col("__rg_o").eqNullSafe(F.col("__rg_t")))
+    rows = rows.withColumns(
+        {
+            "__rg_e": F.count_if(F.col("__rg_r") & ~F.col("__rg_own")).over(upto()),
+            "__rg_c": F.count_if(F.col("__rg_r") & ((F.col("__rg_n") == 0) | ~F.col("__rg_ox").eqNullSafe(F.col("__rg_x")))).over(upto()),
+        }
+    )
+    cancels = (F.col("kind") == "cancel") & F.col("__rg_own")
+    rows = rows.withColumn("__rg_gone", F.coalesce(F.bool_or(cancels).over(before("__rg_e")), F.lit(False)))
+    older = F.col("generation") < F.col("__rg_m.generation")
+    outcome = (
+        F.when(F.col("__rg_a"), F.when(F.col("__rg_r"), F.when(F.col("__rg_own") & F.col("__rg_gone"), "rejected: cancelled").otherwise("ok")).when(older, "rejected: older generation").otherwise("rejected: older revision"))
+        .when(F.col("kind") == "cancel", F.when(F.col("__rg_own"), "ok").otherwise("not active"))
+        .otherwise(F.when(F.col("__rg_n") == 0, "rejected: nothing active").when(~F.col("__rg_own"), "rejected: stale").when(F.col("__rg_gone"), "rejected: cancelled").otherwise("ok"))
+    )
+    rows = rows.withColumn("outcome", outcome)
+    # plans that stand, each with the one before it in its context
+    stands = (F.col("kind") == "publish") & (F.col("outcome") == "ok")
+    rows = rows.withColumn("__rg_p", last("plan_id", stands, before("__rg_c")))
+    rows = rows.withColumn("__rg_k", F.count_if(stands).over(before("__rg_c")))
+    other = stands & (F.col("__rg_k") > 0) & ~F.col("__rg_p").eqNullSafe(F.col("plan_id"))
+    return rows.select("log", "seq", "kind", "outcome", last("plan_id", stands, upto("__rg_c")).alias("current"), last("__rg_p", other, upto("__rg_c")).alias("previous"))
 
 
 def fence(commands: DataFrame) -> DataFrame:
-    """Publications that the monotonic fence lets through, natively.
+    """Publications that a fence lets through that knows requests alone.
 
     For logs whose activations only move forward: a publication stands if its
     request is the last one activated before it and was not cancelled since.
@@ -114,47 +102,36 @@ def latest_plan(published: DataFrame) -> DataFrame:
     return published.where("accepted").groupBy("log").agg(F.max_by("plan_id", F.struct("generation", "revision", "seq")).alias("plan_id"))
 
 
-def write_atomically(path: str, value: Any) -> Path:
-    """A small JSON file that readers see whole or not at all."""
-    target = Path(path)
-    target.parent.mkdir(parents=True, exist_ok=True)
-    handle, name = tempfile.mkstemp(dir=target.parent, prefix=f".{target.name}.")
-    try:
-        with os.fdopen(handle, "w", encoding="utf-8") as out:
-            json.dump(value, out, ensure_ascii=False, indent=2, sort_keys=True, allow_nan=False)
-            out.write("\n")
-            out.flush()
-            os.fsync(out.fileno())
-        os.replace(name, target)
-    except BaseException:
-        os.unlink(name)
-        raise
-    return target
-
-
-class Coordinator:
-    """Begins and ends planning requests of one process: a new request cancels the Spark jobs of the one before."""
-
-    def __init__(self, spark, store: Store | None = None):
-        self.spark, self.store = spark, store or Store()
-
-    def begin(self, token: tuple) -> str:
-        before = self.store.active
-        said = self.store.apply("activate", token)
-        if said == "ok":
-            if before is not None and before != token:
-                self.spark.sparkContext.cancelJobGroup(before[6])
-            self.spark.sparkContext.setJobGroup(token[6], f"planning {token[6]}", interruptOnCancel=True)
-        return said
-
-    def cancel(self, token: tuple) -> str:
-        said = self.store.apply("cancel", token)
-        if said == "ok":
-            self.spark.sparkContext.cancelJobGroup(token[6])
-        return said
-
-    def is_current(self, token: tuple) -> bool:
-        return token == self.store.active and not self.store.cancelled
-
-    def publish(self, token: tuple, plan: str, candidates: tuple = ()) -> str:
-        return self.store.apply("publish", token, plan, candidates)
+def publish_table(df: DataFrame, root: str) -> str:
+    """Put a table in place of the one published under ``root``, whole or not at all; returns its path.
+
+    The rows go to a fresh folder; then a pointer file that names it is
+    created beside, under the next free number. The file system lets one
+    writer only create a file, so of two that take the same number one fails.
+    Readers follow the pointer of the greatest number.
+    """
+    spark = df.sparkSession
+    path = f"{root}/data-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    number = max((n for n, _ in _pointers(spark, root)), default=-1) + 1
+    pointer = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/pointer-{number:012d}")
+    out = pointer.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(pointer, False)
+    out.write(bytearray(path.encode()))
+    out.close()
+    return path
+
+
+def published_table(spark: SparkSession, root: str) -> DataFrame:
+    """The table published last under ``root``."""
+    for _, pointer in sorted(_pointers(spark, root), reverse=True):
+        named = spark.read.text(pointer).take(1)
+        if named:  # else its writer is still at work, or was lost
+            return spark.read.parquet(named[0].value)
+    raise LookupError(f"nothing is published under {root}")
+
+
+def _pointers(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/pointer-*")
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    paths = [str(f.getPath().toString()) for f in found or []]
+    return [(int(p.rsplit("-", 1)[1]), p) for p in paths]

@@ -200,9 +200,9 @@ def publish_fence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_FENCE} SELECT * FROM p")
 def publish_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same publications, decided by the store's fold over each log."""
+    """The same publications, decided from whole tokens."""
     c = commands(spark, sf_dir)
-    said = publish.replay(c).join(c.select("log", "seq", "kind", "plan_id"), ["log", "seq"]).where("kind = 'publish'")
+    said = publish.replay(c).where("kind = 'publish'").join(c.select("log", "seq", "plan_id"), ["log", "seq"])
     return said.select("log", "seq", "plan_id", (F.col("outcome") == "ok").alias("accepted"))
 
 
