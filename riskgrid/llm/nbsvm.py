@@ -64,10 +64,11 @@ class Features:
     def size(self) -> int:
         return (1 << self.bits) + self.runs + 1  # hashed, runs, bias
 
-    def of(self, text: str | None, seen: np.ndarray) -> np.ndarray:
+    def of(self, text: str | None, seen: np.ndarray, only: np.ndarray | None = None) -> np.ndarray:
         """Sorted distinct features of a whole text.
 
-        seen: an all-false array of ``size``; left all false.
+        seen: an all-false array of ``size``; left all false. only: true for
+        features that matter; others are left out.
         """
         text = text or ""
         if self.lower:
@@ -75,17 +76,17 @@ class Features:
         code = np.frombuffer(f" {text} ".encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
         shift = np.uint64(64 - self.bits)
         used = [np.array([self.size - 1])]
-        for n in self.orders:
-            if len(code) < n or not text:
-                continue
-            gram = code[: len(code) - n + 1].copy()
-            for k in range(1, n):
-                gram *= np.uint64(BASE)
-                gram += code[k : len(code) - n + 1 + k]
-            used.append((((gram + np.uint64(n * GOLDEN % 2**64)) * np.uint64(GOLDEN)) >> shift).astype(np.int64))
+        gram = code if text else code[:0]
+        for n in range(1, min(max(self.orders), len(gram)) + 1):
+            if n > 1:
+                gram = gram[:-1] * np.uint64(BASE) + code[n - 1 :]
+            if n in self.orders:
+                used.append((((gram + np.uint64(n * GOLDEN % 2**64)) * np.uint64(GOLDEN)) >> shift).astype(np.int64))
         if self.runs:
             longest = longest_run(text.split())
             used.append((1 << self.bits) + np.arange(min(longest, self.runs + 1) - 1))
+        if only is not None:
+            used = [x[only[x]] for x in used]
         if sum(map(len, used)) < 2048:  # sorting is cheaper than a pass over all flags
             return np.unique(np.concatenate(used))
         for x in used:
@@ -119,12 +120,8 @@ class Model:
     offset: float
 
     def margins(self, texts: Iterable[str | None]) -> np.ndarray:
-        seen = np.zeros(self.features.size, bool)
-        out = []
-        for text in texts:
-            x = self.features.of(text, seen)
-            out.append(self.margin(x))
-        return np.array(out, dtype=np.float64)
+        seen, only = np.zeros(self.features.size, bool), self.scale > 0
+        return np.array([self.margin(self.features.of(t, seen, only)) for t in texts], dtype=np.float64)
 
     def margin(self, x: np.ndarray) -> float:
         return float(self.weights[x].sum(dtype=np.float64) / np.sqrt(self.scale[x].sum(dtype=np.float64) + 1e-12))
