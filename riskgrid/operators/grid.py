@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskgrid.functions.geo import bearing_degrees, haversine_km
+from riskgrid.operators.components import components
 from riskgrid.operators.shared import folder, written
 
 #: Neighbour offsets (fixed order).
@@ -13,6 +14,10 @@ OFFSETS8 = ((-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, -1), (1, 0), (1, 1)
 OFFSETS4 = ((-1, 0), (0, -1), (0, 1), (1, 0))
 
 
+#: Kilometres in a degree of latitude, at least.
+KM_DEGREE = 110.5
+
+
 def nodes(cube: DataFrame) -> DataFrame:
     """(row, col, lat, lon) of every cell."""
     return cube.groupBy("row", "col").agg(F.min("lat").alias("lat"), F.min("lon").alias("lon"))
@@ -41,45 +46,67 @@ def nearest_node(points: DataFrame, lats: list[float], lons: list[float]) -> Dat
     return points.select("point_id", nearest(F.col("lat"), lats).alias("row"), nearest(F.col("lon"), lons).alias("col"))
 
 
-def snap(points: DataFrame, cells: DataFrame, max_km: float, within: Column | None = None) -> DataFrame:
+def snap(points: DataFrame, cells: DataFrame, max_km: float, within: Column | None = None, reach: DataFrame | None = None) -> DataFrame:
     """For each point (point_id, lat, lon, and any box columns) its nearest open cell within a distance.
 
     ``cells`` has row, col, lat, lon and ``open``; ``within`` may use the
-    columns of both (cell coordinates as cell_lat, cell_lon). The points are a
-    stated set of end points, so each cell is met with all of them in one
-    pass, and one candidate for each point and task is shuffled. Returns the
-    node, its distance, and a status that tells what was missing.
+    columns of both (cell coordinates as cell_lat, cell_lon); ``reach`` (point_id,
+    row, col) holds the cells that may be taken. Returns the node, its
+    distance, and a status that tells what was missing.
+
+    Points and cells meet in an equi-join on squares of latitude as high as the
+    distance, each point looking into its own and the two beside it; what lies
+    in a point's region beyond them only tells the status, and is counted from
+    the region's squares alone.
     """
-    c = cells.select("row", "col", F.col("lat").alias("cell_lat"), F.col("lon").alias("cell_lon"), "open")
-    met = c.join(F.broadcast(points), within if within is not None else F.lit(True))
+    height = max(max_km / KM_DEGREE, 0.25) * 1.0001
+    c = cells.select("row", "col", F.col("lat").alias("cell_lat"), F.col("lon").alias("cell_lon"), "open", F.floor(F.col("lat") / height).alias("__rg_y"))
+    y = F.floor(F.col("lat") / height)
+    near = points.where(F.col("lat").isNotNull()).withColumn("__rg_y", F.explode(F.array(y - 1, y, y + 1)))
+    within = within if within is not None else F.lit(True)
+    met = c.join(near, "__rg_y").where(within)
     far = F.round(haversine_km(F.col("lat"), F.col("lon"), F.col("cell_lat"), F.col("cell_lon")), 6)
-    ok = F.col("open") & (far <= max_km)
-    best = met.groupBy("point_id").agg(
-        F.min(F.when(ok, F.struct(far.alias("km"), "row", "col"))).alias("best"),
-        F.count("*").alias("n_cells"),
-        F.count_if("open").alias("n_open"),
-    )
-    out = points.select("point_id").join(best, "point_id", "left")
-    status = F.when(F.coalesce("n_cells", F.lit(0)) == 0, "no grid node").when(F.col("n_open") == 0, "no navigable node").when(F.col("best").isNull(), "no reachable node").otherwise("ok")
-    return out.select("point_id", status.alias("status"), F.col("best.row").alias("row"), F.col("best.col").alias("col"), F.col("best.km").alias("km"), F.coalesce("n_cells", F.lit(0)).alias("n_cells"), F.coalesce("n_open", F.lit(0)).alias("n_open"))
+    met = met.withColumn("km", far).where(F.col("open") & (F.col("km") <= max_km))
+    if reach is not None:
+        met = met.join(reach, ["point_id", "row", "col"], "left_semi")
+    best = met.groupBy("point_id").agg(F.min(F.struct("km", "row", "col")).alias("best"))
+    counts = _in_region(points, cells, within)
+    out = points.select("point_id").join(counts, "point_id", "left").join(best, "point_id", "left")
+    n_cells, n_open = F.coalesce("n_cells", F.lit(0)), F.coalesce("n_open", F.lit(0))
+    status = F.when(n_cells == 0, "no grid node").when(n_open == 0, "no navigable node").when(F.col("best").isNull(), "no reachable node").otherwise("ok")
+    return out.select("point_id", status.alias("status"), F.col("best.row").alias("row"), F.col("best.col").alias("col"), F.col("best.km").alias("km"), n_cells.alias("n_cells"), n_open.alias("n_open"))
+
+
+def _in_region(points: DataFrame, cells: DataFrame, within: Column) -> DataFrame:
+    """Cells and open cells in the region of each point. Points without a box share one count of the whole grid; boxes meet the grid's rows."""
+    if "south" not in points.columns:
+        whole = cells.agg(F.count("*").alias("n_cells"), F.count_if("open").alias("n_open")).first()
+        return points.select("point_id", F.lit(whole.n_cells).alias("n_cells"), F.lit(whole.n_open).alias("n_open"))
+    # a box reaches over so many whole degrees: cells of each are met by an equi-join
+    c = cells.select(F.col("lat").alias("cell_lat"), F.col("lon").alias("cell_lon"), "open", F.floor("lat").alias("__rg_d"))
+    boxes = points.where("south <= north").withColumn("__rg_d", F.explode(F.sequence(F.floor(F.greatest("south", F.lit(-90.0))), F.floor(F.least("north", F.lit(90.0))))))
+    return c.join(boxes, "__rg_d").where(within).groupBy("point_id").agg(F.count("*").alias("n_cells"), F.count_if("open").alias("n_open"))
 
 
 def component(open_cells: DataFrame, starts: DataFrame, connectivity: int = 8) -> DataFrame:
     """Cells (search, row, col) connected with each start over open cells; none if the start is not open.
 
-    Frontier by frontier: a wave joins the frontier with the open cells,
-    drops what was seen, and is written to the shared folder.
+    The grid is parted into its components once, whatever the number of
+    starts, in rounds that grow with the logarithm of a component's size; then
+    each start meets the cells of its component in an equi-join.
     """
-    spark = open_cells.sparkSession
-    base = folder(spark, "component")
-    moves = F.array(*(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in (OFFSETS8 if connectivity == 8 else OFFSETS4)))
+    half = [m for m in (OFFSETS8 if connectivity == 8 else OFFSETS4) if m > (0, 0)]
+    moves = F.array(*(F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc")) for a, b in half))
+
+    def name(row, col) -> Column:
+        return (F.col(row) if isinstance(row, str) else row).cast("long") * (1 << 32) + (F.col(col) if isinstance(col, str) else col)
+
     cells = open_cells.select("row", "col").distinct()
-    seen = starts.select("search", "row", "col").join(cells, ["row", "col"]).select("search", "row", "col").distinct()
-    frontier, wave = written(seen, f"{base}/0"), 0
-    seen = frontier
-    while not frontier.isEmpty():
-        wave += 1
-        step = frontier.select("search", "row", "col", F.explode(moves).alias("m")).select("search", (F.col("row") + F.col("m.dr")).alias("row"), (F.col("col") + F.col("m.dc")).alias("col")).distinct()
-        frontier = written(step.join(cells, ["row", "col"]).select("search", "row", "col").join(seen, ["search", "row", "col"], "left_anti"), f"{base}/{wave}")
-        seen = spark.read.schema(frontier.schema).parquet(*(f"{base}/{k}" for k in range(wave + 1)))
-    return seen
+    step = cells.select(name("row", "col").alias("u"), "row", "col", F.explode(moves).alias("m"))
+    step = step.select("u", name(F.col("row") + F.col("m.dr"), F.col("col") + F.col("m.dc")).alias("v"))
+    named = cells.select(name("row", "col").alias("v"), "row", "col")
+    roots = components(step.join(named.select("v"), "v"), "component")
+    rooted = named.join(roots.select(F.col("node").alias("v"), "root"), "v", "left").select("row", "col", F.coalesce("root", "v").alias("root"))
+    rooted = written(rooted, folder(open_cells.sparkSession, "component-cells"))
+    begun = starts.select("search", "row", "col").distinct().join(rooted, ["row", "col"]).select("search", "root").distinct()
+    return begun.join(rooted, "root").select("search", "row", "col")

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 
 from riskgrid.functions.geo import EARTH_KM, bearing_degrees, edge_points as points_between, haversine_km, heading_change as turn_between
 from riskgrid.functions.motion import OBJECTIVES, Vessel, edge_cost as cost_parts, lower_bound as least_cost, speed_status, vessel_speed as knots
-from riskgrid.operators import grid
+from riskgrid.operators import endpoints, grid
 from riskgrid.operators.edges import cross, edge_series, reject_counts as rejects
 from riskgrid.operators.sample import axis_of
 from riskgrid.plans.cubes import event_points
@@ -124,8 +124,9 @@ def snap_navigable(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_snap_sql("abs(lat - plat) <= 0.031::DOUBLE AND abs(lon - plon) <= 0.043::DOUBLE"))
 def snap_region(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nearest open cell inside a region around each end point."""
+    boxed = ports(spark, sf_dir).withColumns({"south": F.col("lat") - 0.031, "north": F.col("lat") + 0.031})
     box = (F.abs(F.col("cell_lat") - F.col("lat")) <= 0.031) & (F.abs(F.col("cell_lon") - F.col("lon")) <= 0.043)
-    return grid.snap(ports(spark, sf_dir), open_cells(spark, sf_dir), 5.0, box)
+    return grid.snap(boxed, open_cells(spark, sf_dir), 5.0, box)
 
 
 @query(f"""WITH RECURSIVE {CUBE}, o AS (SELECT "row", col FROM cube WHERE frame = 0 AND NOT hard), st AS (SELECT 'search-' || n_nationkey AS search, (n_nationkey * 5 % 12)::INT AS "row", (n_nationkey * 3 % 10)::INT AS col FROM nation),
@@ -136,6 +137,43 @@ def component(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.component(open_cells(spark, sf_dir).where("open"), starts, 4)
 
 
+#: A voyage for every supplier between two boxes; some boxes hold no node, some only closed ones.
+VOYAGES = """voyages AS (SELECT s_suppkey AS id, 70.0::DOUBLE + 0.011::DOUBLE * (s_suppkey * 5 % 57) AS slat, 18.0::DOUBLE + 0.013::DOUBLE * (s_suppkey * 7 % 80) AS slon,
+    70.0::DOUBLE + 0.011::DOUBLE * (s_suppkey * 11 % 57) AS glat, 18.0::DOUBLE + 0.013::DOUBLE * (s_suppkey * 3 % 80) AS glon FROM supplier)"""
+#: Half height and width of the boxes in degrees, and the farthest a point may be moved.
+BOX, MAX_KM = (0.041, 0.057), 4.0
+
+
+def voyages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    out = table(spark, sf_dir, "supplier").select(
+        k.cast("string").alias("search"),
+        *((70.0 + 0.011 * F.pmod(k * m, F.lit(57))).alias(f"{role}_lat") for role, m in (("start", 5), ("goal", 11))),
+        *((18.0 + 0.013 * F.pmod(k * m, F.lit(80))).alias(f"{role}_lon") for role, m in (("start", 7), ("goal", 3))),
+    )
+    sides = {f"{role}_{side}": F.col(f"{role}_{axis}") + sign * BOX[axis == "lon"] for role in ("start", "goal") for side, axis, sign in (("south", "lat", -1), ("north", "lat", 1), ("west", "lon", -1), ("east", "lon", 1))}
+    return out.withColumns(sides)
+
+
+def _end_sql(role: str, p: str, source: str, also: str = "") -> str:
+    """Cells in a voyage's box at one end: counts, and the nearest open one that may be taken."""
+    return f"""{role}_m AS (SELECT id, NOT hard AS open, cube."row", cube.col, round({sql_km(f"{p}lat", f"{p}lon", "lat", "lon")}, 6) AS km FROM cube JOIN {source} ON frame = 0 AND lat >= {p}lat - {BOX[0]}::DOUBLE AND lat <= {p}lat + {BOX[0]}::DOUBLE AND lon >= {p}lon - {BOX[1]}::DOUBLE AND lon <= {p}lon + {BOX[1]}::DOUBLE),
+{role}_b AS (SELECT id, "row", col, km FROM {role}_m WHERE open AND km <= {MAX_KM} {also} QUALIFY row_number() OVER (PARTITION BY id ORDER BY km, "row", col) = 1),
+{role}_s AS (SELECT v.id, CASE WHEN count(m.id) = 0 THEN 'allowed_region_has_no_grid_node' WHEN count(*) FILTER (m.open) = 0 THEN 'allowed_region_has_no_navigable_grid_node' WHEN any_value(b.id) IS NULL THEN 'allowed_region_has_no_reachable_grid_node' END AS code,
+    any_value(b."row") AS "row", any_value(b.col) AS col, any_value(b.km) AS km FROM {source} v LEFT JOIN {role}_m m ON m.id = v.id LEFT JOIN {role}_b b ON b.id = v.id GROUP BY 1)"""
+
+
+@query(f"""WITH RECURSIVE {CUBE}, {VOYAGES}, {_end_sql("s", "s", "voyages")},
+o AS (SELECT "row", col FROM cube WHERE frame = 0 AND NOT hard),
+w AS (SELECT id, "row", col FROM s_s WHERE code IS NULL UNION SELECT w.id, o."row", o.col FROM w JOIN o ON abs(o."row" - w."row") <= 1 AND abs(o.col - w.col) <= 1),
+begun AS (SELECT * FROM voyages WHERE id IN (SELECT id FROM s_s WHERE code IS NULL)), {_end_sql("g", "g", "begun", 'AND (id, "row", col) IN (SELECT (id, "row", col) FROM w)')},
+n AS (SELECT id, count(*) AS n FROM w GROUP BY 1)
+SELECT s.id::VARCHAR AS search, CASE WHEN s.code IS NOT NULL THEN 'start: ' || s.code WHEN g.code IS NOT NULL THEN 'goal: ' || g.code WHEN s."row" = g."row" AND s.col = g.col THEN 'start and goal are one node' ELSE 'ok' END AS status,
+    s."row" AS start_row, s.col AS start_col, s.km AS start_km, g."row" AS goal_row, g.col AS goal_col, g.km AS goal_km, coalesce(n, 0) AS component_size FROM s_s s LEFT JOIN g_s g ON g.id = s.id LEFT JOIN n ON n.id = s.id""")
+def endpoint_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return endpoints.map_endpoints(open_cells(spark, sf_dir), voyages(spark, sf_dir), MAX_KM)
+
+
 @query("""WITH f AS (SELECT l_orderkey, l_linenumber, (l_partkey % 111) / 100.0::DOUBLE AS f FROM lineitem)
 SELECT l_orderkey, l_linenumber, CASE WHEN f <= 0 OR f > 1 THEN 'invalid' WHEN f < 0.2::DOUBLE THEN 'factor' WHEN f * 10 < 3 THEN 'steerage' ELSE 'ok' END AS status,
 CASE WHEN f >= 0.2::DOUBLE AND f <= 1 AND f * 10 >= 3 THEN round(least(15.7, f * 10), 6) END AS knots FROM f""")

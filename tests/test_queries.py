@@ -29,7 +29,7 @@ def duck(sf_dir):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.ORACLE_SQL) - {"component"}))
+@pytest.mark.parametrize("name", sorted(plans.ORACLE_SQL))
 def test_same_rows_as_sql(name, spark, sf_dir, duck):
     ours, theirs = plans.QUERIES[name](spark, sf_dir).toPandas(), duck.execute(plans.ORACLE_SQL[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
