@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 from riskgrid.functions.values import canonical_bytes, digest
 
 FRAME_KEYS = ("risk_id", "run_id", "scenario_id", "corridor_id", "vessel_profile_id", "config_digest", "model_config_digest", "generation_id", "valid_time", "as_of_time", "generated_at", "model_version", "schema_version", "payload", "source_summary", "provenance")
-#: Fields that do not count for a plan's identity (fixed set), and search effort, which depends on the strategy.
+#: Fields that do not count for a plan's identity (fixed sets): ids, request, clock, and computing time.
 VOLATILE = ("plan_id", "layer_set_id", "planning_request_id", "generated_at")
-VOLATILE_METRICS = ("compute_ms", "expanded_nodes")
+VOLATILE_METRICS = ("compute_ms",)
 
 
 def grid_digest(lats: list[float], lons: list[float]) -> str:

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskgrid.functions.motion import OBJECTIVES, Vessel, Weights
-from riskgrid.operators import grid, layers, routes, search
+from riskgrid.functions.motion import KNOT_MS, OBJECTIVES, Vessel, Weights
+from riskgrid.operators import documents, grid, layers, routes, search
 from riskgrid.operators.shared import folder, written
 from riskgrid.plans.grids import SERIES
 from riskgrid.plans.registry import CUBE, EDGES, T0, query
-from riskgrid.sources.cube import analytic_cube, table, table_cube
+from riskgrid.sources.cube import COLS, LAT0, LAT_STEP, LON0, LON_STEP, ROWS, analytic_cube, table, table_cube
 
 HOUR = 3_600_000_000
 #: Horizon of the layered sets; the last voyage starts an hour and a half after the first frame.
@@ -124,6 +124,142 @@ def four_layer_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("set_id", "layer", "objective", "step", "row", "col", "eta_us", F.round("cost", 6).alias("cost"))
 
 
+#: A made-up route for every customer, a step for every order: quarters of hours, eighths of cost, whole hundredths.
+TABLE_ROUTES = f"""k AS (SELECT o_custkey, o_orderkey AS k, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS step FROM orders),
+steps AS (SELECT 'route-' || o_custkey AS search, step, k, (k % 12)::INT AS "row", (k * 7 % 10)::INT AS col, CASE WHEN step = 0 THEN 0 ELSE k % 50 END / 4.0::DOUBLE AS km, CASE WHEN step = 0 THEN 0 ELSE 1 + k % 37 END / 4.0::DOUBLE AS hours,
+    {T0} + sum(CASE WHEN step = 0 THEN 0 ELSE 1 + k % 37 END) OVER w::BIGINT * 900000000 AS eta_us, CASE WHEN step > 0 THEN 5.0::DOUBLE + k % 10 END AS knots, CASE WHEN step > 0 THEN k % 4 * 90.0::DOUBLE END AS heading,
+    (k % 101) / 100.0::DOUBLE AS risk, least(100, k % 101 + 10) / 100.0::DOUBLE AS max_risk, (50 + k % 50) / 100.0::DOUBLE AS confidence, sum(CASE WHEN step = 0 THEN 0 ELSE k % 7 END) OVER w / 8.0::DOUBLE AS cost,
+    step // 2 AS frame_low, step // 2 + k % 2 AS frame_high FROM k WINDOW w AS (PARTITION BY o_custkey ORDER BY step))"""
+
+
+def table_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, step = F.col("o_orderkey"), F.col("step")
+    w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
+    moved = lambda x: F.when(step == 0, 0).otherwise(x)
+    out = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey").withColumn("step", F.row_number().over(w) - 1)
+    out = out.withColumns({"q": F.sum(moved(1 + k % 37)).over(w), "e": F.sum(moved(k % 7)).over(w)})
+    risk = (k % 101) / 100.0
+    return out.select(
+        F.concat(F.lit("route-"), F.col("o_custkey").cast("string")).alias("search"),
+        "step",
+        (k % 12).cast("int").alias("row"),
+        (k * 7 % 10).cast("int").alias("col"),
+        (F.lit(T0) + F.col("q") * F.lit(900_000_000)).alias("eta_us"),
+        (moved(k % 50) / 4.0).alias("km"),
+        (moved(1 + k % 37) / 4.0).alias("hours"),
+        F.when(step > 0, 5.0 + k % 10).alias("knots"),
+        F.when(step > 0, k % 4 * 90.0).alias("heading"),
+        risk.alias("risk"),
+        (F.least(F.lit(100), k % 101 + 10) / 100.0).alias("max_risk"),
+        ((50 + k % 50) / 100.0).alias("confidence"),
+        (F.col("e") / 8.0).alias("cost"),
+        (moved(1 + k % 37) / 4.0 * risk).alias("risk_hours"),
+        F.expr("step div 2").cast("int").alias("frame_low"),
+        F.expr("step div 2 + o_orderkey % 2").cast("int").alias("frame_high"),
+    )
+
+
+_TOTALS = """t AS (SELECT search, max(step) AS edges, sum(km) AS km, sum(hours) AS hours, CASE WHEN sum(hours) > 0 THEN sum(hours * risk) / sum(hours) ELSE max(risk) END AS average_risk,
+    coalesce(max(max_risk) FILTER (step > 0), max(max_risk)) AS max_risk, coalesce(min(confidence) FILTER (step > 0), min(confidence)) AS confidence, max(cost) AS cost FROM steps GROUP BY 1),
+h AS (SELECT search, abs(heading - lag(heading) OVER (PARTITION BY search ORDER BY step)) > 1e-9 AS turned FROM steps WHERE heading IS NOT NULL),
+u AS (SELECT search, count(*) FILTER (turned) AS turns FROM h GROUP BY 1)"""
+_FIGURES = ("km", "hours", "average_risk", "max_risk", "confidence", "cost")
+
+
+@query(f"WITH {TABLE_ROUTES}, {_TOTALS} SELECT search, edges, coalesce(turns, 0) AS turns, {', '.join(f'round({c}, 6) AS {c}' for c in _FIGURES)} FROM t LEFT JOIN u USING (search)")
+def table_route_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals and turns of the made-up routes."""
+    steps = table_routes(spark, sf_dir)
+    out = routes.totals(steps).join(routes.turns(steps), "search", "left")
+    return out.select("search", "edges", F.coalesce("turns", F.lit(0)).alias("turns"), *(F.round(c, 6).alias(c) for c in _FIGURES))
+
+
+_SOURCES = "fr AS (SELECT search, f, min(step) AS seen FROM (SELECT search, step, unnest(generate_series(frame_low, frame_high)) AS f FROM steps) GROUP BY 1, 2)"
+
+
+@query(f"WITH {TABLE_ROUTES}, {_SOURCES} SELECT search, string_agg('frame-' || f, ',' ORDER BY seen, f) AS source_ids FROM fr GROUP BY 1")
+def table_source_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of the made-up routes, in the order of first use."""
+    named = table_routes(spark, sf_dir).withColumn("sources", F.transform(F.sequence("frame_low", "frame_high"), lambda k: F.concat(F.lit("frame-"), k.cast("string"))))
+    return routes.source_ids(named).select("search", F.array_join("source_ids", ",").alias("source_ids"))
+
+
+_CUTS = [x for x in layers.LAYERS if x[1]]
+
+
+@query(f"""WITH {TABLE_ROUTES}, cuts AS (SELECT * FROM (VALUES {', '.join(f"('{n}', {h})" for n, h in _CUTS)}) AS c(layer, hours_limit)),
+s AS (SELECT search, "row" AS r, col AS c, eta_us AS t FROM steps WHERE step = 0), e AS (SELECT search, max(step) AS step FROM steps GROUP BY 1),
+m AS (SELECT steps.*, layer, hours_limit, step > 0 AND ("row" <> r OR col <> c) AS ok, t + hours_limit::BIGINT * {HOUR} AS cut FROM steps JOIN s USING (search), cuts),
+a AS (SELECT search, layer, hours_limit, max(step) FILTER (ok AND eta_us <= cut) AS hit, bool_or(ok) AS moves, max(cut) AS cut FROM m GROUP BY 1, 2, 3),
+p AS (SELECT a.*, CASE WHEN moves AND z.eta_us <= cut THEN e.step ELSE hit END AS step FROM a JOIN e USING (search) JOIN steps z ON z.search = a.search AND z.step = e.step)
+SELECT p.search, layer, hours_limit, x."row", x.col, x.eta_us, p.step IS NOT NULL AS materialisable FROM p LEFT JOIN steps x ON x.search = p.search AND x.step = p.step""")
+def table_layer_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Anchors of the made-up routes at the cut-offs of the layers."""
+    return layers.anchors(table_routes(spark, sf_dir), spark.createDataFrame(_CUTS, "layer string, hours_limit int"))
+
+
+@query(f"""WITH {TABLE_ROUTES}, {_TOTALS} SELECT search, rank::INT AS rank, layer, 0.0::DOUBLE AS from_h, round(CASE WHEN cut IS NULL THEN 96 ELSE least(96, cut, hours) END, 6)::DOUBLE AS ceiling_h
+FROM t, (VALUES {', '.join(f"({i}, '{n}', {h if h else 'NULL'})" for i, (n, h) in enumerate(layers.LAYERS))}) AS l(rank, layer, cut)""")
+def table_layer_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Focus windows of the made-up routes under a horizon of 96 hours."""
+    return layers.layer_windows(routes.totals(table_routes(spark, sf_dir)), 96.0).withColumn("ceiling_h", F.round("ceiling_h", 6))
+
+
+_POINTS = f"""pts AS (SELECT search, step, 18.0::DOUBLE + 0.1::DOUBLE * col AS lon, 70.0::DOUBLE + 0.05::DOUBLE * "row" AS lat, eta_us, coalesce(knots, lead(knots) OVER (PARTITION BY search ORDER BY step)) * {KNOT_MS}::DOUBLE AS mps FROM steps)"""
+
+
+def _nodes(spark: SparkSession) -> DataFrame:
+    """The nodes of the table grid."""
+    row, col = F.expr(f"cast(id div {COLS} as int)"), (F.col("id") % COLS).cast("int")
+    return spark.range(ROWS * COLS).select(row.alias("row"), col.alias("col"), (LAT0 + LAT_STEP * row).alias("lat"), (LON0 + LON_STEP * col).alias("lon"))
+
+
+@query(f"WITH {TABLE_ROUTES}, {_POINTS} SELECT search, step::INT AS step, round(lon, 6) AS lon, round(lat, 6) AS lat FROM pts")
+def geojson_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Waypoints of the made-up routes, read back from their GeoJSON."""
+    made = routes.geojson(routes.plans(table_routes(spark, sf_dir), _nodes(spark)))
+    return routes.from_geojson(made).select("search", "step", F.round("lon", 6).alias("lon"), F.round("lat", 6).alias("lat"))
+
+
+def plan_headers(steps: DataFrame, late_us: int = 0) -> DataFrame:
+    """What a request tells of each route's plan; those that begin in the first row say they start so much later."""
+    text = {"run_id": "run-00000000-0000-4000-8000-000000000000", "scenario_id": "scenario-1", "corridor_id": "corridor-1", "vessel_profile_id": "vessel-1", "config_digest": "c" * 64, "model_config_digest": "d" * 64, "planner_config_digest": "e" * 64, "provenance": "development", "planning_request_id": "request-1", "plan_version": "1:0", "objective_mode": "recommended", "plan_kind": "initial", "planner_version": "1"}
+    head = steps.where("step = 0").select("search", (F.col("eta_us") + F.when(F.col("row") == 0, late_us).otherwise(0)).alias("start_time"), F.concat(F.lit("plan-"), F.col("search")).alias("plan_id"))
+    head = head.withColumns({c: F.lit(v) for c, v in text.items()} | {"generation_id": F.lit(0), "input_revision": F.lit(0), "generated_at": F.lit(T0), "as_of_time": F.lit(T0)})
+    return head.select("search", *documents.HEADER)
+
+
+_READ = ", ".join(f"round({c}, 6) AS {c}" for c in _FIGURES)
+
+
+@query(f"""WITH {TABLE_ROUTES}, {_TOTALS}, {_SOURCES}, {_POINTS}, f AS (SELECT search, string_agg('frame-' || f, ',' ORDER BY seen, f) AS source_ids FROM fr GROUP BY 1),
+n AS (SELECT search, count(*) AS waypoints, max(eta_us) AS last_us, round(sum(mps), 6) AS mps FROM pts GROUP BY 1)
+SELECT search, 'plan-' || search AS plan_id, {T0} AS start_us, waypoints::INT AS waypoints, last_us, mps, coalesce(turns, 0) AS turns, source_ids, {_READ} FROM t JOIN f USING (search) JOIN n USING (search) LEFT JOIN u USING (search)""")
+def plan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The made-up routes as plan documents, read back."""
+    steps = table_routes(spark, sf_dir)
+    read = documents.read_plans(documents.plan_documents(steps, _nodes(spark), plan_headers(steps)))
+    names = {v: k for k, v in documents.METRICS.items()}
+    return read.select(
+        "search",
+        "plan_id",
+        F.col("start_time").alias("start_us"),
+        F.size("waypoints").alias("waypoints"),
+        F.element_at("waypoints", -1)["eta_us"].alias("last_us"),
+        F.round(F.aggregate(F.transform("waypoints", lambda p: p["mps"]), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))), 6).alias("mps"),
+        F.col("metrics.turn_count").alias("turns"),
+        F.array_join("source_risk_ids", ",").alias("source_ids"),
+        *(F.round(F.col(f"metrics.{names[c]}"), 6).alias(c) for c in _FIGURES),
+    )
+
+
+@query(f"""WITH {TABLE_ROUTES}, late AS (SELECT search FROM steps WHERE step = 0 AND "row" = 0) SELECT search, rule FROM late, (VALUES ('the first ETA is not the start'), ('eta_hours is not the last ETA')) AS r(rule)""")
+def plan_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Broken rules of these documents where some tell a later start than their first waypoint."""
+    steps = table_routes(spark, sf_dir)
+    return documents.plan_violations(documents.read_plans(documents.plan_documents(steps, _nodes(spark), plan_headers(steps, 5_000_000))))
+
+
 @query("""WITH p AS (SELECT o_custkey AS set_id, ['full_voyage', 'long_range', 'medium_range', 'short_range'][(o_orderkey % 4 + 1)::INT] AS layer, ['fastest', 'low_risk', 'recommended'][(o_orderkey % 3 + 1)::INT] AS objective, o_orderkey AS plan_id, o_orderstatus AS identity FROM orders),
 f AS (SELECT set_id, min(plan_id) AS full_id FROM p WHERE layer = 'full_voyage' AND objective = 'recommended' GROUP BY 1),
 m AS (SELECT p.*, full_id, CASE WHEN plan_id % 5 <> 0 AND layer <> 'full_voyage' THEN full_id END AS reference_plan_id FROM p LEFT JOIN f USING (set_id)),
