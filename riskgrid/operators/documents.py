@@ -29,13 +29,8 @@ METRICS = {"distance_km": "km", "eta_hours": "hours", "avg_risk": "average_risk"
 COUNTS = ("hard_constraint_violations", "turn_count", "expanded_nodes")
 
 
-def plan_documents(steps: DataFrame, cells: DataFrame, headers: DataFrame, key: str = "search") -> DataFrame:
-    """(search, document, content_digest) of every route in ``steps`` that has a header.
-
-    ``headers`` has the columns of HEADER (times in epoch microseconds), and
-    may have expanded, compute_ms and replan_reasons (0 and none where missing).
-    The digest leaves out ids, request, clock and computing time.
-    """
+def plan_texts(steps: DataFrame, cells: DataFrame, headers: DataFrame, key: str = "search", more: tuple[str, ...] = (), version: str = VERSION) -> DataFrame:
+    """(key, text): a JSON object of every route in ``steps`` that has a header; ``more`` names further columns of the headers to put in."""
     plans = routes.plans(steps, cells, key).join(routes.source_ids(_named(steps), key), key).join(headers, key)
     have = set(plans.columns)
     plans = plans.withColumns(
@@ -48,15 +43,28 @@ def plan_documents(steps: DataFrame, cells: DataFrame, headers: DataFrame, key:
         }
     )
     point = F.transform("waypoints", lambda p: F.struct(p["lon"].alias("longitude"), p["lat"].alias("latitude"), utc_text(p["eta_us"]).alias("eta"), p["mps"].alias("recommended_speed_mps")))
-    fields = [F.lit(VERSION).alias("schema_version"), *(utc_text(F.col(c)).alias(c) if c in TIMES else F.col(c) for c in HEADER), point.alias("waypoints")]
+    fields = [F.lit(version).alias("schema_version"), *(utc_text(F.col(c)).alias(c) if c in TIMES else F.col(c) for c in HEADER), *more, point.alias("waypoints")]
     fields += [F.struct(*(F.col(v).alias(k) for k, v in METRICS.items())).alias("metrics"), "replan_reasons", F.col("source_ids").alias("source_risk_ids"), F.lit(True).alias("destination_reached")]
+    return plans.select(key, F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("text"))
 
+
+def _canonical(text: str) -> Column:
     @F.pandas_udf("struct<document:string,content_digest:string>")
-    def canonical(texts: pd.Series) -> pd.DataFrame:
+    def of(texts: pd.Series) -> pd.DataFrame:
         read = [json.loads(t) for t in texts]
         return pd.DataFrame({"document": [canonical_bytes(d).decode() for d in read], "content_digest": [plan_digest(d) for d in read]})
 
-    made = plans.select(key, canonical(F.to_json(F.struct(*fields))).alias("d"))
+    return of(F.col(text))
+
+
+def plan_documents(steps: DataFrame, cells: DataFrame, headers: DataFrame, key: str = "search") -> DataFrame:
+    """(search, document, content_digest) of every route in ``steps`` that has a header.
+
+    ``headers`` has the columns of HEADER (times in epoch microseconds), and
+    may have expanded, compute_ms and replan_reasons (0 and none where missing).
+    The digest leaves out ids, request, clock and computing time.
+    """
+    made = plan_texts(steps, cells, headers, key).select(key, _canonical("text").alias("d"))
     return made.select(key, "d.document", "d.content_digest")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskgrid.functions.geo import bearing_degrees, haversine_km
 from riskgrid.operators.components import components
+from riskgrid.operators.sample import axis_literal, line_below, step_of
 from riskgrid.operators.shared import folder, written
 
 #: Neighbour offsets (fixed order).
@@ -40,6 +41,11 @@ def nearest_node(points: DataFrame, lats: list[float], lons: list[float]) -> Dat
     """For each point (point_id, lat, lon) the nearest line of each axis; the first of equally near ones."""
 
     def nearest(x: Column, axis: list[float]) -> Column:
+        if step_of(axis):
+            # the line below, and those beside it: the nearest is one of them
+            values, low = axis_literal(axis), line_below(x, axis)
+            each = F.transform(F.array(low - 1, low, low + 1, low + 2), lambda i: F.when((i >= 0) & (i < len(axis)), F.struct(F.round(F.abs(x - F.get(values, i)), 9).alias("d"), i.alias("i"))))
+            return F.array_min(F.array_compact(each))["i"]
         each = F.array(*(F.struct(F.round(F.abs(x - v), 9).alias("d"), F.lit(i).alias("i")) for i, v in enumerate(axis)))
         return F.array_min(each)["i"]
 

@@ -23,16 +23,44 @@ def axis_literal(values: list) -> Column:
 
 def axis_of(cube: DataFrame, index: str, value: str) -> list:
     """An axis of the grid in order: as many values as the grid has lines."""
-    rows = cube.groupBy(index).agg(F.min(value).alias("v")).collect()
-    return [r.v for r in sorted(rows, key=lambda r: r[index])]
+    return axes_of(cube, ((index, value),))[0]
+
+
+def axes_of(cube: DataFrame, axes: tuple[tuple[str, str], ...] = (("frame", "valid_us"), ("row", "lat"), ("col", "lon"))) -> list[list]:
+    """Several axes (index, value) from one pass over the cube, in order."""
+    kinds = dict(cube.dtypes)
+    one = F.array(*(F.struct(F.lit(k).alias("axis"), F.col(i).cast("long").alias("i"), F.when(F.lit(kinds[v] == "bigint"), F.col(v)).cast("long").alias("whole"), F.col(v).cast("double").alias("v")) for k, (i, v) in enumerate(axes)))
+    rows = cube.select(F.explode(one).alias("x")).groupBy("x.axis", "x.i").agg(F.min("x.whole").alias("whole"), F.min("x.v").alias("v")).collect()
+    out: list[list] = [[] for _ in axes]
+    for r in sorted(rows, key=lambda r: (r.axis, r.i)):
+        out[r.axis].append(r.v if r.whole is None else r.whole)
+    return out
+
+
+def step_of(axis: list) -> float | None:
+    """The step of an axis whose lines lie evenly, or None."""
+    if len(axis) < 2:
+        return None
+    step = (axis[-1] - axis[0]) / (len(axis) - 1)
+    return step if all(abs(axis[0] + step * k - v) < 0.25 * abs(step) for k, v in enumerate(axis)) else None
+
+
+def line_below(x: Column, axis: list) -> Column:
+    """Position of the last line at or below x on an ascending axis (-1: none), by arithmetic if the lines lie nearly evenly."""
+    values, step = axis_literal(axis), step_of(axis)
+    if not step:
+        return F.size(F.filter(values, lambda v: v <= x)) - 1
+    # a guess that is off by one at most, set right by the lines themselves
+    guess = F.least(F.greatest(F.floor((x - F.lit(axis[0])) / step), F.lit(0)), F.lit(len(axis) - 1)).cast("int")
+    above, own = F.get(values, guess + 1), F.get(values, guess)
+    return F.when(above <= x, guess + 1).when(own <= x, guess).otherwise(guess - 1)
 
 
 def bracket(x: Column, axis: list, tolerance: float = 0.0) -> Column:
     """(low, high, fraction) positions of x on an ascending axis; low = high on a line; NULL outside."""
     values = axis_literal(axis)
-    low = F.size(F.filter(values, lambda v: v <= x + tolerance)) - 1
-    at = F.element_at(values, low + 1)
-    nxt = F.element_at(values, F.least(low + 2, F.lit(len(axis))))
+    low = line_below(x + tolerance if tolerance else x, axis)
+    at, nxt = F.get(values, low), F.get(values, F.least(low + 1, F.lit(len(axis) - 1)))
     inside = (x >= axis[0] - tolerance) & (x <= axis[-1] + tolerance)
     return F.when(
         inside,
@@ -44,11 +72,16 @@ def bracket(x: Column, axis: list, tolerance: float = 0.0) -> Column:
 def sample(points: DataFrame, cube: DataFrame, max_gap_us: int | None = None, digits: int = 9) -> DataFrame:
     """Values at points (point_id, lat, lon, t_us).
 
-    Axes are as small as the grid's lines and go into the plan; points are
+    Axes are as small as the grid's lines, come from one pass over the cube and
+    go into the plan; points are
     dealt to their contributors and meet the cube in one equi-join on
-    (frame, row, col), then one aggregation by point.
+    (frame, row, col), then one aggregation by point. An empty cube covers
+    nothing.
     """
-    times, lats, lons = axis_of(cube, "frame", "valid_us"), axis_of(cube, "row", "lat"), axis_of(cube, "col", "lon")
+    times, lats, lons = axes_of(cube)
+    if not times:
+        nothing = points.select("point_id", F.lit("no coverage").alias("status"), *(F.lit(None).cast(t).alias(c) for c, t in (("risk", "double"), ("hard", "boolean"), ("confidence", "double"), ("factor", "double"), ("level", "int"))))
+        return nothing
     gap = max_gap_us if max_gap_us is not None else times[-1] - times[0] + 1
     placed = points.select("point_id", bracket(F.col("t_us"), times).alias("t"), bracket(F.col("lat"), lats, TOLERANCE).alias("y"), bracket(F.col("lon"), lons, TOLERANCE).alias("x"))
     taxis = axis_literal(times)

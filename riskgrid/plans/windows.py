@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from riskgrid.operators import publish, replan, validate, windows
+from riskgrid.operators import publish, replan, service, validate, windows
 from riskgrid.plans.registry import FRAMES, query
 from riskgrid.sources.cube import table, table_frames
 
@@ -143,6 +143,23 @@ def replan_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replan.triggers(observations(spark, sf_dir), POLICY)
 
 
+_FIELDS = ("at_us", "valid_us", "data_revision", "risk_revision", "avg_risk", "max_risk", "event")
+
+
+@query(f"""WITH {OBSERVED}, b AS (SELECT *, {', '.join(f'lag({c}) OVER w AS b_{c}' for c in _FIELDS)}, lag(max_risk) OVER w >= 0.65 AS b_latched FROM o WINDOW w AS (PARTITION BY key ORDER BY at_us, seq)),
+r AS (SELECT *, concat_ws(',', CASE WHEN valid_us > b_valid_us THEN 'time' END, CASE WHEN data_revision > b_data_revision OR risk_revision <> b_risk_revision THEN 'data' END,
+    CASE WHEN hard OR (max_risk >= 0.65 AND NOT coalesce(b_latched, false)) OR greatest(abs(max_risk - b_max_risk), abs(avg_risk - b_avg_risk)) >= 0.10::DOUBLE THEN 'risk' END, CASE WHEN deviation_km >= 10 THEN 'deviation' END, CASE WHEN event IS NOT NULL AND event IS DISTINCT FROM b_event THEN 'event' END, CASE WHEN manual THEN 'manual' END) AS reasons,
+    coalesce(data_revision < b_data_revision OR valid_us < b_valid_us, false) AS back FROM b),
+d AS (SELECT *, CASE WHEN back THEN 'error' WHEN reasons = '' THEN 'none' WHEN b_at_us IS NOT NULL AND at_us < b_at_us + 1800000000 AND NOT (manual OR hard) THEN 'wait' ELSE 'fire' END AS outcome FROM r)
+SELECT seq, outcome, CASE WHEN back THEN '' ELSE reasons END AS reasons, CASE WHEN outcome = 'wait' THEN b_at_us + 1800000000 END AS retry_us FROM d""")
+def replan_tick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One decision for every observation against the one before it, as a service that replans all its runs at once makes them."""
+    o = observations(spark, sf_dir)
+    w = Window.partitionBy("key").orderBy("at_us", "seq")
+    before = o.select(F.col("seq").alias("key"), *(F.lag(c).over(w).alias(f"b_{c}") for c in _FIELDS), (F.lag("max_risk").over(w) >= POLICY.high).alias("b_latched"))
+    return service.tick(before, o.withColumn("key", F.col("seq")), POLICY).select("seq", "outcome", "reasons", "retry_us")
+
+
 @query()
 def replan_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same decisions from a stream of observations; equal to the batch fold by test."""
