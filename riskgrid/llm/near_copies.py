@@ -13,8 +13,7 @@ A pair found is a link if its sets' similarity is ``SIMILARITY`` or more,
 counted on 32-bit hashes of the shingles. Links are sought in three rounds, so
 that a group of near copies costs in proportion to its size: in ``FIRST`` of
 the tries every found component is checked against its smallest member; then
-in all tries, of any two parts that are still apart and meet, one pair at a
-time; at last all pairs that are found and still apart. Only this one leaves
+in all tries, near pairs that would make one of all parts that still meet; at last all pairs that are found and still apart. Only this one leaves
 nothing out; the others spare it the inside of groups.
 
 Defined cases: a null or empty text, or one of white space only, has the empty
@@ -102,12 +101,30 @@ def _same(pdf: pd.DataFrame) -> Forest:
     return forest
 
 
+def spanning(forest: Forest, i: np.ndarray, j: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of pairs (i, j) those by which every part reaches a nearest other one, in turns until all are one; they are linked. No more than a few for each part, however many pairs."""
+    order = np.argsort(far, kind="stable")
+    i, j = i[order], j[order]
+    out = [(i[:0], j[:0])]
+    while True:
+        a, b = forest.label[i], forest.label[j]
+        apart = a != b
+        if not apart.any():
+            break
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        _, first = np.unique(np.concatenate([a, b]), return_index=True)
+        taken = np.unique(first % len(a))
+        out.append((i[taken], j[taken]))
+        forest.link(i[taken], j[taken])
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
 def _pairs(tries: DataFrame, kind: str) -> DataFrame:
     """Pairs (u, v) of keys that meet in ``tries`` (trie, fp, key, root) and are not of one root.
 
     kind: ``stars`` links every key with the smallest position of all that
-    meet, directly or not; ``parts`` gives one pair of any two roots that
-    meet in a chunk and takes them for one from there; ``all`` gives every pair.
+    meet, directly or not; ``parts`` gives near pairs that join all roots that
+    meet, and takes these for one from there; ``all`` gives every pair.
     """
     spark = tries.sparkSession
     rows, tasks = dealt(tries, BUDGETS, LEAVES, BITS, 1)
@@ -153,10 +170,8 @@ def _pairs(tries: DataFrame, kind: str) -> DataFrame:
             apart = label[i] != label[j]
             i, j = i[apart], j[apart]
             if kind == "parts" and len(i):
-                a, b = np.minimum(label[i], label[j]), np.maximum(label[i], label[j])
-                _, once = np.unique(a * len(words) + b, return_index=True)
-                i, j = i[once], j[once]
-            if kind != "all":
+                i, j = spanning(forest, i, j, np.bitwise_count(words[i] ^ words[j]))
+            elif kind == "stars":
                 forest.link(i, j)
             if kind != "stars" and len(i):
                 yield pd.DataFrame({"u": np.minimum(keys[i], keys[j]), "v": np.maximum(keys[i], keys[j])})
