@@ -10,11 +10,15 @@ for the first ``NARROW`` bits (``BUDGETS``). A pair at 0.8 passes one of them
 with probability 0.26, one of all with 0.99; unlike pairs do with 2e-8.
 
 A pair found is a link if its sets' similarity is ``SIMILARITY`` or more,
-counted on 32-bit hashes of the shingles. Links are sought in three rounds, so
-that a group of near copies costs in proportion to its size: in ``FIRST`` of
-the tries every found component is checked against its smallest member; then
-in all tries, near pairs that would make one of all parts that still meet; at last all pairs that are found and still apart. Only this one leaves
-nothing out; the others spare it the inside of groups.
+counted on 32-bit hashes of the shingles; pairs that differ in more than
+``FAR`` of all 1024 bits are not counted (a pair at 0.8 does with probability
+0.02, one at 0.83 with 0.001). Links are sought in three rounds, so that a
+group of near copies costs in proportion to its size: first only the words are
+joined, and keys that meet none are done. Then, of the others, near pairs
+that would make one of all parts that meet are checked; at last all pairs that
+meet and are still apart, each in the first trie that has it. Only this one
+leaves nothing out; the second spares it the inside of groups. What is left
+are the pairs of a group whose members are close to ``SIMILARITY``, but below.
 
 Defined cases: a null or empty text, or one of white space only, has the empty
 set, and these are copies of each other; fewer words than a shingle make one
@@ -36,18 +40,18 @@ from pyspark.sql import functions as F
 
 from riskgrid.llm.common import Columns, by_rows, frozen, semi_by_id
 from riskgrid.llm.components import components
-from riskgrid.llm.simhash import Forest, dealt, node_pairs, sides
+from riskgrid.llm.simhash import Forest, binding, dealt, node_pairs, sides
 
 SHINGLE = 5
 SIMILARITY = 0.8
-TRIES, FIRST = 16, 3
+TRIES = 16
 NARROW = 24
 #: Differing bits by depth: 2 in the first 24, then one more every four bits.
 BUDGETS = tuple(2 if d <= NARROW else 2 + (d - NARROW) // 4 for d in range(65))
 #: Words that share a task, and the depth at which tries are cut at most.
 LEAVES, BITS = 1 << 17, 10
-#: Differing bits of all words beyond which no similar pair lies: its mean and five standard errors.
-FAR = 213
+#: Differing bits of all words of a pair at most: the mean at SIMILARITY and two standard errors.
+FAR = 178
 
 _ODD = np.random.default_rng(20).integers(0, 2**63, TRIES, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -119,12 +123,20 @@ def spanning(forest: Forest, i: np.ndarray, j: np.ndarray, far: np.ndarray) -> t
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def _meets(differ: np.ndarray) -> np.ndarray:
+    """Which rows of differing words meet in one of the words' tries."""
+    out = np.ones(differ.shape, bool)
+    for d in binding(BUDGETS):
+        out &= np.bitwise_count(differ >> np.uint64(64 - d)) <= BUDGETS[d]
+    return out.any(axis=1)
+
+
 def _pairs(tries: DataFrame, kind: str) -> DataFrame:
-    """Pairs (u, v) of keys that meet in ``tries`` (trie, fp, key, root) and are not of one root.
+    """Pairs (u, v) of keys that meet in ``tries`` (trie, fp, key, root, and words but for ``stars``) and are not of one root.
 
     kind: ``stars`` links every key with the smallest position of all that
     meet, directly or not; ``parts`` gives near pairs that join all roots that
-    meet, and takes these for one from there; ``all`` gives every pair.
+    meet, and takes these for one from there; ``all`` gives every pair once.
     """
     spark = tries.sparkSession
     rows, tasks = dealt(tries, BUDGETS, LEAVES, BITS, 1)
@@ -133,10 +145,12 @@ def _pairs(tries: DataFrame, kind: str) -> DataFrame:
     shared = spark.sparkContext.broadcast(tasks)
 
     def found(key: Tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        depth, error = shared.value[key[0]]
+        depth, error, trie = shared.value[key[0]]
         pdf, cut = sides(batches)
         words, keys = pdf["fp"].to_numpy(np.int64).view(np.uint64), pdf["key"].to_numpy(np.int64)
         forest = _same(pdf)
+        prints = None if kind == "stars" else np.stack(pdf["words"].to_numpy()).view(np.uint64)
+        del pdf
 
         def joined(bounds: tuple[np.ndarray, ...]) -> np.ndarray:
             a, b, p, q = bounds
@@ -169,17 +183,25 @@ def _pairs(tries: DataFrame, kind: str) -> DataFrame:
             label = forest.label
             apart = label[i] != label[j]
             i, j = i[apart], j[apart]
-            if kind == "parts" and len(i):
-                i, j = spanning(forest, i, j, np.bitwise_count(words[i] ^ words[j]))
-            elif kind == "stars":
+            if kind == "stars":
                 forest.link(i, j)
-            if kind != "stars" and len(i):
+                continue
+            differ = prints[i] ^ prints[j]
+            far = np.bitwise_count(differ).sum(axis=1)
+            near = far <= FAR
+            if kind == "all":
+                near &= ~_meets(differ[:, :trie])
+            i, j, far = i[near], j[near], far[near]
+            if kind == "parts" and len(i):
+                i, j = spanning(forest, i, j, far)
+            if len(i):
                 yield pd.DataFrame({"u": np.minimum(keys[i], keys[j]), "v": np.maximum(keys[i], keys[j])})
         if kind == "stars":
             moved = np.flatnonzero(forest.label != np.arange(len(words)))
             yield pd.DataFrame({"u": keys[moved], "v": keys[forest.label[moved]]})
 
-    return rows.select("fp", "key", "root", "side", "task").groupBy("task").applyInPandas(found, "u bigint, v bigint").where("u <> v")
+    words = [] if kind == "stars" else ["words"]
+    return rows.select("fp", "key", "root", *words, "side", "task").groupBy("task").applyInPandas(found, "u bigint, v bigint").where("u <> v")
 
 
 def _similar(a: str, b: str) -> Column:
@@ -188,20 +210,13 @@ def _similar(a: str, b: str) -> Column:
 
 
 def _checked(pairs: DataFrame, prints: DataFrame, name: str) -> DataFrame:
-    """The pairs whose sets are similar enough: far fingerprints go first, on small rows; then the sets meet."""
+    """The pairs whose sets are similar enough; only sets of keys that stand in a pair move."""
     pairs = frozen(pairs.distinct(), f"{name}-met")
-
-    def with_both(pairs: DataFrame, column: str) -> DataFrame:
-        """The pairs with a column of both keys; only rows of keys that stand in a pair move."""
-        found = pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key")))
-        own = semi_by_id(prints.select("key", column), found, "key").groupBy("key").agg(F.first(column).alias(column))
-        for side in ("u", "v"):
-            pairs = pairs.join(own.select(F.col("key").alias(side), F.col(column).alias(f"of_{side}")), side)
-        return pairs
-
-    apart = F.aggregate(F.zip_with("of_u", "of_v", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, n: a + n)
-    pairs = frozen(with_both(pairs, "words").where(apart <= FAR).select("u", "v"), f"{name}-near")
-    return frozen(with_both(pairs, "hashes").where(_similar("of_u", "of_v")).select("u", "v"), name)
+    found = pairs.select(F.col("u").alias("key")).unionByName(pairs.select(F.col("v").alias("key")))
+    sets = semi_by_id(prints.select("key", "hashes"), found, "key").groupBy("key").agg(F.first("hashes").alias("hashes"))
+    for side in ("u", "v"):
+        pairs = pairs.join(sets.select(F.col("key").alias(side), F.col("hashes").alias(f"of_{side}")), side)
+    return frozen(pairs.where(_similar("of_u", "of_v")).select("u", "v"), name)
 
 
 def near_copies(docs: DataFrame) -> DataFrame:
@@ -209,18 +224,17 @@ def near_copies(docs: DataFrame) -> DataFrame:
     prints = frozen(_prints(docs), "near-prints")
     distinct = frozen(prints.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("words").alias("words")), "near-distinct")
 
-    def tries(roots: DataFrame | None, first: int = TRIES) -> DataFrame:
-        rows = distinct.withColumn("root", F.col("key"))
-        if roots is not None:
-            rows = distinct.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        return rows.select("key", "root", F.posexplode(F.slice("words", 1, first)).alias("trie", "fp")).select("trie", "fp", "key", "root")
-
-    # components of what meets in the first tries, each member with the smallest
-    met = components(_pairs(tries(None, FIRST), "stars"), "near-met")
-    links = _checked(met.select(F.col("node").alias("u"), F.col("root").alias("v")), prints, "near-stars")
-    for kind in ("parts", "all"):
-        roots = components(links, f"near-{kind}-roots")
-        links = links.unionByName(_checked(_pairs(tries(roots), kind), prints, f"near-{kind}"))
+    def tries(rows: DataFrame, *more: str) -> DataFrame:
+        return rows.select("key", "root", *more, F.posexplode("words").alias("trie", "fp"))
+
+    alone = distinct.select("key", F.col("key").alias("root"), "words")
+    met = frozen(_pairs(tries(alone), "stars"), "near-stars")
+    keys = met.select(F.col("u").alias("key")).unionByName(met.select(F.col("v").alias("key")))
+    some = frozen(semi_by_id(alone, keys, "key"), "near-some")
+    links = _checked(_pairs(tries(some, "words"), "parts"), prints, "near-parts")
+    roots = components(links, "near-parts-roots").select(F.col("node").alias("key"), F.col("root").alias("found"))
+    rooted = some.join(roots, "key", "left").withColumn("root", F.coalesce("found", "root"))
+    links = links.unionByName(_checked(_pairs(tries(rooted, "words"), "all"), prints, "near-all"))
     roots = components(links, "near-components")
     named = distinct.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "rep", F.coalesce("root", "key").alias("root"))
     named = named.join(named.groupBy("root").agg(F.min("rep").alias("component_id")), "root").select("key", "component_id")

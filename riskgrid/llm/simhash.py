@@ -105,8 +105,8 @@ def top_pairs(counts: dict[int, int], budgets: Budgets, leaves: int, bits: int =
     return out
 
 
-def dealt(rows: DataFrame, budgets: Budgets, leaves: int = LEAVES, bits: int = TOP_BITS, least_bits: int = MIN_BITS) -> tuple[DataFrame, list[tuple[int, int]]]:
-    """``rows`` (trie, fp, and more) dealt to the tasks of pairs of subtrees of each trie, with ``task`` and ``side`` (0 or 1); and the depth and error of each task.
+def dealt(rows: DataFrame, budgets: Budgets, leaves: int = LEAVES, bits: int = TOP_BITS, least_bits: int = MIN_BITS) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+    """``rows`` (trie, fp, and more) dealt to the tasks of pairs of subtrees of each trie, with ``task`` and ``side`` (0 or 1); and the depth, error and trie of each task.
 
     Subtrees have about ``leaves`` rows at most. One that has more within the
     first ``bits`` bits is cut into parts by a hash, and the parts are joined
@@ -120,7 +120,7 @@ def dealt(rows: DataFrame, budgets: Budgets, leaves: int = LEAVES, bits: int = T
     for r in rows.groupBy("trie", prefix.alias("p")).agg(F.count("*").alias("n")).collect():
         counts.setdefault(r.trie, {})[r.p] = r.n
     leaves = max(leaves, sum(sum(c.values()) for c in counts.values()) // 4096)
-    tasks: list[tuple[int, int]] = []
+    tasks: list[tuple[int, int, int]] = []
     where = []
     for trie, own in counts.items():
         of: dict[tuple[int, int], list[list[int]]] = {}  # by subtree and part: task and side in one number
@@ -138,7 +138,7 @@ def dealt(rows: DataFrame, budgets: Budgets, leaves: int = LEAVES, bits: int = T
                     if not alone or i != j:
                         right[j].append(2 * len(tasks) + 1)
                     # sides of unequal depth agree only in the shorter prefix
-                    tasks.append((min(dp, dq), error))
+                    tasks.append((min(dp, dq), error, trie))
         where += [(trie, p << (bits - d) | x, ks) for (p, d), ks in of.items() for x in range(1 << (bits - d)) if p << (bits - d) | x in own]
     table = spark.createDataFrame(where, "trie int, prefix bigint, codes array<array<int>>")
     part = F.pmod(F.xxhash64(*rows.columns), F.size("codes")).cast("int")
@@ -178,6 +178,11 @@ class Forest:
         self.run = np.cumsum(np.r_[0, label[1:] != label[:-1]])
 
 
+def binding(budgets: Budgets) -> list[int]:
+    """Depths at which a budget tells more than that of the next depth, the deepest first."""
+    return [d for d in range(64, 0, -1) if d == 64 or budgets[d] < budgets[d + 1]]
+
+
 def node_pairs(words: np.ndarray, cut: int, depth: int, error: int, budgets: Budgets, joined: Callable[[tuple[np.ndarray, ...]], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Positions (i, j) of leaves that meet, in chunks, of the sorted ``words[:cut]`` with the sorted ``words[cut:]``, or of one trie with itself if there are none.
 
@@ -193,8 +198,7 @@ def node_pairs(words: np.ndarray, cut: int, depth: int, error: int, budgets: Bud
         same[cut] = True
     begin = np.flatnonzero(same)
     run = np.cumsum(same) - 1  # index of a word's run
-    # a smaller budget at a greater depth, or the same one, makes a depth's own needless
-    binding = [d for d in range(64, 0, -1) if d == 64 or budgets[d] < budgets[d + 1]]
+    deep = binding(budgets)
     ones: dict[int, np.ndarray] = {}
     stack = [(depth, np.array([first], np.int64))]
     while stack:
@@ -207,8 +211,8 @@ def node_pairs(words: np.ndarray, cut: int, depth: int, error: int, budgets: Bud
         leaf = (run[a] == run[b - 1]) & (run[p] == run[q - 1])
         if leaf.any():
             i, j = begin[run[a[leaf]]], begin[run[p[leaf]]]
-            for depth in binding:
-                near = np.bitwise_count((words[i] ^ words[j]) >> np.uint64(64 - depth)) <= budgets[depth]
+            for at in deep:
+                near = np.bitwise_count((words[i] ^ words[j]) >> np.uint64(64 - at)) <= budgets[at]
                 i, j = i[near], j[near]
             if len(i):
                 yield i, j
@@ -256,7 +260,8 @@ def links(distinct: DataFrame, budget: int = BUDGET, leaves: int = LEAVES) -> Da
     def join(key: Tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pdf, cut = sides(batches)
         signed = pdf["fp"].to_numpy(np.int64)
-        label = join_tries(signed.view(np.uint64), cut, *shared.value[key[0]], budgets).label
+        depth, error, _ = shared.value[key[0]]
+        label = join_tries(signed.view(np.uint64), cut, depth, error, budgets).label
         moved = np.flatnonzero(label != np.arange(len(signed)))
         yield pd.DataFrame({"u": signed[moved], "v": signed[label[moved]]})
 
