@@ -1,6 +1,7 @@
 """Quality rules: hashed n-gram log-likelihood ratio between trusted text and the raw corpus.
 
-Words and word pairs of every text are hashed to ``BUCKETS`` buckets. Two
+Words and word pairs of every text are hashed to ``BUCKETS`` buckets (a pair by
+the 64-bit hashes of its words). Two
 multinomials over the buckets are counted: one over all texts, one over the
 trusted ones. Equal texts count once in both, however many copies there are,
 and a text is trusted if any copy is, so copies cannot move the ratio. A
@@ -16,7 +17,7 @@ trusted ids or hashes of copied texts are too many to broadcast.
 
 Defined cases: a null text counts as empty; a text without words has no
 n-grams, score 0 and fails the base rule; repeated rows count once and are
-scored each time; texts whose 64-bit hashes agree count as copies; with no trusted row (or an empty table) all ratios are 0, so the
+scored each time; texts, and windows of words, whose 64-bit hashes agree count as copies; with no trusted row (or an empty table) all ratios are 0, so the
 method rejects nothing. Columns besides doc_id and text are never read.
 """
 
@@ -44,12 +45,20 @@ def words_of(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, "[\\x20\\x09-\\x0D]+"))
 
 
-def _grams(words: str) -> str:
-    """SQL: buckets of all words and neighbouring word pairs."""
-    return f"""concat(
-        transform({words}, w -> cast(pmod(xxhash64(w), {BUCKETS}) as int)),
-        if(size({words}) < 2, cast(array() as array<int>),
-           transform(sequence(1, size({words}) - 1), i -> cast(pmod(xxhash64({words}[i - 1], {words}[i]), {BUCKETS}) as int))))"""
+def _hashes(words: str) -> str:
+    """SQL: the 64-bit hash of every word; pairs and windows of words are hashed by those of their words."""
+    return f"transform({words}, w -> xxhash64(w))"
+
+
+def _pair(h: str, i: str) -> str:
+    """SQL: bucket of the pair of words that ends at place ``i``."""
+    return f"cast(pmod(xxhash64({h}[{i} - 1], {h}[{i}]), {BUCKETS}) as int)"
+
+
+def _grams(h: str) -> str:
+    """SQL: buckets of all words and neighbouring word pairs, from the words' hashes."""
+    return f"""concat(transform({h}, x -> cast(pmod(x, {BUCKETS}) as int)),
+        if(size({h}) < 2, cast(array() as array<int>), transform(sequence(1, size({h}) - 1), i -> {_pair(h, "i")})))"""
 
 
 def fit(docs: DataFrame, trusted: DataFrame) -> list[int]:
@@ -67,7 +76,7 @@ def fit(docs: DataFrame, trusted: DataFrame) -> list[int]:
     copied = frozen(flagged.groupBy("h").agg(F.count("*").alias("n"), F.max("t").alias("any_t")).where("n > 1"), "quality-copies")
     once = flagged.join(perhaps_broadcast(copied, 48), "h", "left")
     share = F.when(F.col("n").isNull(), F.lit(UNIT)).otherwise(F.round(UNIT / F.col("n"))).cast("long")
-    grams = once.select(share.alias("s"), F.coalesce("any_t", "t").alias("t"), words_of(F.col("text")).alias("w")).select("s", "t", F.explode(F.expr(_grams("w"))).alias("g"))
+    grams = once.select(share.alias("s"), F.coalesce("any_t", "t").alias("t"), words_of(F.col("text")).alias("w")).select("s", "t", F.expr(_hashes("w")).alias("h")).select("s", "t", F.explode(F.expr(_grams("h"))).alias("g"))
     counts = grams.groupBy("g").agg(F.sum("s").alias("raw"), F.sum(F.col("s") * F.col("t")).alias("target")).collect()
     raw, target = [0] * BUCKETS, [0] * BUCKETS
     for r in counts:
@@ -83,14 +92,13 @@ def judged(docs: DataFrame, ratios: list[int], threshold: float = THRESHOLD) ->
     n_grams = "greatest(0, 2 * size(__rg_w) - 1)"
     step = docs.withColumn("__rg_w", words_of(F.col("text")))
     step = step.withColumn("__rg_r", F.split(F.lit(",".join(map(str, ratios))), ",").cast("array<int>"))
-    # 64-bit hashes of the three-word windows tell cheaply that none repeats
-    step = step.withColumn("__rg_h", F.expr("if(size(__rg_w) < 3, cast(array() as array<bigint>), transform(sequence(2, size(__rg_w) - 1), i -> xxhash64(__rg_w[i - 2], __rg_w[i - 1], __rg_w[i])))"))
-    # equal windows become neighbours; the words settle equal hashes
-    step = step.withColumn("__rg_s", F.expr("if(size(array_distinct(__rg_h)) = size(__rg_h), null, array_sort(transform(__rg_h, (h, i) -> struct(h, __rg_w[i] as a, __rg_w[i + 1] as b, __rg_w[i + 2] as c, i))))"))
+    step = step.withColumn("__rg_x", F.expr(_hashes("__rg_w")))
+    # 64-bit hashes of the three-word windows
+    step = step.withColumn("__rg_h", F.expr("if(size(__rg_x) < 3, cast(array() as array<bigint>), transform(sequence(2, size(__rg_x) - 1), i -> xxhash64(__rg_x[i - 2], __rg_x[i - 1], __rg_x[i])))"))
+    # equal windows become neighbours, each with its place
+    step = step.withColumn("__rg_s", F.expr("if(size(array_distinct(__rg_h)) = size(__rg_h), null, sort_array(transform(__rg_h, (h, i) -> struct(h, i))))"))
     step = step.withColumn("__rg_p", F.expr("""array_sort(transform(filter(sequence(0, size(__rg_s) - 1), j ->
-        (j > 0 and struct(__rg_s[greatest(j - 1, 0)].h, __rg_s[greatest(j - 1, 0)].a, __rg_s[greatest(j - 1, 0)].b, __rg_s[greatest(j - 1, 0)].c) = struct(__rg_s[j].h, __rg_s[j].a, __rg_s[j].b, __rg_s[j].c))
-        or (j < size(__rg_s) - 1 and struct(__rg_s[least(j + 1, size(__rg_s) - 1)].h, __rg_s[least(j + 1, size(__rg_s) - 1)].a, __rg_s[least(j + 1, size(__rg_s) - 1)].b, __rg_s[least(j + 1, size(__rg_s) - 1)].c) = struct(__rg_s[j].h, __rg_s[j].a, __rg_s[j].b, __rg_s[j].c))),
-        j -> __rg_s[j].i))"""))
+        (j > 0 and __rg_s[greatest(j - 1, 0)].h = __rg_s[j].h) or (j < size(__rg_s) - 1 and __rg_s[least(j + 1, size(__rg_s) - 1)].h = __rg_s[j].h)), j -> __rg_s[j].i))"""))
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     step = step.withColumn("__rg_l", lines)
@@ -104,9 +112,9 @@ def judged(docs: DataFrame, ratios: list[int], threshold: float = THRESHOLD) ->
             # each repeated window adds its words that the one before did not cover
             F.expr("if(__rg_s is null, 0L, aggregate(__rg_p, struct(-3 as at, 0L as n), (a, p) -> struct(p as at, a.n + least(3, p - a.at) as n), a -> a.n))").alias("n_repeat_words"),
             F.expr(n_grams).cast("long").alias("n_grams"),
-            F.expr(f"aggregate(__rg_w, 0L, (a, w) -> a + __rg_r[cast(pmod(xxhash64(w), {BUCKETS}) as int)]) + if(size(__rg_w) < 2, 0L, aggregate(sequence(1, size(__rg_w) - 1), 0L, (a, i) -> a + __rg_r[cast(pmod(xxhash64(__rg_w[i - 1], __rg_w[i]), {BUCKETS}) as int)]))").alias("ratio_micro"),
+            F.expr(f"aggregate(__rg_x, 0L, (a, x) -> a + __rg_r[cast(pmod(x, {BUCKETS}) as int)]) + if(size(__rg_x) < 2, 0L, aggregate(sequence(1, size(__rg_x) - 1), 0L, (a, i) -> a + __rg_r[{_pair('__rg_x', 'i')}]))").alias("ratio_micro"),
         ),
-    ).drop("__rg_w", "__rg_r", "__rg_h", "__rg_s", "__rg_p", "__rg_l")
+    ).drop("__rg_w", "__rg_x", "__rg_r", "__rg_h", "__rg_s", "__rg_p", "__rg_l")
     q = F.col("__rg_q")
     failed = (q["n_words"] < 50) | (100 * q["n_repeat_words"] > 50 * q["n_words"])
     low = q["ratio_micro"] < F.lit(round(threshold * MICRO)) * q["n_grams"]

@@ -196,7 +196,7 @@ def test_quality_ratio_and_verdict_by_brute_force(spark, sf_dir):
     words = sorted({w for _, t in rows for w in _words(t)})
     pairs = sorted({p for _, t in rows for p in zip(_words(t), _words(t)[1:], strict=False)})
     one = {r.w: r.h for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
-    two = {(r.a, r.b): r.h for r in spark.createDataFrame(pairs, "a string, b string").select("a", "b", F.xxhash64("a", "b").alias("h")).collect()}
+    two = {(r.a, r.b): r.h for r in spark.createDataFrame(pairs, "a string, b string").select("a", "b", F.xxhash64(F.xxhash64("a"), F.xxhash64("b")).alias("h")).collect()}
 
     def grams(text):
         w = _words(text)
