@@ -62,8 +62,8 @@ MAGIC = b"DAC1"
 BLOCK_IDS = 1 << 18
 RANK_BITS = 512
 NULL_ID = -(2**63)
-#: Entries that a worker's table of encoded pieces may have: about 60 MB.
-KNOWN = 300_000
+#: Entries that a worker's table of encoded pieces may have: about 120 MB.
+KNOWN = 600_000
 
 _NO_END = np.zeros(0, np.uint32)
 
