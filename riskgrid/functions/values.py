@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import json
 import math
-from datetime import UTC, datetime
 from typing import Any
 
 from pyspark.sql import Column
@@ -13,10 +12,6 @@ from pyspark.sql import functions as F
 
 #: Patterns of ids, SHA-256 digests and UTC times (fixed values).
 ID_PATTERN = r"^[a-z0-9][a-z0-9_-]{0,127}$"
-RUN_PATTERN = r"^run-[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-RISK_PATTERN = r"^risk-sha256-[0-9a-f]{64}$"
-PLAN_PATTERN = r"^route-v3-sha256-[0-9a-f]{64}$"
-SET_PATTERN = r"^layer-set-sha256-[0-9a-f]{64}$"
 SHA256_PATTERN = r"^[0-9a-f]{64}$"
 UTC_PATTERN = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|\+00:00)$"
 
@@ -40,13 +35,6 @@ def utc_text(micros: Column) -> Column:
     return F.when(F.pmod(micros, F.lit(1_000_000)) == 0, F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss'Z'")).otherwise(F.date_format(stamp, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))
 
 
-def parse_utc(text: str) -> datetime:
-    value = datetime.fromisoformat(text.replace("Z", "+00:00"))
-    if value.tzinfo is None or value.utcoffset().total_seconds():
-        raise ValueError(f"not a UTC time: {text}")
-    return value.astimezone(UTC)
-
-
 def plain(value: Any) -> Any:
     """JSON scalars only: numbers of array libraries unwrapped, no infinities."""
     if hasattr(value, "item") and not isinstance(value, (list, dict, str)):

@@ -28,6 +28,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from riskgrid.operators.shared import create_file
+
 #: Fields of a token (fixed set); the first six are its context.
 TOKEN = ("run_id", "scenario_id", "generation", "config_digest", "model_digest", "planner_digest", "request_id", "revision")
 CONTEXT = TOKEN[:6]
@@ -114,10 +116,8 @@ def publish_table(df: DataFrame, root: str) -> str:
     path = f"{root}/data-{uuid.uuid4().hex}"
     df.write.parquet(path)
     number = max((n for n, _ in _pointers(spark, root)), default=-1) + 1
-    pointer = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/pointer-{number:012d}")
-    out = pointer.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(pointer, False)
-    out.write(bytearray(path.encode()))
-    out.close()
+    if not create_file(spark, f"{root}/pointer-{number:012d}", path):
+        raise RuntimeError(f"another writer has published under {root} meanwhile")
     return path
 
 

@@ -65,3 +65,21 @@ def written(df: DataFrame, path: str) -> DataFrame:
     """``df`` written to a path and read back: computed once, with no lineage."""
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def create_file(spark: SparkSession, path: str, text: str) -> bool:
+    """Create a small file, whole, unless there is one; the file system lets one of several writers win. Returns whether this one did."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(where):
+        return False
+    try:
+        out = fs.create(where, False)
+    except Exception as e:
+        if fs.exists(where):
+            return False
+        raise e
+    out.write(bytearray(text.encode()))
+    out.close()
+    return True

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -104,6 +102,3 @@ def policy_rules() -> dict[str, Column]:
     out = {f"{c} outside [0, 1]": _outside(F.col(c), 0, 1) for c in names}
     return out | {"clear over high": F.col("clear") > F.col("high"), "deviation_km is negative": F.col("deviation_km") < 0, "interval is negative": F.col("min_interval_us") < 0}
 
-
-def any_of(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, columns)

@@ -6,9 +6,15 @@ columns, the time it is valid for and the times it was known and made.
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from riskgrid.operators.shared import create_file
+
 REVISION = ("as_of", "generated", "risk_id")
 
 
@@ -106,39 +112,51 @@ def merge_published(store: DataFrame, new: DataFrame, digest: str = "digest") ->
     return new.dropDuplicates(["risk_id"]).join(store.select("risk_id"), "risk_id", "left_anti")
 
 
-def commit_window(frames: DataFrame, path: str, digest: str) -> bool:
-    """Freeze a window under a path once; the same content again is accepted, other content is not.
-
-    Returns whether it wrote. The manifest is written last, so a reader
-    that finds it finds all frames.
-    """
-    spark = frames.sparkSession
-    found = committed_digest(spark, path)
-    if found is not None:
-        if found != digest:
-            raise ValueError("another window is committed under this key")
-        return False
-    frames.write.mode("overwrite").parquet(f"{path}/frames")
-    spark.createDataFrame([(digest,)], "digest string").coalesce(1).write.mode("errorifexists").json(f"{path}/manifest")
-    return True
+def content_digest(frames: DataFrame) -> str:
+    """A digest of all rows and columns that does not depend on their order or partitioning: from sums over the rows' SHA-256."""
+    row = F.sha2(F.to_json(F.struct(*sorted(frames.columns)), {"ignoreNullFields": "false"}), 256)
+    parts = [F.sum(F.conv(F.substring(row, 1 + 15 * k, 15), 16, 10).cast("decimal(38,0)")) for k in range(4)]
+    sums = frames.agg(F.count("*"), *parts).first()
+    return hashlib.sha256(",".join(str(x or 0) for x in sums).encode()).hexdigest()
 
 
-def committed_digest(spark: SparkSession, path: str) -> str | None:
-    from pyspark.errors import AnalysisException
+def commit_window(frames: DataFrame, path: str) -> str:
+    """Freeze a window under a path once, and return its digest; the same content again is accepted, other content is not.
 
+    The frames go to a fresh folder; a manifest that names it and the digest
+    is created last, which one writer only can do. So a reader that finds it
+    finds all frames, and two writers never mix.
+    """
+    spark = frames.sparkSession
+    digest = content_digest(frames)
+    if _manifest(spark, path) is None:
+        data = f"{path}/frames-{uuid.uuid4().hex}"
+        frames.write.parquet(data)
+        create_file(spark, f"{path}/manifest", f"{digest} {data}")
+    found = _manifest(spark, path)
+    if found is None or found[0] != digest:
+        raise ValueError("another window is committed under this key")
+    return digest
+
+
+def _manifest(spark: SparkSession, path: str) -> tuple[str, str] | None:
+    """Digest and folder of a committed window."""
     try:
-        rows = spark.read.schema("digest string").json(f"{path}/manifest").take(1)
+        rows = spark.read.text(f"{path}/manifest").take(1)
     except AnalysisException:
         return None
-    return rows[0].digest if rows else None
+    return tuple(rows[0].value.split(" ", 1)) if rows else None
 
 
-def committed_window(spark: SparkSession, path: str, digest: str | None = None) -> DataFrame:
-    """A committed window; with a digest, only if it is still the same."""
-    found = committed_digest(spark, path)
-    if found is None or (digest is not None and found != digest):
+def committed_window(spark: SparkSession, path: str, digest: str | None = None, check: bool = False) -> DataFrame:
+    """A committed window; with a digest, only if it is the same; with ``check``, only if its rows still have it."""
+    found = _manifest(spark, path)
+    if found is None or (digest is not None and found[0] != digest):
         raise LookupError(f"no such committed window: {path}")
-    return spark.read.parquet(f"{path}/frames")
+    frames = spark.read.parquet(found[1])
+    if check and content_digest(frames) != found[0]:
+        raise ValueError(f"the committed window has changed: {path}")
+    return frames
 
 
 def window_contract(frames: DataFrame, start: int, end: int, step: int, as_of: int, valid: str = "valid") -> DataFrame:
