@@ -110,10 +110,13 @@ class Field:
         return ("error",) if value[1] != value[1] else value
 
     def bound(self, goal: tuple[int, int], weights: Weights) -> Callable[[tuple[int, int]], float]:
-        """Least cost from a node to the goal: the great circle at full speed. It never falls by more than a crossing costs."""
+        """Least cost from a node to the goal: the great circle at the best speed, risk and confidence of the cube. It never falls by more than a crossing costs."""
         known: dict[tuple[int, int], float] = {}
         lat2, lon2 = self.place.get(goal, (math.nan, math.nan))
-        each = (weights.time + weights.distance) / self.vessel.maximum_kmh
+        factor, risk, conf = (float(f(x)) if not np.isnan(x).all() else d for f, x, d in ((np.nanmax, self.factor, 1.0), (np.nanmin, self.risk, 0.0), (np.nanmax, self.conf, 1.0)))
+        v = self.vessel
+        hour = weights.time + weights.risk * min(1.0, max(0.0, risk)) + weights.uncertainty * max(0.0, 1 - conf)
+        each = hour / (min(v.maximum, v.economic * min(1.0, factor)) * KNOT_KMH) + weights.distance / v.maximum_kmh
 
         def least(node: tuple[int, int]) -> float:
             if node not in known:
