@@ -57,6 +57,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from riskgrid.llm.common import AT_ONCE, Columns, by_rows, fresh_path, perhaps_broadcast, short_batches
+from riskgrid.llm.tokens import groups_of
 
 MAGIC = b"DAC1"
 BLOCK_IDS = 1 << 18
@@ -65,7 +66,8 @@ NULL_ID = -(2**63)
 #: Entries that a worker's table of encoded pieces may have: about 120 MB.
 KNOWN = 600_000
 
-_NO_END = np.zeros(0, np.uint32)
+#: Characters of texts that are encoded together.
+TOGETHER = 1 << 22
 
 
 # --- codes ---------------------------------------------------------------
@@ -268,10 +270,11 @@ def blocks(docs: DataFrame, tokenizer: str, end_id: int | None, block_ids: int =
             return out
 
         for batch in batches:
-            for a in range(0, batch.num_rows, AT_ONCE):
-                part = batch.slice(a, AT_ONCE)
-                names = [NULL_ID if v is None else v for v in part.column("doc_id").to_pylist()]
-                for k, raw in zip(names, own.texts(part.column("text").to_pylist()), strict=True):
+            names = [NULL_ID if v is None else v for v in batch.column("doc_id").to_pylist()]
+            texts = batch.column("text").to_pylist()
+            # the more texts are encoded together, the fewer pieces are encoded again
+            for a, b in groups_of(texts, TOGETHER):
+                for k, raw in zip(names[a:b], own.texts(texts[a:b]), strict=True):
                     raw += end
                     if doc_ids and size + len(raw) // 4 > block_ids:
                         yield cut()
