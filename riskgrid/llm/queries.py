@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskgrid.llm import decontamination, html_extraction, licenses, quality_classifier, quality_rules, sentence_pieces, sharding, simhash, token_store, toxicity
+from riskgrid.llm import decontamination, filter_audit, html_extraction, licenses, order_minhash, quality_classifier, quality_rules, sentence_pieces, sharding, simhash, source_divergence, token_store, toxicity
 from riskgrid.llm.common import read, tokenizer_file
 
 
@@ -51,6 +51,18 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(read(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_interactions(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.divergence(read(spark, sf_dir, "documents"))
+
+
+def op13_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.edited(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -64,6 +76,9 @@ QUERIES = {
         op8_decontamination,
         op9_sharding,
         op10_licenses,
+        op11_filter_audit,
+        op12_source_divergence,
+        op13_order_minhash,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_filter_audit": filter_audit.SQL, "op12_source_divergence": source_divergence.SQL}
