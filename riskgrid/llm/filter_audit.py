@@ -78,9 +78,8 @@ def failures(docs: DataFrame, labels: DataFrame, part: str = "source") -> tuple[
 
 def lattice_edges(counts: DataFrame, n_filters: int) -> DataFrame:
     """(part, before, filter, paths, and COUNTS): every edge of every part; ``before`` holds the bits of the filters already applied."""
-    edges = F.array(
-        *(F.struct(F.lit(s).alias("before"), F.lit(f).alias("filter"), F.lit(1 << f).alias("bit"), F.lit(factorial(s.bit_count()) * factorial(n_filters - 1 - s.bit_count())).alias("paths")) for f in range(n_filters) for s in range(1 << n_filters) if not s >> f & 1)
-    )
+    every = ((s, f) for f in range(n_filters) for s in range(1 << n_filters) if not s >> f & 1)
+    edges = F.expr("array(" + ", ".join(f"named_struct('before', {s}, 'filter', {f}, 'bit', {1 << f}, 'paths', {factorial(s.bit_count()) * factorial(n_filters - 1 - s.bit_count())})" for s, f in every) + ")")
     met = counts.withColumn("edge", F.explode(edges)).select("part", "failed", "quality", "toxic", "n", "edge.*")
     fails = F.col("failed").bitwiseAND(F.col("bit")) != 0
     earlier = F.col("failed").bitwiseAND(F.col("before")) != 0
