@@ -206,10 +206,10 @@ def divergence(docs: DataFrame, least_docs: int = LEAST_DOCS, ranks: int = RANKS
     groups = counts.select("lang", "source").distinct()
     kept = counts.where("term is not null").groupBy("lang", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs).drop("docs")
     kept = frozen(kept, "divergence-kept")
-    per_lang = kept.groupBy("lang").agg(F.count("*").alias("n_terms"), F.sum("n").alias("total"))
+    per_lang = frozen(kept.groupBy("lang").agg(F.count("*").alias("n_terms"), F.sum("n").alias("total")), "divergence-langs")
     # a block holds about as many terms as asked for; a term's position in it is its rank by bytes
     blocks = F.ceil(F.col("n_terms") / block)
-    placed = kept.join(per_lang, "lang").withColumn("block", F.pmod(F.xxhash64("term"), blocks).cast("int"))
+    placed = kept.join(perhaps_broadcast(per_lang), "lang").withColumn("block", F.pmod(F.xxhash64("term"), blocks).cast("int"))
     w = Window.partitionBy("lang", "block")
     placed = placed.withColumns({"pos": (F.row_number().over(w.orderBy("term")) - 1).cast("int"), "size": F.count("*").over(w).cast("int")})
     placed = frozen(placed, "divergence-terms")
