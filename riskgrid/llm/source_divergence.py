@@ -23,8 +23,8 @@ All of this is one shuffle of packed vectors. It grows with the square of the
 number of seats, as the result does with the square of the number of sources;
 neither documents nor terms are in it more than once for a group.
 
-Words are counted by built-in functions with partial sums, so a source with a
-third of all documents is dealt by its terms. A row of the exchange is one
+Every task counts the terms of its texts into one table and hands on sums, so
+a source with a third of all documents is dealt by its terms. A row of the exchange is one
 group's part of one block, at most some tens of kilobytes.
 
 Defined cases: null text, lang and source are the empty string; a text without
@@ -37,6 +37,8 @@ source has no pairs; an empty table gives no rows; extra columns are not read.
 from __future__ import annotations
 
 import heapq
+import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -48,30 +50,56 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from riskgrid.llm.common import frozen, perhaps_broadcast, short_batches
+from riskgrid.llm.common import BATCH_ROWS, frozen, perhaps_broadcast, short_batches
 
-NOT_A_TERM = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_DOCS = 30
 RANKS = 50
 #: Terms of a block, on average; seats that a language's groups are dealt into, and groups of a seat at most.
 BLOCK, SEATS, SEAT_GROUPS = 4096, 8, 256
 #: Parts of a share, and what every count is raised by.
 PARTS, RAISED = 1_000_000_000, 5
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Terms that a task counts before it hands them on (some 100 bytes each).
+HELD = 400_000
 
 
-def terms(text: Column) -> Column:
-    """All terms of a text, in order."""
-    return F.filter(F.split(F.translate(text, UPPER, LOWER), NOT_A_TERM), lambda w: w != "")
+_TERM = re.compile(rb"[a-z\x80-\xff]+")
+COUNTED = "lang string, source string, term string, n bigint, docs bigint"
+
+
+def terms(text: str | None) -> list[bytes]:
+    """All terms of a text, in order, as UTF-8: ``lower`` of bytes folds A-Z only, and no character is cut, since all bytes of the others are in a term."""
+    return _TERM.findall((text or "").encode("utf-8", "replace").lower())
+
+
+def _counted(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Occurrences and documents of every term by group, summed over a task's rows as long as they fit in ``HELD`` entries."""
+    held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+
+    def told() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (n, docs) in held.items():
+            names = list(n)
+            for a in range(0, max(1, len(names)), BATCH_ROWS):
+                own = names[a : a + BATCH_ROWS] or [None]
+                columns = [[lang] * len(own), [source] * len(own), pa.array(own, pa.binary()).cast(pa.string()), [n[t] for t in own], [docs[t] for t in own]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) if isinstance(c, list) else c for c, f in zip(columns, schema, strict=True)], schema=schema)
+        held.clear()
+
+    for batch in batches:
+        for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text")), strict=True):
+            own = held.setdefault((lang or "", source or ""), (Counter(), Counter()))
+            found = Counter(terms(text))
+            own[0].update(found)
+            own[1].update(found.keys())
+        if sum(len(n) for n, _ in held.values()) > HELD:
+            yield from told()
+    yield from told()
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """(lang, source, term, n, docs): occurrences and documents; a group without terms has one row of a null term."""
-    words = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")), terms(F.coalesce("text", F.lit(""))).alias("words"))
-    each = F.transform("words", lambda w: F.struct(w.alias("term"), F.lit(0).alias("docs")))
-    once = F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("term"), F.lit(1).alias("docs")))
-    dealt = words.select("lang", "source", F.explode_outer(F.concat(each, once)).alias("x")).select("lang", "source", "x.*")
-    return dealt.groupBy("lang", "source", "term").agg(F.sum(1 - F.coalesce("docs", F.lit(1))).alias("n"), F.sum("docs").alias("docs"))
+    schema = to_arrow_schema(StructType.fromDDL(COUNTED))
+    parts = docs.select("lang", "source", "text").mapInArrow(lambda batches: _counted(batches, schema), COUNTED)
+    return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def pack(at: np.ndarray, n: np.ndarray) -> bytes:
