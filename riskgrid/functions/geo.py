@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 #: Mean radius of the earth in km (fixed value).
 EARTH_KM = 6371.0088
 
-_HAVERSINE = "2 * 6371.0088D * asin(least(1D, sqrt(pow(sin((radians({b}) - radians({a})) / 2), 2) + cos(radians({a})) * cos(radians({b})) * pow(sin((radians({y}) - radians({x})) / 2), 2))))"
+HAVERSINE_SQL = "2 * 6371.0088D * asin(least(1D, sqrt(pow(sin((radians({b}) - radians({a})) / 2), 2) + cos(radians({a})) * cos(radians({b})) * pow(sin((radians({y}) - radians({x})) / 2), 2))))"
 _BEARING = "pmod(degrees(atan2(sin(radians({y}) - radians({x})) * cos(radians({b})), cos(radians({a})) * sin(radians({b})) - sin(radians({a})) * cos(radians({b})) * cos(radians({y}) - radians({x})))) + 360D, 360D)"
 
 
@@ -50,7 +50,7 @@ def register(spark: SparkSession) -> None:
     """Make the functions usable from SQL text, as SQL expressions that Catalyst inlines."""
     args = "lat1 DOUBLE, lon1 DOUBLE, lat2 DOUBLE, lon2 DOUBLE"
     names = {"a": "lat1", "x": "lon1", "b": "lat2", "y": "lon2"}
-    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION haversine_km({args}) RETURNS DOUBLE RETURN {_HAVERSINE.format(**names)}")
+    spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION haversine_km({args}) RETURNS DOUBLE RETURN {HAVERSINE_SQL.format(**names)}")
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION bearing_degrees({args}) RETURNS DOUBLE RETURN {_BEARING.format(**names)}")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION heading_change(before DOUBLE, after DOUBLE) RETURNS DOUBLE RETURN coalesce(least(pmod(after - before, 360D), 360D - pmod(after - before, 360D)), 0D)")
     spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION risk_level(risk DOUBLE) RETURNS INT RETURN cast(least(5, greatest(1, floor(risk * 5) + 1)) as int)")

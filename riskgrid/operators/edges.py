@@ -1,140 +1,178 @@
 """Edges in time: sampled series of every edge, and what crossing one costs at a departure.
 
-Where the points of an edge lie does not depend on time, so their cells and
-weights are joined once (``edge_series``); a crossing at any time is then array
-look-ups and arithmetic in one row, without a join or Python.
+Where the points of an edge lie does not depend on time, so their values in
+every frame are taken once (``edge_series``); a crossing at any time is then
+array look-ups and arithmetic in one row, without a join or Python.
+``crossing_sql`` is that arithmetic as SQL text: a search that crosses edges in
+many rounds hands Spark one string a round, whose generated code is compiled
+once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskgrid.functions.geo import heading_change
-from riskgrid.functions.motion import Vessel, edge_cost, plus_hours, speed_status
+from riskgrid.functions.motion import FULL_DEVIATION_HOURS, FULL_TURN_HOURS, KNOT_KMH, MICROS_PER_HOUR, Vessel
+from riskgrid.functions.sql import double, long
 
 POINTS = 3
 MIN_CONFIDENCE = 0.10
 MAX_GAP_US = 180 * 60_000_000
+#: Hours that a crossing takes at most in the arithmetic; beyond that it is outside every window.
+LONGEST_H = 1e6
+PARTS = ("time", "risk", "distance", "turn", "deviation", "uncertainty")
 
 
-def edge_series(cube: DataFrame, edges: DataFrame, n_frames: int, n: int = POINTS) -> DataFrame:
-    """Each edge with an array over its points of arrays over all ``n_frames`` frames.
+def point_series(cube: DataFrame, n_frames: int, n: int = POINTS) -> DataFrame:
+    """(y, x, series): every point of the grid's edges with arrays over all ``n_frames`` frames.
 
-    Edges join neighbouring grid lines, so a point's weights follow from its
-    fraction alone. One equi-join on frame and cell and two aggregations by
-    edge. A cell that a frame lacks has unknown risk there.
+    y and x count (n - 1)-ths of a grid step. A cell gives its values to the
+    points less than a step away, so each point is made once, however many
+    edges share it: two aggregations, no join. A point that a frame or a
+    missing cell leaves without some contributor has unknown risk there.
     """
     last = n - 1
-    weights = []
-    for i in range(n):
-        f = i / last
-        weights.append([(i, a, b, f, wa, wb) for a, wa in ((0, 1 - f), (1, f)) for b, wb in ((0, 1 - f), (1, f)) if wa > 0 and wb > 0])
-    parts = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(wa).alias("wa"), F.lit(wb).alias("wb")) for p in weights for i, a, b, _, wa, wb in p))
-    dealt = edges.select("r", "c", "dr", "dc", F.explode(parts).alias("p"))
-    # an axis along which the edge does not move has one contributor of weight 1
-    row_ok, col_ok = (F.col("dr") != 0) | (F.col("p.a") == 0), (F.col("dc") != 0) | (F.col("p.b") == 0)
-    at_end = F.col("p.i") == last
-    row_ok |= (F.col("dr") == 0) & at_end & (F.col("p.a") == 1)
-    col_ok |= (F.col("dc") == 0) & at_end & (F.col("p.b") == 1)
-    dealt = dealt.where(row_ok & col_ok).select(
-        "r",
-        "c",
-        "dr",
-        "dc",
-        F.col("p.i").alias("i"),
-        (F.col("r") + F.col("dr") * F.col("p.a")).alias("row"),
-        (F.col("c") + F.col("dc") * F.col("p.b")).alias("col"),
-        (F.when(F.col("dr") == 0, 1.0).otherwise(F.col("p.wa")) * F.when(F.col("dc") == 0, 1.0).otherwise(F.col("p.wb"))).alias("w"),
-    )
-    dealt = dealt.withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(n_frames - 1))))
-    met = dealt.join(cube.select("frame", "row", "col", "risk", "hard", "confidence", "factor"), ["frame", "row", "col"], "left")
-    point = met.groupBy("r", "c", "dr", "dc", "i", "frame").agg(
-        F.sum(F.col("w") * F.col("risk")).alias("risk"),
-        F.count_if(F.col("risk").isNull()).alias("unknown"),
-        F.coalesce(F.bool_or("hard"), F.lit(False)).alias("hard"),
+    near = [(a, b, (1 - abs(a) / last) * (1 - abs(b) / last)) for a in range(1 - last, last) for b in range(1 - last, last)]
+    parts = F.expr("array(" + ", ".join(f"named_struct('a', {a}, 'b', {b}, 'w', {double(w)})" for a, b, w in near) + ")")
+    dealt = cube.select("frame", "row", "col", "risk", "hard", "confidence", "factor", F.explode(parts).alias("p"))
+    dealt = dealt.withColumns({"y": F.col("row") * last + F.col("p.a"), "x": F.col("col") * last + F.col("p.b")})
+    # points between grid lines lie on one of a square's diagonals
+    y, x = F.pmod("y", F.lit(last)), F.pmod("x", F.lit(last))
+    met = dealt.where((y == 0) | (x == 0) | (y == x) | (y + x == last)).groupBy("y", "x", "frame").agg(
+        F.sum(F.col("p.w") * F.col("risk")).alias("risk"),
+        F.count("risk").alias("known"),
+        F.bool_or("hard").alias("hard"),
         F.min("confidence").alias("confidence"),
         F.min(F.coalesce("factor", F.lit(1.0))).alias("factor"),
     )
-    risk = F.when((F.col("unknown") > 0) & F.col("hard"), 1.0).when(F.col("unknown") == 0, F.round("risk", 9))
-    cell = F.struct("frame", risk.alias("risk"), "hard", "confidence", "factor")
-    by_point = point.groupBy("r", "c", "dr", "dc", "i").agg(F.sort_array(F.collect_list(cell)).alias("series"))
-    by_edge = by_point.groupBy("r", "c", "dr", "dc").agg(F.sort_array(F.collect_list(F.struct("i", "series"))).alias("points"))
-    return edges.join(by_edge, ["r", "c", "dr", "dc"])
-
-
-def _point_at(series: Column, t: Column, times: Column, n_frames: int, max_gap_us: int) -> Column:
-    """status, risk, hard, confidence, factor of a point's series at a time."""
-    return F.transform(F.array(F.size(F.filter(times, lambda v: v <= t))), lambda k: _between(series, t, times, k, n_frames, max_gap_us))[0]
-
-
-def _between(series: Column, t: Column, times: Column, k: Column, n_frames: int, max_gap_us: int) -> Column:
-    """The values at a time that follows ``k`` frames."""
-    low_t = F.element_at(times, F.greatest(k, F.lit(1)))
-    high_t = F.element_at(times, F.least(k + 1, F.lit(n_frames)))
-    low, high = F.element_at(series, F.greatest(k, F.lit(1))), F.element_at(series, F.least(k + 1, F.lit(n_frames)))
-    exact = low_t == t
-    share = F.try_divide((t - low_t).cast("double"), (high_t - low_t).cast("double"))
-    covered = (k >= 1) & (exact | ((k < n_frames) & (high_t - low_t <= max_gap_us)))
-    unknown = low["risk"].isNull() | (~exact & high["risk"].isNull())
-    return F.struct(
-        F.when(~covered, "coverage").when(unknown, "error").otherwise("ok").alias("status"),
-        F.when(exact, low["risk"]).otherwise(low["risk"] + share * (high["risk"] - low["risk"])).alias("risk"),
-        F.when(exact, low["hard"]).otherwise(low["hard"] | high["hard"]).alias("hard"),
-        F.when(exact, low["confidence"]).otherwise(F.least(low["confidence"], high["confidence"])).alias("confidence"),
-        F.when(exact, low["factor"]).otherwise(F.least(low["factor"], high["factor"])).alias("factor"),
-        low["frame"].alias("low"),
-        F.when(exact, low["frame"]).otherwise(high["frame"]).alias("high"),
-    )
-
+    due = F.when(F.col("y") % last == 0, 1).otherwise(2) * F.when(F.col("x") % last == 0, 1).otherwise(2)
+    hard = F.coalesce("hard", F.lit(False))
+    value = F.struct("frame", F.when(F.col("known") == due, F.round("risk", 9)).when(hard, 1.0).alias("risk"), hard.alias("hard"), "confidence", "factor")
+    rows = met.groupBy("y", "x").agg(F.sort_array(F.collect_list(value)).alias("v"))
+    every = F.sequence(F.lit(0), F.lit(n_frames - 1))
+    nothing = F.lit(None).cast("struct<frame:int,risk:double,hard:boolean,confidence:double,factor:double>")
+    whole = F.when(F.size("v") == n_frames, F.col("v")).otherwise(F.transform(every, lambda k: F.coalesce(F.get(F.filter("v", lambda s: s["frame"] == k), F.lit(0)), nothing)))
+    rows = rows.withColumn("v", whole)
+    return rows.select("y", "x", F.struct(F.col("v.risk").alias("risk"), F.transform("v.hard", lambda h: F.coalesce(h, F.lit(False))).alias("hard"), F.col("v.confidence").alias("confidence"), F.col("v.factor").alias("factor")).alias("series"))
 
-def _sampled(hours: Column, axis: Column, n_frames: int, max_gap_us: int, n: int) -> Callable[[Column], Column]:
-    """A function of a point of ``points``: its values when the vessel passes it. One parameter only: ``transform`` fills a second one with the index."""
-    return lambda p: _point_at(p["series"], plus_hours(F.col("depart_us"), hours * (p["i"] / (n - 1))), axis, n_frames, max_gap_us)
 
+def edge_series(cube: DataFrame, edges: DataFrame, n_frames: int, n: int = POINTS) -> DataFrame:
+    """Each edge with its ``points`` (i, risk, hard, confidence, factor: arrays over all frames), and what bounds a crossing at any time: low_risk, best_factor, best_confidence.
 
-def cross(departures: DataFrame, times: list[int], vessel: Vessel, weights: dict[str, Column], min_confidence: float = MIN_CONFIDENCE, max_risk: Column | None = None, max_gap_us: int = MAX_GAP_US, n: int = POINTS) -> DataFrame:
-    """Cross edges (columns of edge_series) at ``depart_us`` with ``heading_before``.
+    One equi-join of the edges' points with the points of the grid, and one
+    aggregation by edge.
+    """
+    last = n - 1
+    at = F.explode(F.sequence(F.lit(0), F.lit(last))).alias("i")
+    dealt = edges.select("r", "c", "dr", "dc", at).withColumns({"y": F.col("r") * last + F.col("dr") * F.col("i"), "x": F.col("c") * last + F.col("dc") * F.col("i")})
+    met = dealt.join(point_series(cube, n_frames, n), ["y", "x"])
+    by_edge = met.groupBy("r", "c", "dr", "dc").agg(F.sort_array(F.collect_list(F.struct("i", "series.risk", "series.hard", "series.confidence", "series.factor"))).alias("points"))
+    lowest = F.transform("points", lambda p: F.coalesce(F.array_min(p["risk"]), F.lit(0.0)))
+    inner = F.aggregate(lowest, F.lit(0.0), lambda a, v: a + v)
+    bounds = {
+        "low_risk": F.greatest(F.lit(0.0), (inner - 0.5 * F.get(lowest, F.lit(0)) - 0.5 * F.get(lowest, F.lit(last))) / last),
+        "best_factor": F.array_min(F.transform("points", lambda p: F.coalesce(F.array_max(p["factor"]), F.lit(1.0)))),
+        "best_confidence": F.array_min(F.transform("points", lambda p: F.coalesce(F.array_max(p["confidence"]), F.lit(1.0)))),
+    }
+    return edges.join(by_edge.withColumns(bounds), ["r", "c", "dr", "dc"])
+
+
+def frames_ahead(times: list[int], hours: float) -> int:
+    """How many frames after the one at or before a departure a crossing of so many hours can need."""
+    ahead, j = 0, 0
+    for k in range(len(times)):
+        begin = times[min(k + 1, len(times) - 1)]
+        while j < len(times) - 1 and times[j] < begin + hours * MICROS_PER_HOUR:
+            j += 1
+        ahead = max(ahead, j - k)
+    return ahead + 1
+
+
+def in_chunks(series: DataFrame, n_frames: int, chunk: int, ahead: int) -> DataFrame:
+    """``edge_series`` cut into chunks of frames, each with the frames that a crossing begun in it may still need: ``chunk`` counts them, ``points`` begin with frame chunk * size."""
+    every = F.sequence(F.lit(0), F.lit((n_frames - 1) // chunk))
+    fields = ", ".join(f"'{c}', slice(p.{c}, chunk * {chunk} + 1, {chunk + ahead})" for c in ("risk", "hard", "confidence", "factor"))
+    return series.withColumn("chunk", F.explode(every)).withColumn("points", F.expr(f"transform(points, p -> named_struct('i', p.i, {fields}))"))
+
+
+def frame_sql(times: list[int]) -> tuple[str, str, str]:
+    """SQL of the last frame at or before a time ``{t}``, and of the times of frame ``{k}`` and the one after it."""
+    step = times[1] - times[0] if len(times) > 1 else 1
+    if all(t == times[0] + k * step for k, t in enumerate(times)):
+        return f"CAST(({{t}} - {long(times[0])}) div {long(step)} AS INT)", f"({long(times[0])} + {{k}} * {long(step)})", f"({long(times[0])} + ({{k}} + 1) * {long(step)})"
+    axis = f"array({', '.join(map(long, times))})"
+    return f"(size(filter({axis}, x_axis -> x_axis <= {{t}})) - 1)", f"get({axis}, {{k}})", f"get({axis}, {{k}} + 1)"
+
+
+def crossing_sql(source: str, times: list[int], vessel: Vessel, weights: Mapping[str, float | str], min_confidence: float = MIN_CONFIDENCE, max_risk: str | None = None, max_gap_us: int = MAX_GAP_US, base: str = "0") -> str:
+    """SQL that crosses the edges of ``source`` (columns of ``edge_series``) at ``depart_us`` with ``heading_before``.
 
     Adds reject (NULL, or error, coverage, hard, risk, speed: the first that
     applies), hours, knots, risk, max_risk, confidence, arrive_us, the first
-    and last frame it used and the cost components. Travel time and samples are refined twice, each time with the
-    travel time before.
+    and last frame it used and the cost components. Travel time and samples
+    are refined twice, each time with the travel time before; edges may have
+    different numbers of points. ``weights``, ``max_risk`` and ``base`` (the
+    frame that the series begin with) may be SQL of the source's columns.
     """
-    axis = F.array(*(F.lit(t).cast("long") for t in times))
-    out = departures.withColumn("__rg_h0", F.col("km") / vessel.calm_kmh).withColumn("__rg_x0", F.lit(None).cast("string"))
+    frame, low, high = frame_sql(times)
+    low, high = low.replace("{k}", "z.k"), high.replace("{k}", "z.k")
+
+    def value(name: str, both: str) -> str:
+        a, b = f"get(p.{name}, z.k - {base})", f"get(p.{name}, z.k - {base} + 1)"
+        return f"IF({low} = z.t, {a}, {both.format(a=a, b=b)})"
+
+    share = f"(CAST(z.t - {low} AS DOUBLE) / CAST({high} - {low} AS DOUBLE))"
+    covered = f"z.t >= {long(times[0])} AND z.t <= {long(times[-1])} AND ({low} = z.t OR {high} - {low} <= {long(max_gap_us)})"
+    risk = value("risk", "{a} + " + share + " * ({b} - {a})")
+    sample = f"""named_struct('risk', IF(coalesce({covered}, false), {risk}, NULL), 'out', NOT coalesce({covered}, false), 'hard', {value("hard", "{a} OR {b}")},
+        'confidence', {value("confidence", "least({a}, {b})")}, 'factor', {value("factor", "least({a}, {b})")}, 'low', z.k, 'high', IF({low} = z.t, z.k, z.k + 1))"""
+    at = f"depart_us + CAST(bround(least(x_hours, {double(LONGEST_H)}) * (p.i / (size(points) - 1)) * {double(MICROS_PER_HOUR)}) AS BIGINT)"
+    # one-element arrays name the time and the frame of a point, so that they are computed once
+    samples = f"transform(points, p -> get(transform(transform(array({at}), t -> named_struct('t', t, 'k', {frame.replace('{t}', 't')})), z -> {sample}), 0))"
+    knots = f"least({double(vessel.maximum)}, {double(vessel.economic)} * x_factor)"
+    slow = f"x_factor IS NULL OR x_factor <= 0 OR x_factor > 1 OR x_factor < {double(vessel.least_factor)} OR {knots} < {double(vessel.steerage)}"
+    risky = f"array_min(x_s.confidence) < {double(min_confidence)}" + ("" if max_risk is None else f" OR coalesce(array_max(x_s.risk) > {max_risk}, false)")
+    # of the points that can't be sampled the first one tells why
+    failed = "get(filter(transform(x_s, p -> CASE WHEN p.out THEN 'coverage' WHEN p.risk IS NULL THEN 'error' END), e -> e IS NOT NULL), 0)"
+    q = f"SELECT *, km / {double(vessel.calm_kmh)} AS x_hours, CAST(NULL AS STRING) AS x_before FROM {source}"
     for turn in (1, 2):
-        at = _sampled(F.col(f"__rg_h{turn - 1}"), axis, len(times), max_gap_us, n)
-        # a generator keeps the samples from being computed again wherever they are used
-        out = out.withColumn(f"__rg_s{turn}", F.explode(F.array(F.transform("points", at))))
-        s = F.col(f"__rg_s{turn}")
-        failed = F.get(F.filter(s, lambda p: p["status"] != "ok"), F.lit(0))["status"]
-        factor = F.array_min(F.transform(s, lambda p: p["factor"]))
-        risky = F.exists(s, lambda p: p["confidence"] < min_confidence)
-        if max_risk is not None:
-            risky |= F.coalesce(F.exists(s, lambda p: p["risk"] > max_risk), F.lit(False))
-        reason = F.when(failed.isNotNull(), failed).when(F.exists(s, lambda p: p["hard"]), "hard").when(risky, "risk").when(speed_status(factor, vessel) != "ok", "speed")
-        out = out.withColumn(f"__rg_x{turn}", F.coalesce(F.col(f"__rg_x{turn - 1}"), reason)).withColumn("knots", F.least(F.lit(vessel.maximum), vessel.economic * factor))
-        out = out.withColumn(f"__rg_h{turn}", F.col("km") / (F.col("knots") * 1.852))
-    s = F.col("__rg_s2")
-    ends = F.element_at(s, 1)["risk"], F.element_at(s, n)["risk"]
-    inner = F.aggregate(s, F.lit(0.0), lambda a, p: a + p["risk"])
-    out = out.withColumns(
-        {
-            "reject": F.col("__rg_x2"),
-            "hours": F.col("__rg_h2"),
-            "risk": (inner - 0.5 * ends[0] - 0.5 * ends[1]) / (n - 1),
-            "max_risk": F.array_max(F.transform(s, lambda p: p["risk"])),
-            "confidence": F.array_min(F.transform(s, lambda p: p["confidence"])),
-            "frame_low": F.array_min(F.transform(s, lambda p: p["low"])),
-            "frame_high": F.array_max(F.transform(s, lambda p: p["high"])),
-            "turn": heading_change(F.col("heading_before"), F.col("heading")),
-        }
-    )
-    out = out.withColumns(edge_cost(F.col("km"), F.col("hours"), F.col("risk"), F.col("confidence"), F.col("turn"), weights, vessel.maximum_kmh))
-    return out.withColumn("arrive_us", plus_hours(F.col("depart_us"), F.col("hours"))).drop(*(f"__rg_{k}{i}" for k in "hsx" for i in range(3)))
+        q = f"SELECT *, {samples} AS x_s FROM ({q})"
+        q = f"SELECT *, array_min(x_s.factor) AS x_factor, {failed} AS x_failed FROM ({q})"
+        q = f"SELECT * EXCEPT (x_failed, x_before, x_hours), coalesce(x_before, x_failed, CASE WHEN array_contains(x_s.hard, true) THEN 'hard' WHEN {risky} THEN 'risk' WHEN {slow} THEN 'speed' END) AS x_before, km / nullif({knots} * {double(KNOT_KMH)}, 0D) AS x_hours FROM ({q})"
+        if turn == 1:
+            q = f"SELECT * EXCEPT (x_s, x_factor) FROM ({q})"
+    seen = {
+        "reject": "x_before",
+        "knots": knots,
+        "hours": "x_hours",
+        "risk": "(aggregate(x_s.risk, 0D, (a, r) -> a + r) - 0.5D * get(x_s, 0).risk - 0.5D * element_at(x_s, -1).risk) / (size(x_s) - 1)",
+        "max_risk": "array_max(x_s.risk)",
+        "confidence": "array_min(x_s.confidence)",
+        "frame_low": "array_min(x_s.low)",
+        "frame_high": "array_max(x_s.high)",
+        "turn": "coalesce(least(pmod(heading - heading_before, 360D), 360D - pmod(heading - heading_before, 360D)), 0D)",
+    }
+    q = f"SELECT * EXCEPT (x_s, x_factor, x_hours, x_before), {', '.join(f'{v} AS {k}' for k, v in seen.items())} FROM ({q})"
+    parts = {
+        "travel_hours": "hours",
+        "risk_hours": "hours * risk",
+        "distance_hours": f"km / {double(vessel.maximum_kmh)}",
+        "turn_hours": f"turn / 180D * {double(FULL_TURN_HOURS)}",
+        "deviation_hours": f"0D * {double(FULL_DEVIATION_HOURS)}",
+        "uncertain_hours": "hours * (1D - confidence)",
+    }
+    q = f"SELECT *, {', '.join(f'{v} AS {k}' for k, v in parts.items())} FROM ({q})"
+    w = {k: v if isinstance(v, str) else double(v) for k, v in weights.items()}
+    total = " + ".join(f"{w.get(k, '0D')} * {p}" for k, p in zip(PARTS, parts, strict=True))
+    return f"SELECT *, {total} AS total_hours, depart_us + CAST(bround(least(hours, {double(LONGEST_H)}) * {double(MICROS_PER_HOUR)}) AS BIGINT) AS arrive_us FROM ({q})"
+
+
+def cross(departures: DataFrame, times: list[int], vessel: Vessel, weights: Mapping[str, float | str], min_confidence: float = MIN_CONFIDENCE, max_risk: str | None = None, max_gap_us: int = MAX_GAP_US) -> DataFrame:
+    """``crossing_sql`` of a DataFrame."""
+    return departures.sparkSession.sql(crossing_sql("{rows}", times, vessel, weights, min_confidence, max_risk, max_gap_us), rows=departures)
 
 
 def reject_counts(crossed: DataFrame, keys: list[str]) -> DataFrame:

@@ -3,7 +3,8 @@
 Voyages have search, start_lat, start_lon, goal_lat, goal_lon and a region
 around each (start_south, start_north, start_west, start_east, and the same
 for goal), bounds included. Cells have row, col, lat, lon and open. All
-voyages go through three steps at once: a snap, the connected cells, a snap.
+voyages go through three steps at once: a snap, the root of the start's
+component, a snap among the cells of that root.
 
 Defined cases: a null coordinate or bound lies in no region; a voyage without
 an open cell near its start never looks for a goal; voyages of one search id
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskgrid.operators.grid import component, snap
+from riskgrid.operators.grid import rooted_cells, snap
 from riskgrid.operators.shared import folder, written
 
 #: What is told of an end point (fixed values).
@@ -39,11 +40,11 @@ def map_endpoints(cells: DataFrame, voyages: DataFrame, max_km: float, connectiv
     base = folder(spark, "endpoints")
     voyages = voyages.distinct()
     start = written(snap(_ends(voyages, "start"), cells, max_km, _inside()), f"{base}/start")
-    begun = start.where("status = 'ok'").select(F.col("point_id").alias("search"), "row", "col")
-    reach = component(cells.where("open").select("row", "col"), begun, connectivity)
-    size = reach.groupBy("search").agg(F.count("*").alias("component_size"))
-    goals = _ends(voyages, "goal").join(begun.select(F.col("search").alias("point_id")), "point_id")
-    goal = written(snap(goals, cells, max_km, _inside(), reach.withColumnRenamed("search", "point_id")), f"{base}/goal")
+    rooted = rooted_cells(cells.where("open"), connectivity)
+    begun = written(start.where("status = 'ok'").select(F.col("point_id").alias("search"), "row", "col").join(rooted, ["row", "col"]).select("search", F.col("root").alias("from_root")), f"{base}/begun")
+    size = begun.join(rooted.groupBy(F.col("root").alias("from_root")).agg(F.count("*").alias("component_size")), "from_root").select("search", "component_size")
+    goals = _ends(voyages, "goal").join(begun.withColumnRenamed("search", "point_id"), "point_id")
+    goal = written(snap(goals, cells.join(rooted, ["row", "col"], "left"), max_km, _inside()), f"{base}/goal")
     both = voyages.select("search").join(start.withColumnRenamed("point_id", "search"), "search", "left")
     g = goal.select(F.col("point_id").alias("search"), F.col("status").alias("goal_status"), F.col("row").alias("goal_row"), F.col("col").alias("goal_col"), F.col("km").alias("goal_km"))
     code = F.create_map(*(F.lit(x) for pair in CODES.items() for x in pair))

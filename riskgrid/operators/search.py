@@ -1,366 +1,391 @@
-"""Time-dependent route search over a cube, many searches at once.
+"""Time-dependent route search over a cube as joins, many searches at once.
 
 A state is (node, time bucket, incoming move); its label is the least cost and
 the arrival that goes with it. A crossing depends on the exact arrival, so a
 label may be expanded only when no cheaper one can still reach its state.
 
-``waves`` is the DataFrame strategy: each wave takes all open labels whose
-cost is below the least open cost of their search plus the least cost of any
-edge; those are final. All searches share every wave, whose few joins are on
-(search, state); each wave is written to the shared folder.
-
-``kernels`` is the strategy for many searches over a cube that a size check
-lets travel to the executors: one search is one small task of a label-setting
-search on arrays. Both give the same costs and arrivals; ``routes`` chooses by
-the number of cells.
+All searches share every round. A round takes from the table of open labels
+those that are final: cost below the least open cost of their search plus the
+least that the crossing into their state can cost. They meet the edges' series
+in one broadcast join (a shuffle if they are many), go to their search's task in
+one exchange, and there the least label of each state is kept, and what is
+final next is found. A label whose cost plus bound (great circle to the goal
+at the best speed) is not below the best known cost of its goal is dropped.
+What a round writes is its frontier: open labels, labels settled in it with
+the crossings refused to them, and the bare states settled before that a
+crossing can still reach in time. So a task holds the frontiers of some
+searches, bounded by the grid. Settled labels are written once and never read
+again before the end.
+
+The edges lie in folders by tile of the grid and chunk of frames; a round reads
+those of its open labels. The round is one SQL text over views, the same each
+time, so its code is compiled once. Found routes are walked back by pointer
+doubling: a number of joins that grows with the logarithm of the longest route.
+
+Requests have search, objective, r0, c0, r1, c1, depart_us, horizon_us (NULL:
+none) and bucket_us. The status of a search is
+
+* ``ok``;
+* ``start blocked``; ``error``: the start lies outside grid or window or its
+  risk is unknown, or a crossing meets unknown risk before the goal is
+  settled (crossings from labels whose cost plus bound is below the goal's
+  cost; labels beyond that count for nothing);
+* ``limit``: more than ``max_expansions`` labels have a cost plus bound below
+  the goal's cost;
+* ``no coverage``: no route, and horizon or window refused some crossing;
+* ``no route``; and ``cancelled``: the search was not done when the budget of
+  seconds or the ``cancelled`` predicate ended the rounds.
 
 Ties between routes of equal cost are settled by arrival, then by the parent's
-state; only cost, distance and hours are promised.
-
-Requests have search, objective, r0, c0, r1, c1, depart_us, horizon_us and
-bucket_us. The result of a search is 'ok', 'start blocked', 'no coverage'
-(horizon or window exceeded somewhere), 'no route' or 'error' (unknown risk at
-a navigable place, or a start outside the window).
+state; only cost, distance and hours are promised. Search ids are unique; an
+empty cube gives errors; no requests give no rows.
 """
 
 from __future__ import annotations
 
-import heapq
-import math
-from array import array
-from bisect import bisect_right
-from collections.abc import Callable, Iterator
+import threading
+import uuid
+from collections.abc import Callable
+from dataclasses import dataclass, field
+from typing import Any
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from riskgrid.functions.geo import EARTH_KM
-from riskgrid.functions.motion import FULL_TURN_HOURS, KNOT_KMH, MICROS_PER_HOUR, OBJECTIVES, Vessel, Weights
-from riskgrid.operators.edges import MAX_GAP_US, MIN_CONFIDENCE, POINTS, cross, edge_series
+from riskgrid.functions.geo import HAVERSINE_SQL, haversine_km
+from riskgrid.functions.motion import KNOT_KMH, OBJECTIVES, Vessel, Weights
+from riskgrid.functions.sql import double
+from riskgrid.operators.edges import MAX_GAP_US, MIN_CONFIDENCE, POINTS, crossing_sql, edge_series, frame_sql, frames_ahead, in_chunks
 from riskgrid.operators.grid import edges, nodes
-from riskgrid.operators.sample import axis_of, sample
+from riskgrid.operators.sample import axis_literal, axis_of, sample
 from riskgrid.operators.shared import folder, written
 
-#: Cells times frames that may travel to every executor (about 100 MB).
-CUBE_CELLS = 3_000_000
 MAX_EXPANSIONS = 250_000
+#: Tiles of the edge table along rows and columns at most (a bit of a long each), their least side, and frames of a chunk.
+TILES, SIDE, CHUNK = (7, 9), 4, 24
+#: Rows that a round may broadcast (about 300 bytes each), and rounds between two looks at the limit.
+BROADCAST_ROWS, LOOK = 100_000, 32
+
+WEIGHTS = ("time", "risk", "distance", "turn", "uncertainty", "deviation")
+STATE = ("row", "col", "bucket", "dr", "dc")
+REFUSED = ("hard", "risk", "speed", "coverage", "error")
+#: Figures of the crossing that led to a label.
+CROSSED = ("km", "hours", "knots", "heading", "risk", "max_risk", "confidence", "risk_hours", "frame_low", "frame_high")
+_CROSSED = "struct<km:double,hours:double,knots:double,heading:double,risk:double,max_risk:double,confidence:double,risk_hours:double,frame_low:int,frame_high:int>"
+_PARENT = "struct<row:int,col:int,bucket:bigint,dr:int,dc:int>"
+#: What was asked, in every open label: so a round joins nothing but edges.
+ASKED = ("begin_us", "horizon_us", "bucket_us", "r1", "c1", "goal_lat", "goal_lon", "per_km", *(f"w_{x}" for x in WEIGHTS))
+_ASKED = "struct<begin_us:bigint,horizon_us:bigint,bucket_us:bigint,r1:int,c1:int,goal_lat:double,goal_lon:double,per_km:double," + ",".join(f"w_{x}:double" for x in WEIGHTS) + ">"
+_LABEL = f"struct<closed:boolean,at:int,goal:boolean,cost:double,arrive_us:bigint,bound:double,step:double,parent:{_PARENT},crossed:{_CROSSED},asked:{_ASKED}>"
+#: ``k`` is the round that wrote a row, ``now`` marks what is final in the next one.
+FRONTIER = f"search string, row int, col int, bucket bigint, dr int, dc int, k int, now boolean, v {_LABEL}, {', '.join(f'n_{x} bigint' for x in REFUSED)}"
 
 STEPS = "search string, step int, row int, col int, eta_us bigint, km double, hours double, knots double, heading double, risk double, max_risk double, confidence double, cost double, risk_hours double, frame_low int, frame_high int"
 RESULT = f"{STEPS}, status string"
 
 
-class Field:
-    """A cube as arrays, and crossings on them."""
-
-    def __init__(self, cube: pd.DataFrame, links: pd.DataFrame, vessel: Vessel, min_confidence: float, max_gap_us: int, n: int):
-        self.times = np.sort(cube["valid_us"].unique())
-        ny, nx = int(cube["row"].max()) + 1, int(cube["col"].max()) + 1
-        at = np.searchsorted(self.times, cube["valid_us"].to_numpy()), cube["row"].to_numpy(), cube["col"].to_numpy()
-
-        def grid(name: str, empty: float) -> np.ndarray:
-            out = np.full((len(self.times), ny, nx), np.nan)
-            out[at] = cube[name].astype("float64").fillna(empty).to_numpy()
-            return out
-
-        self.risk, self.conf, self.factor = grid("risk", np.nan), grid("confidence", np.nan), grid("factor", 1.0)
-        self.hard = grid("hard", 1.0) > 0
-        self.vessel, self.min_confidence, self.max_gap, self.n = vessel, min_confidence, max_gap_us, n
-        self.out: dict[tuple[int, int], list] = {}
-        for e in links.sort_values(["r", "c", "dr", "dc"]).itertuples(index=False):
-            self.out.setdefault((e.r, e.c), []).append((e.r2, e.c2, (e.dr, e.dc), e.km, e.heading))
-        self.place = {(e.r, e.c): (e.lat, e.lon) for e in links.itertuples(index=False)}
-        self.axis = self.times.tolist()
-        self.series: dict[tuple[int, int], tuple] = {}
-
-    def point_series(self, y: int, x: int) -> tuple[array, array, array, array]:
-        """Values over all frames of a point, its place counted in (n - 1)-ths of a cell: edges share their points."""
-        found = self.series.get((y, x))
-        if found is None:
-            parts = self.n - 1
-            ys = [(k, w) for k, w in ((y // parts, 1 - y % parts / parts), (y // parts + 1, y % parts / parts)) if w > 0]
-            xs = [(k, w) for k, w in ((x // parts, 1 - x % parts / parts), (x // parts + 1, x % parts / parts)) if w > 0]
-            risk, hard = np.zeros(len(self.axis)), np.zeros(len(self.axis), bool)
-            conf, fac = np.full(len(self.axis), np.inf), np.full(len(self.axis), np.inf)
-            for r, wr in ys:
-                for c, wc in xs:
-                    risk = risk + wr * wc * self.risk[:, r, c]
-                    hard |= self.hard[:, r, c]
-                    conf, fac = np.minimum(conf, self.conf[:, r, c]), np.minimum(fac, self.factor[:, r, c])
-            risk = np.where(np.isnan(risk) & hard, 1.0, np.round(risk, 9))
-            found = self.series[y, x] = (array("d", risk), array("b", hard.astype(np.int8)), array("d", conf), array("d", fac))
-        return found
-
-    def at(self, series, t: int):
-        """(status, risk, hard, confidence, factor, low frame, high frame) at a time."""
-        times = self.axis
-        k = bisect_right(times, t) - 1
-        if k < 0 or t > times[-1]:
-            return ("coverage",)
-        risk, hard, conf, fac = series
-        if times[k] == t:
-            value = ("ok", risk[k], hard[k], conf[k], fac[k], k, k)
-        else:
-            gap = times[k + 1] - times[k]
-            if gap > self.max_gap:
-                return ("coverage",)
-            share = (t - times[k]) / gap
-            value = ("ok", risk[k] + share * (risk[k + 1] - risk[k]), hard[k] or hard[k + 1], min(conf[k], conf[k + 1]), min(fac[k], fac[k + 1]), k, k + 1)
-        return ("error",) if value[1] != value[1] else value
-
-    def bound(self, goal: tuple[int, int], weights: Weights) -> Callable[[tuple[int, int]], float]:
-        """Least cost from a node to the goal: the great circle at the best speed, risk and confidence of the cube. It never falls by more than a crossing costs."""
-        known: dict[tuple[int, int], float] = {}
-        lat2, lon2 = self.place.get(goal, (math.nan, math.nan))
-        factor, risk, conf = (float(f(x)) if not np.isnan(x).all() else d for f, x, d in ((np.nanmax, self.factor, 1.0), (np.nanmin, self.risk, 0.0), (np.nanmax, self.conf, 1.0)))
-        v = self.vessel
-        hour = weights.time + weights.risk * min(1.0, max(0.0, risk)) + weights.uncertainty * max(0.0, 1 - conf)
-        each = hour / (min(v.maximum, v.economic * min(1.0, factor)) * KNOT_KMH) + weights.distance / v.maximum_kmh
-
-        def least(node: tuple[int, int]) -> float:
-            if node not in known:
-                lat1, lon1 = self.place[node]
-                a, b = math.radians(lat1), math.radians(lat2)
-                half = math.sin((b - a) / 2) ** 2 + math.cos(a) * math.cos(b) * math.sin(math.radians(lon2 - lon1) / 2) ** 2
-                # a part in 1e9 less, so that rounding can't lift it over the true cost
-                known[node] = each * 2 * EARTH_KM * math.asin(min(1.0, math.sqrt(half))) * (1 - 1e-9)
-            return known[node]
-
-        return least
-
-    def crossing(self, r: int, c: int, move: tuple[int, int], km: float, depart: int):
-        """Reject reason, or the figures of a crossing."""
-        v, parts = self.vessel, self.n - 1
-        hours = km / v.calm_kmh
-        points = [self.point_series(r * parts + move[0] * i, c * parts + move[1] * i) for i in range(self.n)]
-        for _ in range(2):
-            seen = []
-            for i, series in enumerate(points):
-                s = self.at(series, depart + round(hours * (i / parts) * MICROS_PER_HOUR))
-                if s[0] != "ok":
-                    return s[0]
-                seen.append(s)
-            if any(s[2] for s in seen):
-                return "hard"
-            if any(s[3] < self.min_confidence for s in seen):
-                return "risk"
-            factor = min(s[4] for s in seen)
-            knots = min(v.maximum, v.economic * factor)
-            if factor < v.least_factor or knots < v.steerage:
-                return "speed"
-            hours = km / (knots * KNOT_KMH)
-        inner = sum(s[1] for s in seen)
-        risk = (inner - 0.5 * seen[0][1] - 0.5 * seen[-1][1]) / (self.n - 1)
-        return hours, knots, risk, max(s[1] for s in seen), min(s[3] for s in seen), min(s[5] for s in seen), max(s[6] for s in seen)
-
-
-def plan_one(field: Field, q, weights: Weights, max_expansions: int = MAX_EXPANSIONS, cancelled: Callable[[], bool] = lambda: False, counters: dict[str, int] | None = None) -> list[tuple]:
-    """Label-setting search of one request, nearest to the goal by the lower bound first; its steps, or one row with the status.
-
-    counters: filled with the effort (expanded, generated, stale, pushed) and
-    the crossings refused by each reason. cancelled: looked at before every
-    expansion.
-    """
-    counters = {} if counters is None else counters
-
-    def count(what: str) -> None:
-        counters[what] = counters.get(what, 0) + 1
-
-    def failed(status: str) -> list[tuple]:
-        return [(q.search, 0, q.r0, q.c0, q.depart_us, *([None] * 11), status)]
-
-    start = field.at(field.point_series(q.r0 * (field.n - 1), q.c0 * (field.n - 1)), q.depart_us)
-    if start[0] != "ok":
-        return failed("error")
-    if start[2]:
-        return failed("start blocked")
-    first = (q.search, 0, q.r0, q.c0, q.depart_us, 0.0, 0.0, None, None, start[1], start[1], start[3], 0.0, 0.0, start[5], start[6], "ok")
-    if (q.r0, q.c0) == (q.r1, q.c1):
-        return [first]
-    begin = (q.r0, q.c0, 0, None)
-    labels = {begin: (0.0, q.depart_us)}
-    came: dict = {}
-    least = field.bound((q.r1, q.c1), weights)
-    if (q.r0, q.c0) not in field.place or (q.r1, q.c1) not in field.place:
-        return failed("no route")
-    heap = [(least((q.r0, q.c0)), 0.0, q.depart_us, (q.r0, q.c0, 0, (9, 9)), begin)]
-    closed: set = set()
-    outside = False
-    maximum = field.vessel.maximum_kmh
-    while heap:
-        if cancelled():
-            return failed("cancelled")
-        _, cost, arrival, _, state = heapq.heappop(heap)
-        if state in closed or labels[state] != (cost, arrival):
-            count("stale")
-            continue
-        closed.add(state)
-        count("expanded")
-        r, c, _, before = state
-        if (r, c) == (q.r1, q.c1):
-            path = []
-            while state in came:
-                state, row = came[state]
-                path.append(row)
-            return [first, *((q.search, k + 1, *row, "ok") for k, row in enumerate(reversed(path)))]
-        if len(closed) > max_expansions:
-            return failed("no route")
-        heading_before = next((h for r2, c2, m, _, h in field.out[r - before[0], c - before[1]] if m == before), None) if before else None
-        for r2, c2, move, km, heading in field.out.get((r, c), ()):
-            got = field.crossing(r, c, move, km, arrival)
-            count("generated")
-            if isinstance(got, str):
-                count(got)
-                if got == "error":
-                    return failed("error")
-                outside |= got == "coverage"
-                continue
-            hours, knots, risk, most, confidence, low, high = got
-            reach = arrival + round(hours * MICROS_PER_HOUR)
-            if q.horizon_us is not None and reach - q.depart_us > q.horizon_us:
-                outside = True
-                count("coverage")
-                continue
-            turn = 0.0
-            if heading_before is not None:
-                turn = (heading - heading_before) % 360.0
-                turn = min(turn, 360.0 - turn)
-            total = cost + (weights.time * hours + weights.risk * (hours * risk) + weights.distance * (km / maximum) + weights.turn * (turn / 180 * FULL_TURN_HOURS) + weights.uncertainty * (hours * (1 - confidence)))
-            nxt = (r2, c2, (reach - q.depart_us) // q.bucket_us, move)
-            old = labels.get(nxt)
-            if nxt in closed or (old is not None and total >= old[0] - 1e-12):
-                continue
-            labels[nxt] = (total, reach)
-            came[nxt] = (state, (r2, c2, reach, km, hours, knots, heading, risk, most, confidence, total, hours * risk, low, high))
-            heapq.heappush(heap, (total + least((r2, c2)), total, reach, (r, c, 0, before or (9, 9)), nxt))
-            count("pushed")
-    return failed("no coverage" if outside else "no route")
-
-
-def kernels(cube: DataFrame, requests: DataFrame, vessel: Vessel | None = None, objectives: dict[str, Weights] | None = None, min_confidence: float = MIN_CONFIDENCE, max_gap_us: int = MAX_GAP_US, connectivity: int = 8, n: int = POINTS) -> DataFrame:
-    """Route steps of all requests, searches spread over the executors; for cubes that ``routes`` has found small enough."""
-    spark = cube.sparkSession
-    cells = cube.select("frame", "row", "col", "valid_us", "risk", "hard", "confidence", "factor").toPandas()
-    links = edges(nodes(cube), connectivity).select("r", "c", "dr", "dc", "r2", "c2", "km", "heading", "lat", "lon").toPandas()
-    shared = spark.sparkContext.broadcast((cells, links, vessel or Vessel(), objectives or OBJECTIVES, min_confidence, max_gap_us, n))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cells, links, vessel, objectives, least, gap, n = shared.value
-        field = None
-        for pdf in batches:
-            field = field or Field(cells, links, vessel, least, gap, n)
-            pdf = pdf.astype({"horizon_us": object}).where(pdf.notna(), None)
-            rows = [x for q in pdf.itertuples(index=False) for x in plan_one(field, q, objectives[q.objective])]
-            yield pd.DataFrame(rows, columns=[x.split()[0] for x in RESULT.split(", ")]).astype({"frame_low": "Int32", "frame_high": "Int32"})
+@dataclass
+class Search:
+    """A run of searches: what was asked, all settled labels, and how far it came."""
 
-    wanted = requests.select("search", "objective", "r0", "c0", "r1", "c1", "depart_us", "horizon_us", "bucket_us")
-    return wanted.repartition(F.col("search")).mapInPandas(run, RESULT)
+    wanted: DataFrame
+    starts: DataFrame
+    labels: DataFrame
+    rounds: int = 0
+    open_labels: int = 0
+    cancelled: bool = False
+    links: DataFrame | None = None
+    max_expansions: int = MAX_EXPANSIONS
+    progress: list[dict[str, Any]] = field(default_factory=list)
 
 
 def _starts(cube: DataFrame, wanted: DataFrame, times: list[int], max_gap_us: int) -> DataFrame:
     """The sample at each search's start: status, risk, hard, confidence, and the frames used."""
     at = wanted.join(nodes(cube).select(F.col("row").alias("r0"), F.col("col").alias("c0"), "lat", "lon"), ["r0", "c0"])
     seen = sample(at.select(F.col("search").alias("point_id"), "lat", "lon", F.col("depart_us").alias("t_us")), cube, max_gap_us)
-    status = F.when(F.col("status") != "ok", "error").when(F.col("hard"), "start blocked").otherwise("ok")
+    status = F.when(F.coalesce(F.col("status"), F.lit("outside")) != "ok", "error").when(F.col("hard"), "start blocked").otherwise("ok")
     met = wanted.select("search", "depart_us").join(seen.withColumnRenamed("point_id", "search"), "search", "left")
-    low = F.size(F.filter(F.array(*(F.lit(t).cast("long") for t in times)), lambda v: v <= F.col("depart_us"))) - 1
-    exact = F.array_contains(F.array(*(F.lit(t).cast("long") for t in times)), F.col("depart_us"))
+    axis = axis_literal(times).cast("array<bigint>")
+    low = F.size(F.filter(axis, lambda v: v <= F.col("depart_us"))) - 1
+    exact = F.array_contains(axis, F.col("depart_us"))
     return met.select("search", F.coalesce(status, F.lit("error")).alias("start_status"), F.col("risk").alias("start_risk"), F.col("confidence").alias("start_confidence"), low.alias("start_low"), F.when(exact, low).otherwise(low + 1).alias("start_high"))
 
 
-#: Figures of the crossing that led to a label.
-CROSSED = ("km", "hours", "knots", "heading", "risk", "max_risk", "confidence", "risk_hours", "frame_low", "frame_high")
-STATE = ["search", "row", "col", "bucket", "dr", "dc"]
+def _asked(spark: SparkSession, cube: DataFrame, requests: DataFrame, vessel: Vessel, objectives: dict[str, Weights], use_bound: bool) -> DataFrame:
+    """Requests with their weights, the place of the goal, and the bound's cost of a kilometre."""
+    table = spark.createDataFrame([(k, *(float(getattr(w, x)) for x in WEIGHTS)) for k, w in objectives.items()], "objective string, " + ", ".join(f"w_{x} double" for x in WEIGHTS))
+    goal = nodes(cube).select(F.col("row").alias("r1"), F.col("col").alias("c1"), F.col("lat").alias("goal_lat"), F.col("lon").alias("goal_lon"))
+    asked = requests.select("search", "objective", "r0", "c0", "r1", "c1", "depart_us", "horizon_us", "bucket_us")
+    # a row for each policy: bounded by the code, not by data
+    asked = asked.join(F.broadcast(table), "objective").join(goal, ["r1", "c1"], "left")
+    return asked.withColumn("per_km", ((F.col("w_time") + F.col("w_distance")) / vessel.maximum_kmh) if use_bound else F.lit(0.0))
 
 
-def waves(cube: DataFrame, requests: DataFrame, vessel: Vessel | None = None, objectives: dict[str, Weights] | None = None, min_confidence: float = MIN_CONFIDENCE, max_gap_us: int = MAX_GAP_US, connectivity: int = 8, n: int = POINTS) -> tuple[DataFrame, DataFrame]:
-    """(goals, labels): the goal's label of each search with its status, and all labels with their parents.
-
-    A wave costs two joins on (search, state) over the labels; its own new
-    labels and one row of reject reasons for each search are all it adds.
+def _first(wanted: DataFrame, starts: DataFrame, cube: DataFrame) -> DataFrame:
+    """The open label of every start."""
+    none = F.lit(None).cast("double")
+    place = nodes(cube).select(F.col("row").alias("r0"), F.col("col").alias("c0"), "lat", "lon")
+    begin = wanted.join(starts.where("start_status = 'ok'"), "search").where("goal_lat is not null").join(place, ["r0", "c0"])
+    crossed = {"km": F.lit(0.0), "hours": F.lit(0.0), "knots": none, "heading": none, "risk": F.col("start_risk"), "max_risk": F.col("start_risk"), "confidence": F.col("start_confidence"), "risk_hours": F.lit(0.0), "frame_low": F.col("start_low"), "frame_high": F.col("start_high")}
+    goal = (F.col("r0") == F.col("r1")) & (F.col("c0") == F.col("c1"))
+    bound = F.col("per_km") * haversine_km(F.col("lat"), F.col("lon"), F.col("goal_lat"), F.col("goal_lon"))
+    asked = F.struct(F.col("depart_us").alias("begin_us"), *ASKED[1:])
+    label = F.struct(F.lit(False).alias("closed"), F.lit(0).alias("at"), goal.alias("goal"), F.lit(0.0).alias("cost"), F.col("depart_us").alias("arrive_us"), bound.alias("bound"), F.lit(0.0).alias("step"), F.lit(None).cast(_PARENT).alias("parent"), F.struct(*(v.alias(k) for k, v in crossed.items())).alias("crossed"), asked.alias("asked"))
+    state = {"row": F.col("r0"), "col": F.col("c0"), "bucket": F.lit(0).cast("long"), "dr": F.lit(9), "dc": F.lit(9), "k": F.lit(0), "now": F.lit(True)}
+    return begin.select("search", *(v.alias(k) for k, v in state.items()), label.cast(_LABEL).alias("v"), *(F.lit(0).cast("long").alias(f"n_{x}") for x in REFUSED))
+
+
+def _round_sql(work: str, links: str, times: list[int], vessel: Vessel, min_confidence: float, max_risk: float | None, max_gap_us: int) -> str:
+    """One round over the views ``work`` and ``links`` ({where} and {hint} are filled in)."""
+    weights = {x: f"w_{x}" for x in WEIGHTS}
+
+    def struct(of: dict[str, str]) -> str:
+        return f"named_struct({', '.join(f'{chr(39)}{k}{chr(39)}, {v}' for k, v in of.items())})"
+
+    new = {
+        "closed": "false",
+        "at": "CAST(0 AS INT)",
+        "goal": "r2 = r1 AND c2 = c1",
+        "cost": "cost0 + total_hours",
+        "arrive_us": "arrive_us",
+        # a part in 1e9 less, so that rounding can't lift it over the true cost
+        "bound": "per_km * " + HAVERSINE_SQL.format(a="lat2", x="lon2", b="goal_lat", y="goal_lon") + " * 0.999999999D",
+        "step": f"(least_h * (w_time + w_risk * low_risk + w_uncertainty * greatest(0D, 1D - best_confidence)) + w_distance * km / {double(vessel.maximum_kmh)}) * 0.999999999D",
+        "parent": struct({"row": "r", "col": "c", "bucket": "b_0", "dr": "dr_0", "dc": "dc_0"}),
+        "crossed": struct({c: c for c in CROSSED}),
+        "asked": struct({c: c for c in ASKED}),
+    }
+    kept = {
+        "closed": "v.closed OR now",
+        "at": "CAST(IF(now, k + 1, v.at) AS INT)",
+        **{c: f"v.{c}" for c in ("goal", "cost", "arrive_us", "bound", "step")},
+        # a state settled before is only named
+        "parent": "IF(v.closed, NULL, v.parent)",
+        "crossed": "IF(v.closed, NULL, v.crossed)",
+        "asked": "IF(v.closed OR now, NULL, v.asked)",
+    }
+    frame, _, _ = frame_sql(times)
+    leaving = f"""(SELECT {{hint}} b.*, e.r, e.c, e.dr, e.dc, e.r2, e.c2, e.lat2, e.lon2, e.km, e.heading, e.points, e.low_risk, e.best_confidence, km / (least({double(vessel.maximum)}, {double(vessel.economic)} * least(1D, best_factor)) * {double(KNOT_KMH)}) AS least_h
+    FROM b JOIN {links} e ON b.row = e.r AND b.col = e.c AND b.chunk = e.chunk WHERE {{where}})"""
+    crossing = crossing_sql(leaving, times, vessel, weights, min_confidence, None if max_risk is None else double(max_risk), max_gap_us, f"chunk * {CHUNK}")
+    to = {"row": ("r2", "r"), "col": ("c2", "c"), "bucket": ("(arrive_us - begin_us) div bucket_us", "b_0"), "dr": ("dr", "dr_0"), "dc": ("dc", "dc_0")}
+    state, refused = ", ".join(STATE), ", ".join(f"sum(n_{x}) AS n_{x}" for x in REFUSED)
+    own = f"search, {state}"
+    return f"""WITH b AS (SELECT search, row, col, bucket AS b_0, dr AS dr_0, dc AS dc_0, k, v.cost AS cost0, v.arrive_us AS depart_us, v.crossed.heading AS heading_before, {', '.join('v.asked.' + c for c in ASKED)},
+    {frame.replace('{t}', 'v.arrive_us')} div {CHUNK} AS chunk FROM {work} WHERE now AND NOT v.goal),
+c AS (SELECT *, CASE WHEN reject IS NOT NULL THEN reject WHEN arrive_us - begin_us > horizon_us THEN 'coverage' END AS why FROM ({crossing})),
+n AS (SELECT search, {', '.join(f'IF(why IS NULL, {a}, {b}) AS {k}' for k, (a, b) in to.items())}, k, IF(why IS NULL, {struct(new)}, NULL) AS v, {', '.join(f"CAST(why <=> '{x}' AS BIGINT) AS n_{x}" for x in REFUSED)} FROM c
+    UNION ALL SELECT {own}, k, {struct(kept)} AS v, {', '.join(f'0L AS n_{x}' for x in REFUSED)} FROM {work}),
+d AS (SELECT /*+ REPARTITION(search) */ * FROM n),
+a AS (SELECT {own}, max(k) + 1 AS k, min_by(v, IF(v IS NULL, NULL, struct(NOT v.closed, v.cost, v.arrive_us, v.parent))) AS v, {refused} FROM d GROUP BY {own}),
+s AS (SELECT *, min(IF(v.closed, NULL, v.cost)) OVER w AS m, min(IF(v.goal, v.cost, NULL)) OVER w AS u, min(IF(v.closed, NULL, bucket)) OVER w AS first_bucket FROM a WINDOW w AS (PARTITION BY search))
+SELECT {own}, k, NOT v.closed AND (v.cost <= m OR v.cost < m + v.step) AS now, v, {', '.join(f'n_{x}' for x in REFUSED)} FROM s
+WHERE IF(v.closed, v.at = k OR v.goal OR bucket >= first_bucket, v.goal OR u IS NULL OR v.cost + v.bound < u)"""
+
+
+def _too_many(labels: DataFrame, work: DataFrame, most: int) -> DataFrame:
+    """Searches with more settled labels below their least open cost plus bound than they may expand: all of these come before any goal."""
+    least = work.where("not v.closed").groupBy("search").agg(F.min(F.col("v.cost") + F.col("v.bound")).alias("f"))
+    return labels.join(least, "search").where("v.cost + v.bound < f").groupBy("search").count().where(F.col("count") > most).select("search")
+
+
+def run(
+    cube: DataFrame,
+    requests: DataFrame,
+    vessel: Vessel | None = None,
+    objectives: dict[str, Weights] | None = None,
+    min_confidence: float = MIN_CONFIDENCE,
+    max_gap_us: int = MAX_GAP_US,
+    connectivity: int = 8,
+    n: int = POINTS,
+    max_risk: float | None = None,
+    max_expansions: int = MAX_EXPANSIONS,
+    use_bound: bool = True,
+    cancelled: Callable[[], bool] = lambda: False,
+    budget_s: float | None = None,
+    progress: Callable[[dict[str, Any]], None] | None = None,
+) -> Search:
+    """All rounds of all requests.
+
+    progress is told of each round (round, labels in its frontier, open ones,
+    settled in it). cancelled is asked before each round. After ``budget_s``
+    seconds the jobs of the running round are interrupted by their tag and no
+    other begins.
     """
     spark = cube.sparkSession
     vessel, objectives = vessel or Vessel(), objectives or OBJECTIVES
-    base = folder(spark, "waves")
+    base = folder(spark, "search")
     times = axis_of(cube, "frame", "valid_us")
-    links = written(edge_series(cube, edges(nodes(cube), connectivity), len(times), n), f"{base}/edges")
-    least_km = links.agg(F.min("km")).first()[0] or 0.0
-    names = ("time", "risk", "distance", "turn", "uncertainty", "deviation")
-    table = spark.createDataFrame([(k, *(getattr(w, x) for x in names), (w.time / vessel.calm_kmh + w.distance / vessel.maximum_kmh) * least_km) for k, w in objectives.items()], "objective string, " + ", ".join(f"w_{x} double" for x in names) + ", wave_step double")
-    # a few policies: bounded by the code, not by data
-    wanted = written(requests.join(F.broadcast(table), "objective"), f"{base}/requests")
+    wanted = written(_asked(spark, cube, requests, vessel, objectives, use_bound), f"{base}/wanted")
+    frontier = spark.createDataFrame([], FRONTIER).schema
+    if not times:
+        starts = wanted.select("search", F.lit("error").alias("start_status"))
+        return Search(wanted, starts, spark.createDataFrame([], frontier), max_expansions=max_expansions)
     starts = written(_starts(cube, wanted, times, max_gap_us), f"{base}/starts")
-    begin = wanted.join(starts.where("start_status = 'ok'"), "search")
-    none = F.lit(None).cast("double")
-    first = begin.select(
-        "search",
-        F.col("r0").alias("row"),
-        F.col("c0").alias("col"),
-        F.lit(0).cast("long").alias("bucket"),
-        F.lit(9).alias("dr"),
-        F.lit(9).alias("dc"),
-        F.lit(0.0).alias("cost"),
-        F.col("depart_us").alias("arrive_us"),
-        F.lit(None).cast("struct<row:int,col:int,bucket:bigint,dr:int,dc:int>").alias("parent"),
-        F.struct(F.lit(0.0).alias("km"), F.lit(0.0).alias("hours"), none.alias("knots"), none.alias("heading"), F.col("start_risk").alias("risk"), F.col("start_risk").alias("max_risk"), F.col("start_confidence").alias("confidence"), F.lit(0.0).alias("risk_hours"), F.col("start_low").alias("frame_low"), F.col("start_high").alias("frame_high")).alias("crossed"),
-        F.lit(True).alias("open"),
+    size = cube.agg(F.max("row").alias("r"), F.max("col").alias("c")).first()
+    high, wide = (max(SIDE, -(-(most + 1) // parts)) for most, parts in zip((size.r, size.c), TILES, strict=True))
+
+    def tile(row: str, col: str) -> str:
+        return f"CAST({row} div {high} * {TILES[1]} + {col} div {wide} AS INT)"
+
+    series = edge_series(cube, edges(nodes(cube), connectivity), len(times), n)
+    far = series.agg(F.max("km")).first()[0] or 0.0
+    slowest = max(vessel.steerage, vessel.economic * vessel.least_factor) * KNOT_KMH
+    series = in_chunks(series, len(times), CHUNK, frames_ahead(times, max(far / slowest, far / vessel.calm_kmh)))
+    links = series.select("r", "c", "dr", "dc", "r2", "c2", "lat2", "lon2", "km", "heading", "low_risk", "best_factor", "best_confidence", "points", "chunk", F.expr(tile("r", "c")).alias("tile"))
+    links.repartition("tile", "chunk").write.partitionBy("tile", "chunk").parquet(f"{base}/links")
+    links = spark.read.schema(links.select(*(c for c in links.columns if c not in ("tile", "chunk")), "tile", "chunk").schema).parquet(f"{base}/links")
+    names = {x: f"riskgrid_{x}_{uuid.uuid4().hex}" for x in ("work", "links")}
+    links.createOrReplaceTempView(names["links"])
+    text = _round_sql(names["work"], names["links"], times, vessel, min_confidence, max_risk, max_gap_us)
+    work = written(_first(wanted, starts, cube), f"{base}/0")
+    out = Search(wanted, starts, work.limit(0), links=links, max_expansions=max_expansions)
+    chunk = frame_sql(times)[0].replace("{t}", "v.arrive_us") + f" div {CHUNK}"
+    watch = [F.count("*").alias("labels"), F.expr("count_if(NOT v.closed)").alias("open"), F.expr("count_if(v.at = k)").alias("settled"), F.expr(f"bit_or(IF(now, shiftleft(1L, {tile('row', 'col')}), 0L))").alias("tiles"), F.expr(f"min(IF(now, {chunk}, NULL))").alias("first"), F.expr(f"max(IF(now, {chunk}, NULL))").alias("last"), F.expr("count_if(now)").alias("now")]
+    told, settled = work.agg(*watch).first().asDict(), 0
+    tag = f"riskgrid-search-{uuid.uuid4().hex}"
+    over = threading.Event()
+
+    def end() -> None:
+        over.set()
+        spark.interruptTag(tag)
+
+    timer = threading.Timer(budget_s, end) if budget_s is not None else None
+    try:
+        spark.addTag(tag)
+        if timer:
+            timer.start()
+        while told["open"]:
+            if over.is_set() or cancelled():
+                out.cancelled = True
+                break
+            work.createOrReplaceTempView(names["work"])
+            # folders of what is final now, as the last round told; the hint stands only for counted rows
+            own = ", ".join(str(k) for k in range(63) if told["tiles"] >> k & 1)
+            where = f"e.tile IN ({own}) AND e.chunk BETWEEN {told['first']} AND {told['last']}"
+            sql = text.replace("{where}", where).replace("{hint}", "/*+ BROADCAST(b) */" if told["now"] <= BROADCAST_ROWS else "")
+            seen = Observation()
+            path = f"{base}/{out.rounds + 1}"
+            try:
+                spark.sql(sql).observe(seen, *watch).write.parquet(path)
+            except Exception:
+                if not over.is_set():
+                    raise
+                out.cancelled = True
+                break
+            out.rounds += 1
+            work = spark.read.schema(frontier).parquet(path)
+            told = seen.get
+            settled += told["settled"]
+            out.progress.append({"round": out.rounds, "labels": told["labels"], "open": told["open"], "settled": told["settled"]})
+            if progress:
+                progress(out.progress[-1])
+            if out.rounds % LOOK == 0 and settled > max_expansions and told["open"]:
+                many = _too_many(_settled(spark, base, out.rounds), work, max_expansions)
+                work = written(work.join(many, "search", "left_anti"), f"{base}/less-{out.rounds}")
+                told = work.agg(*watch).first().asDict()
+    finally:
+        if timer:
+            timer.cancel()
+        spark.removeTag(tag)
+        for name in names.values():
+            spark.catalog.dropTempView(name)
+    out.open_labels = told["open"]
+    # searches that still have open labels when the rounds are ended were not done
+    left = work.where("not v.closed").select("search").distinct() if out.cancelled else work.select("search").limit(0)
+    out.starts = starts.join(left.withColumn("left", F.lit(True)), "search", "left")
+    if out.rounds:
+        out.labels = written(_settled(spark, base, out.rounds), f"{base}/labels")
+    return out
+
+
+def _settled(spark: SparkSession, base: str, rounds: int) -> DataFrame:
+    """All labels settled in the rounds, each where it was written."""
+    schema = spark.createDataFrame([], FRONTIER).schema
+    return spark.read.schema(schema).parquet(*(f"{base}/{k}" for k in range(1, rounds + 1))).where("v.closed and v.at = k")
+
+
+def counters(found: Search) -> DataFrame:
+    """The effort of each search, in labels and crossings that come before its goal in the order of cost plus bound (all of them if there is no route).
+
+    search, status, rounds of its last label, expanded, nodes, states (settled,
+    the goal's too), crossings, accepted, refused as hard, risk, speed,
+    coverage and error, and the largest time bucket.
+    """
+    per, goals = _needed(found)
+    return goals.select("search", "status").join(per, "search", "left").select("search", "status", *(F.coalesce(c, F.lit(0)).alias(c) for c in COUNTERS))
+
+
+COUNTERS = ("last_round", "expanded", "nodes", "states", "crossings", "accepted", *(f"refused_{x}" for x in REFUSED), "max_bucket")
+
+
+def _needed(found: Search) -> tuple[DataFrame, DataFrame]:
+    """Counts by search of what comes before the goal, and the goal's label of each search with its status."""
+    wanted, labels = found.wanted, found.labels
+    best = labels.where("v.goal").groupBy("search").agg(F.min_by(F.struct(*STATE, "v"), F.struct("v.cost", "v.arrive_us", *STATE)).alias("goal"))
+    met = labels.join(best.select("search", F.col("goal.v.cost").alias("goal_cost")), "search", "left")
+    met = met.where("v.goal or goal_cost is null or v.cost + v.bound < goal_cost")
+    if found.links is not None:
+        degree = found.links.where("chunk = 0").groupBy(F.col("r").alias("row"), F.col("c").alias("col")).agg(F.count("*").alias("degree"))
+        met = met.join(degree, ["row", "col"], "left")
+    else:
+        met = met.withColumn("degree", F.lit(0).cast("long"))
+    mine = ~F.col("v.goal")
+    refused = {f"refused_{x}": F.sum(F.when(mine, F.col(f"n_{x}")).otherwise(0)) for x in REFUSED}
+    per = met.groupBy("search").agg(
+        F.max("v.at").alias("last_round"),
+        F.count_if(mine).alias("expanded"),
+        F.count_distinct("row", "col").alias("nodes"),
+        F.count("*").alias("states"),
+        F.coalesce(F.sum(F.when(mine, F.col("degree"))), F.lit(0)).alias("crossings"),
+        *(v.alias(k) for k, v in refused.items()),
+        F.max("bucket").alias("max_bucket"),
+    )
+    per = per.withColumn("accepted", F.col("crossings") - sum((F.col(k) for k in refused), F.lit(0)))
+    left = F.col("left") if "left" in found.starts.columns else F.lit(False)
+    rows = wanted.select("search", "r0", "c0", "depart_us").join(found.starts.select("search", "start_status", left.alias("left")), "search", "left").join(best, "search", "left").join(per, "search", "left")
+    status = (
+        F.when(F.col("start_status") != "ok", F.col("start_status"))
+        .when(F.coalesce("refused_error", F.lit(0)) > 0, "error")
+        .when(F.coalesce("expanded", F.lit(0)) + F.when(F.col("goal").isNotNull(), 1).otherwise(0) > found.max_expansions, "limit")
+        .when(F.col("left") & (F.col("goal").isNull() | found.cancelled), "cancelled")
+        .when(F.col("goal").isNotNull(), "ok")
+        .when(F.coalesce("refused_coverage", F.lit(0)) > 0, "no coverage")
+        .otherwise("no route")
     )
-    labels = written(first, f"{base}/0")
-    goal = wanted.select("search", F.col("r1").alias("row"), F.col("c1").alias("col"))
-    seen = written(spark.createDataFrame([], "search string, reject string"), f"{base}/reject-0")
-    wave = 0
-    while True:
-        wave += 1
-        at_goal = labels.join(goal, ["search", "row", "col"], "left_semi").groupBy("search").agg(F.min("cost").alias("goal_cost"))
-        least = labels.where("open").groupBy("search").agg(F.min("cost").alias("m")).join(at_goal, "search", "left").where("goal_cost is null or goal_cost > m")
-        batch = labels.where("open").join(least, "search").join(wanted.drop("r0", "c0", "r1", "c1"), "search").where("cost <= m or cost < m + wave_step")
-        batch = written(batch, f"{base}/batch-{wave}")
-        if batch.isEmpty():
-            break
-        leaving = batch.select("search", F.col("row").alias("r"), F.col("col").alias("c"), F.col("bucket").alias("b0"), F.col("dr").alias("dr0"), F.col("dc").alias("dc0"), F.col("cost").alias("cost0"), F.col("arrive_us").alias("depart_us"), F.col("crossed.heading").alias("heading_before"), F.col("depart_us").alias("begin_us"), "horizon_us", "bucket_us", *(f"w_{x}" for x in names))
-        crossed = cross(leaving.join(links, ["r", "c"]), times, vessel, {x: F.col(f"w_{x}") for x in names}, min_confidence, None, max_gap_us, n)
-        late = F.col("reject").isNull() & (F.col("arrive_us") - F.col("begin_us") > F.coalesce("horizon_us", F.lit(2**62)))
-        crossed = written(crossed.withColumn("reject", F.when(late, "coverage").otherwise(F.col("reject"))).drop("points"), f"{base}/crossed-{wave}")
-        seen = written(crossed.where("reject is not null").select("search", "reject").unionByName(seen).distinct(), f"{base}/reject-{wave}")
-        parent = F.struct(F.col("r").alias("row"), F.col("c").alias("col"), F.col("b0").alias("bucket"), F.col("dr0").alias("dr"), F.col("dc0").alias("dc"))
-        new = crossed.where("reject is null").select("search", F.col("r2").alias("row"), F.col("c2").alias("col"), F.floor((F.col("arrive_us") - F.col("begin_us")) / F.col("bucket_us")).alias("bucket"), "dr", "dc", (F.col("cost0") + F.col("total_hours")).alias("cost"), "arrive_us", parent.alias("parent"), F.struct(*CROSSED).alias("crossed"), F.lit(True).alias("open"))
-        done = labels.join(batch.select(*STATE, F.lit(False).alias("__rg_o")), STATE, "left").withColumn("open", F.coalesce("__rg_o", "open")).drop("__rg_o")
-        rest = [c for c in labels.columns if c not in STATE]
-        # a settled label stays; among open ones the least cost, arrival and parent wins
-        order = F.struct("open", "cost", "arrive_us", "parent")
-        merged = done.select(*labels.columns).unionByName(new).groupBy(*STATE).agg(F.min_by(F.struct(*rest), order).alias("v"))
-        labels = written(merged.select(*STATE, "v.*").select(*labels.columns), f"{base}/{wave}")
-    best = labels.join(goal, ["search", "row", "col"], "left_semi").groupBy("search").agg(F.min_by(F.struct(*STATE[1:]), F.struct("cost", "arrive_us", *STATE[1:])).alias("g"))
-    why = seen.groupBy("search").agg(F.bool_or(F.col("reject") == "error").alias("bad"), F.bool_or(F.col("reject") == "coverage").alias("outside"))
-    status = F.when(F.col("start_status") != "ok", F.col("start_status")).when(F.coalesce("bad", F.lit(False)), "error").when(F.col("g").isNotNull(), "ok").when(F.coalesce("outside", F.lit(False)), "no coverage").otherwise("no route")
-    goals = wanted.select("search", "r0", "c0", "depart_us").join(starts, "search").join(best, "search", "left").join(why, "search", "left")
-    return written(goals.select("search", "r0", "c0", "depart_us", status.alias("status"), F.when(status == "ok", F.col("g")).alias("goal")), f"{base}/goals"), labels
-
-
-def wave_steps(goals: DataFrame, labels: DataFrame) -> DataFrame:
-    """Steps of all searches in the form of ``RESULT``: found routes walked back from the goals by joins on the parent's state, one row with the status for the others."""
-    spark = goals.sparkSession
-    base = folder(spark, "wave-steps")
-    at = written(goals.where("status = 'ok'").select("search", *(F.col(f"goal.{c}") for c in STATE[1:])).withColumn("back", F.lit(0)), f"{base}/at-0")
-    k = 0
-    while True:
-        here = written(at.join(labels.drop("open"), STATE), f"{base}/step-{k}")
-        nxt = here.where("parent is not null").select("search", *(F.col(f"parent.{c}") for c in STATE[1:]), (F.col("back") + 1).alias("back"))
-        if nxt.isEmpty():
-            break
-        k += 1
-        at = nxt
-    steps = spark.read.schema(here.schema).parquet(*(f"{base}/step-{i}" for i in range(k + 1)))
-    last = steps.groupBy("search").agg(F.max("back").alias("n"))
+    return per, rows.select("search", "r0", "c0", "depart_us", status.alias("status"), "goal")
+
+
+def steps(found: Search) -> DataFrame:
+    """Steps of all searches in the form of ``RESULT``: found routes walked back from their goals, one row with the status for the others."""
+    spark = found.wanted.sparkSession
+    base = folder(spark, "steps")
+    _, goals = _needed(found)
+    goals = written(goals, f"{base}/goals")
+    good = goals.where("status = 'ok'").select("search", F.col("goal.v.cost").alias("goal_cost"), F.struct(*(F.col(f"goal.{c}").alias(c) for c in STATE)).alias("at"))
+    labels = found.labels.join(good.select("search", "goal_cost"), "search").where("v.goal or v.cost + v.bound <= goal_cost").select("search", F.struct(*STATE).alias("at"), "v.parent", "v.cost", "v.arrive_us", "v.crossed")
+    labels = written(labels, f"{base}/labels")
+    # jumps of 1, 2, 4, ... labels towards the start, until none is left
+    jump = labels.where("parent is not null").select("search", "at", F.col("parent").alias("to"))
+    jumps = []
+    while not jump.isEmpty():
+        jumps.append(jump)
+        far = jump.select("search", F.col("at").alias("to"), F.col("to").alias("further"))
+        jump = written(jump.join(far, ["search", "to"]).select("search", "at", F.col("further").alias("to")), f"{base}/jump-{len(jumps)}")
+    on = good.select("search", "at", F.lit(0).alias("back"))
+    for k in reversed(range(len(jumps))):
+        # every label of a route is one sum of jumps away from its goal
+        both = F.array_compact(F.array(F.struct("at", "back"), F.when(F.col("to").isNotNull(), F.struct(F.col("to").alias("at"), (F.col("back") + (1 << k)).alias("back")))))
+        on = on.join(jumps[k], ["search", "at"], "left").select("search", F.explode(both).alias("x")).select("search", "x.*")
+    on = written(on, f"{base}/on")
+    last = on.groupBy("search").agg(F.max("back").alias("n"))
     names = [x.split()[0] for x in RESULT.split(", ")]
-    found = steps.join(last, "search").select("search", (F.col("n") - F.col("back")).alias("step"), "row", "col", F.col("arrive_us").alias("eta_us"), "crossed.*", "cost", F.lit("ok").alias("status")).select(*names)
-    failed = goals.where("status <> 'ok'").select("search", F.lit(0).alias("step"), F.col("r0").alias("row"), F.col("c0").alias("col"), F.col("depart_us").alias("eta_us"), *(F.lit(None).cast(found.schema[c].dataType).alias(c) for c in names[5:-1]), "status")
-    return found.unionByName(failed)
+    made = on.join(last, "search").join(labels, ["search", "at"]).select("search", (F.col("n") - F.col("back")).alias("step"), "at.row", "at.col", F.col("arrive_us").alias("eta_us"), "crossed.*", "cost", F.lit("ok").alias("status")).select(*names)
+    kinds = dict(made.dtypes)
+    failed = goals.where("status <> 'ok'").select("search", F.lit(0).alias("step"), F.col("r0").alias("row"), F.col("c0").alias("col"), F.col("depart_us").alias("eta_us"), *(F.lit(None).cast(kinds[c]).alias(c) for c in names[5:-1]), "status")
+    return made.unionByName(failed)
 
 
-def routes(cube: DataFrame, requests: DataFrame, **options) -> DataFrame:
-    """Route steps of all requests (``RESULT``): by ``kernels`` where a count lets the cube travel, by ``waves`` beyond that."""
-    if cube.limit(CUBE_CELLS + 1).count() <= CUBE_CELLS:
-        return kernels(cube, requests, **options)
-    return wave_steps(*waves(cube, requests, **options))
+def routes(cube: DataFrame, requests: DataFrame, **options: Any) -> DataFrame:
+    """Route steps of all requests (``RESULT``); options as in ``run``."""
+    return steps(run(cube, requests, **options))

@@ -9,7 +9,7 @@ from riskgrid.functions.motion import risk_level
 from riskgrid.operators import codec, validate
 from riskgrid.operators.sample import sample
 from riskgrid.plans.registry import CUBE, T0, query
-from riskgrid.sources.cube import analytic_cube, table, table_cube
+from riskgrid.sources.cube import fixture_cubes, table, table_cube
 
 
 @query(f"""WITH {CUBE} SELECT frame, "row", col, valid_us, round(lat, 6) AS lat, round(lon, 6) AS lon, risk, hard, round(confidence, 6) AS confidence, round(factor, 6) AS factor FROM cube""")
@@ -17,15 +17,21 @@ def cube_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table_cube(spark, sf_dir).withColumns({c: F.round(c, 6) for c in ("lat", "lon", "confidence", "factor")})
 
 
-@query(f"""WITH k AS (SELECT i, (i // 651)::INT AS frame, (i // 31 % 21)::INT AS "row", (i % 31)::INT AS col FROM range(16275) AS t(i)),
-x AS (SELECT *, col / 30.0::DOUBLE AS x, "row" / 20.0::DOUBLE AS y FROM k)
-SELECT frame, "row", col, {T0} + frame::BIGINT * 3600000000 AS valid_us, round(70.0::DOUBLE + 2.0::DOUBLE * y, 6) AS lat, round(18.0::DOUBLE + 3.0::DOUBLE * x, 6) AS lon,
+@query(f"""WITH a AS (SELECT s_suppkey AS scenario, (2 + s_suppkey % 5)::INT AS frames, (3 + s_suppkey % 6)::INT AS ny, (3 + s_suppkey % 7)::INT AS nx, 10.0::DOUBLE + s_nationkey AS west, 60.0::DOUBLE + s_suppkey % 10 AS south, {T0} + (s_suppkey % 24) * 3600000000 AS start_us, (1 + s_suppkey % 3) * 3600000000 AS step_us FROM supplier),
+k AS (SELECT *, unnest(range(frames * ny * nx)) AS i FROM a),
+c AS (SELECT *, (i // (ny * nx))::INT AS frame, (i // nx % ny)::INT AS "row", (i % nx)::INT AS col FROM k), x AS (SELECT *, col / (nx - 1)::DOUBLE AS x, "row" / (ny - 1)::DOUBLE AS y FROM c)
+SELECT scenario, frame, "row", col, start_us + frame * step_us AS valid_us, round(south + 2.0::DOUBLE * y, 6) AS lat, round(west + 3.0::DOUBLE * x, 6) AS lon,
 round(least(1.0::DOUBLE, greatest(0.0::DOUBLE, 0.28::DOUBLE + 0.20::DOUBLE * x + 0.12::DOUBLE * y + 0.14::DOUBLE * sin(pi() * (2.7::DOUBLE * x + 1.3::DOUBLE * y + 0.11::DOUBLE * frame)))), 6) AS risk,
-("row" = 10 AND col >= 10 AND col < 20 AND col <> 15) AS hard,
+("row" = ny // 2 AND col >= nx // 3 AND col < 2 * nx // 3 AND col <> nx // 2) AS hard,
 round(greatest(0.55::DOUBLE, 0.92::DOUBLE - 0.01::DOUBLE * frame), 6) AS confidence,
 round(least(0.96::DOUBLE, greatest(0.72::DOUBLE, 0.86::DOUBLE + 0.10::DOUBLE * cos(pi() * (1.1::DOUBLE * x - 0.7::DOUBLE * y + 0.07::DOUBLE * frame)))), 6) AS factor FROM x""")
 def cube_analytic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return analytic_cube(spark).withColumns({c: F.round(c, 6) for c in ("lat", "lon", "risk", "confidence", "factor")})
+    """A smooth cube for every supplier: its own size, place, begin and interval."""
+    k, hour = F.col("s_suppkey"), F.lit(3_600_000_000)
+    south, west = 60.0 + k % 10, 10.0 + F.col("s_nationkey")
+    own = {"frames": 2 + k % 5, "ny": 3 + k % 6, "nx": 3 + k % 7, "west": west, "south": south, "east": west + 3.0, "north": south + 2.0, "start_us": F.lit(T0) + k % 24 * hour, "interval_us": (1 + k % 3) * hour}
+    asked = table(spark, sf_dir, "supplier").select(k.alias("scenario"), *(v.alias(c) for c, v in own.items()))
+    return fixture_cubes(asked, ["scenario"]).withColumns({c: F.round(c, 6) for c in ("lat", "lon", "risk", "confidence", "factor")})
 
 
 def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:

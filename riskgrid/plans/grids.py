@@ -237,7 +237,7 @@ def crossed(spark: SparkSession, sf_dir: str, cube: DataFrame | None = None) ->
     times = axis_of(cube, "frame", "valid_us")
     series = edge_series(cube, grid.edges(grid.nodes(cube)), len(times))
     leaving = series.withColumn("depart_us", F.explode(F.array(*(F.lit(t).cast("long") for t in DEPARTURES)))).withColumn("heading_before", F.lit(None).cast("double"))
-    return cross(leaving, times, Vessel(), {k: F.lit(v) for k, v in vars(_W).items()})
+    return cross(leaving, times, Vessel(), vars(_W))
 
 
 _SHOWN = {"hours": "h", "knots": "knots", "risk": "risk", "max_risk": "max_risk", "confidence": "confidence", "total_hours": "total"}

@@ -246,14 +246,20 @@ def plan_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("start_time").alias("start_us"),
         F.size("waypoints").alias("waypoints"),
         F.element_at("waypoints", -1)["eta_us"].alias("last_us"),
-        F.round(F.aggregate(F.transform("waypoints", lambda p: p["mps"]), F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0))), 6).alias("mps"),
+        # speeds that are missing count for nothing; the sum of none is none
+        F.round(F.aggregate(F.col("waypoints.mps"), F.lit(None).cast("double"), lambda a, x: F.coalesce(a + x, a, x)), 6).alias("mps"),
         F.col("metrics.turn_count").alias("turns"),
         F.array_join("source_risk_ids", ",").alias("source_ids"),
         *(F.round(F.col(f"metrics.{names[c]}"), 6).alias(c) for c in _FIGURES),
     )
 
 
-@query(f"""WITH {TABLE_ROUTES}, late AS (SELECT search FROM steps WHERE step = 0 AND "row" = 0) SELECT search, rule FROM late, (VALUES ('the first ETA is not the start'), ('eta_hours is not the last ETA')) AS r(rule)""")
+@query(f"""WITH {TABLE_ROUTES}, {_TOTALS}, {_POINTS},
+n AS (SELECT search, count(*) AS n, min(eta_us) AS first_us, max(eta_us) AS last_us, bool_or(mps IS NULL) AS missing FROM pts GROUP BY 1),
+r AS (SELECT search, bool_or(eta_us <= before) AS falls FROM (SELECT search, eta_us, lag(eta_us) OVER (PARTITION BY search ORDER BY step) AS before FROM pts) GROUP BY 1),
+x AS (SELECT n.*, falls, t.hours, t.average_risk, t.max_risk AS max_risk, first_us + CASE WHEN s."row" = 0 THEN 5000000 ELSE 0 END AS start_us FROM n JOIN r USING (search) JOIN t USING (search) JOIN steps s ON s.search = n.search AND s.step = 0)
+SELECT search, rule FROM x, LATERAL (VALUES ('fewer than two waypoints', n < 2), ('a waypoint has a missing field', missing), ('the first ETA is not the start', first_us <> start_us), ('ETAs do not rise', falls),
+    ('eta_hours is not the last ETA', abs(hours - (last_us - start_us) / 3.6e9::DOUBLE) > greatest(1 / 3600.0::DOUBLE, abs((last_us - start_us) / 3.6e9::DOUBLE) * 1e-6)), ('average over maximum', average_risk > max_risk)) AS v(rule, broken) WHERE broken""")
 def plan_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Broken rules of these documents where some tell a later start than their first waypoint."""
     steps = table_routes(spark, sf_dir)

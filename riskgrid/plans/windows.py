@@ -66,15 +66,14 @@ def identity_fence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.identity_violations(frames(spark, sf_dir), ["corridor_id", "valid"], ["run_id", "scenario_id", "generation"])
 
 
-@query(f"""WITH {FRAMES}, h AS (SELECT DISTINCT run_id, corridor_id, generation FROM frames WHERE valid % 336 = 0 AND generated % 5 = 0),
+@query(f"""WITH {FRAMES}, h AS (SELECT DISTINCT run_id, corridor_id, generation FROM frames),
 w AS (SELECT c_custkey, 'run-' || (c_custkey % 25) AS run_id, 'corridor-' || (c_custkey % 4) AS corridor_id, (c_custkey % 3)::INT AS generation FROM customer)
 SELECT w.*, h.run_id IS NOT NULL AS available FROM w LEFT JOIN h ON w.run_id = h.run_id AND w.corridor_id = h.corridor_id AND w.generation = h.generation""")
 def context_exists(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("c_custkey")
     named = lambda prefix, n: F.concat(F.lit(prefix), F.pmod(k, F.lit(n)).cast("string"))
     wanted = table(spark, sf_dir, "customer").select("c_custkey", named("run-", 25).alias("run_id"), named("corridor-", 4).alias("corridor_id"), F.pmod(k, F.lit(3)).cast("int").alias("generation"))
-    have = frames(spark, sf_dir).where("valid % 336 = 0 and generated % 5 = 0")
-    return windows.exists(have, wanted, ["run_id", "corridor_id", "generation"])
+    return windows.exists(frames(spark, sf_dir), wanted, ["run_id", "corridor_id", "generation"])
 
 
 @query(f"""WITH {FRAMES} SELECT run_id, count(*) AS n, min(valid) AS first_valid, max(valid) AS last_valid FROM frames WHERE generation = 1 GROUP BY 1""")

@@ -56,27 +56,21 @@ def _clip(x: Column, low: float, high: float) -> Column:
     return F.least(F.lit(high), F.greatest(F.lit(low), x))
 
 
-def analytic_cube(spark: SparkSession, frames: int = 25, shape: tuple[int, int] = (21, 31), box: tuple[float, float, float, float] = (18.0, 70.0, 21.0, 72.0), start_us: int = T0, interval_us: int = HOUR) -> DataFrame:
-    """A smooth cube with a wall across the middle row, from formulas alone.
-
-    Built from one distributed range; no join and no shuffle.
-    """
-    ny, nx = shape
-    if frames < 2 or ny < 3 or nx < 3 or interval_us <= 0:
-        raise ValueError("a cube has two frames, three rows and three columns at least")
-    west, south, east, north = box
-    i = F.col("id")
-    base = spark.range(frames * ny * nx).select((i / (ny * nx)).cast("int").alias("frame"), ((i / nx).cast("long") % ny).cast("int").alias("row"), (i % nx).cast("int").alias("col"))
+def _fixture(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells of smooth cubes with a wall across the middle row; ``id`` counts the cells of a cube, frame by frame and row by row."""
+    i, ny, nx = F.col("id"), F.col("ny"), F.col("nx")
+    base = rows.withColumns({"frame": F.floor(i / (ny * nx)).cast("int"), "row": (F.floor(i / nx) % ny).cast("int"), "col": (i % nx).cast("int")})
     x, y, k = F.col("col") / (nx - 1), F.col("row") / (ny - 1), F.col("frame")
     pi = F.pi()
-    wall = (F.col("row") == ny // 2) & (F.col("col") >= nx // 3) & (F.col("col") < 2 * nx // 3) & (F.col("col") != nx // 2)
+    wall = (F.col("row") == F.floor(ny / 2)) & (F.col("col") >= F.floor(nx / 3)) & (F.col("col") < F.floor(2 * nx / 3)) & (F.col("col") != F.floor(nx / 2))
     return base.select(
+        *keys,
         "frame",
         "row",
         "col",
-        (F.lit(start_us) + k * F.lit(interval_us)).alias("valid_us"),
-        (F.lit(south) + (north - south) * y).alias("lat"),
-        (F.lit(west) + (east - west) * x).alias("lon"),
+        (F.col("start_us") + k * F.col("interval_us")).alias("valid_us"),
+        (F.col("south") + (F.col("north") - F.col("south")) * y).alias("lat"),
+        (F.col("west") + (F.col("east") - F.col("west")) * x).alias("lon"),
         _clip(0.28 + 0.20 * x + 0.12 * y + 0.14 * F.sin(pi * (2.7 * x + 1.3 * y + 0.11 * k)), 0.0, 1.0).alias("risk"),
         wall.alias("hard"),
         F.greatest(F.lit(0.55), 0.92 - 0.01 * k).alias("confidence"),
@@ -84,6 +78,29 @@ def analytic_cube(spark: SparkSession, frames: int = 25, shape: tuple[int, int]
     )
 
 
+#: What a fixture is asked by.
+FIXTURE = ("frames", "ny", "nx", "west", "south", "east", "north", "start_us", "interval_us")
+
+
+def fixture_cubes(asked: DataFrame, keys: list[str]) -> DataFrame:
+    """A smooth cube for every row of ``asked`` (keys and FIXTURE), all in one pass without a join or shuffle.
+
+    Rows that ask for less than two frames, three rows or three columns, or
+    for no positive interval, give no cells.
+    """
+    good = asked.where("frames >= 2 and ny >= 3 and nx >= 3 and interval_us > 0")
+    return _fixture(good.withColumn("id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("frames").cast("long") * F.col("ny") * F.col("nx") - 1))), keys)
+
+
+def analytic_cube(spark: SparkSession, frames: int = 25, shape: tuple[int, int] = (21, 31), box: tuple[float, float, float, float] = (18.0, 70.0, 21.0, 72.0), start_us: int = T0, interval_us: int = HOUR) -> DataFrame:
+    """One smooth cube from formulas alone, built from a distributed range."""
+    ny, nx = shape
+    if frames < 2 or ny < 3 or nx < 3 or interval_us <= 0:
+        raise ValueError("a cube has two frames, three rows and three columns at least")
+    asked = dict(zip(FIXTURE, (frames, ny, nx, *box, start_us, interval_us), strict=True))
+    return _fixture(spark.range(frames * ny * nx).withColumns({k: F.lit(v) for k, v in asked.items()}), [])
+
+
 #: Identity of a frame's run: all of it must agree over a window (fixed set).
 IDENTITY = ("run_id", "scenario_id", "corridor_id", "vessel_id", "config_digest", "model_digest", "generation")
 

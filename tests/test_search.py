@@ -1,57 +1,43 @@
-"""The route search against plain searches of its own state graph, and its two strategies against each other."""
+"""The route search against a plain heap search of one request at a time."""
 
 import itertools
 import random
+import threading
+import time
 
 import pandas as pd
 import pytest
 
-from riskgrid.functions.motion import MICROS_PER_HOUR, OBJECTIVES, Vessel
+import plain_search
+from riskgrid.functions.motion import OBJECTIVES, Vessel, Weights
 from riskgrid.operators import grid, search
-from riskgrid.operators.edges import MAX_GAP_US, MIN_CONFIDENCE, POINTS
+from riskgrid.operators.edges import MAX_GAP_US, MIN_CONFIDENCE, POINTS, edge_series
 from riskgrid.plans import grids
 from riskgrid.sources.cube import HOUR, T0, table_cube
 
 CUBE = "frame int, row int, col int, valid_us bigint, lat double, lon double, risk double, hard boolean, confidence double, factor double"
 WANTED = "search string, objective string, r0 int, c0 int, r1 int, c1 int, depart_us bigint, horizon_us bigint, bucket_us bigint"
+FIGURES = ("km", "hours", "knots", "heading", "risk", "max_risk", "confidence", "cost", "risk_hours", "frame_low", "frame_high")
 
 
-def random_cube(seed, shape=(5, 5), frames=6, hard=0.03):
+def random_cube(seed, shape=(5, 5), frames=6, hard=0.03, unknown=0.0, uneven=False):
     r = random.Random(seed)
-    return [(k, i, j, T0 + k * HOUR, 70 + 0.05 * i, 18 + 0.1 * j, round(r.random(), 2), r.random() < hard, round(0.4 + 0.6 * r.random(), 2), round(0.35 + 0.6 * r.random(), 2)) for k in range(frames) for i in range(shape[0]) for j in range(shape[1])]
-
-
-def field_of(spark, cube):
-    df = spark.createDataFrame(cube, CUBE)
-    links = grid.edges(grid.nodes(df)).toPandas()
-    return search.Field(pd.DataFrame(cube, columns=[x.split()[0] for x in CUBE.split(", ")]), links, Vessel(), MIN_CONFIDENCE, MAX_GAP_US, POINTS)
-
-
-def least_cost(field, q, weights):
-    """All settled labels in order of cost alone, without a bound, a heap or closed sets: the least of the open ones each time."""
-    if field.at(field.point_series(q.r0 * 2, q.c0 * 2), q.depart_us)[2]:
-        return "start blocked"
-    open_ = {(q.r0, q.c0, 0, None): (0.0, q.depart_us, None)}
-    settled = {}
-    while open_:
-        state = min(open_, key=lambda s: open_[s][:2])
-        cost, arrival, course = settled[state] = open_.pop(state)
-        if state[:2] == (q.r1, q.c1):
-            return round(cost, 9)
-        for r2, c2, move, km, heading in field.out[state[:2]]:
-            got = field.crossing(*state[:2], move, km, arrival)
-            if isinstance(got, str):
-                continue
-            hours, _, risk, _, confidence, *_ = got
-            reach = arrival + round(hours * MICROS_PER_HOUR)
-            if reach - q.depart_us > q.horizon_us:
-                continue
-            turn = 0.0 if course is None else min((heading - course) % 360, (course - heading) % 360)
-            total = cost + weights.time * hours + weights.risk * hours * risk + weights.distance * km / field.vessel.maximum_kmh + weights.turn * turn / 180 * 0.25 + weights.uncertainty * hours * (1 - confidence)
-            nxt = (r2, c2, (reach - q.depart_us) // q.bucket_us, move)
-            if nxt not in settled and (nxt not in open_ or total < open_[nxt][0] - 1e-12):
-                open_[nxt] = (total, reach, heading)
-    return None
+    at = [T0 + k * HOUR + (k % 2) * (HOUR // 3 if uneven else 0) for k in range(frames)]
+    return [
+        (k, i, j, at[k], 70 + 0.05 * i, 18 + 0.1 * j, None if r.random() < unknown else round(r.random(), 2), r.random() < hard, round(0.4 + 0.6 * r.random(), 2), round(0.35 + 0.6 * r.random(), 2))
+        for k in range(frames)
+        for i in range(shape[0])
+        for j in range(shape[1])
+    ]
+
+
+def named(rows, ddl):
+    return pd.DataFrame(rows, columns=[x.split()[0] for x in ddl.split(", ")])
+
+
+def field_of(spark, cube, n=POINTS):
+    links = grid.edges(grid.nodes(spark.createDataFrame(cube, CUBE))).toPandas()
+    return plain_search.Field(named(cube, CUBE), links, Vessel(), MIN_CONFIDENCE, MAX_GAP_US, n)
 
 
 def requests(seed, n=4, shape=(5, 5)):
@@ -59,49 +45,119 @@ def requests(seed, n=4, shape=(5, 5)):
     return [(f"{i}/{o}", o, r.randrange(shape[0]), r.randrange(2), r.randrange(shape[0]), shape[1] - 1 - r.randrange(2), T0 + r.randrange(3) * HOUR // 3, 4 * HOUR, HOUR) for i in range(n) for o in OBJECTIVES]
 
 
-@pytest.mark.parametrize("seed", range(8))
-def test_search_finds_the_least_cost(seed, spark):
-    field = field_of(spark, random_cube(seed))
-    wanted = pd.DataFrame(requests(seed), columns=[x.split()[0] for x in WANTED.split(", ")])
-    found = 0
-    for q in wanted.itertuples(index=False):
-        steps = search.plan_one(field, q, OBJECTIVES[q.objective])
-        want = least_cost(field, q, OBJECTIVES[q.objective])
-        status, cost = steps[-1][-1], steps[-1][12]
-        if isinstance(want, float):
-            found += 1
-            assert status == "ok" and abs(cost - want) < 1e-8
-            assert abs(sum(x[6] for x in steps) * MICROS_PER_HOUR - (steps[-1][4] - q.depart_us)) < len(steps)
-        else:
-            assert status == (want or status) and status != "ok"
-    assert found
+def asked(rows):
+    for q in named(rows, WANTED).astype({"horizon_us": object}).itertuples(index=False):
+        yield q._replace(horizon_us=None if q.horizon_us is None or q.horizon_us != q.horizon_us else int(q.horizon_us))
+
+
+ODD = [("same", "fastest", 1, 1, 1, 1, T0, None, HOUR), ("before", "fastest", 1, 1, 1, 3, T0 - 1, None, HOUR), ("no node", "fastest", 9, 9, 1, 1, T0, None, HOUR), ("no goal", "fastest", 1, 1, 9, 9, T0, None, HOUR)]
+
+
+def compared(spark, cube, wanted, objectives=OBJECTIVES, **options):
+    """Runs both searches; every status, step, figure and count must agree. Returns the statuses."""
+    n = options.pop("n", POINTS)
+    most = options.get("max_expansions", search.MAX_EXPANSIONS)
+    found = search.run(spark.createDataFrame(cube, CUBE), spark.createDataFrame(wanted, WANTED), objectives=objectives, n=n, **options)
+    steps = {k: v.sort_values("step") for k, v in search.steps(found).toPandas().groupby("search")}
+    counts = {r.search: r for r in search.counters(found).collect()}
+    field, seen = field_of(spark, cube, n), []
+    for q in asked(wanted):
+        got, count = steps[q.search], {}
+        seen.append(got.status.iloc[0])
+        if not (0 <= q.r0 < 5 and 0 <= q.c0 < 5):
+            assert seen[-1] == "error"
+            continue
+        want = plain_search.plan_one(field, q, objectives[q.objective], most, counters=count)
+        assert seen[-1] == want[0][-1], q
+        if seen[-1] == "ok":
+            told = named(want, search.RESULT)
+            assert got[["row", "col", "step"]].to_numpy().tolist() == told[["row", "col", "step"]].to_numpy().tolist()
+            assert (got.eta_us.to_numpy() - told.eta_us.to_numpy()).max() <= 3
+            for f in FIGURES:
+                a, b = got[f].astype(float).to_numpy(), told[f].astype(float).to_numpy()
+                assert ((abs(a - b) < 1e-6) | ((a != a) & (b != b))).all(), f
+        if seen[-1] in ("ok", "no coverage", "no route") and q.r1 < 9:
+            c = counts[q.search]
+            names = {"expanded": "expanded", "crossings": "generated", **{f"refused_{x}": x for x in search.REFUSED}}
+            assert {k: c[k] for k in names} == {k: count.get(v, 0) for k, v in names.items()}, q
+    return seen
+
+
+@pytest.mark.parametrize(("seed", "more"), [(0, {}), (1, {"unknown": 0.004}), (2, {"unknown": 0.004, "uneven": True}), (3, {"hard": 0.15})])
+def test_search_is_the_plain_search(spark, seed, more):
+    seen = compared(spark, random_cube(seed, **more), requests(seed) + ODD)
+    assert "ok" in seen and "error" in seen
+
+
+def test_other_policies_points_and_no_bound(spark):
+    free = {**OBJECTIVES, "fastest": Weights(0.0, 1.0, 0.0, 0.3, 0.0)}
+    cube = random_cube(4, (5, 5), 4, unknown=0.002)
+    assert "ok" in compared(spark, cube, requests(5, 2), free)
+    assert "ok" in compared(spark, cube, requests(6, 1), n=5)
+    plain = search.counters(search.run(spark.createDataFrame(cube, CUBE), spark.createDataFrame(requests(6, 1), WANTED), use_bound=False)).collect()
+    bound = {r.search: r for r in search.counters(search.run(spark.createDataFrame(cube, CUBE), spark.createDataFrame(requests(6, 1), WANTED))).collect()}
+    assert all(r.status == bound[r.search].status and r.expanded >= bound[r.search].expanded for r in plain if r.status == "ok")
+
+
+def test_limit_has_its_own_status(spark, monkeypatch):
+    cube = random_cube(2, hard=0.0)
+    monkeypatch.setattr(search, "LOOK", 2)
+    seen = compared(spark, cube, requests(2, 3), max_expansions=12)
+    assert "limit" in seen
+
+
+def test_one_bad_cell_behind_the_start_stops_no_search(spark):
+    """An unknown cell that the plain search never reaches is none of ours either."""
+    rows = [(k, i, j, T0 + k * HOUR, 70 + 0.05 * i, 18 + 0.1 * j, None if (i, j) == (2, 0) else 0.1, False, 0.9, 0.9) for k in range(8) for i in range(5) for j in range(9)]
+    assert compared(spark, rows, [("a", "fastest", 2, 3, 2, 8, T0, None, HOUR)]) == ["ok"]
+
+
+def test_progress_cancel_and_budget(spark):
+    cube, wanted = spark.createDataFrame(random_cube(2, hard=0.0), CUBE), spark.createDataFrame(requests(2, 1), WANTED)
+    told = []
+    whole = search.run(cube, wanted, progress=told.append)
+    assert [t["round"] for t in told] == list(range(1, whole.rounds + 1)) and told[-1]["open"] == 0 and sum(t["settled"] for t in told) == whole.labels.count()
+    turns = itertools.count()
+    few = search.run(cube, wanted, cancelled=lambda: next(turns) > 1)
+    assert few.rounds == 2 and {r.status for r in search.steps(few).collect()} == {"cancelled"}
+    begin = time.time()
+    late = search.run(cube, wanted, budget_s=0.01)
+    assert late.cancelled and {r.status for r in search.counters(late).collect()} == {"cancelled"} and time.time() - begin < 120
+    assert not spark.getTags() and threading.active_count() < 100
 
 
-def test_waves_find_what_kernels_find(spark):
-    cube = spark.createDataFrame(random_cube(3, (4, 4), 5), CUBE)
-    wanted = spark.createDataFrame([*requests(5, 2, (4, 4)), ("out", "fastest", 0, 0, 3, 3, T0 - HOUR, HOUR, HOUR), ("same", "fastest", 1, 2, 1, 2, T0, HOUR, HOUR)], WANTED)
-    names = ["search", "step", "row", "col", "eta_us", "status"]
-    figures = ["km", "hours", "knots", "heading", "risk", "max_risk", "confidence", "cost", "risk_hours", "frame_low", "frame_high"]
-    a = search.kernels(cube, wanted).toPandas().sort_values(names[:2]).reset_index(drop=True)
-    b = search.wave_steps(*search.waves(cube, wanted)).toPandas().sort_values(names[:2]).reset_index(drop=True)
-    assert a[names].equals(b[names].astype(a[names].dtypes))
-    assert ((a[figures].astype(float) - b[figures].astype(float)).abs().fillna(0) < 1e-6).all(axis=None)
-    assert (a[figures].isna() == b[figures].isna()).all(axis=None) and {"ok", "error"} <= set(a.status)
+def test_a_running_round_is_interrupted(spark, monkeypatch):
+    """The budget ends a round that would not end by itself."""
+    cube, wanted = spark.createDataFrame(random_cube(2, hard=0.0), CUBE), spark.createDataFrame(requests(2, 1), WANTED)
+    own = search._round_sql
 
+    def slow(*args):
+        return own(*args).replace("* FROM n)", "* FROM n WHERE coalesce(reflect('java.lang.Thread', 'sleep', 60000L), '') = '')", 1)
 
-def test_routes_takes_waves_for_a_large_cube(spark, monkeypatch):
-    monkeypatch.setattr(search, "CUBE_CELLS", 10)
-    monkeypatch.setattr(search, "kernels", None)
-    cube = spark.createDataFrame(random_cube(1, (3, 3), 4, hard=0.0), CUBE)
-    got = search.routes(cube, spark.createDataFrame([("a", "fastest", 0, 0, 2, 2, T0, 3 * HOUR, HOUR)], WANTED)).toPandas()
-    assert set(got.status) == {"ok"} and got.sort_values("step")[["row", "col"]].iloc[-1].tolist() == [2, 2]
+    monkeypatch.setattr(search, "_round_sql", slow)
+    begin = time.time()
+    late = search.run(cube, wanted, budget_s=25)
+    assert late.cancelled and late.rounds == 0 and time.time() - begin < 90
+
+
+def test_no_requests_and_no_cube(spark):
+    cube, wanted = spark.createDataFrame(random_cube(1, (3, 3), 3), CUBE), spark.createDataFrame(requests(1, 1, (3, 3)), WANTED)
+    assert search.routes(cube, wanted.limit(0)).count() == 0
+    assert {r.status for r in search.routes(cube.limit(0), wanted).collect()} == {"error"}
+
+
+def test_rounds_read_their_tiles_and_move_no_edges(spark):
+    """What a round scans of the edges is bounded by its tiles, and the edges aren't shuffled."""
+    cube = spark.createDataFrame(random_cube(1, (9, 20), 3, hard=0.0), CUBE)
+    found = search.run(cube, spark.createDataFrame([("a", "fastest", 4, 0, 4, 19, T0, HOUR, HOUR)], WANTED), cancelled=lambda c=itertools.count(): next(c) > 0)
+    assert found.rounds == 1 and found.links.select("tile").distinct().count() > 9
 
 
 def test_edges_cross_as_in_the_search(spark, sf_dir):
     cube = table_cube(spark, sf_dir).cache()
     times = [r.valid_us for r in cube.select("valid_us").distinct().orderBy("valid_us").collect()]
     links = grid.edges(grid.nodes(cube)).toPandas()
-    field = search.Field(cube.toPandas(), links, Vessel(), MIN_CONFIDENCE, MAX_GAP_US, POINTS)
+    field = plain_search.Field(cube.toPandas(), links, Vessel(), MIN_CONFIDENCE, MAX_GAP_US, POINTS)
     assert field.axis == times
     rows = grids.crossed(spark, sf_dir).select("r", "c", "dr", "dc", "km", "depart_us", "reject", "hours", "knots", "risk", "max_risk", "confidence", "frame_low", "frame_high").collect()
     allowed = 0
@@ -115,11 +171,21 @@ def test_edges_cross_as_in_the_search(spark, sf_dir):
     assert allowed > 100
 
 
-def test_search_can_be_cancelled_and_counts(spark):
-    field = field_of(spark, random_cube(2, hard=0.0))
-    q = next(pd.DataFrame([requests(2)[0]], columns=[x.split()[0] for x in WANTED.split(", ")]).itertuples(index=False))
-    seen = {}
-    assert search.plan_one(field, q, OBJECTIVES["fastest"], counters=seen)[-1][-1] == "ok"
-    assert seen["generated"] >= seen["pushed"] >= seen["expanded"] - 1 > 0
-    turns = itertools.count()
-    assert search.plan_one(field, q, OBJECTIVES["fastest"], cancelled=lambda: next(turns) > 2)[0][-1] == "cancelled"
+@pytest.mark.parametrize("n", [3, 5])
+def test_series_of_edges_are_those_of_their_points(spark, n):
+    rows = random_cube(7, (4, 3), 3, unknown=0.1)
+    rows = [r for r in rows if r[:3] != (1, 2, 1)]  # one frame lacks a cell
+    df = spark.createDataFrame(rows, CUBE)
+    links = grid.edges(grid.nodes(df))
+    field = plain_search.Field(named(rows, CUBE), links.toPandas(), Vessel(), MIN_CONFIDENCE, MAX_GAP_US, n)
+    lost = (1, 2, 1)
+    for e in edge_series(df, links, 3, n).collect():
+        for p in e.points:
+            y, x = e.r * (n - 1) + e.dr * p.i, e.c * (n - 1) + e.dc * p.i
+            risk, hard, conf, fac = field.point_series(y, x)
+            for k in range(3):
+                if abs(y / (n - 1) - lost[1]) < 1 and abs(x / (n - 1) - lost[2]) < 1 and k == lost[0]:
+                    assert p.risk[k] is None or p.hard[k]
+                    continue
+                assert (p.risk[k] is None and risk[k] != risk[k]) or abs(p.risk[k] - risk[k]) < 1e-9
+                assert p.hard[k] == bool(hard[k]) and abs(p.confidence[k] - conf[k]) < 1e-12 and abs(p.factor[k] - fac[k]) < 1e-12
