@@ -116,9 +116,12 @@ def _in_region(points: DataFrame, cells: DataFrame, within: Column) -> DataFrame
     def degrees(low: str, high: str, most: float) -> Column:
         return F.explode(F.sequence(F.floor(F.greatest(F.col(low), F.lit(-most))), F.floor(F.least(F.col(high), F.lit(most)))))
 
-    boxes = points.where("south <= north and west <= east and north >= -90 and south <= 90 and east >= -180 and west <= 180")
-    boxes = boxes.withColumn("__rg_y", degrees("south", "north", 90.0)).withColumn("__rg_x", degrees("west", "east", 180.0))
-    return c.join(boxes, ["__rg_y", "__rg_x"]).where(within).groupBy("point_id").agg(F.count("*").alias("n_cells"), F.count_if("open").alias("n_open"))
+    boxes = points.where("south <= north and north >= -90 and south <= 90").withColumn("__rg_y", degrees("south", "north", 90.0))
+    keys = ["__rg_y"]
+    if "west" in points.columns:  # else the region is a band
+        boxes = boxes.where("west <= east and east >= -180 and west <= 180").withColumn("__rg_x", degrees("west", "east", 180.0))
+        keys.append("__rg_x")
+    return c.join(boxes, keys).where(within).groupBy("point_id").agg(F.count("*").alias("n_cells"), F.count_if("open").alias("n_open"))
 
 
 def rooted_cells(open_cells: DataFrame, connectivity: int = 8) -> DataFrame:

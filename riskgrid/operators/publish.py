@@ -125,7 +125,7 @@ def published_table(spark: SparkSession, root: str) -> DataFrame:
     """The table published last under ``root``."""
     for _, pointer in sorted(_pointers(spark, root), reverse=True):
         named = spark.read.text(pointer).take(1)
-        if named:  # else its writer is still at work, or was lost
+        if named:
             return spark.read.parquet(named[0].value)
     raise LookupError(f"nothing is published under {root}")
 
@@ -134,4 +134,4 @@ def _pointers(spark: SparkSession, root: str) -> list[tuple[int, str]]:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/pointer-*")
     found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
     paths = [str(f.getPath().toString()) for f in found or []]
-    return [(int(p.rsplit("-", 1)[1]), p) for p in paths]
+    return [(int(p.rsplit("-", 1)[1]), p) for p in paths if not p.endswith(".new")]

@@ -68,18 +68,28 @@ def written(df: DataFrame, path: str) -> DataFrame:
 
 
 def create_file(spark: SparkSession, path: str, text: str) -> bool:
-    """Create a small file, whole, unless there is one; the file system lets one of several writers win. Returns whether this one did."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    """Create a small file, whole, unless there is one. Returns whether this call did.
+
+    The text goes to a file of another name, which is then renamed without
+    replacing anything: a writer that is lost on the way leaves nothing under
+    the path, and of several writers one wins. Where a store can't rename so,
+    its file context raises.
+    """
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where, own = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.new")
+    fs = where.getFileSystem(conf)
     if fs.exists(where):
         return False
+    out = fs.create(own, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), conf)
+    never = spark.sparkContext._gateway.new_array(getattr(jvm, "org.apache.hadoop.fs.Options$Rename"), 0)
     try:
-        out = fs.create(where, False)
-    except Exception as e:
+        context.rename(fs.makeQualified(own), fs.makeQualified(where), never)
+    except Exception:
+        fs.delete(own, False)
         if fs.exists(where):
             return False
-        raise e
-    out.write(bytearray(text.encode()))
-    out.close()
+        raise
     return True

@@ -13,6 +13,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from riskgrid.operators import hash_tree
 from riskgrid.operators.shared import create_file
 
 REVISION = ("as_of", "generated", "risk_id")
@@ -139,6 +140,36 @@ def commit_window(frames: DataFrame, path: str) -> str:
     return digest
 
 
+def commit_cells(cube: DataFrame, path: str) -> str:
+    """Freeze a window of cells with the digests of its frames beside it (see ``hash_tree``), and return the root."""
+    spark = cube.sparkSession
+    base = f"{path}/cells-{uuid.uuid4().hex}"
+    cube.write.parquet(f"{base}/cells")
+    frames = hash_tree.frame_digests(spark.read.parquet(f"{base}/cells"))
+    frames.write.parquet(f"{base}/frames")
+    root = hash_tree.window_digest(spark.read.parquet(f"{base}/frames")).first().digest
+    create_file(spark, f"{path}/manifest", f"{root} {base}")
+    found = _manifest(spark, path)
+    if found is None or found[0] != root:
+        raise ValueError("another window is committed under this key")
+    return root
+
+
+def committed_cells(spark: SparkSession, path: str, root: str, frames: list[int] | None = None) -> DataFrame:
+    """Cells of a committed window, of all frames or of those valid at given times; what is read must still have its digest."""
+    found = _manifest(spark, path)
+    if found is None or found[0] != root:
+        raise LookupError(f"no such committed window: {path}")
+    cells, tree = spark.read.parquet(f"{found[1]}/cells"), spark.read.parquet(f"{found[1]}/frames")
+    if hash_tree.window_digest(tree).first().digest != root:
+        raise ValueError(f"the committed window has changed: {path}")
+    if frames is not None:
+        cells, tree = cells.where(F.col("valid_us").isin(frames)), tree.where(F.col("valid_us").isin(frames))
+    if not hash_tree.changed_frames(tree, hash_tree.frame_digests(cells)).isEmpty():
+        raise ValueError(f"the committed window has changed: {path}")
+    return cells
+
+
 def _manifest(spark: SparkSession, path: str) -> tuple[str, str] | None:
     """Digest and folder of a committed window."""
     try:

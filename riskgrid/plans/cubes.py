@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskgrid.functions.motion import risk_level
-from riskgrid.operators import codec, validate
+from riskgrid.operators import codec, hash_tree, validate
 from riskgrid.operators.sample import sample
 from riskgrid.plans.registry import CUBE, T0, query
 from riskgrid.sources.cube import fixture_cubes, table, table_cube
@@ -99,6 +99,30 @@ def unknown_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_FIX = "coalesce(round({x} * 1e9)::BIGINT::VARCHAR, 'null')"
+_TREE = f"""leaf AS (SELECT frame, valid_us, "row", col, sha256(concat_ws('|', {', '.join(_FIX.format(x=c) for c in ('lat', 'lon', 'risk'))}, hard::VARCHAR, {', '.join(_FIX.format(x=c) for c in ('confidence', 'factor'))})) AS d FROM cube),
+line AS (SELECT frame, valid_us, "row", sha256(string_agg(d, '' ORDER BY col)) AS d FROM leaf GROUP BY 1, 2, 3),
+fr AS (SELECT frame, valid_us, sha256(string_agg(d, '' ORDER BY "row")) AS digest FROM line GROUP BY 1, 2)"""
+
+
+@query(f"WITH {CUBE}, {_TREE} SELECT * FROM fr UNION ALL SELECT -1, count(*), sha256(string_agg(valid_us || ':' || digest, ',' ORDER BY valid_us)) FROM fr")
+def window_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the cube's frames, and (frame -1, with their number) of the window."""
+    frames = hash_tree.frame_digests(table_cube(spark, sf_dir))
+    root = hash_tree.window_digest(frames).select(F.lit(-1).alias("frame"), F.col("frames").alias("valid_us"), "digest")
+    return frames.unionByName(root)
+
+
+@query(f"""WITH {CUBE}, b AS (SELECT frame, valid_us FROM cube GROUP BY 1, 2) SELECT valid_us, CASE WHEN frame = 1 THEN 'new' WHEN frame = 2 THEN 'gone' ELSE 'other' END AS change FROM b
+WHERE frame IN (1, 2) OR frame IN (SELECT frame FROM cube WHERE frame >= 3 AND "row" = 5 AND col % 4 = frame % 4 AND hard)""")
+def changed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames that differ after one is dropped, one is added and some hard cells of a row are opened."""
+    cube = table_cube(spark, sf_dir)
+    opened = (F.col("frame") >= 3) & (F.col("row") == 5) & (F.col("col") % 4 == F.col("frame") % 4)
+    after = cube.where("frame <> 2").withColumn("hard", F.col("hard") & ~opened)
+    return hash_tree.changed_frames(hash_tree.frame_digests(cube.where("frame <> 1")), hash_tree.frame_digests(after))
+
+
 @query()
 def frame_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical documents of the cube's frames with their content digests."""

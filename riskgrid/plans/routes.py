@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from riskgrid.functions.motion import KNOT_MS, OBJECTIVES, Vessel, Weights
 from riskgrid.operators import documents, grid, layers, routes, search
 from riskgrid.operators.shared import folder, written
-from riskgrid.plans.grids import SERIES
+from riskgrid.plans.grids import SERIES, sql_km
 from riskgrid.plans.registry import CUBE, EDGES, T0, query
 from riskgrid.sources.cube import COLS, LAT0, LAT_STEP, LON0, LON_STEP, ROWS, analytic_cube, table, table_cube
 
@@ -40,6 +40,24 @@ STILL = Weights(0.85, 1.3, 0.08, 0.0, 0.45)
 STILL_FRAMES = 9
 
 
+def still_cube(spark: SparkSession, sf_dir: str, frames: int) -> DataFrame:
+    """The first frame of the table cube, repeated every three hours."""
+    cube = table_cube(spark, sf_dir).where("frame = 0").drop("frame", "valid_us").withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(frames - 1))))
+    return cube.withColumn("valid_us", F.lit(T0) + F.col("frame") * F.lit(3 * HOUR))
+
+
+def still_requests(spark: SparkSession, sf_dir: str, bucket_us: int) -> DataFrame:
+    k = F.col("n_nationkey")
+    return table(spark, sf_dir, "nation").select(
+        F.concat(F.lit("search-"), k.cast("string")).alias("search"),
+        F.lit("still").alias("objective"),
+        *(F.pmod(k * m, F.lit(n)).cast("int").alias(c) for c, m, n in (("r0", 5, 12), ("c0", 1, 10), ("r1", 7, 12), ("c1", 3, 10))),
+        F.lit(T0).cast("long").alias("depart_us"),
+        F.lit(None).cast("long").alias("horizon_us"),
+        F.lit(bucket_us).cast("long").alias("bucket_us"),
+    )
+
+
 @query(f"""WITH RECURSIVE {CUBE}, {EDGES}, {SERIES},
 still AS (SELECT r, c, dr, dc, bool_or(hard) AS hard, min(confidence) AS confidence, min(factor) AS factor, sum(CASE WHEN i = 1 THEN risk ELSE risk / 2 END) / 2 AS risk FROM ser WHERE frame = 0 GROUP BY 1, 2, 3, 4),
 open AS (SELECT r, c, r2, c2, km / (least(15.7::DOUBLE, 10 * factor) * 1.852::DOUBLE) AS h, risk, confidence, km FROM still JOIN e USING (r, c, dr, dc) WHERE NOT hard AND confidence >= 0.1::DOUBLE AND factor >= 0.3::DOUBLE),
@@ -51,22 +69,39 @@ w AS (SELECT 0 AS step, id, r0 AS r, c0 AS c, 0.0::DOUBLE AS cost FROM s WHERE N
 SELECT 'search-' || s.id AS search, CASE WHEN s.hard THEN 'start blocked' WHEN w.cost IS NOT NULL THEN 'ok' WHEN EXISTS (SELECT 1 FROM cost x WHERE x.r = r0 AND x.c = c0) THEN 'no coverage' ELSE 'no route' END AS status, round(w.cost, 6) AS cost FROM s LEFT JOIN (SELECT * FROM w WHERE step = 60) w ON w.id = s.id AND w.r = r1 AND w.c = c1""".replace("s AS (SELECT (l_linenumber", "sums AS (SELECT (l_linenumber").replace("FROM s),", "FROM sums),").replace("AS factor FROM s)", "AS factor FROM sums)"))
 def route_static(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A voyage for every nation over the first frame of the table cube, standing still: status and cost."""
-    cube = table_cube(spark, sf_dir).where("frame = 0").drop("frame", "valid_us").withColumn("frame", F.explode(F.sequence(F.lit(0), F.lit(STILL_FRAMES - 1))))
-    cube = cube.withColumn("valid_us", F.lit(T0) + F.col("frame") * F.lit(3 * HOUR))
-    k = F.col("n_nationkey")
-    wanted = table(spark, sf_dir, "nation").select(
-        F.concat(F.lit("search-"), k.cast("string")).alias("search"),
-        F.lit("still").alias("objective"),
-        *(F.pmod(k * m, F.lit(n)).cast("int").alias(c) for c, m, n in (("r0", 5, 12), ("c0", 1, 10), ("r1", 7, 12), ("c1", 3, 10))),
-        F.lit(T0).cast("long").alias("depart_us"),
-        F.lit(None).cast("long").alias("horizon_us"),
-        F.lit(HOUR).cast("long").alias("bucket_us"),
-    )
+    cube, wanted = still_cube(spark, sf_dir, STILL_FRAMES), still_requests(spark, sf_dir, HOUR)
     steps = search.routes(cube, wanted, objectives={"still": STILL})
     out = steps.groupBy("search").agg(F.first("status").alias("status"), F.max("cost").alias("cost"))
     return out.select("search", "status", F.round("cost", 6).alias("cost"))
 
 
+#: Frames of a cube that stands still for longer than any route that visits no state twice.
+COUNTED_FRAMES = 60
+
+
+@query(f"""WITH RECURSIVE {CUBE}, {EDGES}, {SERIES},
+still AS (SELECT r, c, dr, dc, bool_or(hard) AS hard, min(confidence) AS confidence, min(factor) AS factor, sum(CASE WHEN i = 1 THEN risk ELSE risk / 2 END) / 2 AS risk FROM ser WHERE frame = 0 GROUP BY 1, 2, 3, 4),
+every AS (SELECT r, c, r2, c2, km, risk, confidence, CASE WHEN hard THEN 'hard' WHEN confidence < 0.1::DOUBLE THEN 'risk' WHEN factor < 0.3::DOUBLE THEN 'speed' END AS why, km / (least(15.7::DOUBLE, 10 * factor) * 1.852::DOUBLE) AS h FROM still JOIN e USING (r, c, dr, dc)),
+cost AS (SELECT r, c, r2, c2, {STILL.time}::DOUBLE * h + {STILL.risk}::DOUBLE * (h * risk) + {STILL.distance}::DOUBLE * (km / {Vessel().maximum_kmh}::DOUBLE) + {STILL.uncertainty}::DOUBLE * (h * (1 - confidence)) AS cost FROM every WHERE why IS NULL),
+q AS (SELECT n_nationkey AS id, (n_nationkey * 5 % 12)::INT AS r0, (n_nationkey % 10)::INT AS c0, (n_nationkey * 7 % 12)::INT AS r1, (n_nationkey * 3 % 10)::INT AS c1 FROM nation),
+s AS (SELECT q.*, hard FROM q JOIN cube ON frame = 0 AND "row" = r0 AND col = c0),
+w AS (SELECT 0 AS step, id, r0 AS r, c0 AS c, 0.0::DOUBLE AS cost FROM s WHERE NOT hard
+    UNION ALL SELECT step + 1, id, r, c, min(cost) FROM (SELECT step, id, r, c, cost FROM w UNION ALL SELECT step, id, r2, c2, w.cost + x.cost FROM w JOIN cost x USING (r, c)) WHERE step < 60 GROUP BY 1, 2, 3, 4),
+best AS (SELECT * FROM w WHERE step = 60), g AS (SELECT s.id, r1, c1, n.lat AS glat, n.lon AS glon, b.cost AS goal_cost FROM s JOIN n ON n."row" = r1 AND n.col = c1 LEFT JOIN best b ON b.id = s.id AND b.r = r1 AND b.c = c1),
+l AS (SELECT id, r0 AS r, c0 AS c, 0.0::DOUBLE AS cost FROM s WHERE NOT hard UNION ALL SELECT id, r2, c2, b.cost + x.cost FROM best b JOIN cost x USING (r, c)),
+m AS (SELECT l.id, l.r, l.c FROM l JOIN g ON g.id = l.id JOIN n ON n."row" = l.r AND n.col = l.c WHERE NOT (l.r = r1 AND l.c = c1) AND (goal_cost IS NULL
+    OR l.cost + {(STILL.time + STILL.distance) / Vessel().maximum_kmh}::DOUBLE * {sql_km('n.lat', 'n.lon', 'glat', 'glon')} * 0.999999999::DOUBLE < goal_cost)),
+k AS (SELECT m.id, m.r, m.c, count(*) AS labels FROM m GROUP BY 1, 2, 3),
+t AS (SELECT id, sum(labels)::BIGINT AS crossings, sum(labels) FILTER (why IS NULL)::BIGINT AS accepted, sum(labels) FILTER (why = 'hard')::BIGINT AS hard, sum(labels) FILTER (why = 'risk')::BIGINT AS risk, sum(labels) FILTER (why = 'speed')::BIGINT AS speed FROM k JOIN every x ON x.r = k.r AND x.c = k.c GROUP BY 1),
+x AS (SELECT id, sum(labels)::BIGINT AS expanded FROM k GROUP BY 1)
+SELECT 'search-' || s.id AS search, CASE WHEN s.hard THEN 'start blocked' WHEN goal_cost IS NOT NULL THEN 'ok' ELSE 'no route' END AS status, coalesce(expanded, 0) AS expanded, coalesce(crossings, 0) AS crossings, coalesce(accepted, 0) AS accepted,
+    coalesce(t.hard, 0) AS refused_hard, coalesce(t.risk, 0) AS refused_risk, coalesce(t.speed, 0) AS refused_speed, 0::BIGINT AS refused_coverage, 0::BIGINT AS refused_error FROM s JOIN g ON g.id = s.id LEFT JOIN t ON t.id = s.id LEFT JOIN x ON x.id = s.id""".replace("s AS (SELECT (l_linenumber", "sums AS (SELECT (l_linenumber").replace("FROM s),", "FROM sums),").replace("AS factor FROM s)", "AS factor FROM sums)"))
+def search_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The effort of a voyage for every nation over a cube that stands still, in one time bucket, so that a recursive query over nodes can count it."""
+    found = search.run(still_cube(spark, sf_dir, COUNTED_FRAMES), still_requests(spark, sf_dir, 10_000 * HOUR), objectives={"still": STILL})
+    return search.counters(found).select("search", "status", "expanded", "crossings", "accepted", *(f"refused_{x}" for x in search.REFUSED))
+
+
 @query()
 def route_3obj(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Status, cost, distance and hours of every search."""
