@@ -5,8 +5,11 @@ the arrival that goes with it. A crossing depends on the exact arrival, so a
 label may be expanded only when no cheaper one can still reach its state.
 
 All searches share every round. A round takes from the table of open labels
-those that are final: cost below the least open cost of their search plus the
-least that the crossing into their state can cost. They meet the edges' series
+those that are final. A state's move names the node it comes from, so only a
+label of that node can still better it: one that is open there, or one that a
+crossing into that node is still to make, from the least open cost of the
+search on. Both bounds take the least that a crossing can cost by the edge's
+own risk, confidence and speed over all frames. Final labels meet the edges' series
 in one broadcast join (a shuffle if they are many), go to their search's task in
 one exchange, and there the least label of each state is kept, and what is
 final next is found. A label whose cost plus bound (great circle to the goal
@@ -76,7 +79,7 @@ _PARENT = "struct<row:int,col:int,bucket:bigint,dr:int,dc:int>"
 #: What was asked, in every open label: so a round joins nothing but edges.
 ASKED = ("begin_us", "horizon_us", "bucket_us", "r1", "c1", "goal_lat", "goal_lon", "per_km", *(f"w_{x}" for x in WEIGHTS))
 _ASKED = "struct<begin_us:bigint,horizon_us:bigint,bucket_us:bigint,r1:int,c1:int,goal_lat:double,goal_lon:double,per_km:double," + ",".join(f"w_{x}:double" for x in WEIGHTS) + ">"
-_LABEL = f"struct<closed:boolean,at:int,goal:boolean,cost:double,arrive_us:bigint,bound:double,step:double,parent:{_PARENT},crossed:{_CROSSED},asked:{_ASKED}>"
+_LABEL = f"struct<closed:boolean,at:int,goal:boolean,cost:double,arrive_us:bigint,bound:double,step:double,far:double,parent:{_PARENT},crossed:{_CROSSED},asked:{_ASKED}>"
 #: ``k`` is the round that wrote a row, ``now`` marks what is final in the next one.
 FRONTIER = f"search string, row int, col int, bucket bigint, dr int, dc int, k int, now boolean, v {_LABEL}, {', '.join(f'n_{x} bigint' for x in REFUSED)}"
 
@@ -130,7 +133,7 @@ def _first(wanted: DataFrame, starts: DataFrame, cube: DataFrame) -> DataFrame:
     goal = (F.col("r0") == F.col("r1")) & (F.col("c0") == F.col("c1"))
     bound = F.col("per_km") * haversine_km(F.col("lat"), F.col("lon"), F.col("goal_lat"), F.col("goal_lon"))
     asked = F.struct(F.col("depart_us").alias("begin_us"), *ASKED[1:])
-    label = F.struct(F.lit(False).alias("closed"), F.lit(0).alias("at"), goal.alias("goal"), F.lit(0.0).alias("cost"), F.col("depart_us").alias("arrive_us"), bound.alias("bound"), F.lit(0.0).alias("step"), F.lit(None).cast(_PARENT).alias("parent"), F.struct(*(v.alias(k) for k, v in crossed.items())).alias("crossed"), asked.alias("asked"))
+    label = F.struct(F.lit(False).alias("closed"), F.lit(0).alias("at"), goal.alias("goal"), F.lit(0.0).alias("cost"), F.col("depart_us").alias("arrive_us"), bound.alias("bound"), F.lit(0.0).alias("step"), F.lit(0.0).alias("far"), F.lit(None).cast(_PARENT).alias("parent"), F.struct(*(v.alias(k) for k, v in crossed.items())).alias("crossed"), asked.alias("asked"))
     state = {"row": F.col("r0"), "col": F.col("c0"), "bucket": F.lit(0).cast("long"), "dr": F.lit(9), "dc": F.lit(9), "k": F.lit(0), "now": F.lit(True)}
     return begin.select("search", *(v.alias(k) for k, v in state.items()), label.cast(_LABEL).alias("v"), *(F.lit(0).cast("long").alias(f"n_{x}") for x in REFUSED))
 
@@ -142,6 +145,10 @@ def _round_sql(work: str, links: str, times: list[int], vessel: Vessel, min_conf
     def struct(of: dict[str, str]) -> str:
         return f"named_struct({', '.join(f'{chr(39)}{k}{chr(39)}, {v}' for k, v in of.items())})"
 
+    def least(km: str, factor: str, risk: str, confidence: str) -> str:
+        hours = f"{km} / (least({double(vessel.maximum)}, {double(vessel.economic)} * least(1D, {factor})) * {double(KNOT_KMH)})"
+        return f"({hours} * (w_time + w_risk * {risk} + w_uncertainty * greatest(0D, 1D - {confidence})) + w_distance * {km} / {double(vessel.maximum_kmh)}) * 0.999999999D"
+
     new = {
         "closed": "false",
         "at": "CAST(0 AS INT)",
@@ -150,7 +157,9 @@ def _round_sql(work: str, links: str, times: list[int], vessel: Vessel, min_conf
         "arrive_us": "arrive_us",
         # a part in 1e9 less, so that rounding can't lift it over the true cost
         "bound": "per_km * " + HAVERSINE_SQL.format(a="lat2", x="lon2", b="goal_lat", y="goal_lon") + " * 0.999999999D",
-        "step": f"(least_h * (w_time + w_risk * low_risk + w_uncertainty * greatest(0D, 1D - best_confidence)) + w_distance * km / {double(vessel.maximum_kmh)}) * 0.999999999D",
+        # least cost of the crossing into the state, and of it and any one into the node before
+        "step": least("km", "best_factor", "low_risk", "best_confidence"),
+        "far": f"{least('km', 'best_factor', 'low_risk', 'best_confidence')} + {least('in_km', 'in_factor', 'in_risk', 'in_confidence')}",
         "parent": struct({"row": "r", "col": "c", "bucket": "b_0", "dr": "dr_0", "dc": "dc_0"}),
         "crossed": struct({c: c for c in CROSSED}),
         "asked": struct({c: c for c in ASKED}),
@@ -158,14 +167,14 @@ def _round_sql(work: str, links: str, times: list[int], vessel: Vessel, min_conf
     kept = {
         "closed": "v.closed OR now",
         "at": "CAST(IF(now, k + 1, v.at) AS INT)",
-        **{c: f"v.{c}" for c in ("goal", "cost", "arrive_us", "bound", "step")},
+        **{c: f"v.{c}" for c in ("goal", "cost", "arrive_us", "bound", "step", "far")},
         # a state settled before is only named
         "parent": "IF(v.closed, NULL, v.parent)",
         "crossed": "IF(v.closed, NULL, v.crossed)",
         "asked": "IF(v.closed OR now, NULL, v.asked)",
     }
     frame, _, _ = frame_sql(times)
-    leaving = f"""(SELECT {{hint}} b.*, e.r, e.c, e.dr, e.dc, e.r2, e.c2, e.lat2, e.lon2, e.km, e.heading, e.points, e.low_risk, e.best_confidence, km / (least({double(vessel.maximum)}, {double(vessel.economic)} * least(1D, best_factor)) * {double(KNOT_KMH)}) AS least_h
+    leaving = f"""(SELECT {{hint}} b.*, e.r, e.c, e.dr, e.dc, e.r2, e.c2, e.lat2, e.lon2, e.km, e.heading, e.points, e.low_risk, e.best_factor, e.best_confidence, e.in_km, e.in_factor, e.in_risk, e.in_confidence
     FROM b JOIN {links} e ON b.row = e.r AND b.col = e.c AND b.chunk = e.chunk WHERE {{where}})"""
     crossing = crossing_sql(leaving, times, vessel, weights, min_confidence, None if max_risk is None else double(max_risk), max_gap_us, f"chunk * {CHUNK}")
     to = {"row": ("r2", "r"), "col": ("c2", "c"), "bucket": ("(arrive_us - begin_us) div bucket_us", "b_0"), "dr": ("dr", "dr_0"), "dc": ("dc", "dc_0")}
@@ -178,8 +187,10 @@ n AS (SELECT search, {', '.join(f'IF(why IS NULL, {a}, {b}) AS {k}' for k, (a, b
     UNION ALL SELECT {own}, k, {struct(kept)} AS v, {', '.join(f'0L AS n_{x}' for x in REFUSED)} FROM {work}),
 d AS (SELECT /*+ REPARTITION(search) */ * FROM n),
 a AS (SELECT {own}, max(k) + 1 AS k, min_by(v, IF(v IS NULL, NULL, struct(NOT v.closed, v.cost, v.arrive_us, v.parent))) AS v, {refused} FROM d GROUP BY {own}),
-s AS (SELECT *, min(IF(v.closed, NULL, v.cost)) OVER w AS m, min(IF(v.goal, v.cost, NULL)) OVER w AS u, min(IF(v.closed, NULL, bucket)) OVER w AS first_bucket FROM a WINDOW w AS (PARTITION BY search))
-SELECT {own}, k, NOT v.closed AND (v.cost <= m OR v.cost < m + v.step) AS now, v, {', '.join(f'n_{x}' for x in REFUSED)} FROM s
+e AS (SELECT a.*, told, r, c FROM a LATERAL VIEW inline(IF(v.closed, array(named_struct('told', false, 'r', row, 'c', col)), array(named_struct('told', true, 'r', row, 'c', col), named_struct('told', false, 'r', row - dr, 'c', col - dc)))) x AS told, r, c),
+f AS (SELECT *, min(IF(told, v.cost, NULL)) OVER (PARTITION BY search, r, c) AS before FROM e),
+s AS (SELECT *, min(IF(v.closed, NULL, v.cost)) OVER w AS m, min(IF(v.goal, v.cost, NULL)) OVER w AS u, min(IF(v.closed, NULL, bucket)) OVER w AS first_bucket FROM f WHERE NOT told WINDOW w AS (PARTITION BY search))
+SELECT {own}, k, NOT v.closed AND (v.cost <= m OR v.cost < least(before + v.step, m + v.far)) AS now, v, {', '.join(f'n_{x}' for x in REFUSED)} FROM s
 WHERE IF(v.closed, v.at = k OR v.goal OR bucket >= first_bucket, v.goal OR u IS NULL OR v.cost + v.bound < u)"""
 
 
@@ -228,11 +239,13 @@ def run(
     def tile(row: str, col: str) -> str:
         return f"CAST({row} div {high} * {TILES[1]} + {col} div {wide} AS INT)"
 
-    series = edge_series(cube, edges(nodes(cube), connectivity), len(times), n)
+    series = written(edge_series(cube, edges(nodes(cube), connectivity), len(times), n), f"{base}/series")
+    into = series.groupBy(F.col("r2").alias("r"), F.col("c2").alias("c")).agg(F.min("km").alias("in_km"), F.max("best_factor").alias("in_factor"), F.min("low_risk").alias("in_risk"), F.max("best_confidence").alias("in_confidence"))
+    series = series.join(into, ["r", "c"])
     far = series.agg(F.max("km")).first()[0] or 0.0
     slowest = max(vessel.steerage, vessel.economic * vessel.least_factor) * KNOT_KMH
     series = in_chunks(series, len(times), CHUNK, frames_ahead(times, max(far / slowest, far / vessel.calm_kmh)))
-    links = series.select("r", "c", "dr", "dc", "r2", "c2", "lat2", "lon2", "km", "heading", "low_risk", "best_factor", "best_confidence", "points", "chunk", F.expr(tile("r", "c")).alias("tile"))
+    links = series.select("r", "c", "dr", "dc", "r2", "c2", "lat2", "lon2", "km", "heading", "low_risk", "best_factor", "best_confidence", "in_km", "in_factor", "in_risk", "in_confidence", "points", "chunk", F.expr(tile("r", "c")).alias("tile"))
     links.repartition("tile", "chunk").write.partitionBy("tile", "chunk").parquet(f"{base}/links")
     links = spark.read.schema(links.select(*(c for c in links.columns if c not in ("tile", "chunk")), "tile", "chunk").schema).parquet(f"{base}/links")
     names = {x: f"riskgrid_{x}_{uuid.uuid4().hex}" for x in ("work", "links")}
