@@ -1,12 +1,14 @@
 """Contracts, committed windows, documents, settings, times: each on a small table with good and bad rows."""
 
+import hashlib
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from riskgrid.functions import motion, values
-from riskgrid.operators import codec, replan, validate, windows
+from riskgrid.operators import codec, hash_tree, replan, shared, validate, windows
 from riskgrid.operators.shared import folder
 from riskgrid.sources import config, frames
 from riskgrid.sources.cube import HOUR, T0
@@ -145,3 +147,61 @@ def test_settings(spark, tmp_path):
     put("vessel_models", "slow", SHIP.replace("= 15.7", "= 5.0"))
     with pytest.raises(config.ConfigError, match="steerage <= economic"):
         config.load(spark, root, "slow")
+
+
+def cells(n_frames=3, changed=None):
+    return [(k, i, j, k * 10, 70.0 + i, 18.0 + j, None if (k, i, j) == (0, 1, 1) else 0.1 * k + 0.01 * i, (k, i, j) == changed, 0.5, None if i == 0 else 0.9) for k in range(n_frames) for i in range(2) for j in range(3)]
+
+
+CELLS = "frame int, row int, col int, valid_us bigint, lat double, lon double, risk double, hard boolean, confidence double, factor double"
+
+
+def test_hash_tree_by_hand(spark):
+    def sha(text):
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    def fixed(x):
+        return "null" if x is None else str(round(x * 1e9))
+
+    frames = {}
+    for k, i, j, us, lat, lon, risk, hard, conf, factor in cells():
+        frames.setdefault((k, us), {}).setdefault(i, {})[j] = sha("|".join([fixed(lat), fixed(lon), fixed(risk), str(hard).lower(), fixed(conf), fixed(1.0 if factor is None else factor)]))
+    want = {us: sha("".join(sha("".join(v for _, v in sorted(line.items()))) for _, line in sorted(lines.items()))) for (_, us), lines in frames.items()}
+    got = hash_tree.frame_digests(spark.createDataFrame(cells(), CELLS).repartition(3))
+    assert {r.valid_us: r.digest for r in got.collect()} == want
+    assert hash_tree.window_digest(got).first().digest == sha(",".join(f"{us}:{d}" for us, d in sorted(want.items())))
+    assert hash_tree.window_digest(got.limit(0)).first().digest == sha("")
+
+
+def test_committed_cells_are_checked_frame_by_frame(spark, tmp_path):
+    cube = spark.createDataFrame(cells(), CELLS)
+    path = f"file://{tmp_path}/window"
+    root = windows.commit_cells(cube, path)
+    assert windows.commit_cells(cube.repartition(2), path) == root
+    other = spark.createDataFrame(cells(changed=(1, 0, 2)), CELLS)
+    with pytest.raises(ValueError):
+        windows.commit_cells(other, path)
+    assert windows.committed_cells(spark, path, root).count() == 18
+    changed = hash_tree.changed_frames(hash_tree.frame_digests(cube), hash_tree.frame_digests(other)).collect()
+    assert [(r.valid_us, r.change) for r in changed] == [(10, "other")]
+    # frame 1 is changed behind the manifest: who reads it is told, who reads the others isn't stopped
+    base = open(f"{tmp_path}/window/manifest").read().split(" ", 1)[1]
+    other.write.mode("overwrite").parquet(f"{base}/cells")
+    assert windows.committed_cells(spark, path, root, [0, 20]).count() == 12
+    for some in ([10], None):
+        with pytest.raises(ValueError):
+            windows.committed_cells(spark, path, root, some)
+    with pytest.raises(LookupError):
+        windows.committed_cells(spark, path, "0" * 64)
+
+
+def test_a_lost_writer_leaves_the_key_free(spark, tmp_path):
+    """A writer that dies before its rename leaves a file of another name only."""
+    path = f"{tmp_path}/key"
+    os.makedirs(path)
+    open(f"{path}/manifest.{'0' * 32}.new", "w").close()
+    rows = spark.createDataFrame([(1, "a")], "valid bigint, risk_id string")
+    digest = windows.commit_window(rows, f"file://{path}")
+    assert windows.committed_window(spark, f"file://{path}", digest).count() == 1
+    assert not shared.create_file(spark, f"file://{path}/manifest", "again") and open(f"{path}/manifest").read().startswith(digest)
+    assert [f for f in os.listdir(path) if f.endswith(".new")] == [f"manifest.{'0' * 32}.new"]
