@@ -26,6 +26,7 @@ not read.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -112,6 +113,29 @@ class Template:
         return (len(self.words) - row.bit_count()) / len(self.words)
 
 
+class Spans:
+    """Spans of words that don't overlap, in order; looked up by bisection."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        self.covers: list[float] = []
+
+    def holds(self, i: int) -> bool:
+        k = bisect_right(self.starts, i)
+        return k > 0 and i < self.ends[k - 1]
+
+    def meets(self, begin: int, end: int) -> bool:
+        k = bisect_right(self.ends, begin)
+        return k < len(self.starts) and self.starts[k] < end
+
+    def add(self, begin: int, end: int, cover: float) -> None:
+        k = bisect_right(self.starts, begin)
+        self.starts.insert(k, begin)
+        self.ends.insert(k, end)
+        self.covers.insert(k, cover)
+
+
 class Index:
     def __init__(self, templates=TEMPLATES, anchors: int = ANCHORS):
         texts = [tuple(words_of(t)) for _, t, _ in templates]
@@ -137,22 +161,23 @@ class Index:
             if w in self.postings:
                 places[w].append(i)
         votes: dict[int, list[tuple[int, int]]] = defaultdict(list)  # by template: start, anchor
-        found: dict[int, list[tuple[int, int, float]]] = defaultdict(list)
+        found: dict[int, Spans] = defaultdict(Spans)
         anchors: dict[int, set[int]] = defaultdict(set)
         for w in sorted(places, key=lambda w: (-self.idf[w], w)):
             touched = set()
             for k, anchor, place in self.postings[w]:
                 known = found[k]
-                votes[k] += [(i - place, anchor) for i in places[w] if not any(s <= i < e for s, e, _ in known)]
+                votes[k] += [(i - place, anchor) for i in places[w] if not known.holds(i)]
                 anchors[k].add(anchor)
                 touched.add(k)
             for k in touched:
                 if len(anchors[k]) >= self.templates[k].needed:
-                    found[k] += self._verified(k, words, votes[k], found[k])
-        return sorted((self.templates[k].label, *x) for k, xs in found.items() for x in xs)
+                    self._verify(k, words, votes[k], found[k])
+        return sorted((self.templates[k].label, *x) for k, xs in found.items() for x in zip(xs.starts, xs.ends, xs.covers, strict=True))
 
-    def _verified(self, k: int, words: list[bytes], votes: list[tuple[int, int]], known: list[tuple[int, int, float]]) -> list[tuple[int, int, float]]:
-        t, out = self.templates[k], []
+    def _verify(self, k: int, words: list[bytes], votes: list[tuple[int, int]], known: Spans) -> None:
+        """Add to ``known`` the notices that the votes lead to."""
+        t = self.templates[k]
         votes.sort()
         low = 0
         for high, (start, _) in enumerate(votes):
@@ -162,14 +187,13 @@ class Index:
             if len({a for _, a in near}) < t.needed:
                 continue
             begin, end = max(near[0][0], 0), min(start + len(t.words) + GAP, len(words))
-            if any(s < end and begin < e for s, e, _ in known + out):
+            if known.meets(begin, end):
                 continue
             shown = words[begin:end]
             cover = t.cover(shown)
             if cover >= MIN_COVER and all(_stands(p, shown) for p in t.phrases):
                 own = [i for i, w in enumerate(shown) if w in t.words]
-                out.append((begin + own[0], begin + own[-1] + 1, cover))
-        return out
+                known.add(begin + own[0], begin + own[-1] + 1, cover)
 
     def scan(self, text: str | None) -> dict:
         words = words_of(text)
