@@ -21,12 +21,12 @@ def test_spans_by_brute_force():
 
 def test_every_copy_of_a_notice_is_found_in_linear_time():
     index = licenses.Index()
-    notice = next(t for label, t, _ in licenses.TEMPLATES if label == "mit")
+    notice = next(t for label, t, _ in licenses.TEMPLATES if label == "zlib")
     n = len(licenses.words_of(notice))
     took = []
     for copies in (1000, 4000):
         begin = time.process_time()
         spans = index.scan(" ".join([notice, "pad pad pad"] * copies))["spans"]
         took.append(time.process_time() - begin)
-        assert [(s["start"], s["end"]) for s in spans if s["label"] == "mit"] == [(k * (n + 3), k * (n + 3) + n) for k in range(copies)]
+        assert [(s["start"], s["end"]) for s in spans if s["label"] == "zlib"] == [(k * (n + 3), k * (n + 3) + n) for k in range(copies)]
     assert took[1] < 8 * took[0] + 0.5
