@@ -26,7 +26,7 @@ def test_every_copy_of_a_notice_is_found_in_linear_time():
     took = []
     for copies in (1000, 4000):
         begin = time.process_time()
-        spans = index.scan(" ".join([notice, "pad pad pad"] * copies))["spans"]
+        spans = index.scan(" ".join([notice, "pad " * 40] * copies))["spans"]
         took.append(time.process_time() - begin)
-        assert [(s["start"], s["end"]) for s in spans if s["label"] == "zlib"] == [(k * (n + 3), k * (n + 3) + n) for k in range(copies)]
+        assert [(s["start"], s["end"]) for s in spans if s["label"] == "zlib"] == [(k * (n + 40), k * (n + 40) + n) for k in range(copies)]
     assert took[1] < 8 * took[0] + 0.5
