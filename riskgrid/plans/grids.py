@@ -12,7 +12,7 @@ from riskgrid.operators import endpoints, grid
 from riskgrid.operators.edges import cross, edge_series, reject_counts as rejects
 from riskgrid.operators.sample import axis_of
 from riskgrid.plans.cubes import event_points
-from riskgrid.plans.registry import CUBE, EDGES, T0, query
+from riskgrid.plans.registry import CUBE, EDGES, ORACLE_SQL, T0, query
 from riskgrid.sources.cube import FRAMES, table, table_cube
 
 
@@ -174,6 +174,24 @@ def endpoint_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return endpoints.map_endpoints(open_cells(spark, sf_dir), voyages(spark, sf_dir), MAX_KM)
 
 
+def _audit_sql(role: str, p: str) -> str:
+    return f"""round({p}lon, 6) AS {role}_lon, round({p}lat, 6) AS {role}_lat, round(18.0::DOUBLE + 0.1::DOUBLE * {role}_col, 6) AS {role}_node_lon, round(70.0::DOUBLE + 0.05::DOUBLE * {role}_row, 6) AS {role}_node_lat,
+    {role}_row AS {role}_node_row, {role}_col AS {role}_node_col, round({role}_km, 6) AS {role}_km, {role}_km > 1e-9 AS {role}_snapped"""
+
+
+@query(f"""WITH {VOYAGES} SELECT search, {_audit_sql("start", "s")}, {_audit_sql("goal", "g")}, component_size::BIGINT AS component_size FROM ({ORACLE_SQL["endpoint_map"]}) m JOIN voyages v ON v.id::VARCHAR = m.search WHERE status = 'ok'""")
+def endpoint_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every mapped voyage asked for and got, read back from its audit document."""
+    cells, asked = open_cells(spark, sf_dir), voyages(spark, sf_dir)
+    made = endpoints.audit(endpoints.map_endpoints(cells, asked, MAX_KM), asked, cells, MAX_KM)
+    end = "struct<requested:struct<longitude:double,latitude:double>,resolved:struct<longitude:double,latitude:double>,node:struct<row:int,column:int>,adjustment_km:double,max_adjustment_km:double,snapped:boolean>"
+    d = made.select("search", F.from_json("document", f"start {end}, goal {end}, connected_component_size bigint", {"mode": "FAILFAST"}).alias("d"))
+    shown = {"lon": "requested.longitude", "lat": "requested.latitude", "node_lon": "resolved.longitude", "node_lat": "resolved.latitude", "km": "adjustment_km"}
+    out = [F.round(f"d.{role}.{path}", 6).alias(f"{role}_{name}") for role in ("start", "goal") for name, path in shown.items()]
+    out += [F.col(f"d.{role}.{path}").alias(f"{role}_{name}") for role in ("start", "goal") for name, path in (("node_row", "node.row"), ("node_col", "node.column"), ("snapped", "snapped"))]
+    return d.select("search", *out, F.col("d.connected_component_size").alias("component_size"))
+
+
 @query("""WITH f AS (SELECT l_orderkey, l_linenumber, (l_partkey % 111) / 100.0::DOUBLE AS f FROM lineitem)
 SELECT l_orderkey, l_linenumber, CASE WHEN f <= 0 OR f > 1 THEN 'invalid' WHEN f < 0.2::DOUBLE THEN 'factor' WHEN f * 10 < 3 THEN 'steerage' ELSE 'ok' END AS status,
 CASE WHEN f >= 0.2::DOUBLE AND f <= 1 AND f * 10 >= 3 THEN round(least(15.7, f * 10), 6) END AS knots FROM f""")
