@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskgrid.functions.motion import FULL_DEVIATION_HOURS, FULL_TURN_HOURS, KNOT_KMH, MICROS_PER_HOUR, Vessel
@@ -59,21 +59,37 @@ def point_series(cube: DataFrame, n_frames: int, n: int = POINTS) -> DataFrame:
     return rows.select("y", "x", F.struct(F.col("v.risk").alias("risk"), F.transform("v.hard", lambda h: F.coalesce(h, F.lit(False))).alias("hard"), F.col("v.confidence").alias("confidence"), F.col("v.factor").alias("factor")).alias("series"))
 
 
-def edge_series(cube: DataFrame, edges: DataFrame, n_frames: int, n: int = POINTS) -> DataFrame:
+def sample_counts(km: Column, n: int, max_spacing_km: float | None) -> Column:
+    """How many points a crossing of so many km is sampled at: ``n``, or more where they would lie farther apart."""
+    if n < 2 or (max_spacing_km is not None and max_spacing_km <= 0):
+        raise ValueError("an edge has two points at least, and a positive spacing")
+    return F.lit(n) if max_spacing_km is None else F.greatest(F.lit(n), F.ceil(km / max_spacing_km).cast("int") + 1)
+
+
+def edge_series(cube: DataFrame, edges: DataFrame, n_frames: int, n: int = POINTS, max_spacing_km: float | None = None) -> DataFrame:
     """Each edge with its ``points`` (i, risk, hard, confidence, factor: arrays over all frames), and what bounds a crossing at any time: low_risk, best_factor, best_confidence.
 
     One equi-join of the edges' points with the points of the grid, and one
-    aggregation by edge.
+    aggregation by edge. With a spacing, edges have as many points as their
+    length asks for; the grid's points are made once for each number of points
+    (as many as the longest edge over the spacing).
     """
-    last = n - 1
-    at = F.explode(F.sequence(F.lit(0), F.lit(last))).alias("i")
-    dealt = edges.select("r", "c", "dr", "dc", at).withColumns({"y": F.col("r") * last + F.col("dr") * F.col("i"), "x": F.col("c") * last + F.col("dc") * F.col("i")})
-    met = dealt.join(point_series(cube, n_frames, n), ["y", "x"])
+    counted = edges.withColumn("n_points", sample_counts(F.col("km"), n, max_spacing_km))
+    every = [n] if max_spacing_km is None else sorted(r.n_points for r in counted.select("n_points").distinct().collect())
+    points = None
+    for k in every:
+        own = point_series(cube, n_frames, k).withColumn("n_points", F.lit(k))
+        points = own if points is None else points.unionByName(own)
+    if points is None:  # no edges
+        points = point_series(cube, n_frames, n).withColumn("n_points", F.lit(n))
+    last = F.col("n_points") - 1
+    dealt = counted.select("r", "c", "dr", "dc", "n_points", F.explode(F.sequence(F.lit(0), last)).alias("i")).withColumns({"y": F.col("r") * last + F.col("dr") * F.col("i"), "x": F.col("c") * last + F.col("dc") * F.col("i")})
+    met = dealt.join(points, ["n_points", "y", "x"])
     by_edge = met.groupBy("r", "c", "dr", "dc").agg(F.sort_array(F.collect_list(F.struct("i", "series.risk", "series.hard", "series.confidence", "series.factor"))).alias("points"))
     lowest = F.transform("points", lambda p: F.coalesce(F.array_min(p["risk"]), F.lit(0.0)))
     inner = F.aggregate(lowest, F.lit(0.0), lambda a, v: a + v)
     bounds = {
-        "low_risk": F.greatest(F.lit(0.0), (inner - 0.5 * F.get(lowest, F.lit(0)) - 0.5 * F.get(lowest, F.lit(last))) / last),
+        "low_risk": F.greatest(F.lit(0.0), (inner - 0.5 * F.get(lowest, F.lit(0)) - 0.5 * F.element_at(lowest, -1)) / (F.size("points") - 1)),
         "best_factor": F.array_min(F.transform("points", lambda p: F.coalesce(F.array_max(p["factor"]), F.lit(1.0)))),
         "best_confidence": F.array_min(F.transform("points", lambda p: F.coalesce(F.array_max(p["confidence"]), F.lit(1.0)))),
     }

@@ -209,6 +209,7 @@ def run(
     max_gap_us: int = MAX_GAP_US,
     connectivity: int = 8,
     n: int = POINTS,
+    max_spacing_km: float | None = None,
     max_risk: float | None = None,
     max_expansions: int = MAX_EXPANSIONS,
     use_bound: bool = True,
@@ -239,7 +240,7 @@ def run(
     def tile(row: str, col: str) -> str:
         return f"CAST({row} div {high} * {TILES[1]} + {col} div {wide} AS INT)"
 
-    series = written(edge_series(cube, edges(nodes(cube), connectivity), len(times), n), f"{base}/series")
+    series = written(edge_series(cube, edges(nodes(cube), connectivity), len(times), n, max_spacing_km), f"{base}/series")
     into = series.groupBy(F.col("r2").alias("r"), F.col("c2").alias("c")).agg(F.min("km").alias("in_km"), F.max("best_factor").alias("in_factor"), F.min("low_risk").alias("in_risk"), F.max("best_confidence").alias("in_confidence"))
     series = series.join(into, ["r", "c"])
     far = series.agg(F.max("km")).first()[0] or 0.0

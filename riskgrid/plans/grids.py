@@ -270,3 +270,22 @@ def edge_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{_CROSSED_SQL} SELECT depart_us, coalesce(x, 'none') AS reject, count(*) AS n FROM out GROUP BY 1, 2")
 def reject_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rejects(crossed(spark, sf_dir), ["depart_us"])
+
+
+#: Farthest that samples may lie apart, in km: edges of the table grid get 5, 7 and 8 or 9 points for it.
+SPACING_KM = 0.95
+
+
+@query(f"""WITH {CUBE}, {EDGES}, sp AS (SELECT e.*, greatest(3, ceil(km / {SPACING_KM}::DOUBLE)::INT + 1) AS n FROM e), pt AS (SELECT *, unnest(range(n))::INT AS i FROM sp),
+pw AS (SELECT pt.*, a, b, CASE WHEN dr = 0 THEN 1.0::DOUBLE - a WHEN a = 1 THEN i / (n - 1)::DOUBLE ELSE 1 - i / (n - 1)::DOUBLE END * CASE WHEN dc = 0 THEN 1.0::DOUBLE - b WHEN b = 1 THEN i / (n - 1)::DOUBLE ELSE 1 - i / (n - 1)::DOUBLE END AS w FROM pt, (VALUES (0), (1)) AS q(a), (VALUES (0), (1)) AS u(b)),
+v AS (SELECT r, c, dr, dc, n, i, f AS frame, CASE WHEN count(*) = count(risk) THEN round(sum(w * risk), 9) WHEN bool_or(hard) THEN 1.0::DOUBLE END AS risk, coalesce(bool_or(hard), false) AS hard, min(confidence) AS confidence
+    FROM (SELECT * FROM pw, range({FRAMES}) AS fr(f) WHERE w > 0) p LEFT JOIN cube ON frame = f AND "row" = r + dr * a AND col = c + dc * b GROUP BY 1, 2, 3, 4, 5, 6, 7)
+SELECT r, c, dr, dc, frame::INT AS frame, n AS points, CASE WHEN count(risk) = n THEN round(sum(CASE WHEN i = 0 OR i = n - 1 THEN risk / 2 ELSE risk END) / (n - 1), 9) END AS mean_risk, round(max(risk), 6) AS max_risk, bool_or(hard) AS hard, round(min(confidence), 6) AS confidence FROM v GROUP BY r, c, dr, dc, n, frame""")
+def edge_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every edge in every frame, sampled as often as its length asks for: the trapezoid mean of its risk, and its extremes."""
+    cube = table_cube(spark, sf_dir)
+    series = edge_series(cube, grid.edges(grid.nodes(cube)), FRAMES, max_spacing_km=SPACING_KM)
+    at = series.select("r", "c", "dr", "dc", F.size("points").alias("points"), F.posexplode(F.expr(f"transform(sequence(0, {FRAMES - 1}), k -> transform(points, p -> named_struct('risk', p.risk[k], 'hard', p.hard[k], 'confidence', p.confidence[k])))")).alias("frame", "s"))
+    known = ~F.exists("s", lambda p: p["risk"].isNull())
+    mean = F.expr("(aggregate(s.risk, 0D, (a, x) -> a + x) - 0.5D * s[0].risk - 0.5D * element_at(s, -1).risk) / (size(s) - 1)")
+    return at.select("r", "c", "dr", "dc", "frame", "points", F.when(known, F.round(mean, 9)).alias("mean_risk"), F.round(F.array_max("s.risk"), 6).alias("max_risk"), F.array_contains("s.hard", True).alias("hard"), F.round(F.array_min("s.confidence"), 6).alias("confidence"))

@@ -7,6 +7,7 @@ import time
 
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import plain_search
 from riskgrid.functions.motion import OBJECTIVES, Vessel, Weights
@@ -99,6 +100,17 @@ def test_other_policies_points_and_no_bound(spark):
     assert all(r.status == bound[r.search].status and r.expanded >= bound[r.search].expanded for r in plain if r.status == "ok")
 
 
+def test_samples_by_spacing(spark):
+    """Edges sampled as often as all would be with that many points find the same routes; a spacing wider than any edge changes nothing."""
+    cube, wanted = spark.createDataFrame(random_cube(6), CUBE), spark.createDataFrame(requests(6, 1), WANTED)
+
+    def told(**options):
+        return {r.search: (r.status, round(r.cost or 0, 9)) for r in search.routes(cube, wanted, **options).groupBy("search").agg(F.first("status").alias("status"), F.max("cost").alias("cost")).collect()}
+
+    assert told(max_spacing_km=100.0) == told()
+    assert told(n=9) == told(n=9, max_spacing_km=1.0)
+
+
 def test_limit_has_its_own_status(spark, monkeypatch):
     cube = random_cube(2, hard=0.0)
     monkeypatch.setattr(search, "LOOK", 2)
