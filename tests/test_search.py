@@ -1,14 +1,13 @@
 """The route search against a plain heap search of one request at a time."""
 
 import itertools
+import math
 import random
 import threading
 import time
 
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
-
 import plain_search
 from riskgrid.functions.motion import OBJECTIVES, Vessel, Weights
 from riskgrid.operators import grid, search
@@ -101,14 +100,14 @@ def test_other_policies_points_and_no_bound(spark):
 
 
 def test_samples_by_spacing(spark):
-    """Edges sampled as often as all would be with that many points find the same routes; a spacing wider than any edge changes nothing."""
-    cube, wanted = spark.createDataFrame(random_cube(6), CUBE), spark.createDataFrame(requests(6, 1), WANTED)
-
-    def told(**options):
-        return {r.search: (r.status, round(r.cost or 0, 9)) for r in search.routes(cube, wanted, **options).groupBy("search").agg(F.first("status").alias("status"), F.max("cost").alias("cost")).collect()}
-
-    assert told(max_spacing_km=100.0) == told()
-    assert told(n=9) == told(n=9, max_spacing_km=1.0)
+    """An edge has as many points as its length asks for, and its ends are those of three points."""
+    cube = spark.createDataFrame(random_cube(6, (3, 3), 2), CUBE)
+    links = grid.edges(grid.nodes(cube))
+    three = {(e.r, e.c, e.dr, e.dc): e.points for e in edge_series(cube, links, 2).collect()}
+    for e in edge_series(cube, links, 2, max_spacing_km=1.4).collect():
+        ends = three[e.r, e.c, e.dr, e.dc]
+        assert len(e.points) == max(3, math.ceil(e.km / 1.4) + 1)
+        assert e.points[0].risk == ends[0].risk and e.points[-1].risk == ends[2].risk
 
 
 def test_limit_has_its_own_status(spark, monkeypatch):
