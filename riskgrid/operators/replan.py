@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -120,6 +121,104 @@ def triggers(observations: DataFrame, policy: Policy | None = None) -> DataFrame
     return observations.select(*OBSERVATION).repartition("key").sortWithinPartitions("key", "at_us", "seq").mapInPandas(fold, DECISIONS)
 
 
+TIMED_OBSERVATION = (*OBSERVATION, "generation")
+#: Fields without which an observation is none.
+NEEDED = ("key", "seq", "at_us", "valid_us", "data_revision", "avg_risk", "max_risk", "generation")
+TIMED = "key bigint, seq bigint, at_us bigint, outcome string, reasons string, retry_us bigint"
+
+
+class Held(NamedTuple):
+    """A decision that waits, as it will be taken at its retry time ``at_us``."""
+
+    seq: int
+    at_us: int
+    valid_us: int
+    data_revision: int
+    risk_revision: str
+    avg_risk: float
+    max_risk: float
+    event: str | None
+    published: bool
+    reasons: str
+
+
+@dataclass
+class Timed:
+    """A key's baseline by generation, and the decision that waits for its retry time.
+
+    A waiting decision fires at that time unless a later one fired or waits in
+    its place, or a later generation began; it comes before an observation of
+    the same time. An observation of an earlier generation is stale.
+    """
+
+    policy: Policy
+    baseline: Baseline
+    held: Held | None = None
+
+    def ring(self, until_us: int) -> list[tuple]:
+        """What fires up to a time: (seq, at_us, outcome, reasons, retry_us)."""
+        h = self.held
+        if h is None or h.at_us > until_us:
+            return []
+        self.held = None
+        if h.published:
+            self.baseline.commit(h, self.policy)
+        return [(h.seq, h.at_us, "fire", h.reasons, None)]
+
+    def take(self, o) -> list[tuple]:
+        """What an observation and the time that passed before it come to."""
+        rows = self.ring(o.at_us)
+        before = self.baseline.generation
+        if not self.baseline.enter(o.generation):
+            return [*rows, (o.seq, o.at_us, "stale", "", None)]
+        if before != o.generation:
+            self.held = None
+        outcome, reasons, retry = self.baseline.decide(o, self.policy)
+        if outcome == "wait":
+            self.held = Held(o.seq, retry, o.valid_us, o.data_revision, o.risk_revision, o.avg_risk, o.max_risk, o.event, o.published, reasons)
+        elif outcome == "fire":
+            self.held = None
+            if o.published:
+                self.baseline.commit(o, self.policy)
+        return [*rows, (o.seq, o.at_us, outcome, reasons, retry)]
+
+
+def timed_frame(key, rows: list[tuple]) -> pd.DataFrame:
+    keys = key if isinstance(key, list) else [key] * len(rows)
+    out = pd.DataFrame(rows, columns=["seq", "at_us", "outcome", "reasons", "retry_us"])
+    out.insert(0, "key", keys)
+    return out.astype({"retry_us": "Int64"})
+
+
+def complete(observations: DataFrame) -> DataFrame:
+    """Observations that can be decided: with all NEEDED fields, no deviation for a missing one, and false for missing marks."""
+    some = observations.select(*TIMED_OBSERVATION).dropna(subset=list(NEEDED))
+    return some.fillna(0.0, "deviation_km").fillna(False, ["manual", "hard", "published"])
+
+
+def timed(observations: DataFrame, until_us: int, policy: Policy | None = None) -> DataFrame:
+    """Decisions on observations (TIMED_OBSERVATION) with those that fire at their retry time, up to ``until_us``; generations included. Incomplete observations (see ``complete``) are left out."""
+    policy = policy or Policy()
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = object(), Timed(policy, Baseline())
+        for pdf in batches:
+            pdf["event"] = pdf["event"].astype(object).where(pdf["event"].notna(), None)
+            keys, rows = [], []
+            for o in pdf.itertuples(index=False):
+                if o.key != key:
+                    rows += state.ring(until_us)
+                    keys += [key] * (len(rows) - len(keys))
+                    key, state = o.key, Timed(policy, Baseline())
+                rows += state.take(o)
+                keys += [key] * (len(rows) - len(keys))
+            yield timed_frame(keys, rows)
+        rows = state.ring(until_us)
+        yield timed_frame(key, rows)
+
+    return complete(observations).repartition("key").sortWithinPartitions("key", "at_us", "seq").mapInPandas(fold, TIMED)
+
+
 def initial(observation, policy: Policy) -> Baseline:
     """The baseline after a first plan."""
     state = Baseline()

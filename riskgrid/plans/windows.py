@@ -142,6 +142,37 @@ def replan_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replan.triggers(observations(spark, sf_dir), POLICY)
 
 
+_BASE = {"at_us": "BIGINT", "valid_us": "BIGINT", "data_revision": "BIGINT", "risk_revision": "VARCHAR", "avg_risk": "DOUBLE", "max_risk": "DOUBLE", "event": "VARCHAR"}
+_LATER = {"seq": "BIGINT", "at_us": "BIGINT", "valid_us": "BIGINT", "data_revision": "BIGINT", "risk_revision": "VARCHAR", "avg_risk": "DOUBLE", "max_risk": "DOUBLE", "event": "VARCHAR", "published": "BOOLEAN", "reasons": "VARCHAR"}
+_NO_HELD = f"NULL::STRUCT({', '.join(f'{k} {v}' for k, v in _LATER.items())})"
+_NO_BASE = f"{{{', '.join(f"'{k}': NULL::{v}" for k, v in _BASE.items())}, 'latched': false}}"
+
+
+def _based(on: str) -> str:
+    latched = f"CASE WHEN {on}.max_risk >= 0.65 THEN true WHEN {on}.max_risk <= 0.55 THEN false ELSE b.latched END"
+    return f"{{{', '.join(f"'{k}': {on}.{k}" for k in _BASE)}, 'latched': {latched}}}"
+
+
+@query(f"""WITH RECURSIVE {OBSERVED}, g AS (SELECT *, greatest(0, seq // 700 - CASE WHEN seq % 31 = 0 THEN 1 ELSE 0 END)::INT AS generation FROM o),
+n AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY at_us, seq) AS rn, g AS o FROM g),
+st AS (SELECT DISTINCT key, 0::BIGINT AS rn, NULL::BIGINT AS seq, NULL::BIGINT AS at_us, NULL::VARCHAR AS outcome, NULL::VARCHAR AS reasons, NULL::BIGINT AS retry_us, {_NO_BASE} AS b, NULL::INT AS gen, {_NO_HELD} AS h FROM n
+UNION ALL
+SELECT key, CASE WHEN ring THEN rn ELSE rn + 1 END, CASE WHEN ring THEN h.seq ELSE o.seq END, CASE WHEN ring THEN h.at_us ELSE o.at_us END, outcome, CASE WHEN ring THEN h.reasons WHEN outcome IN ('error', 'stale') THEN '' ELSE reasons END, CASE WHEN outcome = 'wait' THEN b.at_us + 1800000000 END,
+  CASE WHEN ring AND h.published THEN {_based('h')} WHEN NOT ring AND outcome = 'fire' AND o.published THEN {_based('o')} ELSE b END, CASE WHEN ring OR stale THEN gen ELSE o.generation END,
+  CASE WHEN outcome = 'fire' THEN {_NO_HELD} WHEN outcome = 'wait' THEN {{'seq': o.seq, 'at_us': b.at_us + 1800000000, 'valid_us': o.valid_us, 'data_revision': o.data_revision, 'risk_revision': o.risk_revision, 'avg_risk': o.avg_risk, 'max_risk': o.max_risk, 'event': o.event, 'published': o.published, 'reasons': reasons}} WHEN fresh THEN {_NO_HELD} ELSE h END
+FROM (SELECT *, CASE WHEN ring THEN 'fire' WHEN stale THEN 'stale' WHEN b.at_us IS NOT NULL AND (o.data_revision < b.data_revision OR o.valid_us < b.valid_us) THEN 'error' WHEN reasons = '' THEN 'none' WHEN b.at_us IS NOT NULL AND o.at_us < b.at_us + 1800000000 AND NOT (o.manual OR o.hard) THEN 'wait' ELSE 'fire' END AS outcome
+  FROM (SELECT *, concat_ws(',', {", ".join(f"CASE WHEN {v} THEN '{k}' END" for k, v in _ON.items())}) AS reasons
+    FROM (SELECT key, rn, o, gen, h, ring, stale, fresh, CASE WHEN fresh THEN {_NO_BASE} ELSE b END AS b
+      FROM (SELECT *, NOT ring AND coalesce(o.generation < gen, false) AS stale, NOT ring AND (gen IS NULL OR o.generation > gen) AS fresh
+        FROM (SELECT st.key, st.rn, n.o, st.b, st.gen, st.h, n.key IS NULL AS done, st.h IS NOT NULL AND (n.key IS NULL OR st.h.at_us <= n.o.at_us) AS ring FROM st LEFT JOIN n ON n.key = st.key AND n.rn = st.rn + 1) WHERE ring OR NOT done)))))
+SELECT key, seq, at_us, outcome, reasons, retry_us FROM st WHERE seq IS NOT NULL""")
+def replan_timed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions over generations, where one that waits fires at its retry time; the stream with timers is equal to it by test."""
+    g = F.floor(F.col("seq") / 700) - (F.col("seq") % 31 == 0).cast("int")
+    o = observations(spark, sf_dir).withColumn("generation", F.greatest(F.lit(0), g).cast("int"))
+    return replan.timed(o, 1 << 62, POLICY)
+
+
 _FIELDS = ("at_us", "valid_us", "data_revision", "risk_revision", "avg_risk", "max_risk", "event")
 
 
