@@ -153,7 +153,7 @@ def _based(on: str) -> str:
     return f"{{{', '.join(f"'{k}': {on}.{k}" for k in _BASE)}, 'latched': {latched}}}"
 
 
-@query(f"""WITH RECURSIVE {OBSERVED}, g AS (SELECT *, greatest(0, seq // 700 - CASE WHEN seq % 31 = 0 THEN 1 ELSE 0 END)::INT AS generation FROM o),
+_TIMED = f"""WITH RECURSIVE {OBSERVED}, g AS (SELECT *, greatest(0, seq // 700 - CASE WHEN seq % 31 = 0 THEN 1 ELSE 0 END)::INT AS generation FROM o),
 n AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY at_us, seq) AS rn, g AS o FROM g),
 st AS (SELECT DISTINCT key, 0::BIGINT AS rn, NULL::BIGINT AS seq, NULL::BIGINT AS at_us, NULL::VARCHAR AS outcome, NULL::VARCHAR AS reasons, NULL::BIGINT AS retry_us, {_NO_BASE} AS b, NULL::INT AS gen, {_NO_HELD} AS h FROM n
 UNION ALL
@@ -165,12 +165,27 @@ FROM (SELECT *, CASE WHEN ring THEN 'fire' WHEN stale THEN 'stale' WHEN b.at_us
     FROM (SELECT key, rn, o, gen, h, ring, stale, fresh, CASE WHEN fresh THEN {_NO_BASE} ELSE b END AS b
       FROM (SELECT *, NOT ring AND coalesce(o.generation < gen, false) AS stale, NOT ring AND (gen IS NULL OR o.generation > gen) AS fresh
         FROM (SELECT st.key, st.rn, n.o, st.b, st.gen, st.h, n.key IS NULL AS done, st.h IS NOT NULL AND (n.key IS NULL OR st.h.at_us <= n.o.at_us) AS ring FROM st LEFT JOIN n ON n.key = st.key AND n.rn = st.rn + 1) WHERE ring OR NOT done)))))
-SELECT key, seq, at_us, outcome, reasons, retry_us FROM st WHERE seq IS NOT NULL""")
+SELECT key, seq, at_us, outcome, reasons, retry_us FROM st WHERE seq IS NOT NULL"""
+
+
+@query(_TIMED)
 def replan_timed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Decisions over generations, where one that waits fires at its retry time; the stream with timers is equal to it by test."""
+    """Decisions over generations, where one that waits fires at its retry time."""
+    return replan.timed(generations(spark, sf_dir), 1 << 62, POLICY)
+
+
+def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The observations with a generation that rises; some come from the one before."""
     g = F.floor(F.col("seq") / 700) - (F.col("seq") % 31 == 0).cast("int")
-    o = observations(spark, sf_dir).withColumn("generation", F.greatest(F.lit(0), g).cast("int"))
-    return replan.timed(o, 1 << 62, POLICY)
+    return observations(spark, sf_dir).withColumn("generation", F.greatest(F.lit(0), g).cast("int"))
+
+
+@query(_TIMED)
+def replan_timer_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same decisions from a stream whose rows come up to two days out of order."""
+    from riskgrid.streaming.timers import stream_timed
+
+    return stream_timed(generations(spark, sf_dir), 2 * 24 * 3_600_000_000, POLICY)
 
 
 _FIELDS = ("at_us", "valid_us", "data_revision", "risk_revision", "avg_risk", "max_risk", "event")

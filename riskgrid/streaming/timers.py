@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from riskgrid.operators.replan import TIMED, TIMED_OBSERVATION, Baseline, Held, Policy, Timed, complete, state_dict, timed_frame
+from riskgrid.operators.shared import folder, written
 from riskgrid.streaming.triggers import STATE
 
 #: The state store that timers and maps need.
@@ -102,3 +103,31 @@ def timed_decisions(stream: DataFrame, delay: str, policy: Policy | None = None)
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     wanted = complete(stream).withColumn("__rg_at", F.timestamp_micros("at_us")).withWatermark("__rg_at", delay)
     return wanted.groupBy("key").transformWithStateInPandas(statefulProcessor=Decider(policy or Policy()), outputStructType=TIMED, outputMode="Append", timeMode="EventTime")
+
+
+def stream_timed(observations: DataFrame, delay_us: int, policy: Policy | None = None, files: int = 4) -> DataFrame:
+    """Run a table of observations through the stream, out of order by less than ``delay_us``, and read its decisions back.
+
+    The rows come in ``files`` batches, cut by their time plus a part of the
+    delay that follows from their seq. A last file has one observation of the
+    greatest key, so much later that all others are decided.
+    """
+    spark = observations.sparkSession
+    base = folder(spark, "timers")
+    wanted = written(complete(observations), f"{base}/all")
+    come = F.col("at_us") + F.pmod(F.xxhash64("seq"), F.lit(delay_us // 2))
+    cuts = wanted.select(come.alias("c")).approxQuantile("c", [k / files for k in range(1, files)], 0.01)
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = wanted if low is None else wanted.where(come > int(low))
+        part = part if high is None else part.where(come <= int(high))
+        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    last = wanted.agg(F.max("at_us").alias("at"), F.max("key").alias("key")).first()
+    if last.at is None:
+        return spark.createDataFrame([], TIMED)
+    end = last.at + 2 * delay_us + 10 * (policy or Policy()).min_interval_us
+    closing = wanted.limit(1).withColumns({"key": F.lit(last.key + 1), "at_us": F.lit(end), "valid_us": F.lit(end)})
+    closing.select(*wanted.columns).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    source = spark.readStream.schema(wanted.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    sink = timed_decisions(source, f"{delay_us} microseconds", policy).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    sink.awaitTermination()
+    return spark.read.schema(TIMED).parquet(f"{base}/out").where(F.col("key") <= last.key)
