@@ -6,12 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskgrid.functions.motion import OBJECTIVES
-from riskgrid.operators import set_store
+from riskgrid.operators import set_geojson, set_store
 from riskgrid.operators.layers import LAYERS
 from riskgrid.operators.plan_sets import PLAN_ID, SET_ID
 from riskgrid.operators.publish import TOKEN
 from riskgrid.operators.shared import folder
 from riskgrid.plans.registry import query
+from riskgrid.plans.routes import TABLE_ROUTES, _nodes, table_routes
 from riskgrid.plans.windows import COMMANDS, commands
 
 _FULL, _BEST = set_store.FULL, "recommended"
@@ -78,3 +79,61 @@ def layer_set_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     set_store.commit(root, first, sets.join(held, "set_id", "left_semi"), plans.join(held, "set_id", "left_semi"))
     set_store.commit(root, log.join(cut, "log").where("seq > cut"), sets.join(held, "set_id", "left_anti"), plans.join(held, "set_id", "left_anti"))
     return set_store.current_plans(spark, root).select("log", "set_id", "layer", "objective", "plan_id")
+
+
+def drawn_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve plans for the made-up route of every customer, each an hour later than the one before."""
+    steps = table_routes(spark, sf_dir).join(_nodes(spark), ["row", "col"])
+    points = steps.groupBy("search").agg(F.sort_array(F.collect_list(F.struct("step", "lon", "lat", "eta_us", (F.col("knots") / 2).alias("mps")))).alias("points"))
+    places = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(n).alias("layer"), F.lit(o).alias("objective")) for i, (n, o) in enumerate(set_geojson.PLACES)))
+    each = points.select(F.col("search").alias("set_id"), "points", F.explode(places).alias("p")).select("set_id", "points", "p.*")
+    later = F.transform("points", lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"), (p["eta_us"] + F.col("i") * F.lit(3_600_000_000)).alias("eta_us"), p["mps"].alias("mps")))
+    full = F.concat(F.col("set_id"), F.lit(f"/{_FULL}/{_BEST}"))
+    return each.select("set_id", "layer", "objective", F.concat_ws("/", "set_id", "layer", "objective").alias("plan_id"), F.when(F.col("layer") != _FULL, full).alias("reference_plan_id"), later.alias("waypoints"))
+
+
+def _number(key: str):
+    """The customer's number in an id that begins with the route's name."""
+    return F.regexp_extract(key, r"^route-(\d+)", 1).cast("long")
+
+
+_DRAWN = f"pl AS (SELECT i, split_part(place, '/', 1) AS layer, split_part(place, '/', 2) AS objective, place FROM (VALUES {', '.join(f"({i}, '{n}/{o}')" for i, (n, o) in enumerate(set_geojson.PLACES))}) AS p(i, place))"
+
+
+@query(f"""WITH {TABLE_ROUTES}, {_DRAWN}, t AS (SELECT search, split_part(search, '-', 2)::BIGINT AS c, count(*) AS waypoints, max_by(eta_us, step) AS last_us, round(sum(18.0::DOUBLE + 0.1::DOUBLE * col), 6) AS lon, round(sum(70.0::DOUBLE + 0.05::DOUBLE * "row"), 6) AS lat, round(sum(knots / 2), 6) AS mps FROM steps GROUP BY 1)
+SELECT search AS set_id, layer, objective, search || '/' || place AS plan_id, CASE WHEN layer <> '{_FULL}' THEN search || '/{_FULL}/{_BEST}' END AS reference_plan_id, waypoints::INT AS waypoints, last_us + i::BIGINT * 3600000000 AS last_us, lon, lat, mps FROM t, pl WHERE c % 9 NOT IN (1, 2, 3, 4)""")
+def layer_set_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The drawn sets as GeoJSON, read back; those that were tampered with give nothing."""
+    plans, _ = set_geojson.read_sets(tampered_sets(spark, sf_dir))
+    total = lambda f: F.round(F.aggregate(F.col(f"waypoints.{f}"), F.lit(None).cast("double"), lambda a, x: F.coalesce(a + x, a, x)), 6).alias(f)
+    return plans.select("set_id", "layer", "objective", "plan_id", "reference_plan_id", F.size("waypoints").alias("n"), F.element_at("waypoints", -1)["eta_us"].alias("last_us"), *map(total, ("lon", "lat", "mps"))).withColumnRenamed("n", "waypoints")
+
+
+def tampered_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets as GeoJSON, some with a type, an id, a place or a list of times changed, by the number of their customer."""
+    c, text = F.pmod(_number("set_id"), F.lit(9)), F.col("geojson")
+    changed = (
+        F.when(c == 1, F.regexp_replace(text, "FeatureCollection", "Features"))
+        .when(c == 2, F.regexp_replace(text, '"id":"[^"]*/medium_range/fastest"', '"id":"another"'))
+        .when(c == 3, F.regexp_replace(text, '"layer":"short_range","objective":"fastest"', '"layer":"short_range","objective":"recommended"'))
+        .when(c == 4, F.regexp_replace(text, '"waypoint_etas":\\[', '"waypoint_etas":[0,'))
+    )
+    return set_geojson.set_collections(drawn_plans(spark, sf_dir)).select("set_id", F.coalesce(changed, text).alias("geojson"))
+
+
+@query("""WITH s AS (SELECT DISTINCT 'route-' || o_custkey AS set_id, o_custkey % 9 AS c FROM orders)
+SELECT set_id, ['not a feature collection', 'id is not the plan''s', 'not every layer and objective once', 'arrays of different lengths'][c::INT] AS problem FROM s WHERE c IN (1, 2, 3, 4)""")
+def layer_set_geojson_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_geojson.read_sets(tampered_sets(spark, sf_dir))[1]
+
+
+@query(f"""WITH p AS (SELECT o_custkey AS c, count(*) AS n FROM orders GROUP BY 1), {_DRAWN}
+SELECT 'route-' || c || '/' || place AS plan_id, CASE WHEN (c + i) % 7 = 1 THEN 'another number of waypoints' ELSE 'a waypoint does not match' END AS problem FROM p, pl WHERE (c + i) % 7 IN (1, 2)""")
+def layer_plan_geojson_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plans as GeoJSON with their points, of which some lack the last, and some tell another time for the first."""
+    made = set_geojson.plan_collections(drawn_plans(spark, sf_dir))
+    rank = F.array_position(F.array(*(F.lit(f"{n}/{o}") for n, o in set_geojson.PLACES)), F.regexp_extract("plan_id", r"/(.*)$", 1)) - 1
+    c, text = F.pmod(_number("plan_id") + rank, F.lit(7)), F.col("geojson")
+    less = F.regexp_replace(text, r',\{"type":"Feature","id":"[^"]*","geometry":\{"type":"Point","coordinates":\[[^\]]*\]\},"properties":\{[^}]*\}\}\],"properties":\{\}\}$', '],"properties":{}}')
+    other = F.regexp_replace(text, r'"index":0,"eta_us":\d+', '"index":0,"eta_us":7')
+    return set_geojson.read_plans(made.select("plan_id", F.when(c == 1, less).when(c == 2, other).otherwise(text).alias("geojson")))[1]
