@@ -124,6 +124,17 @@ def replay_sets(commands: DataFrame, sets: DataFrame, plans: DataFrame) -> DataF
     return said.select("log", "seq", F.substring_index("kind", "/", 1).alias("kind"), outcome.alias("outcome"), "current", "previous")
 
 
+def submission(plans: DataFrame, tokens: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Sets and plans to commit, of ``plan_sets.layered_plans`` (written to ``path``) and the token of each set (set_id, TOKEN).
+
+    A set's id follows from its plans; one that lacks a plan gets an id too and
+    is refused by the store.
+    """
+    own = written(contents(plans), path)
+    ids = set_ids(own).select("set_id", F.col("expected_id").alias("layer_set_id"))
+    return ids.join(tokens.select("set_id", *TOKEN), "set_id").select(*SETS), own
+
+
 def _state(spark: SparkSession, root: str) -> tuple[int, list[str], str | None]:
     """Number of the last commit under ``root``, its segments, and its table of standing sets."""
     found = max(_pointers(spark, root), default=None)

@@ -123,3 +123,14 @@ def test_sets_of_another_token_are_refused(spark):
         other = sets.withColumn(field, F.lit(value).cast(sets.schema[field].dataType))
         assert {r.seq: (r.outcome, r.current) for r in set_store.replay_sets(log, other, plans).collect()} == {0: ("ok", None), 1: (f"rejected: set of another {field}", None)}
     assert json.loads(plans.first().content)["metrics"] == {"cost": 1.5}
+
+
+def test_planned_sets_go_to_the_store_with_their_ids(spark):
+    plans = [(name, *place, p["plan_id"], p["reference_plan_id"], canonical_bytes(p).decode()) for name in "ab" for place, p in documents(name).items()]
+    tokens = spark.createDataFrame([("a", "", *TOKEN), ("b", "", *TOKEN)], SETS).drop("layer_set_id")
+    sets, own = set_store.submission(spark.createDataFrame(plans[:-1], PLANS), tokens, folder(spark, "test-plans"))
+    assert {r.set_id: r.layer_set_id for r in sets.collect()}["a"] == SET_ID + set_digest(list(documents("a").values()), set="a")
+    root = folder(spark, "test-submitted")
+    said = set_store.commit(root, added(spark, ("l", 0, "activate", None), ("l", 1, "publish", "a"), ("l", 2, "publish", "b")), sets, own)
+    assert {r.seq: r.outcome for r in said.collect()} == {0: "ok", 1: "ok", 2: "rejected: not every layer and objective once"}
+    assert {tuple(r) for r in set_store.standing(spark, root).collect()} == {("l", "a", None)}
