@@ -186,3 +186,16 @@ def test_series_of_edges_are_those_of_their_points(spark, n):
                     continue
                 assert (p.risk[k] is None and risk[k] != risk[k]) or abs(p.risk[k] - risk[k]) < 1e-9
                 assert p.hard[k] == bool(hard[k]) and abs(p.confidence[k] - conf[k]) < 1e-12 and abs(p.factor[k] - fac[k]) < 1e-12
+
+
+def test_requests_that_ask_the_same_are_one_search(spark):
+    cube, asked = spark.createDataFrame(random_cube(3), CUBE), requests(3)
+    odd = [*ODD, ("nothing", "fastest", None, 1, 1, 1, T0, None, HOUR)]
+    twice = [(f"{k}/{q[0]}", *q[1:]) for k in range(3) for q in (*asked, *odd)]
+    found = search.run(cube, spark.createDataFrame(twice, WANTED))
+    assert found.wanted.count() == len({q[1:] for q in twice}) < len(twice)
+    own = lambda rows, k: sorted(str(tuple(r)[1:]) for r in rows if r.search.startswith(f"{k}/"))
+    alone = search.run(cube, spark.createDataFrame([*asked, *odd], WANTED))
+    for made in (search.steps, search.counters):
+        rows, want = made(found).collect(), sorted(str(tuple(r)[1:]) for r in made(alone).collect())
+        assert all(own(rows, k) == want for k in range(3))
