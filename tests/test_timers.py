@@ -4,7 +4,7 @@ import random
 
 from riskgrid.operators import replan
 from riskgrid.operators.shared import folder
-from riskgrid.streaming.timers import timed_decisions
+from riskgrid.streaming.timers import Decider, timed_decisions
 
 MINUTE = 60_000_000
 SCHEMA = "key bigint, seq bigint, at_us bigint, valid_us bigint, data_revision bigint, risk_revision string, avg_risk double, max_risk double, deviation_km double, event string, manual boolean, hard boolean, published boolean, generation int"
@@ -75,3 +75,41 @@ def test_the_stream_decides_as_the_fold_whatever_the_order_of_files(spark):
     run([seen(1000, 3000, 0, manual=True)])
     got = spark.read.schema(replan.TIMED).parquet(f"{base}/out")
     assert sorted(map(str, got.where("key < 99").collect())) == sorted(map(str, want))
+
+
+def test_a_call_asks_the_store_as_often_whatever_it_holds():
+    class Store:
+        """Value state, handle and timer values in one, counting what it is asked."""
+
+        value, asked, timers = None, 0, ()
+
+        def getValueState(self, *_):  # noqa: N802
+            return self
+
+        def get(self):
+            self.asked += 1
+            return self.value
+
+        def update(self, value):
+            self.asked, self.value = self.asked + 1, value
+
+        def registerTimer(self, at):  # noqa: N802
+            self.asked, self.timers = self.asked + 1, (*self.timers, at)
+
+        def deleteTimer(self, at):  # noqa: N802
+            self.asked, self.timers = self.asked + 1, tuple(t for t in self.timers if t != at)
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return 10**9
+
+    columns = [x.split()[0] for x in SCHEMA.split(", ")]
+    counts = []
+    for n in (3, 300):
+        store, decider = Store(), Decider(replan.Policy())
+        decider.init(store)
+        for part in (range(n, 2 * n), range(n)):
+            list(decider.handleInputRows((0,), iter([dict(zip(columns, seen(i, i), strict=True)) for i in part]), store))
+        assert store.timers == (0,)
+        assert len(list(decider.handleExpiredTimer((0,), store, None))) == 2 * n
+        counts.append(store.asked)
+    assert counts[0] == counts[1]
