@@ -51,8 +51,9 @@ def plan_texts(steps: DataFrame, cells: DataFrame, headers: DataFrame, key: str
 def _canonical(text: str) -> Column:
     @F.pandas_udf("struct<document:string,content_digest:string>")
     def of(texts: pd.Series) -> pd.DataFrame:
-        read = [json.loads(t) for t in texts]
-        return pd.DataFrame({"document": [canonical_bytes(d).decode() for d in read], "content_digest": [plan_digest(d) for d in read]})
+        # one document at a time: read, it takes many times its text
+        rows = ((canonical_bytes(d).decode(), plan_digest(d)) for d in map(json.loads, texts))
+        return pd.DataFrame(rows, columns=["document", "content_digest"])
 
     return of(F.col(text))
 

@@ -205,3 +205,15 @@ def test_a_lost_writer_leaves_the_key_free(spark, tmp_path):
     assert windows.committed_window(spark, f"file://{path}", digest).count() == 1
     assert not shared.create_file(spark, f"file://{path}/manifest", "again") and open(f"{path}/manifest").read().startswith(digest)
     assert [f for f in os.listdir(path) if f.endswith(".new")] == [f"manifest.{'0' * 32}.new"]
+
+
+def test_documents_are_made_one_at_a_time(monkeypatch):
+    import pandas as pd
+    from riskgrid.operators import documents
+
+    told, read = [], documents.json.loads
+    monkeypatch.setattr(documents.F, "pandas_udf", lambda _: lambda f: lambda texts: f(texts))
+    monkeypatch.setattr(documents.F, "col", lambda _: pd.Series(['{"a":1}', '{"b":2}']))
+    monkeypatch.setattr(documents.json, "loads", lambda t: told.append("read") or read(t))
+    monkeypatch.setattr(documents, "plan_digest", lambda d: told.append("made") or "digest")
+    assert list(documents._canonical("text").document) == ['{"a":1}', '{"b":2}'] and told == ["read", "made"] * 2
