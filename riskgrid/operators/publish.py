@@ -14,7 +14,8 @@ token of its request. What stands at a command follows from what came before:
   context (run, scenario, generation, digests) becomes active.
 
 Every log is one sorted stretch of rows: its order allows nothing else, and
-Spark's windows spill. Logs are dealt over all tasks by their key.
+Spark's windows spill. Logs are dealt by their key over as many tasks as the
+number of commands asks for.
 
 Defined cases: a null in a token is a value like any other; commands of equal
 seq are taken in the order of kind and token; an empty log gives no rows; extra
@@ -28,17 +29,20 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from riskgrid.operators.shared import create_file
+from riskgrid.operators.shared import create_file, dealt
 
 #: Fields of a token (fixed set); the first six are its context.
 TOKEN = ("run_id", "scenario_id", "generation", "config_digest", "model_digest", "planner_digest", "request_id", "revision")
 CONTEXT = TOKEN[:6]
 
 
-def replay(commands: DataFrame) -> DataFrame:
-    """(log, seq, kind, outcome, current, previous) of every command (log, seq, kind, token columns, plan_id): what it did, and the plans that stand after it."""
+def replay(commands: DataFrame, rows: int | None = None) -> DataFrame:
+    """(log, seq, kind, outcome, current, previous) of every command (log, seq, kind, token columns, plan_id): what it did, and the plans that stand after it.
+
+    rows: how many commands there are, if that is known.
+    """
     token, context = F.struct(*TOKEN), F.struct(*CONTEXT)
-    rows = commands.select("log", "seq", "kind", *TOKEN, "plan_id").withColumns({"__rg_t": token, "__rg_x": context, "__rg_a": F.col("kind") == "activate"})
+    rows = dealt(commands.select("log", "seq", "kind", *TOKEN, "plan_id"), "log", rows=rows).withColumns({"__rg_t": token, "__rg_x": context, "__rg_a": F.col("kind") == "activate"})
     order = ("seq", "kind", "__rg_t")
 
     def before(*keys: str):

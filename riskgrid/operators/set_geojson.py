@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from riskgrid.functions.motion import OBJECTIVES
 from riskgrid.operators.layers import LAYERS
+from riskgrid.operators.shared import dealt
 
 PLACES = [(n, o) for n, _ in LAYERS for o in OBJECTIVES]
 _KEEP = {"ignoreNullFields": "false"}
@@ -71,7 +72,7 @@ def _place() -> Column:
 def set_collections(plans: DataFrame) -> DataFrame:
     """(set_id, geojson) of every set that has each layer and objective once: its lines in their order."""
     rows = plans.select("set_id", _place().alias("place"), F.to_json(_line(), _KEEP).alias("line"))
-    one = rows.groupBy("set_id", "place").agg(F.count("*").alias("n"), F.first("line").alias("line"))
+    one = dealt(rows, "set_id").groupBy("set_id", "place").agg(F.count("*").alias("n"), F.first("line").alias("line"))
     whole = one.groupBy("set_id").agg(F.sort_array(F.collect_list(F.struct("place", "line"))).alias("lines"), F.max("n").alias("n"), F.count_if(F.col("place").isNull()).alias("other"))
     whole = whole.where((F.size("lines") == len(PLACES)) & (F.col("n") == 1) & (F.col("other") == 0))
     return whole.select("set_id", _collection(F.col("lines.line"), F.to_json(F.struct("set_id"), _KEEP)).alias("geojson"))

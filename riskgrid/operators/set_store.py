@@ -35,7 +35,7 @@ from riskgrid.operators.codec import VOLATILE, VOLATILE_METRICS
 from riskgrid.operators.layers import LAYERS
 from riskgrid.operators.plan_sets import PLAN_ID, SET_ID
 from riskgrid.operators.publish import TOKEN, _pointers, replay
-from riskgrid.operators.shared import create_file, written
+from riskgrid.operators.shared import create_file, dealt, written
 
 FULL = LAYERS[0][0]
 PLACES = len(LAYERS) * len(OBJECTIVES)
@@ -66,7 +66,7 @@ def set_ids(plans: DataFrame) -> DataFrame:
     known = F.col("layer").isin([n for n, _ in LAYERS]) & F.col("objective").isin(list(OBJECTIVES))
     digest = F.sha2("content", 256)
     right = F.coalesce(F.col("plan_id") == F.concat(F.lit(PLAN_ID), digest), F.lit(False))
-    place = plans.groupBy("set_id", F.when(known, F.col("layer")).alias("layer"), F.when(known, F.col("objective")).alias("objective")).agg(
+    place = dealt(plans, "set_id").groupBy("set_id", F.when(known, F.col("layer")).alias("layer"), F.when(known, F.col("objective")).alias("objective")).agg(
         F.count("*").alias("n"),
         F.max(digest).alias("digest"),
         F.bool_and(right).alias("right"),
@@ -118,7 +118,7 @@ def replay_sets(commands: DataFrame, sets: DataFrame, plans: DataFrame) -> DataF
     other: Column = F.coalesce(*(F.when(~F.col(c).eqNullSafe(F.col(f"__rg_t.{c}")), F.lit(f"set of another {c}")) for c in TOKEN))
     fault = F.when(F.col("__rg_there").isNull(), "no such set").otherwise(F.coalesce("fault", other))
     kind = F.when((F.col("kind") == "publish") & fault.isNotNull(), F.concat(F.lit("publish/"), fault)).otherwise(F.col("kind"))
-    said = replay(met.withColumn("kind", kind))
+    said = replay(met.withColumn("kind", kind), commands.count())
     fault = F.when(F.col("kind").startswith("publish/"), F.substring_index("kind", "/", -1))
     outcome = F.when((F.col("outcome") == "ok") & fault.isNotNull(), F.concat(F.lit("rejected: "), fault)).otherwise(F.col("outcome"))
     return said.select("log", "seq", F.substring_index("kind", "/", 1).alias("kind"), outcome.alias("outcome"), "current", "previous")
@@ -165,7 +165,7 @@ def commit(root: str, commands: DataFrame, sets: DataFrame, plans: DataFrame) ->
     logs = added.select("log").distinct()
     log = _table(spark, segments, "commands").join(logs, "log", "left_semi")
     asked = log.where("kind = 'publish'").select(F.col("plan_id").alias("set_id")).distinct()
-    own_sets, own_plans = (_table(spark, segments, t).join(asked, "set_id", "left_semi") for t in ("sets", "plans"))
+    own_sets, own_plans = (dealt(_table(spark, segments, t), "set_id").join(asked, "set_id", "left_semi") for t in ("sets", "plans"))
     said = written(replay_sets(log, own_sets, own_plans), f"{own}/said")
     order = F.struct("seq", "kind")
     last = said.groupBy("log").agg(F.max_by("current", order).alias("current"), F.max_by("previous", order).alias("previous"))
@@ -189,4 +189,4 @@ def current_plans(spark: SparkSession, root: str) -> DataFrame:
     if not path:
         raise LookupError(f"nothing is committed under {root}")
     now = spark.read.schema(STANDING).parquet(path).where("current is not null").select("log", F.col("current").alias("set_id"))
-    return now.join(_table(spark, segments, "plans"), "set_id")
+    return now.join(dealt(_table(spark, segments, "plans"), "set_id"), "set_id")

@@ -10,7 +10,7 @@ from riskgrid.operators import set_geojson, set_store
 from riskgrid.operators.layers import LAYERS
 from riskgrid.operators.plan_sets import PLAN_ID, SET_ID
 from riskgrid.operators.publish import TOKEN
-from riskgrid.operators.shared import folder
+from riskgrid.operators.shared import dealt, folder
 from riskgrid.plans.registry import query
 from riskgrid.plans.routes import TABLE_ROUTES, _nodes, table_routes
 from riskgrid.plans.windows import COMMANDS, commands
@@ -76,6 +76,7 @@ def layer_set_current(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = log.groupBy("log").agg(((F.min("seq") + F.max("seq")) / 2).alias("cut"))
     first = log.join(cut, "log").where("seq <= cut")
     held = own.join(first.select("seq"), "seq", "left_semi").select("set_id")
+    plans = dealt(plans, "set_id")
     set_store.commit(root, first, sets.join(held, "set_id", "left_semi"), plans.join(held, "set_id", "left_semi"))
     set_store.commit(root, log.join(cut, "log").where("seq > cut"), sets.join(held, "set_id", "left_anti"), plans.join(held, "set_id", "left_anti"))
     return set_store.current_plans(spark, root).select("log", "set_id", "layer", "objective", "plan_id")

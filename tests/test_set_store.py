@@ -5,7 +5,7 @@ import json
 import pytest
 
 from riskgrid.functions.values import canonical_bytes
-from riskgrid.operators import set_store
+from riskgrid.operators import publish, set_store, shared
 from riskgrid.operators.codec import plan_digest, set_digest
 from riskgrid.operators.layers import LAYERS
 from riskgrid.operators.plan_sets import PLAN_ID, SET_ID
@@ -134,3 +134,11 @@ def test_planned_sets_go_to_the_store_with_their_ids(spark):
     said = set_store.commit(root, added(spark, ("l", 0, "activate", None), ("l", 1, "publish", "a"), ("l", 2, "publish", "b")), sets, own)
     assert {r.seq: r.outcome for r in said.collect()} == {0: "ok", 1: "ok", 2: "rejected: not every layer and objective once"}
     assert {tuple(r) for r in set_store.standing(spark, root).collect()} == {("l", "a", None)}
+
+
+def test_tasks_follow_the_number_of_rows(spark, monkeypatch):
+    monkeypatch.setattr(shared, "TASK_ROWS", 10)
+    commands = spark.createDataFrame([(f"log-{k}", k, "activate", *TOKEN, None) for k in range(200)], COMMANDS)
+    assert publish.replay(commands).rdd.getNumPartitions() == 20
+    sets, plans = made(spark, *(f"set-{k}" for k in range(10)))
+    assert set_store.set_ids(plans).rdd.getNumPartitions() == 12
