@@ -199,3 +199,16 @@ def test_requests_that_ask_the_same_are_one_search(spark):
     for made in (search.steps, search.counters):
         rows, want = made(found).collect(), sorted(str(tuple(r)[1:]) for r in made(alone).collect())
         assert all(own(rows, k) == want for k in range(3))
+
+
+def test_a_round_is_two_jobs(spark):
+    """What is final is broadcast, and the next frontier written: no round is planned again between its stages (three jobs before)."""
+    sc, jobs = spark.sparkContext, []
+    sc.setJobGroup("rounds", "rounds")
+    try:
+        count = lambda _: jobs.append(len(sc.statusTracker().getJobIdsForGroup("rounds")))
+        search.run(spark.createDataFrame(random_cube(0), CUBE), spark.createDataFrame(requests(0, 1), WANTED), progress=count)
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) > 2 and max(b - a for a, b in itertools.pairwise(jobs)) == 2
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
