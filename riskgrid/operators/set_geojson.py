@@ -32,6 +32,7 @@ _LINE = "struct<type:string,coordinates:array<array<double>>>"
 _ROUTE = "struct<feature_role:string,set_id:string,layer:string,objective:string,plan_id:string,reference_plan_id:string,waypoint_etas:array<bigint>,recommended_speeds_mps:array<double>>"
 _FEATURE = f"struct<type:string,id:string,geometry:{_LINE},properties:{_ROUTE}>"
 _POINT = "struct<type:string,id:string,geometry:struct<type:string,coordinates:array<double>>,properties:struct<feature_role:string,plan_id:string,index:int,eta_us:bigint,recommended_speed_mps:double>>"
+_FAULT = "__rg_fault"
 PLAN_ROW = "set_id", "layer", "objective", "plan_id", "reference_plan_id", "waypoints"
 
 
@@ -78,12 +79,6 @@ def set_collections(plans: DataFrame) -> DataFrame:
     return whole.select("set_id", _collection(F.col("lines.line"), F.to_json(F.struct("set_id"), _KEEP)).alias("geojson"))
 
 
-def _features() -> Column:
-    """Features of a collection as texts; NULL for anything else."""
-    is_one = F.get_json_object("geojson", "$.type") == "FeatureCollection"
-    return F.when(F.coalesce(is_one, F.lit(False)), F.from_json(F.get_json_object("geojson", "$.features"), "array<string>"))
-
-
 def _read(line: Column) -> Column:
     """A plan's row from its line."""
     p = line["properties"]
@@ -111,14 +106,21 @@ def _once(rows: DataFrame, **columns: Column) -> DataFrame:
     return rows.select("*", F.explode(F.array(made)).alias("__rg_o")).select(*rows.columns, *(f"__rg_o.{n}" for n in columns))
 
 
+def _featured(rows: DataFrame) -> DataFrame:
+    """Rows with the features of their collection as texts instead of the collection, read in one pass; NULL for anything else, a text that ends early too."""
+    read = _once(rows, read=F.from_json("geojson", f"struct<type:string,features:array<string>,{_FAULT}:string>", {"columnNameOfCorruptRecord": _FAULT})).drop("geojson")
+    whole = F.col("read.type").eqNullSafe(F.lit("FeatureCollection")) & F.col(f"read.{_FAULT}").isNull()
+    return read.withColumn("features", F.when(whole, F.col("read.features"))).drop("read")
+
+
 def _broken(rules: dict[str, Column]) -> Column:
     return F.array_compact(F.array(*(F.when(F.coalesce(c, F.lit(True)), F.lit(n)) for n, c in rules.items())))
 
 
 def read_sets(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The plans (PLAN_ROW) of set collections (set_id, geojson) that hold, and (set_id, problem) of the others."""
-    rows = documents.select(F.col("set_id").alias("__rg_id"), "geojson")
-    lines = _once(rows, lines=F.transform(_features(), lambda t: F.from_json(t, _FEATURE))).drop("geojson")
+    rows = _featured(documents.select(F.col("set_id").alias("__rg_id"), "geojson"))
+    lines = _once(rows, lines=F.transform("features", lambda t: F.from_json(t, _FEATURE))).drop("features")
     places = F.transform("lines", lambda x: F.concat_ws("/", x["properties"]["layer"], x["properties"]["objective"]))
     wanted = F.array(*(F.lit(f"{n}/{o}") for n, o in PLACES))
     whole = {
@@ -134,17 +136,20 @@ def read_sets(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def read_plans(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The plans (PLAN_ROW) of plan collections (plan_id, geojson) whose points bear out their line, and (plan_id, problem) of the others."""
-    rows = _once(documents.select(F.col("plan_id").alias("__rg_id"), "geojson"), features=_features()).drop("geojson")
+    rows = _featured(documents.select(F.col("plan_id").alias("__rg_id"), "geojson"))
     parsed = _once(rows, line=F.from_json(F.get("features", F.lit(0)), _FEATURE))
     parsed = _once(parsed, plan=_read(F.col("line")))
-    points = F.transform(F.slice("features", 2, F.greatest(F.size("features") - 1, F.lit(0))), lambda t: F.from_json(t, _POINT))
+    texts = F.slice("features", 2, F.greatest(F.size("features") - 1, F.lit(0)))
     want = _points(F.col("plan.plan_id"), F.col("plan.waypoints"))
+    told = _once(parsed, texts=texts, want=want)
+    # a text that is the wanted one is read as the wanted point; only others are parsed to compare what they say
+    equal = F.coalesce(F.col("texts") == F.transform("want", lambda x: F.to_json(x, _KEEP)), F.lit(False))
+    differs = F.exists(F.arrays_zip(F.transform("texts", lambda t: F.from_json(t, _POINT)).alias("points"), "want"), lambda x: ~F.to_json(x["points"], _KEEP).eqNullSafe(F.to_json(x["want"], _KEEP)))
     whole = {
         **_line_rules(F.col("line")),
         "not the plan": ~F.col("line.properties.plan_id").eqNullSafe(F.col("__rg_id")),
-        "another number of waypoints": ~F.size("points").eqNullSafe(F.size("want")),
-        "a waypoint does not match": F.exists(F.arrays_zip("points", "want"), lambda x: ~F.to_json(x["points"], _KEEP).eqNullSafe(F.to_json(x["want"], _KEEP))) & (F.size("points") == F.size("want")),
+        "another number of waypoints": ~F.size("texts").eqNullSafe(F.size("want")),
+        "a waypoint does not match": F.when(F.size("texts") != F.size("want"), False).when(equal, False).otherwise(differs),
     }
-    told = _once(parsed, points=points, want=want)
-    told = told.withColumn("problems", F.when(F.col("features").isNull(), F.array(F.lit("not a feature collection"))).otherwise(_broken(whole)))
+    told = _once(told, problems=F.when(F.col("features").isNull(), F.array(F.lit("not a feature collection"))).otherwise(_broken(whole)))
     return told.where(F.size("problems") == 0).select("plan.*"), told.select(F.col("__rg_id").alias("plan_id"), F.explode("problems").alias("problem"))

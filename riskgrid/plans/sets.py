@@ -14,6 +14,7 @@ from riskgrid.operators.shared import dealt, folder
 from riskgrid.plans.registry import query
 from riskgrid.plans.routes import TABLE_ROUTES, _nodes, table_routes
 from riskgrid.plans.windows import COMMANDS, commands
+from riskgrid.sources.cube import table
 
 _FULL, _BEST = set_store.FULL, "recommended"
 
@@ -84,7 +85,8 @@ def layer_set_current(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drawn_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twelve plans for the made-up route of every customer, each an hour later than the one before."""
-    steps = table_routes(spark, sf_dir).join(_nodes(spark), ["row", "col"])
+    # few bytes to exchange, but twelve texts are made of each: tasks by the number of rows, not by their bytes
+    steps = dealt(table_routes(spark, sf_dir).join(_nodes(spark), ["row", "col"]), "search", rows=table(spark, sf_dir, "orders").count())
     points = steps.groupBy("search").agg(F.sort_array(F.collect_list(F.struct("step", "lon", "lat", "eta_us", (F.col("knots") / 2).alias("mps")))).alias("points"))
     places = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(n).alias("layer"), F.lit(o).alias("objective")) for i, (n, o) in enumerate(set_geojson.PLACES)))
     each = points.select(F.col("search").alias("set_id"), "points", F.explode(places).alias("p")).select("set_id", "points", "p.*")

@@ -2,7 +2,9 @@
 
 import json
 
+from pyspark.sql import functions as F
 from riskgrid.operators import set_geojson
+from riskgrid.plans import sets
 
 ROW = "set_id string, layer string, objective string, plan_id string, reference_plan_id string, waypoints array<struct<lon:double,lat:double,eta_us:bigint,mps:double>>"
 DOCUMENTS = "plan_id string, geojson string"
@@ -63,3 +65,20 @@ def test_every_refusal_of_a_plan(spark):
         assert got.count() == 0
     _, problems = set_geojson.read_plans(spark.createDataFrame([("other", json.dumps(whole)), (None, None)], DOCUMENTS))
     assert {tuple(r) for r in problems.collect()} == {("other", "not the plan"), (None, "not a feature collection")}
+
+
+def test_drawn_plans_are_dealt_by_their_number(spark, sf_dir):
+    """Few bytes become many texts: all tasks of the session make them (one did, by the bytes that were exchanged)."""
+    own = sets.drawn_plans(spark, sf_dir).groupBy(F.spark_partition_id()).count().collect()
+    assert len(own) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_what_is_no_whole_collection(spark):
+    """A text that ends early, and features that are no array, give no features; other spacing changes nothing."""
+    text = set_geojson.plan_collections(spark.createDataFrame(plans()[:1], ROW)).first().geojson
+    odd = [text[:-1], text[: len(text) // 2], f"[{text}]", '{"type":"FeatureCollection","features":{}}', '{"type":"FeatureCollection","features":"[]"}', '{"type":5,"features":[]}', "1"]
+    got, problems = set_geojson.read_plans(spark.createDataFrame([("s/0", t) for t in odd], DOCUMENTS))
+    assert [r.problem for r in problems.collect()] == ["not a feature collection"] * len(odd) and got.count() == 0
+    spaced = json.dumps(json.loads(text), indent=1)
+    got, problems = set_geojson.read_plans(spark.createDataFrame([("s/0", spaced)], DOCUMENTS))
+    assert problems.count() == 0 and got.count() == 1
