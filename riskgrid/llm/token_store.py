@@ -27,11 +27,14 @@ is a block of its own.
 
 Texts are encoded with the tokenizers library. Its pre-tokenizer never joins
 characters across white space, so each piece of text between white space is
-encoded once and kept in a table of the worker; a piece that may hold a
-special token, and any tokenizer without that property, goes the plain way.
+encoded once and kept in a table of the worker. Arrow cuts texts into pieces,
+numbers the different ones and puts their ids in the order of the texts, so
+Python sees each different piece of a run of texts once, and not every word.
+A text that may hold a special token, and any tokenizer without that property,
+goes the plain way.
 
 Documents are read back through the rank directories alone (``Block.span``),
-so a reader of one document touches nothing else of its block.
+so a reader of some documents touches nothing else of their block.
 
 Defined cases: a null text counts as empty and has only the end id; repeated
 ids keep all their rows, ordered by the text's hash, then the text, and may
@@ -42,6 +45,7 @@ gives an empty store; extra columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 import re
@@ -50,6 +54,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -57,7 +62,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from riskgrid.llm.common import AT_ONCE, Columns, by_rows, fresh_path, perhaps_broadcast, short_batches
-from riskgrid.llm.tokens import groups_of
+from riskgrid.llm.tokens import runs_of
 
 MAGIC = b"DAC1"
 BLOCK_IDS = 1 << 18
@@ -66,9 +71,19 @@ NULL_ID = -(2**63)
 #: Entries that a worker's table of encoded pieces may have: about 120 MB.
 KNOWN = 600_000
 
-#: Characters of texts that are encoded together.
+#: Bytes of texts that are encoded together.
 TOGETHER = 1 << 22
 
+#: Stands between pieces that are encoded together: a control character that is no white space, and a token of its own.
+GAP = "\x01"
+_MARK, _LETTER = np.zeros(256, bool), np.zeros(256, bool)
+_MARK[list(b".,!*#$%&|")] = True
+_LETTER[97:123] = True
+#: Letters that neither NFC nor the folding of case changes.
+_SMALL = re.compile("[a-z\xdf-\xf6\xf8-\xff]+")
+#: How the pieces of the pattern become characters of the vocabulary.
+BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
 
 # --- codes ---------------------------------------------------------------
 
@@ -149,7 +164,10 @@ class Block:
         for k, (chunks, bitmap, _) in enumerate(self.levels):
             if not len(where):
                 break
-            out[where] |= chunks[first:end].astype(np.uint32) << np.uint32(8 * k)
+            if k:
+                out[where] |= chunks[first:end].astype(np.uint32) << np.uint32(8 * k)
+            else:
+                out[:] = chunks[first:end]
             more = np.unpackbits(bitmap[first >> 3 : -(-end // 8)], bitorder="little")[first & 7 :][: end - first].astype(bool)
             where = where[more]
             first, end = self._rank(k, first), self._rank(k, end)
@@ -158,6 +176,12 @@ class Block:
     def document(self, k: int) -> np.ndarray:
         return self.span(int(self.starts[k]), int(self.starts[k + 1]))
 
+    def documents(self, first: int, end: int) -> list[np.ndarray]:
+        """The documents ``first`` to ``end`` (exclusive), from one span."""
+        cuts = self.starts[first : end + 1]
+        found = self.span(int(cuts[0]), int(cuts[-1]))
+        return [found[a:b] for a, b in itertools.pairwise((cuts - cuts[0]).tolist())]
+
 
 # --- encoding ------------------------------------------------------------
 
@@ -168,74 +192,91 @@ class Encoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.library = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.special = sorted((x["content"] for x in spec["added_tokens"]), key=len)
+        self.special = [x["content"].encode().lower() for x in spec["added_tokens"]]
+        self.opening = os.path.commonprefix(self.special)
         steps = spec.get("normalizer") or {}
         kinds = [x["type"] for x in steps.get("normalizers", [steps])]
-        split = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
+        split, *then = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         #: White space is dropped by a pattern that never matches it, and case is folded before.
-        self.by_piece = kinds == ["NFC", "Replace", "Lowercase"] and split.get("behavior") == "Removed" and split.get("invert") is True and "\\s\\p{L}\\p{N}" in split["pattern"]["Regex"] and bool(self.special)
-        self.mark = self.special[-1] if self.special else ""
-        self.mark_id = self.library.token_to_id(self.mark) if self.special else None
-        self.known: dict[bytes, bytes] = {}
+        folded = kinds == ["NFC", "Replace", "Lowercase"] and split.get("behavior") == "Removed" and split.get("invert") is True and "\\s\\p{L}\\p{N}" in split["pattern"]["Regex"]
+        gap = self.library.encode(GAP, add_special_tokens=False).ids
+        self.by_piece = folded and len(gap) == 1
+        self.gap_id = gap[0] if gap else None
+        #: For pieces of small letters, which neither the normalizer nor the pattern changes: the same model without both.
+        self.letters = self.library
+        if self.by_piece and "[\\p{L}]+" in split["pattern"]["Regex"] and then == [BYTES]:
+            self.letters = Tokenizer(self.library.model)
+            self.letters.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(**{k: v for k, v in BYTES.items() if k != "type"})])
+        self.known: dict[bytes, bytes] = {b"": b""}
 
     def plain(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def texts(self, texts: list[str]) -> list[bytes]:
+    def texts(self, texts: pa.Array) -> list[bytes]:
         if not self.by_piece:
-            return [self.plain(t) for t in texts]
-        out: list[bytes | None] = [None] * len(texts)
-        pieces: list[list[bytes] | None] = []
-        missing: set[bytes] = set()
-        known = self.known
-        for i, text in enumerate(texts):
-            if any(s in text for s in self.special):
+            return [self.plain(t) for t in texts.to_pylist()]
+        folded = pc.ascii_lower(texts)
+        cut = pc.ascii_split_whitespace(_apart(folded))
+        pieces = cut.flatten().dictionary_encode()
+        ids = pa.array(self._pieces(pieces.dictionary.cast(pa.large_binary()).to_pylist()), pa.large_binary()).take(pieces.indices)
+        _, ends, raw = ids.buffers()
+        cuts = np.frombuffer(ends, np.int64, len(ids) + 1)[cut.offsets.to_numpy()].tolist()
+        raw = memoryview(raw or b"")
+        out = [bytes(raw[a:b]) for a, b in itertools.pairwise(cuts)]
+        for i in np.flatnonzero(pc.match_substring(folded, self.opening).to_numpy(zero_copy_only=False)).tolist():
+            text = texts[i].as_py()
+            if any(x in text.encode().lower() for x in self.special):
                 out[i] = self.plain(text)
-                pieces.append(None)
-                continue
-            # a run of marks after a letter is a token of its own, so it may stand apart
-            own = _MARKS.sub(rb" \1", text.encode("utf-8", "replace").lower()).split()
-            missing.update(w for w in own if w not in known)
-            pieces.append(own)
-        spare = self._encode(list(missing))
-        if len(known) + len(spare) <= KNOWN:
-            known.update(spare)
-            look = known.__getitem__
-        else:
-            room = KNOWN - len(known)
-            if room > 0:
-                known.update(list(spare.items())[:room])
-
-            def look(w):
-                found = known.get(w)
-                return spare[w] if found is None else found
-
-        for i, own in enumerate(pieces):
-            if own is not None:
-                out[i] = b"".join(map(look, own))
         return out
 
-    def _encode(self, words: list[bytes], at_once: int = 256) -> dict[bytes, bytes]:
-        found = {}
-        for a in range(0, len(words), at_once):
-            part = words[a : a + at_once]
-            text = self.mark.join(w.decode("utf-8") for w in part)
-            if any(s in w for s in (x.encode().lower() for x in self.special) for w in part):
-                found.update((w, self.plain(w.decode("utf-8"))) for w in part)
-                continue
-            ids = np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark_id)
-            raw = ids.tobytes()
-            for w, s, e in zip(part, [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(raw)], strict=True):
-                found[w] = raw[s:e]
+    def _pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of different pieces; those not in the table are encoded together."""
+        known = self.known
+        out = list(map(known.get, pieces))
+        missing = [i for i, raw in enumerate(out) if raw is None]
+        spare = self._encode([pieces[i] for i in missing])
+        for i in missing:
+            out[i] = spare[pieces[i]]
+        known.update(itertools.islice(spare.items(), max(0, KNOWN - len(known))))
+        return out
+
+    def _encode(self, pieces: list[bytes], at_once: int = 256) -> dict[bytes, bytes]:
+        """The ids of pieces without white space. One that holds a special token stands in texts that go the plain way only."""
+        found, small, other = {}, [], []
+        for text in b" ".join(pieces).decode("utf-8").split(" ") if pieces else []:
+            if _SMALL.fullmatch(text):
+                small.append(text)
+            elif GAP in text:
+                found[text.encode()] = self.plain(text)
+            else:
+                other.append(text)
+        for library, own in (self.letters, small), (self.library, other):
+            for a in range(0, len(own), at_once):
+                part = own[a : a + at_once]
+                ids = np.array(library.encode_batch_fast([f" {GAP} ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+                cuts = (4 * np.flatnonzero(ids == self.gap_id)).tolist()
+                raw = ids.tobytes()
+                for text, s, e in zip(part, [0, *(c + 4 for c in cuts)], [*cuts, len(raw)], strict=True):
+                    found[text.encode()] = raw[s:e]
         return found
 
 
-_MARKS = re.compile(rb"(?<=[a-z])([.,!*#$%&|]+)")
+def _apart(folded: pa.Array) -> pa.Array:
+    """The texts with a space before each run of marks after a small letter: the run is a token of its own, so it may stand apart."""
+    _, ends, raw = folded.buffers()
+    ends = np.frombuffer(ends, np.int32)[folded.offset :][: len(folded) + 1].astype(np.int64)
+    raw = np.frombuffer(raw or b"", np.uint8)[ends[0] : ends[-1]]
+    ends -= ends[0]
+    places = np.flatnonzero(_LETTER[raw[:-1]] & _MARK[raw[1:]]) + 1
+    ends += np.searchsorted(places, ends)
+    return pa.LargeStringArray.from_buffers(len(folded), pa.py_buffer(ends), pa.py_buffer(np.insert(raw, places, 32)))
+
+
 _encoders: dict[str, Encoder] = {}
 
 
@@ -271,10 +312,10 @@ def blocks(docs: DataFrame, tokenizer: str, end_id: int | None, block_ids: int =
 
         for batch in batches:
             names = [NULL_ID if v is None else v for v in batch.column("doc_id").to_pylist()]
-            texts = batch.column("text").to_pylist()
+            texts = batch.column("text")
             # the more texts are encoded together, the fewer pieces are encoded again
-            for a, b in groups_of(texts, TOGETHER):
-                for k, raw in zip(names[a:b], own.texts(texts[a:b]), strict=True):
+            for a, b in runs_of(pc.binary_length(texts).to_pylist(), TOGETHER):
+                for k, raw in zip(names[a:b], own.texts(texts.slice(a, b - a)), strict=True):
                     raw += end
                     if doc_ids and size + len(raw) // 4 > block_ids:
                         yield cut()
@@ -316,12 +357,12 @@ def read_store(spark: SparkSession, path: str, with_ids: bool = True) -> DataFra
                 b = Block(payload)
                 for a in range(0, b.n_docs, AT_ONCE):
                     own = range(a, min(a + AT_ONCE, b.n_docs))
-                    found = [b.document(k) for k in own]
+                    found = b.documents(own.start, own.stop)
                     out = {
                         "doc_id": [None if b.doc_ids[k] == NULL_ID else int(b.doc_ids[k]) for k in own],
                         "start": [starts[shard] + b.before + int(b.starts[k]) for k in own],
                         "n_tokens": [len(x) for x in found],
-                        "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in found],
+                        "ids_crc32": [zlib.crc32(x.astype("<u4", copy=False)) for x in found],
                     }
                     yield out | ({"ids": [x.astype(np.int32) for x in found]} if with_ids else {})
 

@@ -8,6 +8,8 @@ only make that chunk longer; texts are never cut inside a word.
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
 import numpy as np
 
 _BASE = 0x5851F42D4C957F2D
@@ -70,14 +72,19 @@ def batch_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return h, np.searchsorted(s, starts)
 
 
-def groups_of(texts: list, limit: int = 1 << 21):
-    """(first, last) of runs of texts of about ``limit`` characters together; a longer text is a run of its own."""
+def runs_of(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
+    """(first, last) of runs of items of about ``limit`` together; a larger item is a run of its own."""
     first = size = 0
-    for i, t in enumerate(texts):
-        n = len(t) if t is not None else 0
+    i = -1
+    for i, n in enumerate(sizes):
         if i > first and size + n > limit:
             yield first, i
             first, size = i, 0
         size += n
-    if first < len(texts):
-        yield first, len(texts)
+    if first <= i:
+        yield first, i + 1
+
+
+def groups_of(texts: list, limit: int = 1 << 21) -> Iterator[tuple[int, int]]:
+    """(first, last) of runs of texts of about ``limit`` characters together; a longer text is a run of its own."""
+    return runs_of((len(t) if t is not None else 0 for t in texts), limit)

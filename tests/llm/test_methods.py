@@ -4,6 +4,7 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -136,6 +137,48 @@ def test_tokens_of_a_store_by_place(spark):
     assert {r.place: r.id for r in got.collect()} == {p: every[p] for p in places if 0 <= p < len(every)}
 
 
+ODD_PARTS = ["word", "Word.", "don't", "it's.", "a.b", "x...", "x.-", "...", "7a", "42.", "É", "été", "straße,", "İ", "ΟΔΟΣ", "e\u0301", ".\u0301", "\u0301", "\u212a", "日本語", "\x01", "a\x01b", "\x1c", "\x85", "\xa0", "\u2028", "\x00", "<|", "<|endoftext|>", "<|ENDOFTEXT|>", "<|startoftext", "|>", "\t", "\n", " ", "  ", "zq" * 40, "ÿß", "ª", "µ", "ŉ", "'s", "😀", "½"]
+
+
+@pytest.mark.parametrize("known", [0, 5, 600_000])
+def test_pieces_are_encoded_as_whole_texts(known, monkeypatch):
+    monkeypatch.setattr(token_store, "KNOWN", known)
+    own = token_store.Encoder(tokenizer_file("word_bpe_49k.json"))
+    assert own.by_piece and own.letters is not own.library
+    r = random.Random(known)
+    texts = ["", " ", "."] + ODD_PARTS + [r.choice(["", " ", " "]).join(r.choices(ODD_PARTS, k=r.randrange(12))) for _ in range(3000)]
+    array = pa.array(texts)
+    got = [x for a in range(0, len(texts), 500) for x in own.texts(array.slice(a, 500))]
+    assert got == [own.plain(t) for t in texts]
+    assert own.texts(array[:0]) == []
+    assert len(own.known) <= max(known, 1)
+
+
+def test_letters_skip_the_normalizer_and_documents_share_a_span(monkeypatch):
+    """What a long tail of new words costs: only pieces other than small letters go through all steps, each once; a block is read by few spans."""
+    own = token_store.Encoder(tokenizer_file("word_bpe_49k.json"))
+    seen = []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **kw):
+            seen.extend(x for t in texts for x in t.split(f" {token_store.GAP} "))
+            return library.encode_batch_fast(texts, **kw)
+
+    library, own.library = own.library, Counted()
+    words = ["".join(w) for w in itertools.product("aeiß", "aei", repeat=2)]
+    own.texts(pa.array([" ".join(f"{w} {w}, {w}!" for w in words) + " x-1 x-1"] * 3))
+    assert sorted(seen) == ["!", ",", "x-1"]
+    lengths = [0, 3, 700, 0, 513, 5]
+    ids = np.arange(sum(lengths), dtype=np.uint32) * 97
+    block = token_store.Block(token_store.encode_block(list(range(6)), lengths, ids, 0))
+    spans = []
+    monkeypatch.setattr(block, "span", lambda a, b: spans.append((a, b)) or token_store.Block.span(block, a, b))
+    cuts = np.cumsum([0, *lengths])
+    for a, b in [(0, 6), (1, 5), (2, 3), (3, 4), (6, 6)]:
+        assert [x.tolist() for x in block.documents(a, b)] == [ids[cuts[k] : cuts[k + 1]].tolist() for k in range(a, b)]
+    assert len(spans) == 5
+
+
 # --- classifiers -----------------------------------------------------------
 
 
